@@ -26,6 +26,11 @@ def _run(df: DataFrame, run_id: int | None) -> DataFrame:
     return df if run_id is None else df.where(F.col("run_id") == F.lit(run_id))
 
 
+def avg_cents(c: str) -> F.Column:
+    """Mean of a 2-decimal score computed on integer cents: exact, and bit-identical in any engine."""
+    return F.sum(F.round(F.col(c) * 100).cast("long")).cast("double") / F.count(F.lit(1)) / 100.0
+
+
 def rate(num, den) -> F.Column:
     """A4: 100·num/den, 0 when the denominator is 0."""
     return F.when(den > 0, F.lit(100.0) * num / den).otherwise(F.lit(0.0))
@@ -133,7 +138,7 @@ def findings_by_rule(star: Star, run_id: int | None = None, k: int = 15) -> Data
     g = _run(star.findings, run_id).groupBy("run_id", "pattern_id").agg(
         F.min("category").alias("category"), F.count(F.lit(1)).alias("count"),
         F.count_distinct("file_analysis_id").alias("unique_files"),
-        F.round(F.avg("confidence"), 6).alias("avg_confidence"))
+        avg_cents("confidence").alias("avg_confidence"))
     return _top_by_count(g, k)
 
 
@@ -156,7 +161,7 @@ def top_rules(star: Star, run_id: int | None = None, k: int = 10, verified_only:
     g = fn.join(f, "file_analysis_id").groupBy("run_id", "pattern_id").agg(
         F.min("category").alias("category"), F.count(F.lit(1)).alias("count"),
         F.count_distinct("file_id").alias("unique_files"), F.count_distinct("repo_id").alias("unique_repos"),
-        F.round(F.avg("confidence"), 6).alias("avg_confidence"))
+        avg_cents("confidence").alias("avg_confidence"))
     return _top_by_count(g, k)
 
 
@@ -189,9 +194,9 @@ def findings_distribution(star: Star, run_id: int | None = None, verified_only:
     cells = overall.select("run_id", "scope", "n").unionByName(sev.select("run_id", "scope", "n"))
     stats = cells.groupBy("run_id", "scope").agg(
         F.count(F.lit(1)).alias("papers"), F.min("n").alias("min"), F.max("n").alias("max"),
-        F.round(F.avg("n"), 6).alias("mean"),
+        F.avg("n").alias("mean"),
         F.round(F.coalesce(F.stddev_samp("n"), F.lit(0.0)), 6).alias("stdev"),
-        F.round(F.median("n"), 6).alias("median"))
+        F.median("n").alias("median"))
     runs = _run(star.analysis_runs, run_id)
     frame = runs.select("run_id", F.explode(F.array(*[F.lit(s) for s in ["all", *SEVERITY_ORDER]])).alias("scope"))
     return frame.join(stats, ["run_id", "scope"], "left").select(
@@ -224,7 +229,7 @@ def verification_summary(star: Star, run_id: int | None = None) -> DataFrame:
         F.max_by("model", F.struct("verified_at", "model")).alias("model"))
     tot = F.col("valid") + F.col("invalid") + F.col("uncertain")
     return g.select("run_id", "valid", "invalid", "uncertain", "error", tot.alias("total_verified"),
-                    F.round(rate(F.col("valid"), tot), 6).alias("precision"), "verified_at", "model")
+                    rate(F.col("valid"), tot).alias("precision"), "verified_at", "model")
 
 
 def precision_by(star: Star, dim: str, run_id: int | None = None) -> DataFrame:
@@ -257,7 +262,7 @@ def rule_error_profile(star: Star, run_id: int | None = None, min_invalid: int =
     ev = F.col("valid") + F.col("invalid")
     return g.where(F.col("invalid") >= min_invalid).select(
         "run_id", "pattern_id", "category", "valid", "invalid", "uncertain", "total",
-        F.round(rate(F.col("valid"), ev), 6).alias("precision"))
+        rate(F.col("valid"), ev).alias("precision"))
 
 
 def rule_error_reasonings(star: Star, run_id: int | None = None, min_invalid: int = 1) -> DataFrame:
@@ -274,9 +279,9 @@ def scan_statistics(star: Star) -> DataFrame:
     g = s.agg(F.count(F.lit(1)).alias("total_scans"), F.count_distinct("repo_id").alias("total_repos"),
               F.sum("files_total").alias("total_files"), F.sum("self_contained").alias("total_self_contained"),
               F.sum("fragments").alias("total_fragments"), F.sum("uncertain").alias("total_uncertain"),
-              F.round(F.avg("duration_seconds"), 6).alias("avg_duration"))
-    return g.select("*", F.round(F.coalesce("total_self_contained", F.lit(0))
-                                 / F.greatest(F.col("total_repos"), F.lit(1)), 6).alias("avg_self_contained_per_repo"))
+              F.avg("duration_seconds").alias("avg_duration"))
+    return g.select("*", (F.coalesce("total_self_contained", F.lit(0))
+                            / F.greatest(F.col("total_repos"), F.lit(1))).alias("avg_self_contained_per_repo"))
 
 
 def prefilter_funnel(star: Star, prefilter_run_id: int | None = None) -> DataFrame:

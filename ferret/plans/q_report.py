@@ -81,7 +81,7 @@ def q_findings_by_category(spark, d):
 SELECT * FROM (
   SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY count DESC, pattern_id) AS rank FROM (
     SELECT fa.run_id, fn.pattern_id, min(fn.category) AS category, count(*) AS count,
-           count(DISTINCT fa.file_id) AS unique_files, round(avg(fn.confidence), 6) AS avg_confidence
+           count(DISTINCT fa.file_id) AS unique_files, CAST(sum(CAST(round(fn.confidence * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100.0 AS avg_confidence
     FROM findings fn JOIN file_analyses fa ON fa.file_analysis_id = fn.file_analysis_id
     GROUP BY fa.run_id, fn.pattern_id) g) t
 WHERE rank <= 15"""))
@@ -102,7 +102,7 @@ SELECT * FROM (
   SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY count DESC, pattern_id) AS rank FROM (
     SELECT fa.run_id, fn.pattern_id, min(fn.category) AS category, count(*) AS count,
            count(DISTINCT fa.file_id) AS unique_files, count(DISTINCT f.repo_id) AS unique_repos,
-           round(avg(fn.confidence), 6) AS avg_confidence
+           CAST(sum(CAST(round(fn.confidence * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100.0 AS avg_confidence
     FROM findings fn JOIN file_analyses fa ON fa.file_analysis_id = fn.file_analysis_id
     JOIN files f ON f.file_id = fa.file_id
     {vjoin}
@@ -146,8 +146,8 @@ cells AS (
   UNION ALL
   SELECT run_id, severity AS scope, n FROM per WHERE severity IN ('critical','high','medium','low')),
 st AS (
-  SELECT run_id, scope, count(*) AS papers, min(n) AS mn, max(n) AS mx, round(avg(n), 6) AS mean,
-         round(coalesce(stddev_samp(n), 0.0), 6) AS stdev, round(median(n), 6) AS median
+  SELECT run_id, scope, count(*) AS papers, min(n) AS mn, max(n) AS mx, avg(n) AS mean,
+         round(coalesce(stddev_samp(n), 0.0), 6) AS stdev, median(n) AS median
   FROM cells GROUP BY 1, 2)
 SELECT fr.run_id, fr.scope, coalesce(st.papers, 0) AS papers, coalesce(st.mn, 0) AS min, coalesce(st.mx, 0) AS max,
        coalesce(st.mean, 0.0) AS mean, coalesce(st.stdev, 0.0) AS stdev, coalesce(st.median, 0.0) AS median
@@ -178,8 +178,8 @@ def q_verification_by_severity(spark, d):
 
 @register("verification_summary", "A13", with_star("""
 SELECT run_id, valid, invalid, uncertain, error, valid + invalid + uncertain AS total_verified,
-       round(CASE WHEN valid + invalid + uncertain > 0
-                  THEN 100.0 * CAST(valid AS DOUBLE) / (valid + invalid + uncertain) ELSE 0.0 END, 6) AS precision,
+       CASE WHEN valid + invalid + uncertain > 0
+            THEN 100.0 * CAST(valid AS DOUBLE) / (valid + invalid + uncertain) ELSE 0.0 END AS precision,
        verified_at, model
 FROM (SELECT fn.run_id,
              count(*) FILTER (WHERE fv.status = 'valid') AS valid,
@@ -222,9 +222,9 @@ SELECT fn.run_id, fn.pattern_id, fn.category,
        CAST(sum(CASE WHEN fv.status = 'invalid' THEN 1 ELSE 0 END) AS BIGINT) AS invalid,
        CAST(sum(CASE WHEN fv.status = 'uncertain' THEN 1 ELSE 0 END) AS BIGINT) AS uncertain,
        count(*) AS total,
-       round(CASE WHEN sum(CASE WHEN fv.status IN ('valid','invalid') THEN 1 ELSE 0 END) > 0
-             THEN 100.0 * CAST(sum(CASE WHEN fv.status = 'valid' THEN 1 ELSE 0 END) AS DOUBLE)
-                  / sum(CASE WHEN fv.status IN ('valid','invalid') THEN 1 ELSE 0 END) ELSE 0.0 END, 6) AS precision
+       CASE WHEN sum(CASE WHEN fv.status IN ('valid','invalid') THEN 1 ELSE 0 END) > 0
+            THEN 100.0 * CAST(sum(CASE WHEN fv.status = 'valid' THEN 1 ELSE 0 END) AS DOUBLE)
+                 / CAST(sum(CASE WHEN fv.status IN ('valid','invalid') THEN 1 ELSE 0 END) AS BIGINT) ELSE 0.0 END AS precision
 FROM finding_verifications fv JOIN findings fn ON fn.finding_id = fv.finding_id
 GROUP BY fn.run_id, fn.pattern_id, fn.category
 HAVING sum(CASE WHEN fv.status = 'invalid' THEN 1 ELSE 0 END) >= 3"""))
@@ -246,8 +246,8 @@ def q_rule_error_reasonings(spark, d):
 @register("scan_statistics", "A16", with_star("""
 SELECT count(*) AS total_scans, count(DISTINCT repo_id) AS total_repos, CAST(sum(files_total) AS BIGINT) AS total_files,
        CAST(sum(self_contained) AS BIGINT) AS total_self_contained, CAST(sum(fragments) AS BIGINT) AS total_fragments,
-       CAST(sum(uncertain) AS BIGINT) AS total_uncertain, round(avg(duration_seconds), 6) AS avg_duration,
-       round(coalesce(sum(self_contained), 0) / greatest(count(DISTINCT repo_id), 1), 6) AS avg_self_contained_per_repo
+       CAST(sum(uncertain) AS BIGINT) AS total_uncertain, avg(duration_seconds) AS avg_duration,
+       CAST(coalesce(sum(self_contained), 0) AS DOUBLE) / greatest(count(DISTINCT repo_id), 1) AS avg_self_contained_per_repo
 FROM repo_scans WHERE status = 'completed'"""))
 def q_scan_statistics(spark, d):
     return R.scan_statistics(Star(spark, d))
