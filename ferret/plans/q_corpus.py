@@ -1,3 +1,322 @@
-"""Registered queries."""
+"""Registered corpus curation, audit and scan queries with DuckDB oracles."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ferret.functions import text as X
+from ferret.functions.vocab import DEMO_DOMAINS, DEMO_HINTS, DEMO_KEYWORDS
+from ferret.operators import corpus as C
+from ferret.operators import scan as S
+from ferret.plans.catalog import register
+from ferret.plans.star import Star
+from ferret.plans.star_sql import with_star
+from ferret.sources.tables import Tables
+
+HOST_RE = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:@]+)"
+
+
+def _lit_list(ws):
+    return " OR ".join(f"contains(lower(text), '{w.lower()}')" for w in ws)
+
+
+@register("normalized_urls", "P1 P2 T9", f"""
+WITH u AS (SELECT page_id, url, regexp_replace(regexp_replace(url, '/+$', ''), '\\.git$', '') AS u2 FROM pages),
+v AS (SELECT *, CASE WHEN starts_with(u2, 'git://github.com') THEN replace(u2, 'git://', 'https://') ELSE u2 END AS u3 FROM u),
+w AS (SELECT *, string_split(regexp_replace(url, '/+$', ''), '/') AS parts FROM v)
+SELECT page_id, url,
+       CASE WHEN starts_with(u3, 'git@github.com:') THEN replace(u3, 'git@github.com:', 'https://github.com/') ELSE u3 END AS normalized_url,
+       CASE WHEN len(parts) >= 2 THEN parts[len(parts) - 1] || '__' || parts[len(parts)] ELSE parts[len(parts)] END AS slug,
+       CAST(page_id AS VARCHAR) || '_' || replace(regexp_extract(url, '{HOST_RE}', 1), '.', '_') || '_' || substr(md5(url), 1, 12) AS content_key
+FROM w""")
+def q_normalized_urls(spark, d):
+    p = Tables(spark, d).pages.select("page_id", "url")
+    host = F.regexp_replace(F.regexp_extract("url", HOST_RE, 1), r"\.", "_")
+    key = F.concat_ws("_", F.col("page_id").cast("string"), host, F.substring(F.md5("url"), 1, 12))
+    return p.select("page_id", "url", X.normalize_github_url("url").alias("normalized_url"),
+                    X.repo_slug("url").alias("slug"), key.alias("content_key"))
+
+
+def _domain_case():
+    arms = " ".join(f"WHEN {_lit_list(ws)} THEN '{dom}'" for dom, ws in DEMO_DOMAINS.items())
+    return f"CASE WHEN text IS NULL OR length(text) = 0 THEN NULL ELSE CASE {arms} END END"
+
+
+@register("domain_classification", "P3 P4", f"""
+SELECT doc_id, {_domain_case()} AS domain, ({_lit_list(['license', 'token'])}) AS excluded FROM documents""")
+def q_domain_classification(spark, d):
+    docs = Tables(spark, d).documents
+    return docs.select("doc_id", X.classify_domain("text", DEMO_DOMAINS).alias("domain"),
+                       X.contains_any("text", ["license", "token"]).alias("excluded"))
+
+
+@register("size_band", "P7", """
+SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines,
+       strlen(text) BETWEEN 500 AND 500000 AND len(string_split(text, chr(10))) >= 20 AS in_band
+FROM documents""")
+def q_size_band(spark, d):
+    docs = Tables(spark, d).documents
+    return docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), X.line_count("text").alias("n_lines"),
+                       X.size_band("text").alias("in_band"))
+
+
+_GATE = f"""
+SELECT doc_id, length(text) // 4 AS estimated_tokens,
+       CASE WHEN length(text) // 4 > 12000 THEN 'too_large_' || CAST(length(text) // 4 AS VARCHAR) || '_tokens'
+            WHEN NOT ({_lit_list(DEMO_KEYWORDS)}) THEN 'no_ml_imports_found' END AS skip_reason
+FROM documents"""
+
+
+@register("file_gate", "P10 P11 P12", f"""
+WITH g AS ({_GATE}),
+p AS (SELECT *, 500 + estimated_tokens + 200 AS base FROM g)
+SELECT doc_id, estimated_tokens, CASE WHEN skip_reason IS NULL THEN 'candidate' ELSE 'skipped' END AS classification,
+       skip_reason, base + CAST(floor(base * 0.1) AS BIGINT) AS total_tokens,
+       base + CAST(floor(base * 0.1) AS BIGINT) <= 15600 AS fits
+FROM p""")
+def q_file_gate(spark, d):
+    docs = Tables(spark, d).documents
+    g = C.file_gate(docs, DEMO_KEYWORDS)
+    fit = X.prompt_fits(F.lit(500).cast("long"), F.col("text"))
+    return g.select("doc_id", "estimated_tokens", "classification", "skip_reason",
+                    fit.getField("total_tokens").alias("total_tokens"), fit.getField("fits").alias("fits"))
+
+
+@register("filter_funnel", "A19 P12", f"""
+WITH g AS ({_GATE})
+SELECT * FROM (
+  SELECT 1 AS stage_no, 'total' AS stage, count(*) AS files FROM g
+  UNION ALL SELECT 2, 'within_size', count(*) FILTER (WHERE NOT starts_with(coalesce(skip_reason, ''), 'too_large')) FROM g
+  UNION ALL SELECT 3, 'no_keywords', count(*) FILTER (WHERE skip_reason = 'no_ml_imports_found') FROM g
+  UNION ALL SELECT 4, 'candidates', count(*) FILTER (WHERE skip_reason IS NULL) FROM g) s""")
+def q_filter_funnel(spark, d):
+    return C.filter_funnel(C.file_gate(Tables(spark, d).documents, DEMO_KEYWORDS))
+
+
+_PATTERNS = ["files/1*.py", "*/7*"]
+_BASENAMES = ["1.py", "2.py", "3.py"]
+
+
+@register("path_exclusion", "P6", with_star("""
+SELECT file_id, file_path,
+       string_split(file_path, '/')[-1] IN ('1.py', '2.py', '3.py') OR regexp_matches(file_path, '^(files/1.*.py|.*/7.*)') AS excluded
+FROM files"""))
+def q_path_exclusion(spark, d):
+    f = Star(spark, d).files
+    return f.select("file_id", "file_path", X.path_excluded("file_path", _BASENAMES, _PATTERNS).alias("excluded"))
+
+
+@register("rule_selection", "P14 S7", with_star("""
+SELECT * FROM rules WHERE severity IN ('critical', 'high') AND category IN ('ai-training', 'scientific-numerical')"""))
+def q_rule_selection(spark, d):
+    return S.select_rules(Star(spark, d).rules, ["critical", "high"], None, ["ai-training", "scientific-numerical"])
+
+
+@register("finding_predicate", "P15", with_star("""
+SELECT pattern_run_id, run_id, pattern_id, detected, confidence FROM pattern_runs
+WHERE detected IN ('yes', 'context-dependent') AND confidence >= 0.7"""))
+def q_finding_predicate(spark, d):
+    pr = Star(spark, d).pattern_runs
+    return pr.where(F.col("detected").isin("yes", "context-dependent") & (F.col("confidence") >= 0.7)).select(
+        "pattern_run_id", "run_id", "pattern_id", "detected", "confidence")
+
+
+@register("abstract_gate", "P16", """
+SELECT doc_id, CASE WHEN text IS NULL OR length(trim(text)) < 50 THEN 'no_abstract' ELSE 'kept' END AS status,
+       CASE WHEN text IS NULL OR length(trim(text)) < 50 THEN NULL
+            WHEN length(text) > 2000 THEN substr(text, 1, 2000) || '...' ELSE text END AS abstract
+FROM documents""")
+def q_abstract_gate(spark, d):
+    docs = Tables(spark, d).documents
+    short = F.col("text").isNull() | (F.length(F.trim("text")) < 50)
+    ab = F.when(short, F.lit(None).cast("string")).when(F.length("text") > 2000, F.concat(F.substring("text", 1, 2000), F.lit("..."))).otherwise(F.col("text"))
+    return docs.select("doc_id", F.when(short, "no_abstract").otherwise("kept").alias("status"), ab.alias("abstract"))
+
+
+@register("size_budget", "P17", with_star("""
+SELECT file_id, line_count,
+       CASE WHEN line_count <= 200 THEN 120 ELSE least(120 + 50 * CAST(floor((line_count - 200) / 200) AS BIGINT), 600) END AS budget_a,
+       CASE WHEN line_count <= 500 THEN 120 ELSE least(120 + 60 * CAST(floor((line_count - 500) / 500) AS BIGINT), 600) END AS budget_b
+FROM files"""))
+def q_size_budget(spark, d):
+    f = Star(spark, d).files
+    return f.select("file_id", "line_count", X.size_budget("line_count", 120).alias("budget_a"),
+                    X.size_budget("line_count", 120, step_lines=500, per_step=60, start=500).alias("budget_b"))
+
+
+@register("verdicts", "P19 P20", r"""
+SELECT conv_id, turn,
+       CASE WHEN contains(upper(string_split(text, chr(10))[1]), 'INVALID') THEN 'invalid'
+            WHEN contains(upper(string_split(text, chr(10))[1]), 'VALID') THEN 'valid' ELSE 'uncertain' END AS verdict,
+       array_to_string(list_filter(list_concat(
+           [trim(regexp_replace(string_split(text, chr(10))[1], '^\s*((?i)(VERDICT\s*:\s*)?(INVALID|VALID|UNCERTAIN))\s*[:.\-]*\s*', ''))],
+           CASE WHEN len(string_split(text, chr(10))) > 1
+                THEN list_transform(string_split(text, chr(10))[2:], lambda x: trim(x)) ELSE [] END), lambda x: x <> ''), ' ') AS reasoning
+FROM conversations WHERE role = 'assistant'""")
+def q_verdicts(spark, d):
+    c = Tables(spark, d).conversations.where(F.col("role") == "assistant")
+    return c.select("conv_id", "turn", X.verdict("text").alias("verdict"), X.reasoning_text("text").alias("reasoning"))
+
+
+@register("structural_duplicates", "T3", r"""
+SELECT lang, md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS content_hash, count(*) AS n, min(doc_id) AS first_doc_id
+FROM documents GROUP BY 1, 2 HAVING count(*) > 1""")
+def q_structural_duplicates(spark, d):
+    return C.structural_duplicates(Tables(spark, d).documents)
+
+
+def _hint_sql():
+    parts = [f"SELECT doc_id, '{hid}' AS hint_id, '{desc}' AS description, "
+             f"CAST(len(regexp_extract_all(text, '{rx.replace(chr(39), chr(39) * 2)}')) AS INTEGER) AS n_matches FROM documents"
+             for hid, rx, desc in DEMO_HINTS]
+    return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") h WHERE n_matches > 0"
+
+
+@register("hint_scan", "T4", _hint_sql())
+def q_hint_scan(spark, d):
+    return C.hint_scan(Tables(spark, d).documents, DEMO_HINTS)
+
+
+@register("unfinished_markers", "T5", r"""
+SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\b(TODO|FIXME|XXX|HACK)\b', 1)) AS marker FROM documents""")
+def q_unfinished_markers(spark, d):
+    return C.unfinished_markers(Tables(spark, d).documents)
+
+
+@register("benchmark_containment", "T6 D1", r"""
+SELECT b.item_id, d.doc_id
+FROM benchmark b, documents d
+WHERE contains(trim(regexp_replace(d.text, '\s+', ' ', 'g')), trim(regexp_replace(b.text, '\s+', ' ', 'g')))""")
+def q_benchmark_containment(spark, d):
+    t = Tables(spark, d)
+    return C.snippet_containment(t.benchmark, t.documents)
+
+
+@register("link_audit", "T14", """
+SELECT page_id, CAST(len(l) AS INTEGER) AS n_links, len(l) = 0 AS no_links, len(l) > 5 AS too_many,
+       CAST(len(list_filter(l, lambda x: trim(x) = '')) AS INTEGER) AS blank_links,
+       CAST(len(list_filter(l, lambda x: trim(x) <> '' AND NOT regexp_matches(lower(x), '^https?://'))) AS INTEGER) AS non_http_links
+FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages) p""")
+def q_link_audit(spark, d):
+    return C.link_audit(Tables(spark, d).pages)
+
+
+@register("required_fields", "T11", """
+SELECT conv_id, turn, field FROM (
+  SELECT conv_id, turn, 'role' AS field FROM conversations WHERE role IS NULL OR trim(role) = ''
+  UNION ALL SELECT conv_id, turn, 'text' FROM conversations WHERE text IS NULL OR trim(text) = '') x""")
+def q_required_fields(spark, d):
+    return C.required_fields_audit(Tables(spark, d).conversations, ["conv_id", "turn"], ["role", "text"])
+
+
+@register("min_count_audit", "T12", """
+SELECT s.source, coalesce(c.n, 0) AS n
+FROM (SELECT DISTINCT source FROM documents) s
+LEFT JOIN (SELECT d.source, count(*) AS n FROM labels l JOIN documents d ON d.doc_id = l.doc_id GROUP BY 1) c
+  ON c.source = s.source
+WHERE coalesce(c.n, 0) < 25""")
+def q_min_count_audit(spark, d):
+    t = Tables(spark, d)
+    members = t.labels.join(t.documents.select("doc_id", "source"), "doc_id")
+    return C.min_count_audit(t.documents, members, "source", 25)
+
+
+@register("classification_breakdown", "A18", with_star("""
+SELECT classification, count(*) AS count, 100.0 * CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS pct
+FROM prefilter_file_results GROUP BY classification"""))
+def q_classification_breakdown(spark, d):
+    return C.share_of_total(Star(spark, d).prefilter_file_results, "classification")
+
+
+@register("domain_share", "A22 P24", with_star("""
+SELECT domain, count(*) AS count, 100.0 * CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS pct
+FROM (SELECT CASE WHEN domain IS NULL OR domain = '' THEN 'unknown' ELSE domain END AS domain FROM repos) r
+GROUP BY domain"""))
+def q_domain_share(spark, d):
+    return C.share_of_total(Star(spark, d).repos, "domain", default="unknown")
+
+
+@register("keyword_frequency", "A21 P9", "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{w}' AS word, count(*) AS files, 100.0 * CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM documents) AS pct "
+    f"FROM documents WHERE contains(lower(text), '{w}')" for w in DEMO_KEYWORDS) + ") k WHERE files > 0")
+def q_keyword_frequency(spark, d):
+    return C.keyword_frequency(Tables(spark, d).documents, DEMO_KEYWORDS)
+
+
+_ERR = "SELECT status || ': file ' || CAST(file_analysis_id AS VARCHAR) AS message FROM pattern_runs WHERE status <> 'success'"
+
+
+@register("error_breakdown", "A23", with_star(f"""
+SELECT trim(split_part(message, ':', 1)) AS error_type, count(*) AS count FROM ({_ERR}) e GROUP BY 1"""))
+def q_error_breakdown(spark, d):
+    pr = Star(spark, d).pattern_runs.where(F.col("status") != "success")
+    msgs = pr.select(F.concat(F.col("status"), F.lit(": file "), F.col("file_analysis_id").cast("string")).alias("message"))
+    return C.error_breakdown(msgs)
+
+
+@register("failure_summary", "A23", with_star(f"""
+SELECT string_agg(CAST(count AS VARCHAR) || ' ' || error_type, ', ' ORDER BY count DESC, error_type) AS summary
+FROM (SELECT trim(split_part(message, ':', 1)) AS error_type, count(*) AS count FROM ({_ERR}) e GROUP BY 1) b"""))
+def q_failure_summary(spark, d):
+    return C.failure_summary(q_error_breakdown(spark, d))
+
+
+@register("contract_audit", "P25 A33", with_star("""
+SELECT finding_id, rule FROM (
+  SELECT finding_id, 'confidence_range' AS rule FROM findings WHERE NOT (confidence BETWEEN 0 AND 1)
+  UNION ALL SELECT finding_id, 'severity_enum' FROM findings WHERE severity IS NULL OR severity NOT IN ('critical','high','medium','low')
+  UNION ALL SELECT finding_id, 'detected_enum' FROM findings WHERE detected NOT IN ('yes','no','context-dependent')
+  UNION ALL SELECT finding_id, 'location_required' FROM findings WHERE detected = 'yes' AND focus_line IS NULL) v"""))
+def q_contract_audit(spark, d):
+    fn = Star(spark, d).findings
+    rules = [("confidence_range", ~F.col("confidence").between(0, 1)),
+             ("severity_enum", F.col("severity").isNull() | ~F.col("severity").isin("critical", "high", "medium", "low")),
+             ("detected_enum", ~F.col("detected").isin("yes", "no", "context-dependent")),
+             ("location_required", (F.col("detected") == "yes") & F.col("focus_line").isNull())]
+    return C.contract_audit(fn, "finding_id", rules)
+
+
+_SCAN = with_star("""
+SELECT d.doc_id, r.rule_no, r.pattern_id,
+       CASE WHEN length(d.text) // 4 > 12000 THEN 'context_length' ELSE 'success' END AS status,
+       CASE WHEN length(d.text) // 4 > 12000 THEN NULL
+            ELSE (length(lower(d.text)) - length(replace(lower(d.text), p.pat, ''))) // 2 END AS n_matches
+FROM documents d, (SELECT rule_no, pattern_id FROM rules) r,
+     LATERAL (SELECT ['t','n','r','s','h','l','d','c','m','w','b'][r.rule_no % 11 + 1]
+                     || ['a','e','i','o','u','y'][(r.rule_no // 11) % 6 + 1] AS pat) p""")
+_SCAN_RUNS = f"""
+SELECT doc_id, rule_no, pattern_id, status,
+       CASE WHEN status = 'success' THEN CASE WHEN least(0.5 + 0.05 * n_matches, 0.99) >= 0.7 THEN 'yes'
+            WHEN least(0.5 + 0.05 * n_matches, 0.99) >= 0.6 THEN 'context-dependent' ELSE 'no' END END AS detected,
+       CASE WHEN status = 'success' THEN least(0.5 + 0.05 * CAST(n_matches AS DOUBLE), 0.99) END AS confidence,
+       CAST(n_matches AS BIGINT) AS n_matches
+FROM ({_SCAN}) s"""
+
+
+def _rule_runs(spark, d):
+    star = Star(spark, d)
+    return S.rule_scan(Tables(spark, d).documents, S.rule_catalog(star))
+
+
+@register("scan_rule_runs", "T16 J10 S7", _SCAN_RUNS)
+def q_scan_rule_runs(spark, d):
+    return _rule_runs(spark, d)
+
+
+@register("scan_findings", "T16 P15", f"""
+SELECT * FROM ({_SCAN_RUNS}) r WHERE status = 'success' AND detected IN ('yes', 'context-dependent') AND confidence >= 0.7""")
+def q_scan_findings(spark, d):
+    return S.scan_findings(_rule_runs(spark, d))
+
+
+@register("scan_file_status", "T16", f"""
+SELECT doc_id, count(*) AS rules, count(*) FILTER (WHERE status = 'success') AS succeeded,
+       count(*) FILTER (WHERE status = 'success') = 0 AS failed
+FROM ({_SCAN_RUNS}) r GROUP BY doc_id""")
+def q_scan_file_status(spark, d):
+    return S.file_status(_rule_runs(spark, d))
+
+
+@register("page_cleaning", "T7 T8")
+def q_page_cleaning(spark, d):
+    return C.clean_pages(Tables(spark, d).pages).drop("cleaned")
