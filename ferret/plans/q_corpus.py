@@ -276,7 +276,7 @@ def q_contract_audit(spark, d):
     return C.contract_audit(fn, "finding_id", rules)
 
 
-_SCAN = with_star("""
+_SCAN = ("""
 SELECT d.doc_id, r.rule_no, r.pattern_id,
        CASE WHEN length(d.text) // 4 > 12000 THEN 'context_length' ELSE 'success' END AS status,
        CASE WHEN length(d.text) // 4 > 12000 THEN NULL
@@ -298,21 +298,21 @@ def _rule_runs(spark, d):
     return S.rule_scan(Tables(spark, d).documents, S.rule_catalog(star))
 
 
-@register("scan_rule_runs", "T16 J10 S7", _SCAN_RUNS)
+@register("scan_rule_runs", "T16 J10 S7", with_star(_SCAN_RUNS))
 def q_scan_rule_runs(spark, d):
     return _rule_runs(spark, d)
 
 
-@register("scan_findings", "T16 P15", f"""
-SELECT * FROM ({_SCAN_RUNS}) r WHERE status = 'success' AND detected IN ('yes', 'context-dependent') AND confidence >= 0.7""")
+@register("scan_findings", "T16 P15", with_star(f"""
+SELECT * FROM ({_SCAN_RUNS}) r WHERE status = 'success' AND detected IN ('yes', 'context-dependent') AND confidence >= 0.7"""))
 def q_scan_findings(spark, d):
     return S.scan_findings(_rule_runs(spark, d))
 
 
-@register("scan_file_status", "T16", f"""
+@register("scan_file_status", "T16", with_star(f"""
 SELECT doc_id, count(*) AS rules, count(*) FILTER (WHERE status = 'success') AS succeeded,
        count(*) FILTER (WHERE status = 'success') = 0 AS failed
-FROM ({_SCAN_RUNS}) r GROUP BY doc_id""")
+FROM ({_SCAN_RUNS}) r GROUP BY doc_id"""))
 def q_scan_file_status(spark, d):
     return S.file_status(_rule_runs(spark, d))
 
