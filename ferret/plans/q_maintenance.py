@@ -1,3 +1,159 @@
-"""Registered queries."""
+"""Registered set-operation / upsert / integrity queries with DuckDB oracles."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ferret.functions import text as X
+from ferret.operators import maintenance as U
+from ferret.plans.catalog import register
+from ferret.plans.star import Star
+from ferret.plans.star_sql import with_star
+from ferret.sources.tables import Tables
+
+
+@register("exclusion_union", "U1 J7", with_star("""
+WITH ex AS (SELECT DISTINCT paper_id FROM (
+              SELECT r.paper_id FROM prefilter_file_results p JOIN repos r ON r.repo_id = p.repo_id
+              WHERE p.classification = 'error' AND r.paper_id IS NOT NULL
+              UNION ALL SELECT paper_id FROM papers WHERE matched_domain = 'ASIA') u)
+SELECT p.paper_id, p.title FROM papers p WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.paper_id = p.paper_id)"""))
+def q_exclusion_union(spark, d):
+    s = Star(spark, d)
+    a = s.prefilter_file_results.where(F.col("classification") == "error").join(s.repos.select("repo_id", "paper_id"), "repo_id") \
+        .where(F.col("paper_id").isNotNull())
+    b = s.papers.where(F.col("matched_domain") == "ASIA")
+    ex = U.exclusion_union(a, b, key="paper_id")
+    return U.exclude(s.papers, ex, "paper_id").select("paper_id", "title")
+
+
+@register("declared_vs_present", "U2", with_star("""
+SELECT coalesce(d.pattern_id, p.pattern_id) AS pattern_id,
+       CASE WHEN p.pattern_id IS NULL THEN 'declared_only' ELSE 'present_only' END AS side
+FROM (SELECT DISTINCT pattern_id FROM rules) d
+FULL JOIN (SELECT DISTINCT pattern_id FROM findings WHERE severity IS NOT NULL AND category <> 'ai-inference') p
+  ON p.pattern_id = d.pattern_id
+WHERE d.pattern_id IS NULL OR p.pattern_id IS NULL"""))
+def q_declared_vs_present(spark, d):
+    s = Star(spark, d)
+    present = s.findings.where(F.col("severity").isNotNull() & (F.col("category") != "ai-inference"))
+    return U.declared_vs_present(s.rules, present, "pattern_id")
+
+
+@register("insert_if_absent", "U3 P1", with_star(r"""
+WITH inc AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '/+$', ''), '\.git$', '') AS repo_url FROM pages),
+new AS (SELECT repo_url FROM inc WHERE repo_url NOT IN (SELECT repo_url FROM repos))
+SELECT (SELECT coalesce(max(repo_id), 0) FROM repos) + row_number() OVER (ORDER BY repo_url) AS repo_id, repo_url FROM new"""))
+def q_insert_if_absent(spark, d):
+    s = Star(spark, d)
+    inc = Tables(spark, d).pages.select(X.normalize_github_url("url").alias("repo_url"))
+    return U.insert_if_absent(s.repos, inc, "repo_url", "repo_id")
+
+
+_UPD = """SELECT finding_id, 'valid' AS status, 'recheck' AS reasoning, 'm9' AS model,
+       verified_at + INTERVAL 1 DAY AS verified_at
+FROM finding_verifications WHERE status = 'uncertain'"""
+
+
+@register("upsert_verifications", "U4 T18", with_star(f"""
+SELECT finding_id, status, reasoning, model, verified_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY verified_at DESC, status DESC, reasoning DESC, model DESC) AS rn
+  FROM (SELECT finding_id, status, reasoning, model, verified_at FROM finding_verifications UNION ALL {_UPD}) u) x
+WHERE rn = 1"""))
+def q_upsert_verifications(spark, d):
+    fv = Star(spark, d).finding_verifications
+    upd = fv.where(F.col("status") == "uncertain").select(
+        "finding_id", F.lit("valid").alias("status"), F.lit("recheck").alias("reasoning"), F.lit("m9").alias("model"),
+        (F.col("verified_at") + F.expr("INTERVAL 1 DAY")).alias("verified_at"))
+    return U.upsert_latest(fv, upd, "finding_id", "verified_at")
+
+
+@register("retry_update", "U5 J20 T17", with_star("""
+SELECT pr.pattern_run_id, pr.run_id, coalesce(u.status, pr.status) AS status, u.pattern_run_id IS NOT NULL AS updated
+FROM pattern_runs pr LEFT JOIN (
+  SELECT pattern_run_id, CASE WHEN confidence >= 0.6 THEN 'success' ELSE 'timeout' END AS status
+  FROM pattern_runs WHERE status = 'timeout') u ON u.pattern_run_id = pr.pattern_run_id"""))
+def q_retry_update(spark, d):
+    pr = Star(spark, d).pattern_runs
+    retried = pr.where(F.col("status") == "timeout").select(
+        "pattern_run_id", F.when(F.col("confidence") >= 0.6, "success").otherwise("timeout").alias("status"))
+    out = U.keyed_update(pr.select("pattern_run_id", "run_id", "status"), retried, ["pattern_run_id"], ["status"])
+    return out
+
+
+@register("run_lifecycle", "U6 W2", with_star("""
+WITH ev AS (SELECT run_id, 'running' AS state, started_at AS ev_at, CAST(NULL AS BIGINT) AS total_files FROM analysis_runs
+            UNION ALL SELECT run_id, 'completed', completed_at, total_files FROM analysis_runs WHERE status = 'completed')
+SELECT run_id, state, ev_at AS since, total_files FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ev_at DESC, state DESC, total_files DESC NULLS LAST) AS rn FROM ev) x
+WHERE rn = 1"""))
+def q_run_lifecycle(spark, d):
+    return U.current_state(U.run_events(Star(spark, d).analysis_runs))
+
+
+@register("integrity_audit", "U8", with_star("""
+SELECT 'findings.file_analysis_id' AS check_name, count(*) AS violations FROM findings f
+  WHERE NOT EXISTS (SELECT 1 FROM file_analyses a WHERE a.file_analysis_id = f.file_analysis_id)
+UNION ALL SELECT 'files.repo_id', count(*) FROM files f WHERE NOT EXISTS (SELECT 1 FROM repos r WHERE r.repo_id = f.repo_id)
+UNION ALL SELECT 'repos.paper_id', count(*) FROM repos r
+  WHERE r.paper_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM papers p WHERE p.paper_id = r.paper_id)
+UNION ALL SELECT 'lineitem.l_orderkey', count(*) FROM lineitem l
+  WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey)
+UNION ALL SELECT 'unique files(repo_id, file_path)', count(*) FROM (
+  SELECT repo_id, file_path FROM files GROUP BY 1, 2 HAVING count(*) > 1) x
+UNION ALL SELECT 'unique lineitem(l_orderkey, l_linenumber)', count(*) FROM (
+  SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1) y"""))
+def q_integrity_audit(spark, d):
+    s, t = Star(spark, d), Tables(spark, d)
+    checks = [
+        ("findings.file_analysis_id", U.fk_orphans(s.findings, s.file_analyses, "file_analysis_id", "file_analysis_id")),
+        ("files.repo_id", U.fk_orphans(s.files, s.repos, "repo_id", "repo_id")),
+        ("repos.paper_id", U.fk_orphans(s.repos, s.papers, "paper_id", "paper_id")),
+        ("lineitem.l_orderkey", U.fk_orphans(t.lineitem, t.orders, "l_orderkey", "o_orderkey")),
+        ("unique files(repo_id, file_path)", U.duplicate_keys(s.files, ["repo_id", "file_path"])),
+        ("unique lineitem(l_orderkey, l_linenumber)", U.duplicate_keys(t.lineitem, ["l_orderkey", "l_linenumber"])),
+    ]
+    parts = [df.agg(F.lit(name).alias("check_name"), F.count(F.lit(1)).alias("violations")) for name, df in checks]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("dataset_disjointness", "U9 D1", with_star("""
+WITH a AS (SELECT DISTINCT r.paper_id FROM files f JOIN repos r ON r.repo_id = f.repo_id
+           JOIN file_analyses fa ON fa.file_id = f.file_id WHERE fa.run_id = 1 AND r.paper_id IS NOT NULL),
+b AS (SELECT DISTINCT r.paper_id FROM files f JOIN repos r ON r.repo_id = f.repo_id
+      JOIN file_analyses fa ON fa.file_id = f.file_id WHERE fa.run_id = 2 AND r.paper_id IS NOT NULL)
+SELECT paper_id FROM a INTERSECT SELECT paper_id FROM b"""))
+def q_dataset_disjointness(spark, d):
+    s = Star(spark, d)
+    fp = s.file_analyses.join(s.files.select("file_id", "repo_id"), "file_id").join(s.repos.select("repo_id", "paper_id"), "repo_id") \
+        .where(F.col("paper_id").isNotNull())
+    a = fp.where(F.col("run_id") == 1).select("paper_id")
+    b = fp.where(F.col("run_id") == 2).select("paper_id")
+    return a.intersect(b)
+
+
+@register("group_exclusion", "J9 J6", with_star("""
+WITH fr AS (SELECT f.file_id, f.repo_id, r.paper_id, fa.run_id FROM files f JOIN repos r ON r.repo_id = f.repo_id
+            JOIN file_analyses fa ON fa.file_id = f.file_id)
+SELECT file_id, repo_id, paper_id FROM fr
+WHERE run_id = 7 AND (paper_id IS NULL OR paper_id NOT IN (SELECT paper_id FROM fr WHERE run_id IN (1, 2) AND paper_id IS NOT NULL))"""))
+def q_group_exclusion(spark, d):
+    s = Star(spark, d)
+    fr = s.files.select("file_id", "repo_id").join(s.repos.select("repo_id", "paper_id"), "repo_id") \
+        .join(s.file_analyses.select("file_id", "run_id"), "file_id")
+    seen = fr.where(F.col("run_id").isin(1, 2))
+    return U.group_exclusion(fr.where(F.col("run_id") == 7), seen, "paper_id").select("file_id", "repo_id", "paper_id")
+
+
+@register("resume_remaining", "J8 M5", with_star("""
+SELECT f.file_id FROM files f JOIN file_analyses fa ON fa.file_id = f.file_id
+WHERE fa.run_id = 7 AND NOT EXISTS (
+  SELECT 1 FROM findings fn WHERE fn.run_id = 7 AND fn.file_analysis_id = fa.file_analysis_id)"""))
+def q_resume_remaining(spark, d):
+    s = Star(spark, d)
+    todo = s.file_analyses.where(F.col("run_id") == 7).select("file_analysis_id", "file_id")
+    done = s.findings.where(F.col("run_id") == 7).select("file_analysis_id").distinct()
+    return U.exclude(todo, done, "file_analysis_id").select("file_id")
