@@ -195,3 +195,12 @@ FROM (SELECT doc_id, n_lines, unnest(range(0, n_lines, 400)) AS start0
       FROM (SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM documents) a) b""")
 def q_line_chunks(spark, d):
     return W.line_chunks(Tables(spark, d).documents)
+
+
+@register("event_window_counts", "M1 M3", """
+SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, count(*) AS events,
+       count(*) FILTER (WHERE event_type = 'error') AS errors, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS value_cents
+FROM events GROUP BY 1, 2""")
+def q_event_window_counts(spark, d):
+    from ferret.streaming.metrics import window_counts
+    return window_counts(Tables(spark, d).events)
