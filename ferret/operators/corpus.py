@@ -92,10 +92,12 @@ def snippet_containment(items: DataFrame, docs: DataFrame, k: int = 3) -> DataFr
         "item_id", "item_text", F.array_join(F.slice("_tok", 2, k), " ").alias("shingle"))
     short_items = it.where(F.size("_tok") < k + 2).select("item_id", "item_text")
     d = docs.select("doc_id", _norm_ws(F.col("text")).alias("doc_text"))
-    toks = F.split("doc_text", " ")
-    shingles = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(toks) - k + 1, F.lit(1))),
-                                            lambda i: F.array_join(F.slice(toks, i, k), " ")))
-    idx = d.select("doc_id", F.explode(shingles).alias("shingle"))
+    # tokens are materialised as a column first: the lambda must reference it, not re-split per element
+    toks = d.select("doc_id", F.split("doc_text", " ").alias("toks"))
+    t = F.col("toks")
+    shingles = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - k + 1, F.lit(1))),
+                                            lambda i: F.array_join(F.slice(t, i, k), " ")))
+    idx = toks.select("doc_id", F.explode(shingles).alias("shingle"))
     cand = idx.join(long_items.select("item_id", "shingle"), "shingle").select("doc_id", "item_id").distinct()
     verified = (cand.join(d, "doc_id").join(long_items.select("item_id", "item_text"), "item_id")
                 .where(F.col("doc_text").contains(F.col("item_text"))).select("item_id", "doc_id"))
