@@ -163,7 +163,9 @@ def precision_progression(per_run: DataFrame) -> DataFrame:
 
 def counts_cube(df: DataFrame, a: str, b: str) -> DataFrame:
     """Counts by a, by b, by both and the grand total in one pass (cube + grouping_id)."""
-    return df.cube(a, b).agg(F.count(F.lit(1)).alias("count"), F.grouping_id().cast("long").alias("grouping_id"))
+    # pre-aggregate to the (a, b) grain so the cube's Expand only multiplies the small table
+    cells = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    return cells.cube(a, b).agg(F.sum("n").alias("count"), F.grouping_id().cast("long").alias("grouping_id"))
 
 
 # ------------------------------------------------------------------ A35 ----

@@ -154,14 +154,19 @@ def severity_map(star: Star, run_id: int | None = None) -> DataFrame:
 
 
 def top_rules(star: Star, run_id: int | None = None, k: int = 10, verified_only: bool = False) -> DataFrame:
-    """Top rules with unique files and repos; verified_only switch."""
+    """Top rules with unique files and repos; verified_only switch.
+
+    Pre-aggregated to the (run, rule, file) grain first, so the two distinct
+    counts become one row count plus a single distinct (no Expand)."""
     fn = _run(verified_findings(star, verified_only), run_id)
     f = star.file_analyses.select("file_analysis_id", "file_id").join(star.files.select("file_id", "repo_id"), "file_id")
-    # one finding per (file, rule): unique_files is the row count at that grain
-    g = fn.join(f, "file_analysis_id").groupBy("run_id", "pattern_id").agg(
-        F.min("category").alias("category"), F.count(F.lit(1)).alias("count"),
-        F.count_distinct("file_id").alias("unique_files"), F.count_distinct("repo_id").alias("unique_repos"),
-        avg_cents("confidence").alias("avg_confidence"))
+    per_file = fn.join(f, "file_analysis_id").groupBy("run_id", "pattern_id", "file_id", "repo_id").agg(
+        F.min("category").alias("category"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.round(F.col("confidence") * 100).cast("long")).alias("cents"))
+    g = per_file.groupBy("run_id", "pattern_id").agg(
+        F.min("category").alias("category"), F.sum("n").alias("count"),
+        F.count(F.lit(1)).alias("unique_files"), F.count_distinct("repo_id").alias("unique_repos"),
+        (F.sum("cents").cast("double") / F.sum("n") / 100.0).alias("avg_confidence"))
     return _top_by_count(g, k)
 
 

@@ -181,3 +181,12 @@ def test_streaming_matches_batch(spark, tmp_path):
     ref = W.counter_rates(ev).select("user_id", "ts", "delta")
     diff = rates.select("user_id", "ts", "delta").exceptAll(ref)
     assert diff.count() == 0 and rates.count() == ev.count()
+
+
+def test_verification_and_share_golden(spark):
+    from ferret.operators.report import rate
+    df = spark.createDataFrame([(85, 45, 7)], "v long, i long, u long")
+    assert round(df.select(rate(F.col("v"), F.col("v") + F.col("i") + F.col("u")).alias("p")).first().p, 1) == 62.0
+    rows = [("uncertain",)] * 120 + [("self_contained",)] * 749 + [("fragment",)] * 15
+    got = {r.c: round(r.pct, 1) for r in C.share_of_total(spark.createDataFrame(rows, "c string"), "c").collect()}
+    assert got == {"uncertain": 13.6, "self_contained": 84.7, "fragment": 1.7}
