@@ -340,3 +340,26 @@ def per_file_summary(star: Star, run_id: int | None = None) -> DataFrame:
                                                        F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "n")))).alias("by_severity"))
     c = byc.groupBy("run_id", "file_analysis_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "n")))).alias("by_category"))
     return s.join(c, ["run_id", "file_analysis_id"])
+
+
+def nested_results(star: Star, run_id: int | None = None) -> DataFrame:
+    """Per successful file one result row with its findings as an array (≤ one per rule: bounded)."""
+    fa = _run(star.file_analyses, run_id).where(F.col("status") == "success")
+    fn = star.findings.select("file_analysis_id", F.struct("pattern_id", "category", "severity", "confidence").alias("f"))
+    per = fn.groupBy("file_analysis_id").agg(F.collect_list("f").alias("findings"))
+    repo = star.files.select("file_id", "repo_id").join(star.repos.select("repo_id", "domain", "paper_id"), "repo_id")
+    return fa.join(per, "file_analysis_id", "left").join(repo, "file_id").select(
+        "run_id", "file_analysis_id", "repo_id", "paper_id", "domain", "status",
+        F.coalesce("findings", F.array().cast(per.schema["findings"].dataType)).alias("findings"))
+
+
+def nested_results_by_rule(results: DataFrame) -> DataFrame:
+    """Explode findings of successful results; counts per rule with distinct files and repos."""
+    ex = results.where(F.col("status") == "success").select(
+        "run_id", "file_analysis_id", "repo_id", "paper_id", F.explode("findings").alias("f"))
+    # (run, rule, file) grain first: one finding per rule and file, so files = rows at that grain
+    per = ex.groupBy("run_id", F.col("f.pattern_id").alias("pattern_id"), "file_analysis_id", "repo_id").agg(
+        F.min("f.category").alias("category"), F.count(F.lit(1)).alias("n"))
+    return per.groupBy("run_id", "pattern_id").agg(
+        F.min("category").alias("category"), F.sum("n").alias("findings"), F.count(F.lit(1)).alias("files"),
+        F.count_distinct("repo_id").alias("repos"))

@@ -296,3 +296,32 @@ SELECT fa.run_id, count(*) AS files_analyzed,
 FROM file_analyses fa WHERE fa.status = 'success' GROUP BY fa.run_id"""))
 def q_success_files_with_findings(spark, d):
     return R.success_files_with_findings(Star(spark, d))
+
+
+@register("nested_results_by_rule", "A20", with_star("""
+SELECT fa.run_id, fn.pattern_id, min(fn.category) AS category, count(*) AS findings,
+       count(DISTINCT fa.file_analysis_id) AS files, count(DISTINCT f.repo_id) AS repos
+FROM findings fn JOIN file_analyses fa ON fa.file_analysis_id = fn.file_analysis_id AND fa.status = 'success'
+JOIN files f ON f.file_id = fa.file_id
+GROUP BY fa.run_id, fn.pattern_id"""))
+def q_nested_results_by_rule(spark, d):
+    return R.nested_results_by_rule(R.nested_results(Star(spark, d)))
+
+
+@register("per_file_summary", "A38")
+def q_per_file_summary(spark, d):
+    return R.per_file_summary(Star(spark, d))
+
+
+@register("freshness", "T10", """
+SELECT page_id, url, ts AS fetched_at,
+       ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY AS fresh
+FROM (SELECT p.page_id, p.url, e.ts FROM pages p JOIN events e ON e.event_id = p.page_id) x""")
+def q_freshness(spark, d):
+    from pyspark.sql import functions as F
+    from ferret.sources.tables import Tables
+    t = Tables(spark, d)
+    as_of = t.events.select(F.max("ts")).scalar()
+    fetched = t.pages.select("page_id", "url").join(t.events.select(F.col("event_id").alias("page_id"), "ts"), "page_id")
+    return fetched.select("page_id", "url", F.col("ts").alias("fetched_at"),
+                          (F.col("ts") > as_of - F.expr("INTERVAL 7 DAYS")).alias("fresh"))
