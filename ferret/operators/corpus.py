@@ -263,3 +263,37 @@ def contract_audit(df: DataFrame, id_col: str, rules: list[tuple[str, Column]])
     wide = df.select(id_col, *flags)
     stack = "stack({n}, {a}) as (rule, violated)".format(n=len(rules), a=", ".join(f"'{name}', _r{i}" for i, (name, _) in enumerate(rules)))
     return wide.selectExpr(id_col, stack).where("violated").select(id_col, "rule")
+
+
+# ---------------------------------------------------------------- P21/22 ----
+
+DETECTION_SCHEMA = ("detected string, confidence double, reasoning string, "
+                    "location struct<name: string, location_type: string, near_line: int>")
+FENCE_RE = r"(?s)^\s*```[a-zA-Z]*\s*|\s*```\s*$"
+
+
+def decode_detections(responses: DataFrame, raw: str = "raw", last_attempt: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Strip code fences, parse JSON (PERMISSIVE); a detection without a location needs a retry,
+    and on the last attempt it is flipped to detected='no', confidence 0.5. Returns (decoded, quarantine)."""
+    last = last_attempt if last_attempt is not None else F.lit(True)
+    body = F.regexp_replace(F.col(raw), FENCE_RE, "")
+    p = responses.withColumn("_d", F.from_json(body, DETECTION_SCHEMA, {"mode": "PERMISSIVE"}))
+    bad = p.where(F.col("_d").isNull() | F.col("_d.detected").isNull()).drop("_d")
+    ok = p.where(F.col("_d.detected").isNotNull())
+    missing_loc = F.col("_d.detected").isin("yes", "context-dependent") & F.col("_d.location").isNull()
+    flip = missing_loc & last
+    out = ok.select("*", F.when(flip, "no").otherwise(F.col("_d.detected")).alias("detected"),
+                    F.when(flip, 0.5).otherwise(F.col("_d.confidence")).alias("confidence"),
+                    F.col("_d.reasoning").alias("reasoning"), F.col("_d.location").alias("location"),
+                    (missing_loc & ~last).alias("needs_retry")).drop("_d")
+    return out, bad
+
+
+def embedded_verdicts(df: DataFrame, expected: DataFrame, text: str = "text", id_col: str = "check_id") -> tuple[DataFrame, DataFrame]:
+    """The JSON array between the first '[' and the last ']' of free text → items with pair_id and a
+    verdict in (diverse, redundant); expected pair ids that are missing are reported."""
+    arr = F.from_json(F.regexp_extract(F.col(text), r"(?s)\[.*\]", 0), "array<struct<pair_id: string, verdict: string>>")
+    items = df.select(id_col, F.explode_outer(arr).alias("it")).select(id_col, "it.pair_id", "it.verdict").where(
+        F.col("pair_id").isNotNull() & F.col("verdict").isin("diverse", "redundant"))
+    missing = expected.join(items.select(id_col, "pair_id"), [id_col, "pair_id"], "left_anti")
+    return items, missing

@@ -190,3 +190,19 @@ def test_verification_and_share_golden(spark):
     rows = [("uncertain",)] * 120 + [("self_contained",)] * 749 + [("fragment",)] * 15
     got = {r.c: round(r.pct, 1) for r in C.share_of_total(spark.createDataFrame(rows, "c string"), "c").collect()}
     assert got == {"uncertain": 13.6, "self_contained": 84.7, "fragment": 1.7}
+
+
+def test_decode_detections_and_embedded_verdicts(spark):
+    raws = ['```json\n{"detected": "yes", "confidence": 0.9, "location": {"name": "f", "location_type": "function", "near_line": 3}}\n```',
+            '{"detected": "yes", "confidence": 0.8}', '{"detected": "no", "confidence": 0.1}', '{broken']
+    df = spark.createDataFrame(list(enumerate(raws)), "id long, raw string")
+    ok, bad = C.decode_detections(df)
+    got = {r.id: (r.detected, r.confidence) for r in ok.collect()}
+    assert got == {0: ("yes", 0.9), 1: ("no", 0.5), 2: ("no", 0.1)}
+    assert [r.id for r in bad.collect()] == [3]
+    t = spark.createDataFrame([(1, 'Result: [{"pair_id": "a", "verdict": "diverse"}, {"pair_id": "b", "verdict": "x"}] done')],
+                              "check_id long, text string")
+    exp = spark.createDataFrame([(1, "a"), (1, "b")], "check_id long, pair_id string")
+    items, missing = C.embedded_verdicts(t, exp)
+    assert [(r.pair_id, r.verdict) for r in items.collect()] == [("a", "diverse")]
+    assert [r.pair_id for r in missing.collect()] == ["b"]
