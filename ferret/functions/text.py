@@ -173,3 +173,14 @@ def content_key(id_col, url) -> Column:
     """``{id}_{host with . → _}_{md5(url)[:12]}``."""
     host = F.regexp_replace(F.coalesce(F.parse_url(_c(url), F.lit("HOST")), F.lit("")), r"\.", "_")
     return F.concat_ws("_", _c(id_col).cast("string"), host, F.substring(F.md5(_c(url)), 1, 12))
+
+
+def name_match(expected, found) -> Column:
+    """struct(exact, partial): exact = case-insensitive equality; partial = either contains the other
+    or the last dotted parts are equal; a null side gives (false, false)."""
+    a, b = F.lower(_c(expected)), F.lower(_c(found))
+    last = lambda x: F.element_at(F.split(x, r"\.", -1), -1)
+    both = a.isNotNull() & b.isNotNull()
+    exact = both & (a == b)
+    partial = both & (exact | a.contains(b) | b.contains(a) | (last(a) == last(b)))
+    return F.struct(exact.alias("exact"), partial.alias("partial"))

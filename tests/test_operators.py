@@ -206,3 +206,10 @@ def test_decode_detections_and_embedded_verdicts(spark):
     items, missing = C.embedded_verdicts(t, exp)
     assert [(r.pair_id, r.verdict) for r in items.collect()] == [("a", "diverse")]
     assert [r.pair_id for r in missing.collect()] == ["b"]
+
+
+def test_name_match(spark):
+    df = spark.createDataFrame([("Model.fit", "model.fit"), ("Trainer.run", "run"), ("a.b.load", "x.load"), ("foo", None), ("abc", "xyz")],
+                               "e string, f string")
+    got = [(r.m.exact, r.m.partial) for r in df.select(X.name_match("e", "f").alias("m")).collect()]
+    assert got == [(True, True), (False, True), (False, True), (False, False), (False, False)]
