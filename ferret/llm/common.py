@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U = np.uint64
 SLICE_BYTES = 4 << 20
@@ -97,6 +98,18 @@ def windows_hash(h: np.ndarray, k: int) -> np.ndarray:
     return mix64((acc[k:] - acc[:n]) * _table(_POLY_INV, n) + U(k))
 
 
+def ranges_hash(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of the values ``h[start:end]``; another ``seed`` gives an independent hash."""
+    acc = np.zeros(len(h) + 1, U)
+    np.cumsum((mix64(h + U(seed)) if seed else h) * _table(_POLY, len(h)), out=acc[1:])
+    x = (acc[ends] - acc[starts]) * _table(_POLY_INV, len(h) + 1)[starts]
+    return mix64(x + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+
+
+def powers(base_inverse: bool, n: int) -> np.ndarray:
+    return _table(_POLY_INV if base_inverse else _POLY, n)
+
+
 # ---------------------------------------------------------------- Arrow text
 
 class Text:
@@ -148,6 +161,15 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         i = min(j, len(col))
 
 
+def keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """doc, th and text of every row: the least-first order of documents. A null doc_id comes last, a null text is empty.
+    ``th`` tells apart rows that share a doc_id (by their text); it is 0 where ids are unique."""
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    unique = docs.groupBy(doc.alias("doc")).count().where("count > 1").limit(1).isEmpty()
+    th = F.lit(0).cast("long") if unique else F.xxhash64("text")
+    return docs.select(doc.alias("doc"), th.alias("th"), F.coalesce("text", F.lit("")).alias("text"), *more)
+
+
 def long_array(values: np.ndarray) -> pa.Array:
     return pa.array(values.astype(np.uint64, copy=False).view(np.int64))
 

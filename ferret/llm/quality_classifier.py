@@ -25,6 +25,7 @@ from ferret.llm.common import SLICE_BYTES, Text, _LOWER, list_array, mix64, slic
 VOCAB, DIM, NONZERO = 8192, 64, 4
 CAPS = 4  # buckets 0..3: runs of capitals by length
 WIDTH = 2 * DIM + 2
+ACCEPT = 0.7
 _KIND = np.full(256, 2, np.uint8)
 _KIND[[0x20, 9, 10, 11, 12, 13]] = 0
 _KIND[list(range(48, 58)) + list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256))] = 1
@@ -185,25 +186,25 @@ def fit(docs: DataFrame, labels: DataFrame, table: np.ndarray, max_labelled: int
     return net
 
 
-def score_quality(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000) -> DataFrame:
-    """``docs`` with a column ``score`` (its other columns are kept). ``max_labelled`` bounds the fitted sample: the
+def score_quality(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, score: str = "score") -> DataFrame:
+    """``docs`` with the column ``score`` (its other columns are kept). ``max_labelled`` bounds the fitted sample: the
     labelled rows outside the held-out fold with the smallest hash of doc_id."""
     table = word_vectors(train_docs)
     net = fit(train_docs, labels, table, max_labelled)
-    text = docs.schema.fieldNames().index("text")
+    kept = [c for c in docs.columns if c != score]
+    src = docs.select(*[F.col(f"`{c}`") for c in kept])
 
     def run(batches):
         for b in batches:
             for part in slices(b, "text"):
-                s = net.score(pooled(part.column(text), table).astype(np.float64))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], names=[*part.schema.names, "__score"])
+                s = net.score(pooled(part.column("text"), table).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], names=[*kept, score])
 
-    schema = StructType([*docs.schema.fields]).add("__score", DoubleType())
-    return docs.mapInArrow(run, schema)
+    return src.mapInArrow(run, StructType([*src.schema.fields]).add(score, DoubleType()))
 
 
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = score_quality(docs, docs, labels)
-    return out.select("doc_id", held_out().alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.7).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))

@@ -6,20 +6,24 @@ from ferret.llm.fingerprints import op9_fingerprints
 from ferret.llm.html_text import op10_html_extraction
 from ferret.llm.jaccard_join import op1_jaccard_join
 from ferret.llm.language_id import op8_language_id
+from ferret.llm.line_dedup import OP6_SQL, op6_line_dedup
 from ferret.llm.mixing import op2_mixing
 from ferret.llm.quality_classifier import op7_quality_classifier
 from ferret.llm.quality_rules import op3_quality_rules
 from ferret.llm.sentencepieces import op4_sentencepiece
+from ferret.llm.substring_dedup import OP5_SQL, op5_substring_dedup
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_language_id": op8_language_id,
     "op9_fingerprints": op9_fingerprints,
     "op10_html_extraction": op10_html_extraction,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL}
