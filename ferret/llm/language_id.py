@@ -1,6 +1,6 @@
 """Language identification of web pages by Bayesian evidence fusion.
 
-Four kinds of evidence are combined in log space: (1) the likelihood of the page's text under hashed byte-trigram
+Four kinds of evidence are combined in log space: (1) the likelihood of the page's main text under hashed byte-trigram
 models of the languages, trained on all documents that declare one; (2) the markup's declared language and (3) the
 address suffix (a two-letter first path part, else the top-level domain), each with the reliability that grouped
 aggregation over all pages finds for it; (4) a prior of the host, smoothed towards its domain, which is smoothed
@@ -16,18 +16,15 @@ documents lang is null; ties go to the language first in code-point order; repea
 
 from __future__ import annotations
 
-import re
-from html import unescape
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferret.llm.common import Text, list_array, slices, stage
+from ferret.llm.html_text import main_text
 
 BUCKETS, TEMPER, STRENGTH = 1 << 14, 0.1, 2.0
-_DROP = re.compile(r"(?is)<(script|style|nav|footer|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 
 
 def trigrams(t: Text) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +74,7 @@ def page_evidence(pages: DataFrame, langs: list[str], logp: np.ndarray) -> DataF
     def score(batches):
         for b in batches:
             for s in slices(b, "html"):
-                text = pa.array([unescape(_DROP.sub(" ", x or "")) for x in s.column("html").to_pylist()], pa.string())
+                text = pa.array([main_text(x) for x in s.column("html").to_pylist()], pa.string())
                 t = Text(text, lower=True)
                 g, doc = trigrams(t)
                 ll = np.stack([np.bincount(doc, logp[i][g], t.n) for i in range(len(langs))], axis=1) * TEMPER
