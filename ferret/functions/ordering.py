@@ -2,15 +2,17 @@
 
 A window ``partitionBy(k).orderBy(...)`` puts every row of one key into one
 task; when one key holds a third of the data that task is the job. The helpers
-here compute the same exact results by splitting each key into ordered
-*chunks* (a prefix of the order key: hash prefix, hour of the timestamp):
+here compute the same exact results by splitting each key into nested ordered
+*chunks* (prefixes of the order key, coarse to fine: hour then second of a
+timestamp, two then four digits of a hash):
 
-* per-(key, chunk) totals form a small table (keys × chunks);
-* a window over that small table gives each chunk its offset;
-* the row-level window then runs per (key, chunk), which bounds task size.
+* totals per finest chunk are aggregated map-side;
+* what precedes a chunk is found level by level: a window over the coarsest
+  chunks of a key, then windows over the finer chunks inside one coarser chunk;
+* the row-level window runs inside one finest chunk.
 
 So row numbers, running sums, lags and trailing-frame sums stay exact and no
-single task receives a whole hot key.
+task receives a whole hot key. Null keys form a group of their own.
 """
 
 from __future__ import annotations
@@ -41,65 +43,97 @@ def split_of(h: Column, train: str = "b333", validation: str = "d999") -> Column
     return F.when(b < train, "train").when(b < validation, "validation").otherwise("test")
 
 
-def _cols(c):
-    return [c] if isinstance(c, str) else list(c)
+TIME_CHUNKS = ("hour", "second")
 
 
-def chunked_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column,
-                       out: str = "rn") -> DataFrame:
-    """Exact ``row_number() over (partition by keys order by order)``.
+def time_chunks(ts: str) -> list[Column]:
+    """Chunks of an order by ``ts``."""
+    return [F.date_trunc(unit, ts) for unit in TIME_CHUNKS]
 
-    ``chunk`` must be monotone in ``order`` (a prefix of it). Offsets come from
-    a (keys × chunk) count table; the row window runs per (keys, chunk).
-    """
-    keys = list(keys)
-    d = df.withColumn("_chunk", chunk)
-    cnt = d.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    off = cnt.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    j = d.join(off, [*keys, "_chunk"])
-    rw = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    return j.withColumn(out, F.col("_off") + F.row_number().over(rw)).drop("_chunk", "_off")
+
+def hash_chunks(h: Column) -> list[Column]:
+    """Chunks of an order by a hex hash."""
+    return [hash_bucket(h, 2), hash_bucket(h, 4)]
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys meet (``<=>`` is planned as a hash or sort-merge join)."""
+    r = right.withColumnsRenamed({c: f"_r_{c}" for c in cols})
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & left[c].eqNullSafe(r[f"_r_{c}"])
+    return left.join(r, cond, how).drop(*[f"_r_{c}" for c in cols])
+
+
+def _preceding(table: DataFrame, keys: list[str], chunks: list[str], names: dict[str, str]) -> DataFrame:
+    """For each row of a (keys × chunks) table the aggregate (``sum`` or ``max``) of all earlier chunks of its key."""
+    agg = {"sum": F.sum, "max": F.max}
+    inner, last = [*keys, *chunks[:-1]], chunks[-1]
+    w = Window.partitionBy(*inner).orderBy(last).rowsBetween(Window.unboundedPreceding, -1)
+    out = table.select(*inner, last, *[agg[op](n).over(w).alias(f"_p_{n}") for n, op in names.items()])
+    if len(chunks) == 1:
+        return out
+    up = table.groupBy(*inner).agg(*[agg[op](n).alias(n) for n, op in names.items()])
+    above = _preceding(up, keys, chunks[:-1], names).withColumnsRenamed({f"_p_{n}": f"_u_{n}" for n in names})
+    j = join_null_safe(out, above, inner)
+    for n, op in names.items():
+        a, b = F.col(f"_u_{n}"), F.col(f"_p_{n}")
+        both = a + b if op == "sum" else F.greatest(a, b)
+        j = j.withColumn(f"_p_{n}", F.when(a.isNull(), b).when(b.isNull(), a).otherwise(both))
+    return j.drop(*[f"_u_{n}" for n in names])
+
+
+def _chunked(df: DataFrame, keys: Sequence[str], chunks: Sequence[Column], values: dict[str, tuple[str, Column]]) -> tuple[DataFrame, list[str]]:
+    """``df`` with chunk columns and, for each value, ``_p_<name>``: its aggregate over all earlier chunks of the key."""
+    keys, names = list(keys), [f"_chunk{i}" for i in range(len(chunks))]
+    d = df.select("*", *[c.alias(n) for c, n in zip(chunks, names)])
+    fns = {"sum": F.sum, "max": F.max}
+    table = d.groupBy(*keys, *names).agg(*[fns[op](e).alias(n) for n, (op, e) in values.items()])
+    before = _preceding(table, keys, names, {n: op for n, (op, _) in values.items()})
+    return join_null_safe(d, before, [*keys, *names]), names
 
 
-def chunked_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column,
+def chunked_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunks: Sequence[Column],
+                       out: str = "rn") -> DataFrame:
+    """Exact ``row_number() over (partition by keys order by order)``; ``chunks`` are prefixes of ``order``."""
+    j, names = _chunked(df, keys, chunks, {"_n": ("sum", F.lit(1))})
+    w = Window.partitionBy(*keys, *names).orderBy(*order)
+    return j.withColumn(out, F.coalesce("_p__n", F.lit(0)) + F.row_number().over(w)).drop(*names, "_p__n")
+
+
+def chunked_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunks: Sequence[Column],
                         values: dict[str, Column]) -> DataFrame:
-    """Exact running sums (``unboundedPreceding .. currentRow``) per key, split by chunk.
+    """Exact running sums (``unboundedPreceding .. currentRow``) per key.
 
     ``values`` maps output name → expression to sum (use integers for exact results).
     """
-    keys = list(keys)
-    d = df.withColumn("_chunk", chunk)
-    for n, e in values.items():
-        d = d.withColumn(f"_v_{n}", e)
-    cnt = d.groupBy(*keys, "_chunk").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
-    w = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    off = cnt.select(*keys, "_chunk", *[F.coalesce(F.sum(f"_t_{n}").over(w), F.lit(0)).alias(f"_o_{n}") for n in values])
-    j = d.join(off, [*keys, "_chunk"])
-    rw = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    for n in values:
-        j = j.withColumn(n, F.col(f"_o_{n}") + F.sum(f"_v_{n}").over(rw))
-    return j.drop("_chunk", *[f"_v_{n}" for n in values], *[f"_o_{n}" for n in values])
-
-
-def chunked_lag(df: DataFrame, keys: Sequence[str], order: Sequence[Column], order_key: str, chunk: Column,
+    j, names = _chunked(df, keys, chunks, {n: ("sum", e) for n, e in values.items()})
+    w = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = {n: F.coalesce(F.col(f"_p_{n}"), F.lit(0)) + F.sum(e).over(w) for n, e in values.items()}
+    return j.withColumns(sums).drop(*names, *[f"_p_{n}" for n in values])
+
+
+def chunked_running_max(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunks: Sequence[Column],
+                        value: Column, out: str) -> DataFrame:
+    """Exact running maximum per key."""
+    j, names = _chunked(df, keys, chunks, {"_m": ("max", value)})
+    w = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return j.withColumn(out, F.greatest("_p__m", F.max(value).over(w))).drop(*names, "_p__m")
+
+
+def chunked_lag(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunks: Sequence[Column],
                 values: Sequence[str]) -> DataFrame:
-    """Exact ``lag(v, 1)`` per key (adds ``prev_<v>``); first row of a key gets null.
+    """Exact ``lag(v, 1)`` per key (adds ``prev_<v>``); the first row of a key gets null.
 
-    Within a chunk it is a plain lag; the first row of a chunk takes the last
-    row of the previous non-empty chunk from a (keys × chunk) table.
+    Inside a chunk it is a plain lag; the first row of a chunk takes the last row of all earlier chunks, found as the
+    maximum of (order, values), so rows with equal leading order columns keep their full order.
     """
-    keys = list(keys)
-    d = df.withColumn("_chunk", chunk)
-    last = d.groupBy(*keys, "_chunk").agg(*[F.max_by(v, F.col(order_key)).alias(f"_last_{v}") for v in values])
-    w = Window.partitionBy(*keys).orderBy("_chunk")
-    carry = last.select(*keys, "_chunk", *[F.lag(f"_last_{v}").over(w).alias(f"_carry_{v}") for v in values])
-    j = d.join(carry, [*keys, "_chunk"])
-    rw = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    first = F.row_number().over(rw) == 1
-    for v in values:
-        j = j.withColumn(f"prev_{v}", F.when(first, F.col(f"_carry_{v}")).otherwise(F.lag(v).over(rw)))
-    return j.drop("_chunk", *[f"_carry_{v}" for v in values])
+    row = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], *values)
+    j, names = _chunked(df, keys, chunks, {"_last": ("max", row)})
+    w = Window.partitionBy(*keys, *names).orderBy(*order)
+    first = F.row_number().over(w) == 1
+    lags = {f"prev_{v}": F.when(first, F.col(f"_p__last.{v}")).otherwise(F.lag(v).over(w)) for v in values}
+    return j.withColumns(lags).drop(*names, "_p__last")
 
 
 def trailing_sums(df: DataFrame, keys: Sequence[str], rn: str, cums: Sequence[str], w: int) -> DataFrame:
@@ -110,7 +144,7 @@ def trailing_sums(df: DataFrame, keys: Sequence[str], rn: str, cums: Sequence[st
     """
     keys = list(keys)
     prev = df.select(*keys, (F.col(rn) + w).alias(rn), *[F.col(c).alias(f"_p_{c}") for c in cums])
-    j = df.join(prev, [*keys, rn], "left")
+    j = join_null_safe(df, prev, [*keys, rn], "left")
     for c in cums:
         j = j.withColumn(f"{c}_w{w}", F.col(c) - F.coalesce(F.col(f"_p_{c}"), F.lit(0)))
     return j.drop(*[f"_p_{c}" for c in cums]).withColumn("frame_rows", F.least(F.col(rn), F.lit(w)))

@@ -12,6 +12,11 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def utf8(content) -> Column:
+    """Bytes as text; bytes that are not UTF-8 are left out."""
+    return F.replace(F.make_valid_utf8(_c(content).cast("string")), F.lit("\ufffd"), F.lit(""))
+
+
 def normalize_github_url(url) -> Column:
     """Strip trailing '/', then one '.git', then git:// → https:// (only for git://github.com),
     then git@github.com: → https://github.com/ — in that order. Host case is kept."""
@@ -61,8 +66,8 @@ def venue_excluded(conference, proceeding, venues: list[str]) -> Column:
 
 
 def glob_to_regex(pattern: str) -> str:
-    """The reference's translation: '*' → '.*', '.' left unescaped, anchored at the start only."""
-    return pattern.replace("*", ".*")
+    """P6: '*' → '.*', '/' → either separator, '.' left unescaped, anchored at the start only."""
+    return pattern.replace("*", ".*").replace("/", r"[/\\]")
 
 
 def path_excluded(path, basenames: list[str], patterns: list[str]) -> Column:
@@ -101,16 +106,18 @@ def extract_imports(text, loose: bool = False) -> Column:
 
 
 def libraries_used(imports, libraries: list[str]) -> Column:
-    """Listed libraries found among the imports (alias-aware), in list order."""
-    lib = F.array(*[F.lit(x) for x in libraries])
-    return F.filter(lib, lambda x: F.array_contains(_c(imports), _alias(x)))
+    """For each listed library that is imported its module name, in list order (a package and its module that are
+    both listed each count, as in the curation lists)."""
+    lib = F.array(*[F.lit(IMPORT_ALIASES.get(x, x)) for x in libraries])
+    return F.filter(lib, lambda x: F.array_contains(_c(imports), x))
 
 
-def _alias(x: Column) -> Column:
-    out = x
-    for k, v in IMPORT_ALIASES.items():
-        out = F.when(x == k, F.lit(v)).otherwise(out)
-    return out
+def abstract_gate(docs, text: str = "text", min_chars: int = 50, preview_chars: int = 2000):
+    """Status kept / no_abstract (blank or under ``min_chars`` when trimmed), the length, and whether a preview
+    would have to be cut (over_preview). The text itself stays whole."""
+    short = F.length(F.trim(F.coalesce(_c(text), F.lit("")))) < min_chars
+    return docs.select("*", F.when(short, "no_abstract").otherwise("kept").alias("status"),
+                       F.length(F.coalesce(_c(text), F.lit(""))).cast("long").alias("n_chars"), (F.length(_c(text)) > preview_chars).alias("over_preview"))
 
 
 def estimate_tokens(text) -> Column:
@@ -125,11 +132,14 @@ def prompt_fits(system_tokens, user_text, max_tokens: int = 16000, buffer: int =
     return F.struct(total.alias("total_tokens"), (total <= F.lit(max_tokens - buffer)).alias("fits"))
 
 
-def size_budget(n_lines, base: int, step_lines: int = 200, per_step: int = 50, start: int = 200) -> Column:
-    """≤ start lines → base; else base + per_step·⌊(n − start)/step_lines⌋, capped at 5·base."""
+def size_budget(n_lines, base: int, step_lines: int = 200, per_step: int = 50, start: int = 200, max_factor: int | None = None) -> Column:
+    """≤ start lines → base; else base + per_step·⌊(n − start)/step_lines⌋, at most ``max_factor``·base when given
+    (the reference's inference time-out: 5)."""
     n = _c(n_lines)
     grown = F.lit(base) + F.lit(per_step) * F.floor((n - start) / step_lines).cast("long")
-    return F.when(n <= start, F.lit(base).cast("long")).otherwise(F.least(grown, F.lit(5 * base).cast("long")))
+    if max_factor is not None:
+        grown = F.least(grown, F.lit(max_factor * base).cast("long"))
+    return F.when(n <= start, F.lit(base).cast("long")).otherwise(grown)
 
 
 def nb_id(text) -> Column:
@@ -152,16 +162,22 @@ def verdict(text) -> Column:
     return F.when(up.contains("INVALID"), "invalid").when(up.contains("VALID"), "valid").otherwise("uncertain")
 
 
-VERDICT_PREFIX = r"^\s*(?i:(VERDICT\s*:\s*)?(INVALID|VALID|UNCERTAIN))\s*[:.\-]*\s*"
+# Verdict prefixes of line 1, and the answer template's own phrases.
+VERDICT_PREFIXES = ["VALID:", "INVALID:", "UNCERTAIN:"]
+TEMPLATE_PHRASES = ["THIS IS A REAL ISSUE", "THIS IS A FALSE POSITIVE", "CANNOT DETERMINE"]
 
 
 def reasoning_text(text) -> Column:
-    """P20: line 1 without the verdict prefix, then the other non-blank trimmed lines, joined by spaces."""
-    lines = F.split(_c(text), "\n", -1)
-    head = F.trim(F.regexp_replace(F.element_at(lines, 1), VERDICT_PREFIX, ""))
-    rest = F.filter(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1))), lambda x: F.trim(x)), lambda x: x != "")
-    allp = F.filter(F.concat(F.array(head), F.when(F.size(lines) > 1, rest).otherwise(F.array().cast("array<string>"))), lambda x: x != "")
-    return F.array_join(allp, " ")
+    """P20: what follows the verdict prefix on line 1 (nothing without a prefix, or when it is the template's phrase),
+    then the other non-blank lines, all trimmed, joined by spaces. The text itself is stripped first."""
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    lines = F.transform(F.split(strip(_c(text)), "\n", -1), strip)
+    first = F.element_at(lines, 1)
+    after = strip(F.regexp_extract(first, "(?is)^(?:" + "|".join(VERDICT_PREFIXES) + ")(.*)$", 1))
+    template = F.upper(after).rlike("^(" + "|".join(TEMPLATE_PHRASES) + ")")
+    head = F.when(template, F.lit("")).otherwise(after)
+    parts = F.transform(lines, lambda x, i: F.when(i == 0, head).otherwise(x))
+    return F.when(_c(text).isNotNull(), F.array_join(F.filter(parts, lambda x: x != ""), " "))
 
 
 def coalesce_location(flat, nested_field) -> Column:
@@ -177,8 +193,8 @@ def content_key(id_col, url) -> Column:
 
 def name_match(expected, found) -> Column:
     """struct(exact, partial): exact = case-insensitive equality; partial = either contains the other
-    or the last dotted parts are equal; a null side gives (false, false)."""
-    a, b = F.lower(_c(expected)), F.lower(_c(found))
+    or the last dotted parts are equal; a null or empty side gives (false, false)."""
+    a, b = F.nullif(F.lower(_c(expected)), F.lit("")), F.nullif(F.lower(_c(found)), F.lit(""))
     last = lambda x: F.element_at(F.split(x, r"\.", -1), -1)
     both = a.isNotNull() & b.isNotNull()
     exact = both & (a == b)

@@ -41,7 +41,7 @@ ML_IMPORTS = ["sklearn", "scikit-learn", "torch", "pytorch", "tensorflow", "kera
 SCIENTIFIC_IMPORTS = ["numpy", "scipy", "pandas", "matplotlib", "seaborn", "statsmodels", "biopython", "rdkit",
                       "pymatgen", "ase", "mdtraj", "nibabel", "nilearn", "mne"]
 # a listed package name → the module name it is imported as
-IMPORT_ALIASES = {"scikit-learn": "sklearn", "pytorch": "torch"}
+IMPORT_ALIASES = {"scikit-learn": "sklearn"}
 
 # ---- Fixed values: file exclusions ----
 EXCLUDE_FILES = ["setup.py", "setup.cfg", "conftest.py", "__init__.py", "_version.py", "version.py", "conf.py",

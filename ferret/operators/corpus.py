@@ -16,15 +16,16 @@ from ferret.functions.text import contains_any, estimate_tokens, line_count
 # ---------------------------------------------------------------- P12/13 ----
 
 
-def file_gate(docs: DataFrame, keywords: list[str], max_tokens: int = 12000, text: str = "text") -> DataFrame:
-    """Reasons in order: too_large_{n}_tokens → no_ml_imports_found → candidate (sent to the scorer).
-    Large files never reach the keyword test."""
+def file_gate(docs: DataFrame, keywords: list[str], max_tokens: int | None = None, text: str = "text") -> DataFrame:
+    """no_ml_imports_found → skipped, else candidate (sent to the scorer). Size is a flag of its own: with
+    ``max_tokens`` (the reference's context window: 12000) larger files are flagged too_large and, as its scorer cannot
+    take them, skipped with the reason too_large_{n}_tokens; every file meets the keyword test."""
     tok = estimate_tokens(text)
-    big = tok > max_tokens
-    kw = contains_any(text, keywords)
+    big = F.lit(False) if max_tokens is None else F.coalesce(tok > max_tokens, F.lit(False))
+    kw = F.coalesce(contains_any(text, keywords), F.lit(False))
     reason = (F.when(big, F.concat(F.lit("too_large_"), tok.cast("string"), F.lit("_tokens")))
               .when(~kw, F.lit("no_ml_imports_found")))
-    return docs.select("*", tok.alias("estimated_tokens"),
+    return docs.select("*", tok.alias("estimated_tokens"), kw.alias("has_keywords"), big.alias("too_large"),
                        F.when(reason.isNull(), "candidate").otherwise("skipped").alias("classification"),
                        reason.alias("skip_reason"))
 
@@ -51,23 +52,21 @@ def structural_duplicates(docs: DataFrame, group: str = "lang") -> DataFrame:
 # ------------------------------------------------------------------- T4 ----
 
 def hint_scan(docs: DataFrame, hints: list[tuple[str, str, str]], text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """T4: one row per (document, hint) with at least one match. The hint list is a column
-    expression per hint (no join with a hint table), then ``stack`` to rows."""
-    cols = [F.size(F.regexp_extract_all(F.col(text), F.lit(rx), 0)).alias(f"_h{i}") for i, (_, rx, _) in enumerate(hints)]
-    wide = docs.select(id_col, *cols)
-    stack = "stack({n}, {args}) as (hint_id, description, n_matches)".format(
-        n=len(hints), args=", ".join(f"'{hid}', '{desc}', _h{i}" for i, (hid, _, desc) in enumerate(hints)))
-    return wide.selectExpr(id_col, stack).where(F.col("n_matches") > 0)
+    """T4: one row per (document, hint) with at least one match: an array with one struct per hint, inlined."""
+    found = F.array(*[F.struct(F.lit(hid).alias("hint_id"), F.lit(desc).alias("description"),
+                               F.size(F.regexp_extract_all(F.col(text), F.lit(rx), 0)).alias("n_matches")) for hid, rx, desc in hints])
+    return docs.select(id_col, F.inline(found)).where(F.col("n_matches") > 0)
 
 
 # ------------------------------------------------------------------- T5 ----
 
-MARKER_RE = r"(?i)\b(TODO|FIXME|XXX|HACK)\b"
+MARKER_RE = r"(?i)TODO[:\s].*"  # fixed value
 
 
-def unfinished_markers(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """T5: every unfinished marker occurrence."""
-    return docs.select(id_col, F.explode(F.regexp_extract_all(F.col(text), F.lit(MARKER_RE), 1)).alias("marker"))
+def unfinished_markers(docs: DataFrame, text: str = "text", id_col: str = "doc_id", marker_re: str = MARKER_RE) -> DataFrame:
+    """T5: every unfinished marker with the rest of its line, trimmed."""
+    return docs.select(id_col, F.explode(F.regexp_extract_all(F.col(text), F.lit(marker_re), 0)).alias("m")).select(
+        id_col, F.regexp_replace("m", r"^\s+|\s+$", "").alias("marker"))
 
 
 # ------------------------------------------------------------------- T6 ----
@@ -76,33 +75,81 @@ def _norm_ws(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-def snippet_containment(items: DataFrame, docs: DataFrame, k: int = 3) -> DataFrame:
-    """(item, document) pairs where the whitespace-normalised item occurs in the document.
+def _grams(text: Column, n: int = 3) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n)))
 
-    Exact without comparing all pairs: if an item occurs in a document, its
-    tokens 2..k+1 (delimited by spaces on both sides inside the item) occur as
-    k consecutive whole tokens of the document. Documents are indexed by their
-    distinct k-token shingles, joined on the item's anchor shingle, and the
-    candidates verified with ``contains``. Items shorter than k+2 tokens have
-    no anchor and are checked directly (they are expected to be few).
+
+def snippet_containment(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item, document) pairs where the whitespace-normalised item occurs in the document; blank items match nothing.
+
+    One plan for all lengths, without comparing all pairs. Each item is found by one anchor: its rarest word that
+    stands between two spaces inside the item (so it is a whole word of any document that holds the item) or, for
+    an item without one, its rarest character trigram (or itself, if shorter). The items' anchor table goes to the
+    documents by an equi-join on the distinct words and trigrams of each document that are anchors of some item; the
+    candidates are verified with ``contains``. Rarity is counted over the documents.
     """
-    it = items.select("item_id", _norm_ws(F.col("text")).alias("item_text"))
-    it = it.withColumn("_tok", F.split("item_text", " "))
-    long_items = it.where(F.size("_tok") >= k + 2).select(
-        "item_id", "item_text", F.array_join(F.slice("_tok", 2, k), " ").alias("shingle"))
-    short_items = it.where(F.size("_tok") < k + 2).select("item_id", "item_text")
-    d = docs.select("doc_id", _norm_ws(F.col("text")).alias("doc_text"))
-    # tokens are materialised as a column first: the lambda must reference it, not re-split per element
-    toks = d.select("doc_id", F.split("doc_text", " ").alias("toks"))
-    t = F.col("toks")
-    shingles = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - k + 1, F.lit(1))),
-                                            lambda i: F.array_join(F.slice(t, i, k), " ")))
-    idx = toks.select("doc_id", F.explode(shingles).alias("shingle"))
-    cand = idx.join(long_items.select("item_id", "shingle"), "shingle").select("doc_id", "item_id").distinct()
-    verified = (cand.join(d, "doc_id").join(long_items.select("item_id", "item_text"), "item_id")
-                .where(F.col("doc_text").contains(F.col("item_text"))).select("item_id", "doc_id"))
-    short = d.join(F.broadcast(short_items), F.col("doc_text").contains(F.col("item_text"))).select("item_id", "doc_id")
-    return verified.unionByName(short)
+    it = items.select("item_id", _norm_ws(F.col("text")).alias("item_text")).where("item_text <> ''")
+    d = docs.select("doc_id", _norm_ws(F.col("text")).alias("doc_text")).where("doc_text is not null")
+    words = F.split("item_text", " ")
+    inner = F.when(F.size(words) > 2, F.array_distinct(F.slice(words, 2, F.size(words) - 2)))
+    keys = it.select("item_id", "item_text", F.explode(F.coalesce(F.transform(inner, lambda w: F.concat(F.lit("w"), w)), F.transform(_grams(F.col("item_text")), lambda g: F.concat(F.lit("g"), g)))).alias("key"))
+    wanted = keys.select("key").distinct()
+    by_word = d.select("doc_id", F.explode(F.array_distinct(F.split("doc_text", " "))).alias("k")).select("doc_id", F.concat(F.lit("w"), "k").alias("key"))
+    short = keys.where(F.col("key").startswith("g")).select("key").distinct()
+    by_gram = d.join(short.limit(1).select(F.lit(1).alias("_any")), F.lit(True), "left_semi")  # no trigrams unless some item needs them
+    by_gram = by_gram.select("doc_id", F.explode(F.concat(*[_grams(F.col("doc_text"), n) for n in (1, 2, 3)])).alias("k")).distinct().select("doc_id", F.concat(F.lit("g"), "k").alias("key"))
+    held = by_word.unionByName(by_gram).join(wanted, "key", "left_semi")
+    count = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    anchor = keys.join(count, "key", "left").groupBy("item_id", "item_text").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("a"))
+    anchor = anchor.where("a.n > 0").select("item_id", "item_text", F.col("a.key").alias("key"))
+    candidates = held.join(anchor, "key").select("doc_id", "item_id", "item_text")
+    return candidates.join(d, "doc_id").where(F.col("doc_text").contains(F.col("item_text"))).select("item_id", "doc_id")
+
+
+def named_lines(expected: DataFrame, files: DataFrame) -> DataFrame:
+    """Is each expected snippet in its file, and at its named lines? ``expected``: item_id, path, snippet, lines;
+    ``files``: path, content. Blank snippets and unknown paths are skipped. Status: snippet_not_in_file,
+    snippet_not_at_lines or ok; line numbers outside the file are ignored, no numbers means anywhere."""
+    j = expected.where(_norm_ws(F.col("snippet")) != "").join(files.select("path", "content"), "path")
+    rows = F.split("content", "\r\n|\n|\r", -1)
+    named = F.transform(F.filter("lines", lambda n: (n >= 1) & (n <= F.size(rows))), lambda n: F.element_at(rows, n))
+    at = _norm_ws(F.array_join(named, " "))
+    snippet = _norm_ws(F.col("snippet"))
+    status = (F.when(~_norm_ws(F.col("content")).contains(snippet), "snippet_not_in_file")
+              .when((F.size(F.coalesce("lines", F.array().cast("array<int>"))) > 0) & ~at.contains(snippet), "snippet_not_at_lines").otherwise("ok"))
+    return j.select("item_id", "path", status.alias("status"))
+
+
+# ------------------------------------------------------------- J17 / J18 ----
+
+def cut_line_ranges(docs: DataFrame, ranges: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each text without the lines (1-based, ends included) of its ranges, which may overlap; a range outside the
+    text or with its ends swapped cuts nothing. Lines are counted at line feeds."""
+    r = ranges.groupBy(id_col).agg(F.collect_list(F.struct("first_line", "last_line")).alias("_r"))  # bounded by the document's ranges
+    lines = F.split(F.col(text), "\n", -1)
+    keep = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i"))),
+                    lambda x: ~F.coalesce(F.exists("_r", lambda c: (c["first_line"] <= x["i"]) & (x["i"] <= c["last_line"])), F.lit(False)))
+    cut = F.array_join(F.transform(keep, lambda x: x["x"]), "\n")
+    return docs.join(r, id_col, "left").select(id_col, F.when(F.col("_r").isNull(), F.col(text)).otherwise(cut).alias(text),
+                                               (F.size(lines) - F.when(F.col("_r").isNull(), F.size(lines)).otherwise(F.size(keep))).alias("lines_cut"))
+
+
+def flagged_context(findings: DataFrame, docs: DataFrame, around: int = 30, default_lines: int = 50,
+                    id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Lines round the flagged ones of each finding: from min − around to max + around, numbered and marked
+    with ``>>>``; without flagged lines the first ``default_lines`` of the text as they are; without a text the finding's
+    snippet or ``(file not found)``. ``findings``: finding_id, id_col, lines array<int>, snippet."""
+    j = findings.join(docs.select(id_col, F.col(text).alias("_text")), id_col, "left")
+    rows = F.split("_text", "\n", -1)
+    start = F.greatest(F.lit(0), F.array_min("lines") - around - 1)
+    end = F.least(F.size(rows), F.array_max("lines") + around)
+    part = F.slice(rows, start + 1, F.greatest(end - start, F.lit(0)))
+    shown = F.transform(part, lambda x, i: F.concat(F.when(F.array_contains("lines", start + i + 1), ">>>").otherwise("   "), F.lit(" "),
+                                                    F.format_string("%4d", start + i + 1), F.lit(" | "), x))
+    none = F.size(F.coalesce("lines", F.array().cast("array<int>"))) == 0
+    context = (F.when(F.col("_text").isNull(), F.coalesce(F.nullif("snippet", F.lit("")), F.lit("(file not found)")))
+               .when(none, F.array_join(F.slice(rows, 1, default_lines), "\n")).otherwise(F.array_join(shown, "\n")))
+    return j.select("finding_id", id_col, context.alias("context"))
 
 
 # ------------------------------------------------------------------ T7/8 ----
@@ -112,6 +159,8 @@ NAV_TAGS = {"nav", "footer", "aside", "header"}
 NAV_CLASSES = ["navbar", "sidebar", "site-header", "site-footer", "breadcrumb", "toc", "menu", "topnav",
                "header-nav", "footer-nav", "skip-link", "mobile-menu"]
 DROP_CONTENT = {"script", "style"}
+# Elements without content, which never open anything.
+VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
 def strip_boilerplate(html: str | None) -> str | None:
@@ -127,6 +176,10 @@ def strip_boilerplate(html: str | None) -> str | None:
             self.skip_tag, self.depth, self.out = None, 0, []
 
         def handle_starttag(self, tag, attrs):
+            if tag in VOID_TAGS:
+                if tag in ("br", "hr") and self.skip_tag is None:
+                    self.out.append("\n")
+                return
             if self.skip_tag is not None:
                 if tag == self.skip_tag:
                     self.depth += 1
@@ -144,6 +197,10 @@ def strip_boilerplate(html: str | None) -> str | None:
             elif self.skip_tag is None and tag in ("p", "div", "h1", "h2", "h3", "li", "article", "section", "br"):
                 self.out.append("\n")
 
+        def handle_startendtag(self, tag, attrs):
+            if tag in VOID_TAGS:
+                self.handle_starttag(tag, attrs)
+
         def handle_data(self, data):
             if self.skip_tag is None:
                 self.out.append(data)
@@ -177,12 +234,31 @@ def clean_pages(pages: DataFrame, min_chars: int = 100, keep_ratio: float = 0.9,
                     status.alias("status"), (line_count(F.col("cleaned")) > max_lines).alias("too_many_lines"))
 
 
+def clean_status_counts(cleaned: DataFrame) -> DataFrame:
+    """Pages, characters before and after, and pages over the line limit, by status."""
+    return cleaned.groupBy("status").agg(F.count(F.lit(1)).alias("pages"), F.sum("raw_chars").cast("long").alias("raw_chars"),
+                                         F.sum("clean_chars").cast("long").alias("clean_chars"), F.count_if("too_many_lines").alias("too_many_lines"))
+
+
 # ------------------------------------------------------------------ T11 ----
 
-def required_fields_audit(df: DataFrame, id_cols: list[str], fields: list[str]) -> DataFrame:
-    """Rows whose required field is null or blank, one row per (record, field)."""
-    exprs = [F.when(F.col(f).isNull() | (F.trim(F.col(f).cast("string")) == ""), F.lit(f)) for f in fields]
-    return (df.select(*id_cols, F.explode(F.filter(F.array(*exprs), lambda x: x.isNotNull())).alias("field")))
+def _blank_member(col: str, field: str):
+    return lambda x, i: F.when(x[field].isNull() | (F.trim(x[field].cast("string")) == ""), F.concat(F.lit(f"{col}["), i.cast("string"), F.lit(f"].{field}")))
+
+
+def required_fields_audit(df: DataFrame, id_cols: list[str], fields: list[str], arrays: dict[str, list[str]] | None = None) -> DataFrame:
+    """Rows whose required field is null, blank or an empty array, one row per (record, field). ``arrays`` names the
+    required fields of the structs in an array column: ``cells`` → ``cells[2].name`` for the third struct."""
+    def missing(f):
+        kind = dict(df.dtypes)[f]
+        empty = F.size(f) <= 0 if kind.startswith(("array", "map")) else F.trim(F.col(f).cast("string")) == ""
+        return F.when(F.coalesce(F.col(f).isNull() | empty, F.lit(True)), F.lit(f))
+
+    out = F.array(*[missing(f) for f in fields]).cast("array<string>")
+    for col, inner in (arrays or {}).items():
+        for f in inner:
+            out = F.concat(out, F.transform(F.coalesce(F.col(col), F.array().cast(df.schema[col].dataType)), _blank_member(col, f)))
+    return df.select(*id_cols, F.explode(F.filter(out, lambda x: x.isNotNull())).alias("field"))
 
 
 # ------------------------------------------------------------------ T12 ----
@@ -194,6 +270,13 @@ def min_count_audit(groups: DataFrame, members: DataFrame, key: str, minimum: in
             .select(key, F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < minimum))
 
 
+def category_mismatch(rules: DataFrame, path: str = "path", declared: str = "category") -> DataFrame:
+    """Rules whose declared category is not the folder above their own folder (``…/category/rule/file``)."""
+    parts = F.split(F.col(path), "/", -1)
+    by_path = F.when(F.size(parts) >= 3, F.element_at(parts, -3))
+    return rules.select("*", by_path.alias("path_category")).where(~F.col(declared).eqNullSafe(F.col("path_category")))
+
+
 # ------------------------------------------------------------------ T14 ----
 
 HREF_RE = r"href=\"([^\"]*)\""
@@ -226,9 +309,8 @@ def share_of_total(df: DataFrame, key: str, default: str | None = None) -> DataF
 def filter_funnel(gated: DataFrame) -> DataFrame:
     """Total → under the size limit → has keywords → candidates, as stage rows (one aggregation pass)."""
     g = gated.agg(F.count(F.lit(1)).alias("total"),
-                  F.count_if(~F.coalesce(F.col("skip_reason"), F.lit("")).startswith("too_large")).alias("within_size"),
-                  F.count_if(F.col("skip_reason").isNull()).alias("candidates"),
-                  F.count_if(F.col("skip_reason") == "no_ml_imports_found").alias("no_keywords"))
+                  F.count_if(~F.col("too_large")).alias("within_size"), F.count_if(~F.col("has_keywords")).alias("no_keywords"),
+                  F.count_if(F.col("classification") == "candidate").alias("candidates"))
     return g.selectExpr("stack(4, 1, 'total', total, 2, 'within_size', within_size, 3, 'no_keywords', no_keywords, "
                         "4, 'candidates', candidates) as (stage_no, stage, files)")
 
@@ -249,26 +331,48 @@ def error_breakdown(errors: DataFrame, message: str = "message") -> DataFrame:
         F.count(F.lit(1)).alias("count"))
 
 
-def failure_summary(breakdown: DataFrame) -> DataFrame:
-    """One string ``n type, …`` sorted by count desc then type (bounded by the number of types)."""
+def failure_summary(breakdown: DataFrame, types: int = 20) -> DataFrame:
+    """One string ``n type, …`` sorted by count desc then type: the ``types`` most common, then how many other
+    types and errors there are. Error texts are free, so their number is not bounded; the top list is."""
+    top = breakdown.orderBy(F.col("count").desc(), "error_type").limit(types)
     s = F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("o"), F.col("error_type"), F.col("count"))))
-    return breakdown.agg(F.array_join(F.transform(s, lambda x: F.concat(x["count"].cast("string"), F.lit(" "), x["error_type"])), ", ").alias("summary"))
+    listed = top.agg(s.alias("s"), F.count(F.lit(1)).alias("t"), F.sum("count").alias("c"))
+    whole = breakdown.agg(F.count(F.lit(1)).alias("all_t"), F.sum("count").alias("all_c"))
+    text = F.array_join(F.transform("s", lambda x: F.concat(x["count"].cast("string"), F.lit(" "), x["error_type"])), ", ")
+    rest = F.when(F.col("all_t") > F.col("t"), F.concat(F.lit(", "), (F.col("all_c") - F.col("c")).cast("string"), F.lit(" of "), (F.col("all_t") - F.col("t")).cast("string"), F.lit(" other types"))).otherwise(F.lit(""))
+    return listed.crossJoin(F.broadcast(whole)).select(F.concat(text, rest).alias("summary"))  # one row each
 
 
 # ------------------------------------------------------------------ P25 ----
 
 def contract_audit(df: DataFrame, id_col: str, rules: list[tuple[str, Column]]) -> DataFrame:
-    """P25: evaluate (rule, violated-condition) pairs in one select, unpivot, keep violations."""
-    flags = [F.coalesce(cond, F.lit(False)).alias(f"_r{i}") for i, (_, cond) in enumerate(rules)]
-    wide = df.select(id_col, *flags)
-    stack = "stack({n}, {a}) as (rule, violated)".format(n=len(rules), a=", ".join(f"'{name}', _r{i}" for i, (name, _) in enumerate(rules)))
-    return wide.selectExpr(id_col, stack).where("violated").select(id_col, "rule")
+    """P25: evaluate (rule, violated-condition) pairs in one select and keep the violated rules' names."""
+    names = F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in rules])
+    return df.select(id_col, F.explode(F.filter(names, lambda x: x.isNotNull())).alias("rule"))
+
+
+def within(col: str, lo=None, hi=None, max_length: int | None = None, one_of: list | None = None, required: bool = False) -> Column:
+    """P25: violated-condition of one field: number range, longest string or array, allowed values, required."""
+    c, bad = F.col(col), F.lit(False)
+    if lo is not None:
+        bad = bad | (c < lo)
+    if hi is not None:
+        bad = bad | (c > hi)
+    if one_of is not None:
+        bad = bad | ~c.isin(*one_of)
+    if max_length is not None:
+        bad = bad | F.coalesce(F.length(c.cast("string")) > max_length, F.lit(False))
+    return (c.isNull() | bad) if required else F.coalesce(bad, F.lit(False))
 
 
 # ---------------------------------------------------------------- P21/22 ----
 
 DETECTION_SCHEMA = ("detected string, confidence double, reasoning string, "
                     "location struct<name: string, location_type: string, near_line: int>")
+# Fixed value: the reasoning of a detection that is turned into "no" for want of a location (detected, first 150
+# characters of the original reasoning).
+FLIPPED_FORMAT = ("Originally detected='%s' but could not identify specific location. Flipped to 'no' since unlocatable issues are "
+                  "not actionable. Original reasoning: %s")
 FENCE_RE = r"(?s)^\s*```[a-zA-Z]*\s*|\s*```\s*$"
 
 
@@ -284,16 +388,17 @@ def decode_detections(responses: DataFrame, raw: str = "raw", last_attempt: Colu
     flip = missing_loc & last
     out = ok.select("*", F.when(flip, "no").otherwise(F.col("_d.detected")).alias("detected"),
                     F.when(flip, 0.5).otherwise(F.col("_d.confidence")).alias("confidence"),
-                    F.col("_d.reasoning").alias("reasoning"), F.col("_d.location").alias("location"),
+                    F.when(flip, F.format_string(FLIPPED_FORMAT, F.col("_d.detected"), F.substring(F.coalesce("_d.reasoning", F.lit("")), 1, 150))).otherwise(F.col("_d.reasoning")).alias("reasoning"), F.col("_d.location").alias("location"),
                     (missing_loc & ~last).alias("needs_retry")).drop("_d")
     return out, bad
 
 
 def embedded_verdicts(df: DataFrame, expected: DataFrame, text: str = "text", id_col: str = "check_id") -> tuple[DataFrame, DataFrame]:
-    """The JSON array between the first '[' and the last ']' of free text → items with pair_id and a
-    verdict in (diverse, redundant); expected pair ids that are missing are reported."""
+    """The JSON array between the first '[' and the last ']' of free text → items with an integer pair_id and a
+    lower-cased verdict in (diverse, redundant); expected pair ids that are missing are reported."""
     arr = F.from_json(F.regexp_extract(F.col(text), r"(?s)\[.*\]", 0), "array<struct<pair_id: string, verdict: string>>")
-    items = df.select(id_col, F.explode_outer(arr).alias("it")).select(id_col, "it.pair_id", "it.verdict").where(
-        F.col("pair_id").isNotNull() & F.col("verdict").isin("diverse", "redundant"))
+    items = df.select(id_col, F.explode_outer(arr).alias("it")).select(
+        id_col, F.col("it.pair_id").try_cast("int").alias("pair_id"), F.lower(F.trim("it.verdict")).alias("verdict"))
+    items = items.where(F.col("pair_id").isNotNull() & F.col("verdict").isin("diverse", "redundant"))
     missing = expected.join(items.select(id_col, "pair_id"), [id_col, "pair_id"], "left_anti")
     return items, missing

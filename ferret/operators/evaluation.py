@@ -49,13 +49,14 @@ def alignment(outcomes: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ A26 ----
 
 def rule_evaluation(outcomes: DataFrame) -> DataFrame:
-    """Per (run, rule): accuracy by test type (context accepts partial; 1.0 without context tests),
+    """Per (run, rule): share of tests of each type that the judge accepts (yes; for context tests partial too; 1.0
+    without context tests),
     overall = (yes + 0.5·partial)/n, focus-line accuracy over detected positive tests."""
     t, jv = F.col("test_type"), F.col("judge_verdict")
     g = outcomes.groupBy("run_id", "pattern_id").agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(t == "positive").alias("n_pos"), F.count_if((t == "positive") & F.col("passed")).alias("pos_pass"),
-        F.count_if(t == "negative").alias("n_neg"), F.count_if((t == "negative") & F.col("passed")).alias("neg_pass"),
+        F.count_if(t == "positive").alias("n_pos"), F.count_if((t == "positive") & (jv == "yes")).alias("pos_ok"),
+        F.count_if(t == "negative").alias("n_neg"), F.count_if((t == "negative") & (jv == "yes")).alias("neg_ok"),
         F.count_if(t == "context_dependent").alias("n_ctx"),
         F.count_if((t == "context_dependent") & jv.isin("yes", "partial")).alias("ctx_ok"),
         F.count_if(jv == "yes").alias("yes"), F.count_if(jv == "partial").alias("partial"),
@@ -63,8 +64,8 @@ def rule_evaluation(outcomes: DataFrame) -> DataFrame:
         F.count_if((t == "positive") & (F.col("detected") != "no") & (F.col("focus_line") == F.col("expected_line"))).alias("focus_ok"))
     return g.select(
         "run_id", "pattern_id", "n",
-        safe_div(F.col("pos_pass"), F.col("n_pos")).alias("positive_accuracy"),
-        safe_div(F.col("neg_pass"), F.col("n_neg")).alias("negative_accuracy"),
+        safe_div(F.col("pos_ok"), F.col("n_pos")).alias("positive_accuracy"),
+        safe_div(F.col("neg_ok"), F.col("n_neg")).alias("negative_accuracy"),
         F.when(F.col("n_ctx") > 0, F.col("ctx_ok") / F.col("n_ctx")).otherwise(F.lit(1.0)).alias("context_accuracy"),
         ((F.col("yes") + F.col("partial") * 0.5) / F.col("n")).alias("overall_accuracy"),
         "focus_eligible", "focus_ok",
@@ -92,34 +93,44 @@ def overall_metrics(outcomes: DataFrame, per_rule: DataFrame, threshold: float =
     return g.join(r, "run_id").select("*", (F.col("direct_passed") / F.col("tests")).alias("direct_accuracy"))
 
 
-def cross_run_variance(outcomes: DataFrame, range_limit: float = 0.10, stdev_limit: float = 0.05) -> DataFrame:
-    """Per rule over runs (≥ 2): mean, sample stdev, min, max, range of correct/total (no partial
-    credit); unstable when range > 0.10 or stdev > 0.05."""
-    per = outcomes.groupBy("pattern_id", "run_id").agg(
-        (F.count_if(F.col("judge_verdict") == "yes") / F.count(F.lit(1))).alias("acc"))
-    g = per.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("runs"), F.avg("acc").alias("mean"),
-                                      F.stddev_samp("acc").alias("stdev"), F.min("acc").alias("min"), F.max("acc").alias("max"))
+def cross_run_variance(per_rule: DataFrame, range_limit: float = 0.10, stdev_limit: float = 0.05) -> DataFrame:
+    """Per rule over its runs (≥ 2): mean, sample stdev, min, max and range of A26's overall accuracy (half credit
+    for partial); unstable when range > 0.10 or stdev > 0.05. ``per_rule``: run_id, pattern_id, overall_accuracy."""
+    acc = F.col("overall_accuracy")
+    g = per_rule.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("runs"), F.avg(acc).alias("mean"),
+                                           F.stddev_samp(acc).alias("stdev"), F.min(acc).alias("min"), F.max(acc).alias("max"))
     g = g.where(F.col("runs") >= 2).withColumn("range", F.col("max") - F.col("min"))
     return g.select("*", ((F.col("range") > range_limit) | (F.col("stdev") > stdev_limit)).alias("unstable"))
 
 
+def overall_variance(outcomes: DataFrame) -> DataFrame:
+    """A29 overall: mean and sample stdev over runs of yes verdicts / tests (no half credit); stdev 0 for one run."""
+    per = outcomes.groupBy("run_id").agg((F.count_if(F.col("judge_verdict") == "yes") / F.count(F.lit(1))).alias("acc"))
+    return per.agg(F.count(F.lit(1)).alias("num_runs"), F.coalesce(F.avg("acc"), F.lit(0.0)).alias("overall_mean_accuracy"),
+                   F.coalesce(F.stddev_samp("acc"), F.lit(0.0)).alias("overall_stdev"))
+
+
 # ---------------------------------------------------------------- A24/25 ----
 
 def confusion_by_label(rule_runs: DataFrame, labels: DataFrame, label_rules: dict[str, list[str]],
-                       id_col: str = "doc_id", min_confidence: float = 0.7) -> DataFrame:
-    """Per label: detected = any mapped rule fired; rows where a mapped rule failed are excluded;
-    unlabelled rows are skipped (inner join with the label table)."""
+                       id_col: str = "doc_id", min_confidence: float = 0.7, model_label: str | None = None) -> DataFrame:
+    """Per label: detected = any mapped rule fired. Rows without a model (``model_label`` not 1) are skipped; rows
+    in which a mapped rule timed out are counted as ``excluded``; a labelled row that was not scanned is visible as
+    ``unscanned`` and takes no part in the matrix. Other failures count as not detected."""
     spark = rule_runs.sparkSession
     m = spark.createDataFrame([(lab, pid) for lab, pids in label_rules.items() for pid in pids], "label string, pattern_id string")
     fired = (F.col("status") == "success") & F.col("detected").isin("yes", "context-dependent") & (F.col("confidence") >= min_confidence)
     per = (rule_runs.join(F.broadcast(m), "pattern_id")  # the label→rule map is a bounded literal
-           .groupBy(id_col, "label").agg(F.max(fired).alias("detected"), F.max(F.col("status") != "success").alias("failed")))
-    labs = list(label_rules)
-    truth = labels.select(id_col, F.explode(F.array(*[F.struct(F.lit(lab).alias("label"), (F.col(lab) == 1).alias("truth")) for lab in labs])).alias("t")).select(id_col, "t.*")
-    j = truth.join(per, [id_col, "label"]).where(~F.col("failed"))
+           .groupBy(id_col, "label").agg(F.max(F.coalesce(fired, F.lit(False))).alias("detected"), F.max(F.col("status") == "timeout").alias("timed_out")))
+    rows = labels if model_label is None else labels.where(F.col(model_label) == 1)
+    truth = rows.select(id_col, F.explode(F.array(*[F.struct(F.lit(lab).alias("label"), (F.col(lab) == 1).alias("truth")) for lab in label_rules])).alias("t")).select(id_col, "t.*")
+    j = truth.join(per, [id_col, "label"], "left")
     d, y = F.col("detected"), F.col("truth")
-    return j.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(d & y).alias("tp"), F.count_if(d & ~y).alias("fp"),
-                                  F.count_if(~d & y).alias("fn"), F.count_if(~d & ~y).alias("tn"))
+    known = F.col("timed_out") == False  # noqa: E712  null for unscanned rows
+    return j.groupBy("label").agg(
+        F.count_if(known).alias("n"), F.count_if(known & d & y).alias("tp"), F.count_if(known & d & ~y).alias("fp"),
+        F.count_if(known & ~d & y).alias("fn"), F.count_if(known & ~d & ~y).alias("tn"),
+        F.count_if("timed_out").alias("excluded"), F.count_if(F.col("timed_out").isNull()).alias("unscanned"))
 
 
 def label_metrics(conf: DataFrame) -> DataFrame:
@@ -133,14 +144,13 @@ def label_metrics(conf: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ A30 ----
 
-def scenario_scoring(expected: DataFrame, found: DataFrame, key: str, valid_keys: DataFrame) -> DataFrame:
-    """A30 per run: TP = found ∩ expected (findings), bonus = found∖expected judged valid, FP = the rest
+def scenario_scoring(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """A30 per run: TP = found ∩ expected (findings), bonus = found∖expected judged valid (``found.valid``), FP = the rest
     of found∖expected, FN = expected∖found (manifest entries); recall = TP/intended,
     precision = (TP+bonus)/(TP+bonus+FP). Set algebra as one full outer join on the key."""
     e = expected.select("run_id", key).withColumn("_e", F.lit(1))
-    f = found.select("run_id", key).withColumn("_f", F.lit(1))
-    v = valid_keys.select(key).withColumn("_v", F.lit(1))
-    j = f.join(e, ["run_id", key], "full").join(v, key, "left")
+    f = found.select("run_id", key, F.lit(1).alias("_f"), F.when(F.col("valid"), 1).alias("_v"))
+    j = f.join(e, ["run_id", key], "full")
     ex, fd, ok = F.col("_e").isNotNull(), F.col("_f").isNotNull(), F.col("_v").isNotNull()
     g = j.groupBy("run_id").agg(F.count_if(ex).alias("intended"), F.count_if(ex & fd).alias("tp"),
                                 F.count_if(fd & ~ex & ok).alias("bonus"), F.count_if(fd & ~ex & ~ok).alias("fp"),
@@ -159,6 +169,17 @@ def precision_progression(per_run: DataFrame) -> DataFrame:
     return per_run.select("run_id", "precision", (F.col("precision") - F.lag("precision").over(w)).alias("change"))
 
 
+def generalisation_gap(verified: DataFrame, holdout: Column) -> DataFrame:
+    """Precision of the feedback set, of the holdout set, and their difference in points. ``verified``: one row
+    per verified finding with its status; ``holdout`` says to which set it belongs."""
+    st = F.col("status")
+    counts = verified.where(st.isin("valid", "invalid", "uncertain")).agg(*[
+        F.count_if((h if c == "holdout" else ~h) & (st == "valid") if v else (h if c == "holdout" else ~h)).alias(f"{c}_{'valid' if v else 'total'}")
+        for h in [F.coalesce(holdout, F.lit(False))] for c in ("feedback", "holdout") for v in (True, False)])
+    f, h = (safe_div(100.0 * F.col(f"{c}_valid"), F.col(f"{c}_total")) for c in ("feedback", "holdout"))
+    return counts.select("*", f.alias("feedback_precision"), h.alias("holdout_precision"), (f - h).alias("gap"))
+
+
 # ------------------------------------------------------------------ A32 ----
 
 def counts_cube(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -182,14 +203,74 @@ def histogram_percentile(buckets: DataFrame, group: list[str], p: float) -> Data
 
 # ------------------------------------------------------------------ A36 ----
 
-def snapshot_deltas(samples: DataFrame, key: str = "user_id") -> DataFrame:
-    """first→last snapshot per source: requests, elapsed, throughput, hit rate (zero-guarded)."""
-    first = F.min_by(F.struct("counter", "hits", "queries", "ts"), "ts")
-    last = F.max_by(F.struct("counter", "hits", "queries", "ts"), "ts")
-    g = samples.groupBy(key).agg(first.alias("a"), last.alias("b"))
+def snapshot_deltas(samples: DataFrame, key: str = "user_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """first→last snapshot per source: requests, elapsed, throughput, mean latency (elapsed per request), hit
+    rate, and hits and queries per request (zero-guarded). Ties of time are ordered by the rest of ``order``."""
+    snap = F.struct(*order, "counter", "hits", "queries")
+    g = samples.groupBy(key).agg(F.min(snap).alias("a"), F.max(snap).alias("b"))
     el = (F.unix_micros(F.col("b.ts").cast("timestamp")) - F.unix_micros(F.col("a.ts").cast("timestamp"))) / 1e6
-    req = F.col("b.counter") - F.col("a.counter")
-    q = F.col("b.queries") - F.col("a.queries")
+    diff = lambda c: F.col(f"b.{c}") - F.col(f"a.{c}")
+    req, hits, q = diff("counter"), diff("hits"), diff("queries")
     return g.select(key, req.alias("requests"), el.alias("elapsed_s"),
-                    F.when(el > 0, req / el).otherwise(F.lit(0.0)).alias("throughput"),
-                    F.when(q > 0, (F.col("b.hits") - F.col("a.hits")) / q).otherwise(F.lit(0.0)).alias("hit_rate"))
+                    safe_div(req, el).alias("throughput"), safe_div(el, req).alias("latency_s"), safe_div(hits, q).alias("hit_rate"),
+                    safe_div(hits, req).alias("hits_per_request"), safe_div(q, req).alias("queries_per_request"))
+
+
+# ------------------------------------------------------------------ A33 ----
+
+def audit_totals(issues: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    """Totals of an audit: per (level, check) the issues and the distinct items they hit, and a row
+    ('all', 'all') with the checked items, those without an error (valid) and those with one (invalid).
+    ``issues``: key, level, check_name."""
+    cells = issues.groupBy("level", "check_name", key).agg(F.count(F.lit(1)).alias("n"))
+    by = cells.groupBy("level", "check_name").agg(F.sum("n").alias("issues"), F.count(F.lit(1)).alias("items"))
+    bad = issues.where(F.col("level") == "error").select(key).distinct().withColumn("_bad", F.lit(True))
+    whole = items.select(key).distinct().join(bad, key, "left").agg(
+        F.count(F.lit(1)).alias("items"), F.count_if("_bad").alias("invalid"))
+    none = F.lit(None).cast("long")
+    return by.select("level", "check_name", "issues", "items", none.alias("valid"), none.alias("invalid")).unionByName(
+        whole.select(F.lit("all").alias("level"), F.lit("all").alias("check_name"), none.alias("issues"), "items",
+                     (F.col("items") - F.col("invalid")).alias("valid"), "invalid"))
+
+
+# ------------------------------------------------------------------ A34 ----
+
+def timing_summary(timings: DataFrame, key: str, size: str, seconds: str) -> DataFrame:
+    """Per item mean, min, max and spread (null for one run) of its timings, rounded to hundredths."""
+    g = timings.groupBy(key, size).agg(F.count(F.lit(1)).alias("runs"), F.avg(seconds).alias("m"), F.min(seconds).alias("lo"), F.max(seconds).alias("hi"))
+    r = lambda c: F.round(F.round(c, 9), 2)  # noqa: E731  the first rounding takes away what binary fractions leave
+    return g.select(key, size, "runs", r(F.col("m")).alias("mean_seconds"), r(F.col("lo")).alias("min_seconds"), r(F.col("hi")).alias("max_seconds"),
+                    F.when(F.col("runs") > 1, r(F.col("hi") - F.col("lo"))).alias("spread_seconds"))
+
+
+def scaling_verdict(summary: DataFrame, key: str, size: str) -> DataFrame:
+    """Time ratio of the largest to the smallest item against their size ratio: Sub-linear below 0.8 of it,
+    Roughly linear below 1.2, else Super-linear (0 for a zero denominator). No row for fewer than two items."""
+    item = F.struct(F.col(size).alias("size"), F.col(key).alias("key"), F.col("mean_seconds").alias("mean"))
+    g = summary.agg(F.count(F.lit(1)).alias("n"), F.min(item).alias("a"), F.max(item).alias("b")).where("n >= 2")
+    ratio, sizes = safe_div(F.col("b.mean"), F.col("a.mean")), safe_div(F.col("b.size"), F.col("a.size"))
+    verdict = F.when(ratio < sizes * 0.8, "Sub-linear").when(ratio < sizes * 1.2, "Roughly linear").otherwise("Super-linear")
+    return g.select(F.col("a.size").alias("smallest"), F.col("b.size").alias("largest"), ratio.alias("time_ratio"), sizes.alias("size_ratio"), verdict.alias("scaling"))
+
+
+# ------------------------------------------------------------------ A39 ----
+
+def gauge_band(share: Column, middle: float = 0.6, high: float = 0.85) -> Column:
+    """Band of a utilisation: green below 0.6, yellow below 0.85, else red."""
+    return F.when(share < middle, "green").when(share < high, "yellow").otherwise("red")
+
+
+def gauge_bar(share: Column, width: int = 30) -> Column:
+    """The gauge as text: ``width`` places, filled by the whole part of share · width, then the per cent."""
+    filled = F.least(F.lit(width), F.greatest(F.lit(0), (share * width).cast("int")))
+    return F.concat(F.lit("["), F.repeat(F.lit("█"), filled), F.repeat(F.lit("░"), F.lit(width) - filled), F.lit("] "),
+                    F.format_string("%5.1f%%", share * 100.0))
+
+
+def monitor_gauges(totals: DataFrame, key: str) -> DataFrame:
+    """Per source the outcome shares of its requests with their bars and bands, and the hit-rate band (green above
+    0.3, yellow above 0.1, else dim; null without queries). ``totals``: key, requests, errors, hits, queries."""
+    err = F.when(F.col("requests") > 0, F.col("errors") / F.col("requests"))
+    hit = F.when(F.col("queries") > 0, F.col("hits") / F.col("queries"))
+    return totals.select(key, "requests", err.alias("error_share"), gauge_bar(err).alias("error_bar"), gauge_band(err).alias("error_band"),
+                         hit.alias("hit_rate"), F.when(hit > 0.3, "green").when(hit > 0.1, "yellow").when(hit.isNotNull(), "dim").alias("hit_band"))

@@ -1,4 +1,4 @@
-"""Set operations, upserts and table maintenance.
+"""Set operations, upserts and table maintenance.
 
 No table format is assumed: upserts are "union, keep the latest per key" as an
 aggregate (``max`` of a struct led by the recency column), so a hot key is
@@ -10,10 +10,12 @@ null-aware broadcast).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ferret.functions.ordering import chunked_row_number
+from ferret.functions.ordering import chunked_row_number, hash_chunks, join_null_safe
 
 
 def exclusion_union(*key_sets: DataFrame, key: str) -> DataFrame:
@@ -39,19 +41,21 @@ def declared_vs_present(declared: DataFrame, present: DataFrame, key: str) -> Da
 
 
 def insert_if_absent(existing: DataFrame, incoming: DataFrame, key: str, id_col: str) -> DataFrame:
-    """New keys get surrogate ids max(id) + rank(key); existing rows are not updated.
-    The rank is computed chunked by a key prefix, so no single task numbers all new rows."""
-    new = incoming.select(key).distinct().join(existing.select(key), key, "left_anti")
+    """New keys get surrogate ids max(id) + rank(md5(key)); existing rows are not updated.
+    The rank runs inside chunks of the hash, so the new keys spread over 65,536 windows whatever they look like."""
+    new = incoming.where(F.col(key).isNotNull()).select(key).distinct().join(existing.select(key), key, "left_anti")
     top = existing.select(F.coalesce(F.max(id_col), F.lit(0)).cast("long")).scalar()
-    ranked = chunked_row_number(new.withColumn("_all", F.lit(1)), ["_all"], [F.col(key)], F.substring(F.col(key), 1, 12), out="_rn")
+    hashed = new.withColumn("_h", F.md5(key))
+    ranked = chunked_row_number(hashed, [], [F.col("_h"), F.col(key)], hash_chunks(F.col("_h")), out="_rn")
     return ranked.select((top + F.col("_rn")).alias(id_col), key)
 
 
 def upsert_latest(current: DataFrame, updates: DataFrame, key: str, recency: str) -> DataFrame:
-    """U4: union and keep the most recent row per key (key stays stable, no id churn)."""
+    """U4: union and keep the most recent row per key; of equally recent rows an update wins over the current one
+    (key stays stable, no id churn)."""
     cols = [c for c in current.columns if c not in (key, recency)]
-    u = current.unionByName(updates.select(*current.columns))
-    g = u.groupBy(key).agg(F.max(F.struct(recency, *cols)).alias("_r"))
+    u = current.withColumn("_src", F.lit(0)).unionByName(updates.select(*current.columns, F.lit(1).alias("_src")))
+    g = u.groupBy(key).agg(F.max(F.struct(recency, "_src", *cols)).alias("_r"))
     return g.select(key, "_r.*").select(*current.columns)
 
 
@@ -97,3 +101,94 @@ def group_exclusion(files: DataFrame, seen_files: DataFrame, group: str) -> Data
     """Drop all files of any group (paper) seen earlier; files without a group stay."""
     seen = seen_files.where(F.col(group).isNotNull()).select(group).distinct()
     return files.join(seen, group, "left_anti")  # null keys never match, so orphans are kept
+
+
+def exclude_seen_groups(files: DataFrame, run: str, group: str) -> DataFrame:
+    """J9 for every run against all earlier ones: a group's files stay only in the first run that has it; files without
+    a group stay. One grouped minimum instead of a pair of runs at a time."""
+    debut = files.where(F.col(group).isNotNull()).groupBy(group).agg(F.min(run).alias("_debut"))
+    j = files.join(debut, group, "left")
+    return j.where(F.col(group).isNull() | (F.col(run) == F.col("_debut"))).select(*files.columns)
+
+
+def shared_members(rows: DataFrame, dataset: str, member: str) -> DataFrame:
+    """Members that two datasets share, for every pair of datasets. Reduced to one row per (dataset, member) first;
+    the pairs come from a member's own list of datasets, which is as short as there are datasets."""
+    own = rows.where(F.col(member).isNotNull()).select(dataset, member).distinct()
+    lists = own.groupBy(member).agg(F.sort_array(F.collect_list(dataset)).alias("_all")).where(F.size("_all") > 1)
+    a = lists.select(member, "_all", F.posexplode("_all").alias("_i", "a"))
+    return a.select(F.col("a").alias("run_a"), F.explode(F.slice("_all", F.col("_i") + 2, F.size("_all"))).alias("run_b"), member)
+
+
+# ------------------------------------------------------------------ J8 ----
+
+def remaining_files(runs: DataFrame, files: DataFrame, analyses: DataFrame) -> DataFrame:
+    """For every unfinished run the files without an analysis row in that run; clean files are done."""
+    todo = files.join(runs.where(F.col("status") != "completed").select("run_id"), "run_id", "left_semi")
+    return todo.join(analyses.select("run_id", "file_id"), ["run_id", "file_id"], "left_anti").select("run_id", "file_id")
+
+
+# ----------------------------------------------------------- J11 / J12 / J13 / W10 / U10 ----
+
+def manifest_enrichment(files: DataFrame, papers: DataFrame, slug: str = "repo_name") -> DataFrame:
+    """Files with the paper columns of their repo slug; of several papers that list a repo the last one wins;
+    blanks where none does. ``papers``: order_no, slug, and the columns to add."""
+    cols = [c for c in papers.columns if c not in (slug, "order_no")]
+    last = papers.groupBy(slug).agg(F.max(F.struct("order_no", *cols)).alias("_p"))
+    j = files.join(last, slug, "left")
+    return j.select(*files.columns, *[F.coalesce(F.col(f"_p.{c}").cast("string"), F.lit("")).alias(c) for c in cols])
+
+
+def lookup_paths(requests: DataFrame, files: DataFrame, path: str = "path", anchor: str = "files/") -> DataFrame:
+    """Id of a path: an exact match, else a match of what follows the last ``anchor``; null when neither."""
+    tail = F.when(F.col(path).contains(anchor), F.concat(F.lit(anchor), F.element_at(F.split(F.col(path), anchor, -1), -1)))
+    exact = files.select(F.col("file_path").alias(path), F.col("file_id").alias("_exact"))
+    part = files.select(F.col("file_path").alias("_tail"), F.col("file_id").alias("_part"))
+    j = requests.withColumn("_tail", tail).join(exact, path, "left").join(part, "_tail", "left")
+    return j.select(*requests.columns, F.coalesce("_exact", "_part").alias("file_id"),
+                    F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_part").isNotNull(), "relative").otherwise("none").alias("matched_by"))
+
+
+def grandparent(ids: DataFrame, child: DataFrame, parent: DataFrame, key: str, via: str, target: str) -> DataFrame:
+    """Id → parent → grandparent in two hops; ids without a parent drop, a null grandparent stays null."""
+    return ids.select(key).join(child.select(key, via), key).join(parent.select(via, target), via).select(key, target)
+
+
+def unique_names(files: DataFrame, group: str, name: str, order_col: str) -> DataFrame:
+    """A name for every row that is unique within its group, given in input order: a name not in use is kept,
+    otherwise ``stem_1.ext``, ``stem_2.ext``, … until one is free. Adds ``unique_name``.
+
+    Names can only meet names of the same family (stem without trailing ``_<number>``, and extension). A family of one
+    name is numbered by a window; only families in which given and made-up names can clash are walked one by one.
+    """
+    ext = F.regexp_extract(F.col(name), r"^.+(\.[^.]+)$", 1)
+    stem = F.substring(F.col(name), F.lit(1), F.length(name) - F.length(ext))
+    d = files.withColumn("_ext", ext).withColumn("_stem", stem).withColumn("_root", F.regexp_replace("_stem", r"(_\d+)+$", ""))
+    family = [group, "_root", "_ext"]
+    mixed = d.groupBy(*family).agg((F.min(name) != F.max(name)).alias("_mixed"))
+    d = join_null_safe(d, mixed, family)
+    k = F.row_number().over(Window.partitionBy(*family).orderBy(order_col)) - 1
+    plain = d.where("not _mixed").withColumn("_k", k).withColumn(
+        "unique_name", F.when(F.col("_k") == 0, F.col(name)).otherwise(F.concat("_stem", F.lit("_"), F.col("_k").cast("string"), "_ext")))
+    cols = [*files.columns, "unique_name"]
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order_col, kind="stable")
+        used, following, out = set(), {}, []
+        for n, st, ex in zip(pdf[name], pdf["_stem"], pdf["_ext"]):
+            new = n
+            while new in used:
+                following[n] = following.get(n, 0) + 1
+                new = f"{st}_{following[n]}{ex}"
+            used.add(new)
+            out.append(new)
+        return pdf.assign(unique_name=out)[cols]
+
+    schema = T.StructType([*files.schema.fields]).add("unique_name", T.StringType())
+    clashing = d.where("_mixed").groupBy(*family).applyInPandas(walk, schema)
+    return plain.select(*cols).unionByName(clashing)
+
+
+def orphaned_entries(cache: DataFrame, references: DataFrame, key: str) -> DataFrame:
+    """Cached entries that no reference names any more (left anti join; the rest is what a clean-up keeps)."""
+    return cache.join(references.select(key), key, "left_anti")

@@ -17,8 +17,11 @@ from ferret.functions.ordering import (
     chunked_row_number,
     chunked_running_sum,
     hash_bucket,
+    hash_chunks,
+    join_null_safe,
     seeded_hash,
     split_of,
+    time_chunks,
 )
 
 HEX = "0123456789abcdef"
@@ -89,9 +92,9 @@ def oof_target_encoding(df: DataFrame, id_col: str, category: str, target: Colum
     c = cf.groupBy(category).agg(F.sum("s_cf").alias("s_c"), F.sum("n_cf").alias("n_c"))
     f = cf.groupBy("fold").agg(F.sum("s_cf").alias("s_f"), F.sum("n_cf").alias("n_f"))
     tot = d.select(F.struct(F.sum("y").alias("s"), F.count(F.lit(1)).alias("n"))).scalar()
-    j = d.join(cf, [category, "fold"]).join(c, category).join(f, "fold")
+    j = join_null_safe(join_null_safe(d, cf, [category, "fold"]), c, [category]).join(f, "fold")
     oof_n = F.col("n_c") - F.col("n_cf")
-    glob = (tot.getField("s") - F.col("s_f")) / (tot.getField("n") - F.col("n_f"))
+    glob = F.try_divide(tot.getField("s") - F.col("s_f"), tot.getField("n") - F.col("n_f"))  # null with one fold
     enc = F.when(oof_n > 0, (F.col("s_c") - F.col("s_cf")) / oof_n).otherwise(glob)
     full = F.col("s_c") / F.col("n_c")
     return j.select(id_col, category, "fold", "y", enc.alias("oof_encoding"), full.alias("full_encoding"),
@@ -104,15 +107,13 @@ def class_balance_audit(labels: DataFrame, docs: DataFrame, min_chars: int = 500
     """Per label column: positive share, majority-class baseline accuracy beside precision,
     recall, F1 and accuracy of a length-gate predictor (n_chars ≥ min_chars)."""
     j = labels.join(docs.select("doc_id", "n_chars"), "doc_id")
-    pred = F.col("n_chars") >= min_chars
-    parts = []
-    for lab in ("quality", "toxic"):
-        y = F.col(lab) == 1
-        parts.append(j.agg(
-            F.lit(lab).alias("label"), F.count(F.lit(1)).alias("n"), F.count_if(y).alias("positives"),
-            F.count_if(pred & y).alias("tp"), F.count_if(pred & ~y).alias("fp"),
-            F.count_if(~pred & y).alias("fn"), F.count_if(~pred & ~y).alias("tn")))
-    u = parts[0].unionByName(parts[1])
+    both = F.explode(F.array(*[F.struct(F.lit(c).alias("label"), (F.col(c) == 1).alias("y")) for c in ("quality", "toxic")]))
+    long = j.select((F.col("n_chars") >= min_chars).alias("pred"), both.alias("l")).select("pred", "l.label", "l.y")
+    pred, y = F.col("pred"), F.col("y")
+    u = long.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(y).alias("positives"),
+        F.count_if(pred & y).alias("tp"), F.count_if(pred & ~y).alias("fp"),
+        F.count_if(~pred & y).alias("fn"), F.count_if(~pred & ~y).alias("tn"))
     n, p = F.col("n"), F.col("positives")
     prec = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(F.lit(0.0))
     rec = F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(F.lit(0.0))
@@ -130,7 +131,8 @@ def temporal_folds(df: DataFrame, ts: str, k: int = 5) -> DataFrame:
     ordering audit max(train.ts) < min(test.ts)."""
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     mm = df.select(F.struct(F.min(us).alias("lo"), F.max(us).alias("hi"))).scalar()
-    fold = F.least(F.floor((us - mm.getField("lo")) / (mm.getField("hi") - mm.getField("lo")) * k), F.lit(k - 1))
+    place = F.try_divide(us - mm.getField("lo"), mm.getField("hi") - mm.getField("lo"))  # one distinct time: all in fold 0
+    fold = F.least(F.floor(F.coalesce(place, F.lit(0.0)) * k), F.lit(k - 1))
     per = df.groupBy(fold.alias("fold")).agg(F.count(F.lit(1)).alias("rows"), F.min(ts).alias("min_ts"), F.max(ts).alias("max_ts"))
     w = Window.orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)  # ≤ k rows
     out = per.select("fold", F.col("rows").alias("test_rows"), F.col("min_ts").alias("test_min_ts"),
@@ -145,7 +147,7 @@ def past_only_features(events: DataFrame, w: int = 3) -> DataFrame:
     """Lag and trailing mean of the previous w values per user (never the current or a future row);
     the audit compares each feature with the *next* value to flag look-ahead."""
     e = events.select("user_id", "ts", "event_id", "value")
-    cum = chunked_running_sum(e, ["user_id"], [F.col("ts"), F.col("event_id")], F.date_trunc("hour", "ts"),
+    cum = chunked_running_sum(e, ["user_id"], [F.col("ts"), F.col("event_id")], time_chunks("ts"),
                               {"rn": F.lit(1).cast("long"), "c": F.round(F.col("value") * 100).cast("long")})
     keys = ["user_id", "rn"]
     prev = cum.select("user_id", (F.col("rn") + 1).alias("rn"), F.col("value").alias("prev_value"), F.col("c").alias("c1"))
@@ -164,7 +166,8 @@ def stratified_split(df: DataFrame, id_col: str, label: str, train_tenths: int =
     """Exact per-class split: rank within class by md5(seed‖id) (chunked), first ⌊n·t/10⌋ → train."""
     d = df.select(id_col, label, seeded_hash(seed, id_col).alias("_h"))
     sizes = d.groupBy(label).agg(F.count(F.lit(1)).alias("class_n"))
-    r = chunked_row_number(d, [label], [F.col("_h")], hash_bucket(F.col("_h")), out="class_rank").join(sizes, label)
+    r = chunked_row_number(d, [label], [F.col("_h")], hash_chunks(F.col("_h")), out="class_rank")
+    r = join_null_safe(r, sizes, [label])
     return r.select(id_col, label, F.when(F.col("class_rank") * 10 <= F.col("class_n") * train_tenths, "train")
                     .otherwise("test").alias("split"))
 
@@ -179,7 +182,7 @@ def split_class_drift(df: DataFrame, id_col: str, label: str, seed: int = DEFAUL
     st = g.groupBy("method", "split").agg(F.sum("n").alias("split_n"))
     ov = g.groupBy("method", label).agg(F.sum("n").alias("class_n"))
     tot = df.select(F.count(F.lit(1))).scalar()
-    j = g.join(st, ["method", "split"]).join(ov, ["method", label])
+    j = join_null_safe(g.join(st, ["method", "split"]), ov, ["method", label])
     share, overall = F.col("n") / F.col("split_n"), F.col("class_n") / tot
     return j.select("method", "split", label, "n", share.alias("share"), overall.alias("overall_share"),
                     F.abs(share - overall).alias("abs_diff"))
@@ -260,7 +263,7 @@ def int32_overflow_audit(df: DataFrame, group: str, value: Column) -> DataFrame:
 def safe_normalize(df: DataFrame, group: str, x: str, eps: float = 1e-12) -> DataFrame:
     """Per-group z-score and min-max with zero-spread guards (stats table joined back)."""
     st = df.groupBy(group).agg(F.avg(x).alias("_mean"), F.stddev_pop(x).alias("_std"), F.min(x).alias("_mn"), F.max(x).alias("_mx"))
-    j = df.join(st, group)
+    j = join_null_safe(df, st, [group])
     z = F.when(F.col("_std") > eps, (F.col(x) - F.col("_mean")) / F.col("_std")).otherwise(F.lit(0.0))
     mm = F.when(F.col("_mx") - F.col("_mn") > eps, (F.col(x) - F.col("_mn")) / (F.col("_mx") - F.col("_mn"))).otherwise(F.lit(0.0))
     return j.select(*df.columns, z.alias("z"), mm.alias("minmax"))
@@ -281,20 +284,16 @@ def tie_audit(df: DataFrame, sort_col: str, id_col: str, k: int) -> DataFrame:
         ((F.col("rows_at_boundary") > 1) & (F.col("rows_above") + F.col("rows_at_boundary") > k)).alias("order_dependent"))
 
 
-def total_order(*cols: str, id_col: str) -> list[Column]:
-    """D15 helper: make a sort total by appending the id."""
-    return [F.col(c) for c in cols] + [F.col(id_col)]
-
-
 # ----------------------------------------------------------------- D16 ----
 
 def normalize_to_utc(df: DataFrame, local_ts: str, zone: str) -> DataFrame:
-    """Local wall-clock → UTC; flag times that do not round-trip (skipped in a DST gap)
-    and times that are ambiguous (the hour after also maps to the same local time)."""
-    utc = F.to_utc_timestamp(F.col(local_ts).cast("timestamp"), zone)
-    back = F.from_utc_timestamp(utc, zone)
-    shifted = F.from_utc_timestamp(utc + F.expr("INTERVAL 1 HOUR"), zone)
-    earlier = F.from_utc_timestamp(utc - F.expr("INTERVAL 1 HOUR"), zone)
-    return df.select("*", utc.cast("timestamp_ntz").alias("ts_utc"),
-                     (back != F.col(local_ts).cast("timestamp")).alias("skipped"),
-                     ((shifted == back) | (earlier == back)).alias("ambiguous"))
+    """Local wall-clock → UTC; flag times that do not round-trip (skipped in a DST gap) and times that two
+    instants show (ambiguous: an instant up to two hours off shows the same local time; zones shift by 20 minutes to
+    two hours, in steps of ten minutes)."""
+    local = F.col(local_ts).cast("timestamp")
+    utc = F.to_utc_timestamp(local, zone)
+    shows = lambda minutes: F.from_utc_timestamp(utc + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes)), zone) == local
+    twice = F.lit(False)
+    for m in range(10, 130, 10):
+        twice = twice | shows(m) | shows(-m)
+    return df.select("*", utc.cast("timestamp_ntz").alias("ts_utc"), (F.from_utc_timestamp(utc, zone) != local).alias("skipped"), twice.alias("ambiguous"))

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from ferret.functions.ordering import (
     DEFAULT_SEED,
     chunked_lag,
-    chunked_row_number,
+    chunked_running_max,
     chunked_running_sum,
-    hash_bucket,
     seeded_hash,
+    time_chunks,
     trailing_sums,
 )
 from ferret.operators import report as R
@@ -70,13 +70,13 @@ def top_examples_per_category(star: Star, k: int = 3, run_id: int | None = None,
 
 def diverse_selection(star: Star, limit: int = 20, run_id: int | None = None,
                       severities: tuple[str, ...] = ("critical", "high")) -> DataFrame:
-    """One finding per (paper, severity) (max confidence, then min id), critical before high,
-    the best finding of each rule first, the rest fill up to ``limit`` (per run).
+    """Of the findings verified ``valid``, one per (paper, severity) (max confidence, then min id), critical before
+    high, the best finding of each rule first, the rest fill up to ``limit`` (per run).
 
     Both "best of group" steps are aggregates (``max`` of a sort struct), not
     windows over the group, so a hot paper or rule is partial-aggregated.
     """
-    ef = R.enriched_findings(star, run_id).where(F.col("paper_id").isNotNull() & F.col("severity").isin(*severities))
+    ef = R.enriched_findings(star, run_id, status="valid").where(F.col("paper_id").isNotNull() & F.col("severity").isin(*severities))
     sev = order_position("severity", SEVERITY_ORDER)
     key = F.struct(F.col("confidence"), (-F.col("finding_id")).alias("nid"))
     best = (ef.groupBy("run_id", "paper_id", "severity")
@@ -95,7 +95,7 @@ def diverse_selection(star: Star, limit: int = 20, run_id: int | None = None,
 
 def verification_queue(star: Star) -> DataFrame:
     """Verified findings sorted valid < invalid < uncertain < error, then rule, then id."""
-    fv = star.finding_verifications.join(star.findings.select("finding_id", "run_id", "pattern_id", "severity"), "finding_id")
+    fv = star.judged_findings.where(F.col("v_status").isNotNull()).withColumnRenamed("v_status", "status")
     return fv.select("run_id", "finding_id", "pattern_id", "severity", "status",
                      order_position("status", ["valid", "invalid", "uncertain", "error"]).alias("status_rank"),
                      order_position(F.coalesce("severity", F.lit("low")), SEVERITY_ORDER).alias("severity_rank")
@@ -105,32 +105,32 @@ def verification_queue(star: Star) -> DataFrame:
 # -------------------------------------------------------------- sampling ----
 
 def balanced_sample(df: DataFrame, id_col: str, domain_col: str, limit: int, seed: int = DEFAULT_SEED,
-                    order: list[Column] | None = None, chunk: Column | None = None) -> DataFrame:
+                    order: list[Column] | None = None) -> DataFrame:
     """W7 (and W8 with ``order``): quota limit//k per domain, +1 for the first limit%k domains
     in seeded-hash order; rows ranked by ``order`` (default md5(seed‖id)); short domains are not back-filled.
+
+    No quota exceeds ``limit``, so ``rank <= limit`` is tested first: Spark plans it as a map-side
+    WindowGroupLimit and a hot domain ships at most ``limit`` rows per task.
     """
-    h = seeded_hash(seed, id_col)
-    d = df.where(F.col(domain_col).isNotNull()).withColumn("_h", h)
-    doms = d.groupBy(domain_col).agg(F.count(F.lit(1)).alias("_avail"))
-    dw = Window.orderBy(seeded_hash(seed, domain_col))  # window over the distinct-domain table only
-    doms = (doms.withColumn("_drank", F.row_number().over(dw)).withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy()))
-            .select(domain_col, (F.floor(F.lit(limit) / F.col("_k")) + F.when(F.col("_drank") <= F.lit(limit) % F.col("_k"), 1).otherwise(0)).alias("quota")))
-    order = order or [F.col("_h")]
-    chunk = chunk if chunk is not None else hash_bucket(F.col("_h"))
-    ranked = chunked_row_number(d, [domain_col], order, chunk, out="sample_rank")
-    return ranked.join(doms, domain_col).where(F.col("sample_rank") <= F.col("quota")).drop("_h")
-
-
-def group_sample(star: Star, n_papers: int, seed: int = DEFAULT_SEED) -> DataFrame:
-    """Pick n papers by seeded hash and return all their files; orphans are excluded —
-    unless n ≥ number of papers, then every file is returned, orphans included."""
-    f = star.files.join(star.repos.select("repo_id", "paper_id"), "repo_id")
-    papers = f.where(F.col("paper_id").isNotNull()).select("paper_id").distinct()
-    picked = papers.orderBy(seeded_hash(seed, "paper_id")).limit(n_papers)
-    n_all = papers.select(F.count(F.lit(1))).scalar()
-    everything = F.lit(n_papers) >= n_all
-    in_pick = f.join(picked.withColumn("_picked", F.lit(True)), "paper_id", "left")
-    return in_pick.where(F.col("_picked") | everything).select("file_id", "repo_id", "paper_id", "file_path")
+    d = df.where(F.col(domain_col).isNotNull())
+    w = Window.partitionBy(domain_col).orderBy(*(order or [seeded_hash(seed, id_col)]))
+    ranked = d.withColumn("sample_rank", F.row_number().over(w)).where(F.col("sample_rank") <= limit)
+    doms = d.select(domain_col).distinct()
+    place = F.row_number().over(Window.orderBy(seeded_hash(seed, domain_col)))  # over the distinct domains only
+    share = F.struct(F.floor(F.lit(limit) / F.count(F.lit(1)).over(Window.partitionBy())).alias("base"),
+                     (F.lit(limit) % F.count(F.lit(1)).over(Window.partitionBy())).alias("more"))
+    quota = doms.select(domain_col, place.alias("_place"), share.alias("_s")).select(
+        domain_col, (F.col("_s.base") + (F.col("_place") <= F.col("_s.more")).cast("long")).alias("quota"))
+    return ranked.join(quota, domain_col).where(F.col("sample_rank") <= F.col("quota"))
+
+
+def group_sample(star: Star, n_papers: int, seed: int = DEFAULT_SEED, include_orphans: bool = False) -> DataFrame:
+    """The n papers first in seeded-hash order, with all their files (left semi join on the picked papers).
+    Files without a paper are returned only with ``include_orphans``."""
+    f = star.files.join(star.repos.select("repo_id", "paper_id"), "repo_id").select("file_id", "repo_id", "paper_id", "file_path")
+    picked = f.where(F.col("paper_id").isNotNull()).select("paper_id").distinct().orderBy(seeded_hash(seed, "paper_id")).limit(n_papers)
+    out = f.join(picked, "paper_id", "left_semi")
+    return out.unionByName(f.where(F.col("paper_id").isNull())) if include_orphans else out
 
 
 def dedup_ordered(df: DataFrame, key: str | Column, order_col: str, keep: str = "first") -> DataFrame:
@@ -148,7 +148,7 @@ def metric_samples(events: DataFrame) -> DataFrame:
     """Per source (user) counters over time: cumulative samples, purchases (hits) and clicks (queries)."""
     e = events.select("user_id", "ts", "event_id", "event_type", "value")
     return chunked_running_sum(
-        e, ["user_id"], [F.col("ts"), F.col("event_id")], F.date_trunc("hour", "ts"),
+        e, ["user_id"], [F.col("ts"), F.col("event_id")], time_chunks("ts"),
         {"counter": F.lit(1).cast("long"),
          "hits": (F.col("event_type") == "purchase").cast("long"),
          "queries": (F.col("event_type") == "click").cast("long"),
@@ -158,7 +158,7 @@ def metric_samples(events: DataFrame) -> DataFrame:
 def counter_rates(events: DataFrame) -> DataFrame:
     """Counter → delta and rate per source; first sample 0; elapsed ≤ 0 → 0."""
     m = metric_samples(events)
-    lagged = chunked_lag(m, ["user_id"], [F.col("ts"), F.col("event_id")], "ts", F.date_trunc("hour", "ts"), ["counter", "ts"])
+    lagged = chunked_lag(m, ["user_id"], [F.col("ts"), F.col("event_id")], time_chunks("ts"), ["counter", "ts"])
     elapsed = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("prev_ts").cast("timestamp"))) / 1e6
     delta = F.when(F.col("prev_counter").isNull(), F.lit(0)).otherwise(F.col("counter") - F.col("prev_counter"))
     return lagged.select(
@@ -171,7 +171,7 @@ def trailing_metrics(events: DataFrame, w: int = 5) -> DataFrame:
     """W12 + W13: trailing mean of value and rolling hit ratio over the last w samples per source."""
     e = events.select("user_id", "ts", "event_id", "event_type", "value")
     cum = chunked_running_sum(
-        e, ["user_id"], [F.col("ts"), F.col("event_id")], F.date_trunc("hour", "ts"),
+        e, ["user_id"], [F.col("ts"), F.col("event_id")], time_chunks("ts"),
         {"rn": F.lit(1).cast("long"), "c_value": F.round(F.col("value") * 100).cast("long"),
          "c_hits": (F.col("event_type") == "purchase").cast("long"),
          "c_queries": (F.col("event_type") == "click").cast("long")})
@@ -184,21 +184,17 @@ def trailing_metrics(events: DataFrame, w: int = 5) -> DataFrame:
 
 def running_peaks(events: DataFrame) -> DataFrame:
     """Running maximum of value per source, chunked (chunk maxima carried forward)."""
-    d = events.select("user_id", "ts", "event_id", "value").withColumn("_chunk", F.date_trunc("hour", "ts"))
-    cm = d.groupBy("user_id", "_chunk").agg(F.max("value").alias("_cmax"))
-    prior = cm.select("user_id", "_chunk", F.max("_cmax").over(
-        Window.partitionBy("user_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("_prior"))
-    j = d.join(prior, ["user_id", "_chunk"])
-    rw = Window.partitionBy("user_id", "_chunk").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    inchunk = F.max("value").over(rw)
-    return j.select("user_id", "ts", "event_id", "value",
-                    F.when(F.col("_prior").isNull(), inchunk).otherwise(F.greatest(F.col("_prior"), inchunk)).alias("peak_value"))
+    return chunked_running_max(events.select("user_id", "ts", "event_id", "value"), ["user_id"], [F.col("ts"), F.col("event_id")],
+                               time_chunks("ts"), F.col("value"), "peak_value")
 
 
 def line_chunks(docs: DataFrame, size: int = 500, step: int = 400) -> DataFrame:
-    """Overlapping line windows: starts 0, step, 2·step … < n; window [start, min(start+size, n))."""
-    n = F.size(F.split(F.col("text"), "\n", -1)).cast("long")
+    """Overlapping line windows: starts 0, step, 2·step … < n; window [start, min(start+size, n)), with its text."""
+    lines = F.split(F.col("text"), "\n", -1)
+    d = docs.select("doc_id", lines.alias("_lines"))
+    n = F.size("_lines").cast("long")
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0).cast("long")), F.lit(step).cast("long"))
-    x = docs.select("doc_id", n.alias("n_lines"), F.posexplode(starts).alias("chunk_no", "start0"))
-    return x.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), (F.col("start0") + 1).alias("start_line"),
-                    F.least(F.col("start0") + size, F.col("n_lines")).alias("end_line"))
+    x = d.select("doc_id", "_lines", n.alias("_n"), F.posexplode(starts).alias("chunk_no", "_start"))
+    return x.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), (F.col("_start") + 1).alias("start_line"),
+                    F.least(F.col("_start") + size, F.col("_n")).alias("end_line"),
+                    F.array_join(F.slice("_lines", (F.col("_start") + 1).cast("int"), F.lit(size)), "\n").alias("chunk"))

@@ -38,13 +38,21 @@ def rate(num, den) -> F.Column:
 
 # ---------------------------------------------------------------- joins ----
 
-def verified_findings(star: Star, verified_only: bool) -> DataFrame:
-    """Inner join with ``status != 'error'`` when asked; the predicate filters the right side first."""
-    fn = star.findings
-    if not verified_only:
-        return fn
-    ok = star.finding_verifications.where(F.col("status") != "error").select("finding_id")
-    return fn.join(ok, "finding_id", "left_semi")
+def join_verifications(findings: DataFrame, verifications: DataFrame) -> DataFrame:
+    """Findings with their verification as ``v_`` columns, null where pending (left join on the finding)."""
+    v = verifications.select("finding_id", *[F.col(c).alias(f"v_{c}") for c in ("status", "reasoning", "model", "verified_at")])
+    return findings.join(v, "finding_id", "left")
+
+
+def verified_findings(star: Star, verified_only: bool, status: str | None = None) -> DataFrame:
+    """All findings; with ``verified_only`` those with a verification that is no error; or those of one status."""
+    v = F.col("v_status")
+    j = star.judged_findings
+    if status is not None:
+        j = j.where(v == status)
+    elif verified_only:
+        j = j.where(v != "error")
+    return j.drop("v_status", "v_reasoning", "v_model", "v_verified_at")
 
 
 def findings_per_file(star: Star, run_id: int | None = None, verified_only: bool = False) -> DataFrame:
@@ -63,9 +71,9 @@ def analysed_files(star: Star, run_id: int | None = None) -> DataFrame:
         F.coalesce("n_findings", F.lit(0)).alias("n_findings"))
 
 
-def enriched_findings(star: Star, run_id: int | None = None, verified_only: bool = False) -> DataFrame:
+def enriched_findings(star: Star, run_id: int | None = None, verified_only: bool = False, status: str | None = None) -> DataFrame:
     """J1 + J3 (+J4): findings with file, repo and (left) paper columns."""
-    fn = _run(verified_findings(star, verified_only), run_id)
+    fn = _run(verified_findings(star, verified_only, status), run_id)
     fa = star.file_analyses.select("file_analysis_id", "file_id")
     f = star.files.select("file_id", "repo_id", "file_path")
     r = star.repos.select("repo_id", "repo_name", "repo_url", "domain", "paper_id")
@@ -147,12 +155,6 @@ def findings_by_severity(star: Star, run_id: int | None = None) -> DataFrame:
     return _run(star.findings, run_id).groupBy("run_id", "severity").agg(F.count(F.lit(1)).alias("count"))
 
 
-def severity_map(star: Star, run_id: int | None = None) -> DataFrame:
-    """A8 as one map per run (≤ 5 entries per run, bounded)."""
-    g = findings_by_severity(star, run_id).fillna({"severity": "unknown"})
-    return g.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("severity", "count"))).alias("by_severity"))
-
-
 def top_rules(star: Star, run_id: int | None = None, k: int = 10, verified_only: bool = False) -> DataFrame:
     """Top rules with unique files and repos; verified_only switch.
 
@@ -186,17 +188,17 @@ def papers_by_severity(star: Star, run_id: int | None = None, verified_only: boo
 
 
 def findings_distribution(star: Star, run_id: int | None = None, verified_only: bool = False) -> DataFrame:
-    """Findings-per-paper distribution overall and per severity in one grouping-sets pass.
+    """Findings-per-paper distribution overall and per severity in one pass over the findings.
 
     Zero-finding papers are absent (as in the reference); a severity without
     papers reports zeros. Null severity counts only in ``all``.
     """
     ef = enriched_findings(star, run_id, verified_only).where(F.col("paper_id").isNotNull())
     per = ef.groupBy("run_id", "paper_id", "severity").agg(F.count(F.lit(1)).alias("n"))
-    # overall = sum over severities of one paper; per-severity = the cell itself
-    overall = per.groupBy("run_id", "paper_id").agg(F.sum("n").alias("n")).withColumn("scope", F.lit("all"))
-    sev = per.where(F.col("severity").isin(*SEVERITY_ORDER)).select("run_id", "paper_id", "n", F.col("severity").alias("scope"))
-    cells = overall.select("run_id", "scope", "n").unionByName(sev.select("run_id", "scope", "n"))
+    # each (paper, severity) cell counts in "all" and, for a listed severity, in its own scope
+    scope = F.explode(F.array(F.lit("all"), F.when(F.col("severity").isin(*SEVERITY_ORDER), F.col("severity"))))
+    cells = per.select("run_id", "paper_id", "n", scope.alias("scope")).where(F.col("scope").isNotNull())
+    cells = cells.groupBy("run_id", "paper_id", "scope").agg(F.sum("n").alias("n"))
     stats = cells.groupBy("run_id", "scope").agg(
         F.count(F.lit(1)).alias("papers"), F.min("n").alias("min"), F.max("n").alias("max"),
         F.avg("n").alias("mean"),
@@ -213,9 +215,8 @@ def findings_distribution(star: Star, run_id: int | None = None, verified_only:
 
 def verification_by_severity(star: Star, run_id: int | None = None) -> DataFrame:
     """A12 + J5: severity × status with pending (no verification row) and total; error counts in total only."""
-    fn = _run(star.findings, run_id).select("run_id", "finding_id", F.coalesce("severity", F.lit("low")).alias("severity"))
-    j = fn.join(star.finding_verifications.select("finding_id", "status"), "finding_id", "left")
-    st = F.coalesce("status", F.lit("pending"))
+    j = _run(star.judged_findings, run_id).select("run_id", F.coalesce("severity", F.lit("low")).alias("severity"), "v_status")
+    st = F.coalesce("v_status", F.lit("pending"))
     g = j.groupBy("run_id", "severity").agg(
         *[F.count_if(st == s).alias(s) for s in ("valid", "invalid", "uncertain", "pending")],
         F.count(F.lit(1)).alias("total"))
@@ -225,13 +226,20 @@ def verification_by_severity(star: Star, run_id: int | None = None) -> DataFrame
         "run_id", "severity", *[F.coalesce(c, F.lit(0)).alias(c) for c in cols])
 
 
+def _judged(star: Star, run_id: int | None) -> DataFrame:
+    return _run(star.judged_findings, run_id).where(F.col("v_status").isNotNull())
+
+
+def _status_counts(*statuses: str) -> list[F.Column]:
+    return [F.count_if(F.col("v_status") == s).alias(s) for s in statuses]
+
+
 def verification_summary(star: Star, run_id: int | None = None) -> DataFrame:
     """Counts by status, precision with uncertain in the denominator, last verification and its model."""
-    fv = star.finding_verifications.join(_run(star.findings, run_id).select("finding_id", "run_id"), "finding_id")
-    g = fv.groupBy("run_id").agg(
-        *[F.count_if(F.col("status") == s).alias(s) for s in ("valid", "invalid", "uncertain", "error")],
-        F.max("verified_at").alias("verified_at"),
-        F.max_by("model", F.struct("verified_at", "model")).alias("model"))
+    g = _judged(star, run_id).groupBy("run_id").agg(
+        *_status_counts("valid", "invalid", "uncertain", "error"),
+        F.max("v_verified_at").alias("verified_at"),
+        F.max_by("v_model", F.struct("v_verified_at", "v_model")).alias("model"))
     tot = F.col("valid") + F.col("invalid") + F.col("uncertain")
     return g.select("run_id", "valid", "invalid", "uncertain", "error", tot.alias("total_verified"),
                     rate(F.col("valid"), tot).alias("precision"), "verified_at", "model")
@@ -239,10 +247,8 @@ def verification_summary(star: Star, run_id: int | None = None) -> DataFrame:
 
 def precision_by(star: Star, dim: str, run_id: int | None = None) -> DataFrame:
     """valid/invalid/uncertain per category or severity, precision rounded half-even to an integer."""
-    fn = _run(star.findings, run_id)
     key = F.coalesce(dim, F.lit("low")) if dim == "severity" else F.col(dim)
-    j = fn.select("run_id", "finding_id", key.alias(dim)).join(star.finding_verifications.select("finding_id", "status"), "finding_id")
-    g = j.groupBy("run_id", dim).agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("valid", "invalid", "uncertain")])
+    g = _judged(star, run_id).groupBy("run_id", key.alias(dim)).agg(*_status_counts("valid", "invalid", "uncertain"))
     tot = F.col("valid") + F.col("invalid") + F.col("uncertain")
     prec = F.when(tot > 0, F.bround(F.col("valid") / tot * 100.0, 0)).otherwise(F.lit(0.0)).cast("long")
     return g.select("run_id", dim, "valid", "invalid", "uncertain", tot.alias("total"), prec.alias("precision"))
@@ -256,14 +262,10 @@ def rule_error_profile(star: Star, run_id: int | None = None, min_invalid: int =
     put an unbounded list in one row); ``rule_error_reasonings`` returns them
     as rows for the kept rules.
     """
-    fn = _run(star.findings, run_id)
+    fn = _judged(star, run_id)
     if patterns:
         fn = fn.where(F.col("pattern_id").isin(*patterns))
-    j = fn.select("run_id", "finding_id", "pattern_id", "category").join(
-        star.finding_verifications.select("finding_id", "status"), "finding_id")
-    g = j.groupBy("run_id", "pattern_id", "category").agg(
-        *[F.count_if(F.col("status") == s).alias(s) for s in ("valid", "invalid", "uncertain")],
-        F.count(F.lit(1)).alias("total"))
+    g = fn.groupBy("run_id", "pattern_id", "category").agg(*_status_counts("valid", "invalid", "uncertain"), F.count(F.lit(1)).alias("total"))
     ev = F.col("valid") + F.col("invalid")
     return g.where(F.col("invalid") >= min_invalid).select(
         "run_id", "pattern_id", "category", "valid", "invalid", "uncertain", "total",
@@ -273,9 +275,9 @@ def rule_error_profile(star: Star, run_id: int | None = None, min_invalid: int =
 def rule_error_reasonings(star: Star, run_id: int | None = None, min_invalid: int = 1) -> DataFrame:
     """Companion of A15: (rule, status, reasoning) rows for the profiled rules, valid and invalid only."""
     prof = rule_error_profile(star, run_id, min_invalid).select("run_id", "pattern_id")
-    fn = _run(star.findings, run_id).select("run_id", "finding_id", "pattern_id")
-    fv = star.finding_verifications.where(F.col("status").isin("valid", "invalid") & (F.col("reasoning") != ""))
-    return fn.join(prof, ["run_id", "pattern_id"], "left_semi").join(fv.select("finding_id", "status", "reasoning"), "finding_id")
+    fn = _judged(star, run_id).where(F.col("v_status").isin("valid", "invalid") & (F.col("v_reasoning") != ""))
+    kept = fn.join(F.broadcast(prof), ["run_id", "pattern_id"], "left_semi")  # at most runs x rules rows
+    return kept.select("run_id", "finding_id", "pattern_id", F.col("v_status").alias("status"), F.col("v_reasoning").alias("reasoning"))
 
 
 def scan_statistics(star: Star) -> DataFrame:
@@ -353,13 +355,20 @@ def nested_results(star: Star, run_id: int | None = None) -> DataFrame:
         F.coalesce("findings", F.array().cast(per.schema["findings"].dataType)).alias("findings"))
 
 
-def nested_results_by_rule(results: DataFrame) -> DataFrame:
-    """Explode findings of successful results; counts per rule with distinct files and repos."""
+def nested_results_by(results: DataFrame, *dims: str) -> DataFrame:
+    """Explode findings of successful results; per rule, category or domain the findings, distinct files, repos
+    and papers, and the share of all findings of the run."""
     ex = results.where(F.col("status") == "success").select(
-        "run_id", "file_analysis_id", "repo_id", "paper_id", F.explode("findings").alias("f"))
-    # (run, rule, file) grain first: one finding per rule and file, so files = rows at that grain
-    per = ex.groupBy("run_id", F.col("f.pattern_id").alias("pattern_id"), "file_analysis_id", "repo_id").agg(
-        F.min("f.category").alias("category"), F.count(F.lit(1)).alias("n"))
-    return per.groupBy("run_id", "pattern_id").agg(
-        F.min("category").alias("category"), F.sum("n").alias("findings"), F.count(F.lit(1)).alias("files"),
-        F.count_distinct("repo_id").alias("repos"))
+        "run_id", "file_analysis_id", "repo_id", "paper_id", F.coalesce("domain", F.lit("unknown")).alias("domain"), F.inline("findings"))
+    # (run, dims, file) grain first: files = rows at that grain
+    per = ex.groupBy("run_id", *dims, "file_analysis_id", "repo_id", "paper_id").agg(F.count(F.lit(1)).alias("n"))
+    by_repo = per.groupBy("run_id", *dims, "repo_id", "paper_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("files"))
+    g = by_repo.groupBy("run_id", *dims).agg(F.sum("n").alias("findings"), F.sum("files").alias("files"), F.count(F.lit(1)).alias("repos"),
+                                             F.count_distinct("paper_id").alias("papers"))
+    share = F.lit(100.0) * F.col("findings") / F.sum("findings").over(Window.partitionBy("run_id"))  # over the grouped table
+    return g.select("*", share.alias("pct"))
+
+
+def freshness(entries: DataFrame, fetched_at: str, as_of, days: int = 7) -> DataFrame:
+    """Whether an entry was fetched less than ``days`` before ``as_of``."""
+    return entries.select("*", (F.col(fetched_at) > as_of - F.make_dt_interval(F.lit(days))).alias("fresh"))

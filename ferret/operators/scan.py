@@ -1,11 +1,9 @@
 """Rule catalog and the rule scan.
 
-The scan keeps one document row per scorer call with the whole (bounded) rule
-catalog in the task closure — the Spark analogue of the reference's shared
-prompt prefix — and explodes to (document, rule) rows only on output, so the
-document text is never replicated 66 times through a shuffle. The scorer is
-pluggable: any function ``(pandas.DataFrame[doc_id, text], rules) -> rows``.
-Cheap filters stay as DataFrame filters *below* ``mapInPandas``.
+Each document row meets the whole (bounded) rule catalogue as one array — the Spark analogue of the reference's
+shared prompt prefix — and is exploded to (document, rule) rows only on output, so no text is ever replicated through
+a shuffle. The default scorer is a built-in expression; a plugged scorer ``(pandas.DataFrame[doc_id, text], rules) ->
+rows`` runs in ``mapInPandas``. Filters on rules and documents belong below the scan.
 """
 
 from __future__ import annotations
@@ -18,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ferret.functions.text import utf8
 from ferret.plans.star import Star
 
 RULE_RUN_SCHEMA = T.StructType([
@@ -57,75 +56,64 @@ def select_rules(rules: DataFrame, severities: list[str] | None = None, ids: lis
 
 
 def parse_rule_toml(path: str, content: str) -> dict | None:
-    """S7 helper: one rule definition; a bad file yields None (logged and skipped by the caller)."""
+    """S7 helper: one rule definition; a bad file yields None (the caller reports it)."""
     try:
         d = tomllib.loads(content)
         meta = d.get("meta", d)
         return {"id": meta["id"], "name": meta.get("name"), "category": meta.get("category"),
                 "severity": meta.get("severity"), "question": d.get("detection", {}).get("question"),
                 "tags": list(meta.get("tags", [])), "path": path}
-    except Exception:
+    except (tomllib.TOMLDecodeError, KeyError, AttributeError, TypeError):
         return None
 
 
-def load_rule_catalog(spark, directory: str) -> DataFrame:
-    """Directory of rule definitions → rule table (bad files skipped), via binaryFile + mapInPandas."""
+def load_rule_catalog(spark, directory: str) -> tuple[DataFrame, DataFrame]:
+    """Directory of rule definitions → (rule table, paths of files that could not be parsed)."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", "*.toml").load(directory).select("path", F.decode("content", "utf-8").alias("content")))
+             .option("pathGlobFilter", "*.toml").load(directory).select("path", utf8(F.col("content")).alias("content")))
     schema = "id string, name string, category string, severity string, question string, tags array<string>, path string"
+    names = ["id", "name", "category", "severity", "question", "tags", "path"]
 
     def parse(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            rows = [r for r in (parse_rule_toml(p, c) for p, c in zip(pdf["path"], pdf["content"])) if r]
-            yield pd.DataFrame(rows, columns=["id", "name", "category", "severity", "question", "tags", "path"])
-    return files.mapInPandas(parse, schema)
+            rows = [parse_rule_toml(p, c) or {"path": p} for p, c in zip(pdf["path"], pdf["content"])]
+            yield pd.DataFrame(rows, columns=names)
+    parsed = files.mapInPandas(parse, schema)
+    return parsed.where(F.col("id").isNotNull()), parsed.where(F.col("id").isNull()).select("path")
 
 
 Scorer = Callable[[pd.DataFrame, list[dict]], pd.DataFrame]
 
 
-def count_scorer(max_tokens: int = 12000) -> Scorer:
-    """Default deterministic scorer: occurrences of the rule pattern in the lower-cased text.
-    confidence = min(0.5 + 0.05·n, 0.99); yes ≥ 0.7, context-dependent ≥ 0.6; texts over the
-    token budget (len // 4) fail with ``context_length``."""
-
-    def score(pdf: pd.DataFrame, rules: list[dict]) -> pd.DataFrame:
-        out = {k: [] for k in ("doc_id", "rule_no", "pattern_id", "status", "detected", "confidence", "n_matches")}
-        for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-            text = text or ""
-            too_long = len(text) // 4 > max_tokens
-            low = text.lower()
-            for r in rules:
-                out["doc_id"].append(doc_id)
-                out["rule_no"].append(r["rule_no"])
-                out["pattern_id"].append(r["pattern_id"])
-                if too_long:
-                    out["status"].append("context_length")
-                    out["detected"].append(None)
-                    out["confidence"].append(None)
-                    out["n_matches"].append(None)
-                    continue
-                n = low.count(r["pattern"])
-                conf = min(0.5 + 0.05 * n, 0.99)
-                out["status"].append("success")
-                out["detected"].append("yes" if conf >= 0.7 else "context-dependent" if conf >= 0.6 else "no")
-                out["confidence"].append(conf)
-                out["n_matches"].append(n)
-        return pd.DataFrame(out)
-    return score
+def catalogue_array(rules: DataFrame) -> DataFrame:
+    """The rule catalogue as one row: an array in rule order. It is a bounded configuration table."""
+    return rules.agg(F.sort_array(F.collect_list(F.struct("rule_no", "pattern_id", "pattern"))).alias("_catalogue"))
 
 
 def rule_scan(docs: DataFrame, rules: DataFrame, scorer: Scorer | None = None) -> DataFrame:
-    """T16 + J10: every document × every selected rule through the scorer, one row per pair."""
-    scorer = scorer or count_scorer()
-    # the rule catalog is a small, bounded configuration table (66 rules): shipped in the closure
-    catalog = [r.asDict() for r in rules.select("rule_no", "pattern_id", "pattern").collect()]
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            res = scorer(pdf, catalog)
-            yield res.astype({"doc_id": "int64", "rule_no": "int64"})
-    return docs.select("doc_id", "text").mapInPandas(run, RULE_RUN_SCHEMA)
+    """T16 + J10: every document × every selected rule, one row per pair.
+
+    Default scorer: occurrences of the rule's pattern in the lower-cased text (non-overlapping);
+    confidence = min(0.5 + 0.05·n, 0.99); yes ≥ 0.7, context-dependent ≥ 0.6. It never fails; statuses such as
+    ``timeout`` or ``context_length`` come from plugged scorers.
+    """
+    both = docs.select("doc_id", "text").crossJoin(F.broadcast(catalogue_array(rules)))  # one row
+    if scorer is not None:
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                if len(pdf):
+                    yield scorer(pdf[["doc_id", "text"]], list(pdf["_catalogue"].iloc[0])).astype({"doc_id": "int64", "rule_no": "int64"})
+        return both.mapInPandas(run, RULE_RUN_SCHEMA)
+    low = both.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("_low"), "_catalogue")
+    hits = F.transform("_catalogue", lambda r: F.struct(
+        r["rule_no"].alias("rule_no"), r["pattern_id"].alias("pattern_id"),
+        F.when(F.length(r["pattern"]) > 0, ((F.length("_low") - F.length(F.replace(F.col("_low"), r["pattern"], F.lit("")))) / F.length(r["pattern"])).cast("long"))
+        .otherwise(F.lit(0)).alias("n_matches")))
+    x = low.select("doc_id", F.inline(hits))
+    conf = F.least(F.lit(0.5) + F.lit(0.05) * F.col("n_matches"), F.lit(0.99))
+    return x.select("doc_id", "rule_no", "pattern_id", F.lit("success").alias("status"),
+                    F.when(conf >= 0.7, "yes").when(conf >= 0.6, "context-dependent").otherwise("no").alias("detected"),
+                    conf.alias("confidence"), "n_matches")
 
 
 def scan_findings(rule_runs: DataFrame, min_confidence: float = 0.7) -> DataFrame:
@@ -139,3 +127,16 @@ def file_status(rule_runs: DataFrame) -> DataFrame:
     g = rule_runs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rules"),
                                         F.count_if(F.col("status") == "success").alias("succeeded"))
     return g.select("doc_id", "rules", "succeeded", (F.col("succeeded") == 0).alias("failed"))
+
+
+def failed_runs(rule_runs: DataFrame, statuses: list[str]) -> DataFrame:
+    """The rule runs to repeat."""
+    return rule_runs.where(F.col("status").isin(*statuses))
+
+
+def rescan(failed: DataFrame, docs: DataFrame, rules: DataFrame, scorer: Scorer | None = None) -> DataFrame:
+    """Run the failed (file, rule) pairs again and return their new status, detected and confidence by
+    pattern_run_id. ``docs``: doc_id (the file) and text of the files to read; only their failed rules count."""
+    again = rule_scan(docs, rules, scorer).select(F.col("doc_id").alias("file_analysis_id"), "rule_no", "status", "detected", "confidence")
+    return failed.select("pattern_run_id", "file_analysis_id", "rule_no").join(again, ["file_analysis_id", "rule_no"]).select(
+        "pattern_run_id", "status", "detected", "confidence")

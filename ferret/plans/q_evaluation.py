@@ -9,7 +9,8 @@ from ferret.operators import evaluation as E
 from ferret.operators import ranking as W
 from ferret.operators import report as R
 from ferret.plans.catalog import register
-from ferret.plans.q_corpus import _SCAN_RUNS, _rule_runs
+from ferret.operators import scan as S
+from ferret.plans.q_corpus import _SCAN_RUNS
 from ferret.plans.star import Star
 from ferret.plans.star_sql import with_star
 from ferret.sources.tables import Tables
@@ -43,9 +44,9 @@ def q_direct_outcomes(spark, d):
 _G = """
 g AS (SELECT run_id, pattern_id, count(*) AS n,
              count(*) FILTER (WHERE test_type = 'positive') AS n_pos,
-             count(*) FILTER (WHERE test_type = 'positive' AND passed) AS pos_pass,
+             count(*) FILTER (WHERE test_type = 'positive' AND judge_verdict = 'yes') AS pos_ok,
              count(*) FILTER (WHERE test_type = 'negative') AS n_neg,
-             count(*) FILTER (WHERE test_type = 'negative' AND passed) AS neg_pass,
+             count(*) FILTER (WHERE test_type = 'negative' AND judge_verdict = 'yes') AS neg_ok,
              count(*) FILTER (WHERE test_type = 'context_dependent') AS n_ctx,
              count(*) FILTER (WHERE test_type = 'context_dependent' AND judge_verdict IN ('yes','partial')) AS ctx_ok,
              count(*) FILTER (WHERE judge_verdict = 'yes') AS yes, count(*) FILTER (WHERE judge_verdict = 'partial') AS partial,
@@ -55,8 +56,8 @@ g AS (SELECT run_id, pattern_id, count(*) AS n,
 _RULE_EVAL = f"""
 WITH {_OUT},{_G}
 SELECT run_id, pattern_id, n,
-       CASE WHEN n_pos > 0 THEN CAST(pos_pass AS DOUBLE) / n_pos ELSE 0.0 END AS positive_accuracy,
-       CASE WHEN n_neg > 0 THEN CAST(neg_pass AS DOUBLE) / n_neg ELSE 0.0 END AS negative_accuracy,
+       CASE WHEN n_pos > 0 THEN CAST(pos_ok AS DOUBLE) / n_pos ELSE 0.0 END AS positive_accuracy,
+       CASE WHEN n_neg > 0 THEN CAST(neg_ok AS DOUBLE) / n_neg ELSE 0.0 END AS negative_accuracy,
        CASE WHEN n_ctx > 0 THEN CAST(ctx_ok AS DOUBLE) / n_ctx ELSE 1.0 END AS context_accuracy,
        (yes + partial * 0.5) / n AS overall_accuracy, focus_eligible, focus_ok,
        CASE WHEN focus_eligible > 0 THEN CAST(focus_ok AS DOUBLE) / focus_eligible ELSE 0.0 END AS focus_accuracy
@@ -101,40 +102,57 @@ def q_overall_metrics(spark, d):
 
 
 @register("cross_run_variance", "A29", with_star("""
-WITH per AS (SELECT pattern_id, run_id, CAST(count(*) FILTER (WHERE judge_verdict = 'yes') AS DOUBLE) / count(*) AS acc
-             FROM test_results GROUP BY 1, 2),
+WITH per AS (SELECT pattern_id, run_id, avg(CASE judge_verdict WHEN 'yes' THEN 1.0 WHEN 'partial' THEN 0.5 ELSE 0.0 END) AS acc
+             FROM test_results GROUP BY pattern_id, run_id),
 g AS (SELECT pattern_id, count(*) AS runs, avg(acc) AS mean, stddev_samp(acc) AS stdev, min(acc) AS min, max(acc) AS max
       FROM per GROUP BY 1 HAVING count(*) >= 2)
-SELECT pattern_id, runs, mean, round(stdev, 9) AS stdev, min, max, max - min AS range,
-       (max - min) > 0.10 OR stdev > 0.05 AS unstable FROM g"""))
+SELECT pattern_id, runs, round(mean, 9) AS mean, round(stdev, 9) AS stdev, round(min, 9) AS min, round(max, 9) AS max, round(max - min, 9) AS range,
+       round(max - min, 9) > 0.10 OR round(stdev, 9) > 0.05 AS unstable FROM g"""))
 def q_cross_run_variance(spark, d):
-    v = E.cross_run_variance(Star(spark, d).test_results)
-    return v.select("pattern_id", "runs", "mean", F.round("stdev", 9).alias("stdev"), "min", "max", "range", "unstable")
+    v = E.cross_run_variance(E.rule_evaluation(_outcomes(spark, d)))
+    r = lambda c: F.round(c, 9).alias(c)
+    return v.select("pattern_id", "runs", r("mean"), r("stdev"), r("min"), r("max"), r("range"), "unstable")
+
+
+@register("overall_variance", "A29", with_star("""
+WITH per AS (SELECT run_id, avg(CASE WHEN judge_verdict = 'yes' THEN 1.0 ELSE 0.0 END) AS acc FROM test_results GROUP BY run_id)
+SELECT count(*) AS num_runs, round(avg(acc), 9) AS overall_mean_accuracy, round(coalesce(stddev_samp(acc), 0), 9) AS overall_stdev FROM per"""))
+def q_overall_variance(spark, d):
+    v = E.overall_variance(Star(spark, d).test_results)
+    return v.select("num_runs", F.round("overall_mean_accuracy", 9).alias("overall_mean_accuracy"), F.round("overall_stdev", 9).alias("overall_stdev"))
 
 
 LABEL_RULES = {"quality": ["r00", "r01", "r02"], "toxic": ["r03", "r04", "r05"]}
 
 _CONF = f"""
-rr AS ({_SCAN_RUNS}),
+rr AS (SELECT doc_id, pattern_id, detected, confidence, status FROM ({_SCAN_RUNS}) s),
 m AS (SELECT * FROM (VALUES ('quality','r00'), ('quality','r01'), ('quality','r02'),
                             ('toxic','r03'), ('toxic','r04'), ('toxic','r05')) t(label, pattern_id)),
-per AS (SELECT rr.doc_id, m.label,
-               bool_or(rr.status = 'success' AND rr.detected IN ('yes','context-dependent') AND rr.confidence >= 0.7) AS detected,
-               bool_or(rr.status <> 'success') AS failed
-        FROM rr JOIN m ON m.pattern_id = rr.pattern_id GROUP BY 1, 2),
-truth AS (SELECT doc_id, 'quality' AS label, quality = 1 AS truth FROM labels
-          UNION ALL SELECT doc_id, 'toxic', toxic = 1 FROM labels),
-c AS (SELECT t.label, count(*) AS n, count(*) FILTER (WHERE detected AND truth) AS tp,
-             count(*) FILTER (WHERE detected AND NOT truth) AS fp, count(*) FILTER (WHERE NOT detected AND truth) AS fn,
-             count(*) FILTER (WHERE NOT detected AND NOT truth) AS tn
-      FROM truth t JOIN per p ON p.doc_id = t.doc_id AND p.label = t.label WHERE NOT failed GROUP BY t.label)"""
+hit AS (SELECT DISTINCT rr.doc_id, m.label FROM rr, m WHERE m.pattern_id = rr.pattern_id
+          AND rr.status = 'success' AND rr.detected IN ('yes','context-dependent') AND rr.confidence >= 0.7),
+lost AS (SELECT DISTINCT rr.doc_id, m.label FROM rr, m WHERE m.pattern_id = rr.pattern_id AND rr.status = 'timeout'),
+truth AS (SELECT l.doc_id, x.label, CASE x.label WHEN 'quality' THEN quality ELSE toxic END = 1 AS truth
+          FROM labels l, (SELECT DISTINCT label FROM m) x),
+state AS (SELECT t.label, t.truth, EXISTS (SELECT 1 FROM hit h WHERE h.doc_id = t.doc_id AND h.label = t.label) AS detected,
+                 CASE WHEN t.doc_id NOT IN (SELECT doc_id FROM rr) THEN 'unscanned'
+                      WHEN EXISTS (SELECT 1 FROM lost o WHERE o.doc_id = t.doc_id AND o.label = t.label) THEN 'excluded' ELSE 'known' END AS kind
+          FROM truth t),
+c AS (SELECT label, count(*) FILTER (kind = 'known') AS n, count(*) FILTER (kind = 'known' AND detected AND truth) AS tp,
+             count(*) FILTER (kind = 'known' AND detected AND NOT truth) AS fp, count(*) FILTER (kind = 'known' AND NOT detected AND truth) AS fn,
+             count(*) FILTER (kind = 'known' AND NOT detected AND NOT truth) AS tn,
+             count(*) FILTER (kind = 'excluded') AS excluded, count(*) FILTER (kind = 'unscanned') AS unscanned
+      FROM state GROUP BY label)"""
 
 
 def _confusion(spark, d):
-    return E.confusion_by_label(_rule_runs(spark, d), Tables(spark, d).labels, LABEL_RULES)
+    t, mapped = Tables(spark, d), sorted({r for v in LABEL_RULES.values() for r in v})
+    # only the mapped rules, on labelled documents: both filters stand below the scan
+    docs = t.documents.join(t.labels.select("doc_id"), "doc_id", "left_semi")
+    rules = S.select_rules(S.rule_catalog(Star(spark, d)), ids=mapped)
+    return E.confusion_by_label(S.rule_scan(docs, rules), t.labels, LABEL_RULES)
 
 
-@register("label_confusion", "A24 T16", with_star("WITH " + _CONF.strip() + "\nSELECT * FROM c"))
+@register("label_confusion", "A24 T16", with_star("WITH " + _CONF.strip() + "\nSELECT label, n, tp, fp, fn, tn, excluded, unscanned FROM c"))
 def q_label_confusion(spark, d):
     return _confusion(spark, d)
 
@@ -168,9 +186,8 @@ SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precis
 def q_scenario_scoring(spark, d):
     s = Star(spark, d)
     expected = s.test_results.where(F.col("test_type") == "positive").select("run_id", F.col("test_id").alias("k"))
-    found = s.findings.select("run_id", F.col("finding_id").alias("k"))
-    valid = s.finding_verifications.where(F.col("status") == "valid").select(F.col("finding_id").alias("k"))
-    return E.scenario_scoring(expected, found, "k", valid)
+    found = s.judged_findings.select("run_id", F.col("finding_id").alias("k"), (F.col("v_status") == "valid").alias("valid"))
+    return E.scenario_scoring(expected, found, "k")
 
 
 @register("precision_progression", "A31 A13", with_star("""
@@ -231,6 +248,64 @@ g AS (SELECT user_id, arg_min(counter, ts) AS c0, arg_max(counter, ts) AS c1, ar
              arg_min(queries, ts) AS q0, arg_max(queries, ts) AS q1, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS el
       FROM m GROUP BY 1)
 SELECT user_id, c1 - c0 AS requests, el AS elapsed_s, CASE WHEN el > 0 THEN (c1 - c0) / el ELSE 0.0 END AS throughput,
-       CASE WHEN q1 - q0 > 0 THEN CAST(h1 - h0 AS DOUBLE) / (q1 - q0) ELSE 0.0 END AS hit_rate FROM g""")
+       CASE WHEN c1 - c0 > 0 THEN el / (c1 - c0) ELSE 0.0 END AS latency_s,
+       CASE WHEN q1 - q0 > 0 THEN CAST(h1 - h0 AS DOUBLE) / (q1 - q0) ELSE 0.0 END AS hit_rate,
+       CASE WHEN c1 - c0 > 0 THEN CAST(h1 - h0 AS DOUBLE) / (c1 - c0) ELSE 0.0 END AS hits_per_request,
+       CASE WHEN c1 - c0 > 0 THEN CAST(q1 - q0 AS DOUBLE) / (c1 - c0) ELSE 0.0 END AS queries_per_request FROM g""")
 def q_snapshot_deltas(spark, d):
     return E.snapshot_deltas(W.metric_samples(Tables(spark, d).events))
+
+
+@register("generalisation_gap", "A31", with_star("""
+WITH v AS (SELECT fv.status, fn.run_id >= 6 AS held FROM finding_verifications fv, findings fn
+           WHERE fn.finding_id = fv.finding_id AND fv.status <> 'error'),
+c AS (SELECT sum(CASE WHEN status = 'valid' AND NOT held THEN 1 ELSE 0 END)::BIGINT AS feedback_valid, sum(CASE WHEN held THEN 0 ELSE 1 END)::BIGINT AS feedback_total,
+             sum(CASE WHEN status = 'valid' AND held THEN 1 ELSE 0 END)::BIGINT AS holdout_valid, sum(CASE WHEN held THEN 1 ELSE 0 END)::BIGINT AS holdout_total FROM v),
+p AS (SELECT *, CASE WHEN feedback_total > 0 THEN 100.0 * feedback_valid::DOUBLE / feedback_total ELSE 0 END AS feedback_precision,
+             CASE WHEN holdout_total > 0 THEN 100.0 * holdout_valid::DOUBLE / holdout_total ELSE 0 END AS holdout_precision FROM c)
+SELECT *, feedback_precision - holdout_precision AS gap FROM p"""))
+def q_generalisation_gap(spark, d):
+    v = Star(spark, d).judged_findings.select("run_id", F.col("v_status").alias("status"))
+    return E.generalisation_gap(v, F.col("run_id") >= 6)
+
+
+@register("timing_summary", "A34", with_star("""
+WITH t AS (SELECT f.is_notebook, fa.run_id AS size, fa.duration_seconds::DECIMAL(18, 3) AS s FROM file_analyses fa JOIN files f USING (file_id))
+SELECT is_notebook, size, count(*) AS runs, round(avg(s)::DECIMAL(18, 9), 2)::DOUBLE AS mean_seconds, round(min(s), 2)::DOUBLE AS min_seconds,
+       round(max(s), 2)::DOUBLE AS max_seconds, CASE WHEN count(*) > 1 THEN round(max(s) - min(s), 2)::DOUBLE END AS spread_seconds
+FROM t GROUP BY is_notebook, size"""))
+def q_timing_summary(spark, d):
+    s = Star(spark, d)
+    t = s.file_analyses.join(s.files.select("file_id", "is_notebook"), "file_id").withColumnRenamed("run_id", "size")
+    return E.timing_summary(t, "is_notebook", "size", "duration_seconds")
+
+
+@register("scaling_verdict", "A34", with_star("""
+WITH band AS (SELECT f.line_count // 100 AS k, (f.line_count // 100) * 100 + 50 AS lines, fa.duration_seconds AS s FROM file_analyses fa JOIN files f USING (file_id)),
+t AS (SELECT k, lines, round(avg(s), 2) AS m FROM band GROUP BY k, lines),
+e AS (SELECT (SELECT m FROM t ORDER BY lines LIMIT 1) AS m0, (SELECT m FROM t ORDER BY lines DESC LIMIT 1) AS m1, min(lines) AS l0, max(lines) AS l1 FROM t HAVING count(*) >= 2),
+r AS (SELECT l0 AS smallest, l1 AS largest, CASE WHEN m0 > 0 THEN m1 / m0 ELSE 0 END AS time_ratio, l1::DOUBLE / l0 AS size_ratio FROM e)
+SELECT *, CASE WHEN time_ratio < size_ratio * 0.8 THEN 'Sub-linear' WHEN time_ratio < size_ratio * 1.2 THEN 'Roughly linear' ELSE 'Super-linear' END AS scaling FROM r"""))
+def q_scaling_verdict(spark, d):
+    s = Star(spark, d)
+    band = F.floor(F.col("line_count") / 100)
+    t = s.file_analyses.join(s.files.select("file_id", band.alias("k"), (band * 100 + 50).alias("lines")), "file_id")
+    return E.scaling_verdict(E.timing_summary(t, "k", "lines", "duration_seconds"), "k", "lines")
+
+
+@register("monitor_gauges", "A39", """
+WITH t AS (SELECT user_id, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors,
+                  count(*) FILTER (event_type = 'purchase' AND event_id % 4 = 0) AS hits, count(*) FILTER (event_type = 'purchase') AS queries
+           FROM events GROUP BY user_id),
+s AS (SELECT user_id, requests, errors::DOUBLE / requests AS e, CASE WHEN queries > 0 THEN hits::DOUBLE / queries END AS h FROM t)
+SELECT user_id, requests, e AS error_share,
+       '[' || repeat('█', CAST(floor(e * 30) AS INTEGER)) || repeat('░', 30 - CAST(floor(e * 30) AS INTEGER)) || '] ' || printf('%5.1f%%', e * 100.0) AS error_bar,
+       CASE WHEN e < 0.6 THEN 'green' WHEN e < 0.85 THEN 'yellow' ELSE 'red' END AS error_band, h AS hit_rate,
+       CASE WHEN h > 0.3 THEN 'green' WHEN h > 0.1 THEN 'yellow' WHEN h IS NOT NULL THEN 'dim' END AS hit_band
+FROM s""")
+def q_monitor_gauges(spark, d):
+    t = F.col("event_type")
+    g = Tables(spark, d).events.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if(t == "error").alias("errors"),
+        F.count_if((t == "purchase") & (F.col("event_id") % 4 == 0)).alias("hits"), F.count_if(t == "purchase").alias("queries"))
+    return E.monitor_gauges(g, "user_id")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ferret.functions import text as X
 from ferret.operators import maintenance as U
+from ferret.operators import report as R
+from ferret.operators import scan as S
 from ferret.plans.catalog import register
 from ferret.plans.star import Star
 from ferret.plans.star_sql import with_star
@@ -27,58 +29,70 @@ def q_exclusion_union(spark, d):
     return U.exclude(s.papers, ex, "paper_id").select("paper_id", "title")
 
 
-@register("declared_vs_present", "U2", with_star("""
-SELECT coalesce(d.pattern_id, p.pattern_id) AS pattern_id,
-       CASE WHEN p.pattern_id IS NULL THEN 'declared_only' ELSE 'present_only' END AS side
-FROM (SELECT DISTINCT pattern_id FROM rules) d
-FULL JOIN (SELECT DISTINCT pattern_id FROM findings WHERE severity IS NOT NULL AND category <> 'ai-inference') p
-  ON p.pattern_id = d.pattern_id
-WHERE d.pattern_id IS NULL OR p.pattern_id IS NULL"""))
+# documents that declare a label against pages that are present, by number: each side has some the other lacks
+@register("declared_vs_present", "U2", """
+SELECT id, 'declared_only' AS side FROM (SELECT doc_id AS id FROM labels EXCEPT SELECT page_id FROM pages) a
+UNION ALL SELECT id, 'present_only' FROM (SELECT page_id AS id FROM pages EXCEPT SELECT doc_id FROM labels) b""")
 def q_declared_vs_present(spark, d):
-    s = Star(spark, d)
-    present = s.findings.where(F.col("severity").isNotNull() & (F.col("category") != "ai-inference"))
-    return U.declared_vs_present(s.rules, present, "pattern_id")
+    t = Tables(spark, d)
+    return U.declared_vs_present(t.labels.select(F.col("doc_id").alias("id")), t.pages.select(F.col("page_id").alias("id")), "id")
 
 
 @register("insert_if_absent", "U3 P1", with_star(r"""
 WITH inc AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '/+$', ''), '\.git$', '') AS repo_url FROM pages),
 new AS (SELECT repo_url FROM inc WHERE repo_url NOT IN (SELECT repo_url FROM repos))
-SELECT (SELECT coalesce(max(repo_id), 0) FROM repos) + row_number() OVER (ORDER BY repo_url) AS repo_id, repo_url FROM new"""))
+SELECT (SELECT coalesce(max(repo_id), 0) FROM repos) + row_number() OVER (ORDER BY md5(repo_url), repo_url) AS repo_id, repo_url FROM new"""))
 def q_insert_if_absent(spark, d):
     s = Star(spark, d)
     inc = Tables(spark, d).pages.select(X.normalize_github_url("url").alias("repo_url"))
     return U.insert_if_absent(s.repos, inc, "repo_url", "repo_id")
 
 
-_UPD = """SELECT finding_id, 'valid' AS status, 'recheck' AS reasoning, 'm9' AS model,
-       verified_at + INTERVAL 1 DAY AS verified_at
-FROM finding_verifications WHERE status = 'uncertain'"""
+# a second verifier's answers for the uncertain findings: texts whose first line is read as P19 does
+_ANSWER = "CASE rule_no % 3 WHEN 0 THEN 'VALID: line ' || focus_line WHEN 1 THEN 'INVALID: line ' || focus_line ELSE 'Cannot say' || chr(10) || 'more' END"
+_UPD = f"""SELECT v.finding_id, CASE rule_no % 3 WHEN 0 THEN 'valid' WHEN 1 THEN 'invalid' ELSE 'uncertain' END AS status,
+       CASE rule_no % 3 WHEN 2 THEN 'more' ELSE 'line ' || focus_line END AS reasoning, 'm9' AS model, verified_at
+FROM finding_verifications v JOIN findings f ON f.finding_id = v.finding_id WHERE v.status = 'uncertain'"""
 
 
 @register("upsert_verifications", "U4 T18", with_star(f"""
-SELECT finding_id, status, reasoning, model, verified_at FROM (
-  SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY verified_at DESC, status DESC, reasoning DESC, model DESC) AS rn
-  FROM (SELECT finding_id, status, reasoning, model, verified_at FROM finding_verifications UNION ALL {_UPD}) u) x
-WHERE rn = 1"""))
+WITH upd AS ({_UPD})
+SELECT * FROM upd
+UNION ALL SELECT finding_id, status, reasoning, model, verified_at FROM finding_verifications o
+          WHERE NOT EXISTS (SELECT 1 FROM upd WHERE upd.finding_id = o.finding_id)"""))
 def q_upsert_verifications(spark, d):
-    fv = Star(spark, d).finding_verifications
-    upd = fv.where(F.col("status") == "uncertain").select(
-        "finding_id", F.lit("valid").alias("status"), F.lit("recheck").alias("reasoning"), F.lit("m9").alias("model"),
-        (F.col("verified_at") + F.expr("INTERVAL 1 DAY")).alias("verified_at"))
+    s = Star(spark, d)
+    fv = s.finding_verifications
+    line = F.col("focus_line").cast("string")
+    kind = F.col("rule_no") % 3
+    answer = F.when(kind == 0, F.concat(F.lit("VALID: line "), line)).when(kind == 1, F.concat(F.lit("INVALID: line "), line)).otherwise("Cannot say\nmore")
+    asked = fv.where(F.col("status") == "uncertain").select("finding_id", "verified_at").join(s.findings.select("finding_id", "rule_no", "focus_line"), "finding_id")
+    upd = asked.withColumn("answer", answer).select(
+        "finding_id", X.verdict("answer").alias("status"), X.reasoning_text("answer").alias("reasoning"), F.lit("m9").alias("model"), "verified_at")
     return U.upsert_latest(fv, upd, "finding_id", "verified_at")
 
 
+# The timed-out runs are scanned again; the second scan reads the documents (a file's document is its number modulo
+# the documents) and writes its own status, confidence and detection.
 @register("retry_update", "U5 J20 T17", with_star("""
-SELECT pr.pattern_run_id, pr.run_id, coalesce(u.status, pr.status) AS status, u.pattern_run_id IS NOT NULL AS updated
-FROM pattern_runs pr LEFT JOIN (
-  SELECT pattern_run_id, CASE WHEN confidence >= 0.6 THEN 'success' ELSE 'timeout' END AS status
-  FROM pattern_runs WHERE status = 'timeout') u ON u.pattern_run_id = pr.pattern_run_id"""))
+WITH pr AS MATERIALIZED (SELECT * FROM pattern_runs),
+dt AS MATERIALIZED (SELECT doc_id, lower(text) AS t FROM documents),
+n AS (SELECT count(*) AS n FROM documents),
+again AS (SELECT pattern_run_id, CAST(len(string_split(dt.t, substr('tnrshldcmwb', CAST(rule_no % 11 AS INTEGER) + 1, 1) || substr('aeiouy', CAST((rule_no // 11) % 6 AS INTEGER) + 1, 1))) - 1 AS BIGINT) AS m
+          FROM pr, n, dt WHERE pr.status = 'timeout' AND dt.doc_id = pr.file_analysis_id % n.n)
+SELECT pr.pattern_run_id, pr.run_id, CASE WHEN a.m IS NULL THEN pr.status ELSE 'success' END AS status,
+       CASE WHEN a.m IS NULL THEN pr.detected WHEN a.m >= 4 THEN 'yes' WHEN a.m >= 2 THEN 'context-dependent' ELSE 'no' END AS detected,
+       CASE WHEN a.m IS NULL THEN pr.confidence ELSE least(0.5 + 0.05 * CAST(a.m AS DOUBLE), 0.99) END AS confidence, a.m IS NOT NULL AS updated
+FROM pr LEFT JOIN again a ON a.pattern_run_id = pr.pattern_run_id"""))
 def q_retry_update(spark, d):
-    pr = Star(spark, d).pattern_runs
-    retried = pr.where(F.col("status") == "timeout").select(
-        "pattern_run_id", F.when(F.col("confidence") >= 0.6, "success").otherwise("timeout").alias("status"))
-    out = U.keyed_update(pr.select("pattern_run_id", "run_id", "status"), retried, ["pattern_run_id"], ["status"])
-    return out
+    s, t = Star(spark, d), Tables(spark, d)
+    pr = s.pattern_runs
+    failed = S.failed_runs(pr, ["timeout"])
+    n = t.documents.select(F.count(F.lit(1))).scalar()
+    texts = failed.select("file_analysis_id").distinct().withColumn("doc", F.col("file_analysis_id") % n)
+    texts = texts.join(t.documents.select(F.col("doc_id").alias("doc"), "text"), "doc").select(F.col("file_analysis_id").alias("doc_id"), "text")
+    again = S.rescan(failed, texts, S.rule_catalog(s))
+    return U.keyed_update(pr.select("pattern_run_id", "run_id", "status", "detected", "confidence"), again, ["pattern_run_id"], ["status", "detected", "confidence"])
 
 
 @register("run_lifecycle", "U6 W2", with_star("""
@@ -121,39 +135,97 @@ def q_integrity_audit(spark, d):
 
 
 @register("dataset_disjointness", "U9 D1", with_star("""
-WITH a AS (SELECT DISTINCT r.paper_id FROM files f JOIN repos r ON r.repo_id = f.repo_id
-           JOIN file_analyses fa ON fa.file_id = f.file_id WHERE fa.run_id = 1 AND r.paper_id IS NOT NULL),
-b AS (SELECT DISTINCT r.paper_id FROM files f JOIN repos r ON r.repo_id = f.repo_id
-      JOIN file_analyses fa ON fa.file_id = f.file_id WHERE fa.run_id = 2 AND r.paper_id IS NOT NULL)
-SELECT paper_id FROM a INTERSECT SELECT paper_id FROM b"""))
+WITH seen AS (SELECT fa.run_id, r.paper_id, count(*) AS files FROM file_analyses fa, files f, repos r
+              WHERE f.file_id = fa.file_id AND r.repo_id = f.repo_id AND r.paper_id IS NOT NULL GROUP BY ALL)
+SELECT a.run_id AS run_a, b.run_id AS run_b, a.paper_id FROM seen a, seen b WHERE a.paper_id = b.paper_id AND a.run_id < b.run_id"""))
 def q_dataset_disjointness(spark, d):
     s = Star(spark, d)
-    fp = s.file_analyses.join(s.files.select("file_id", "repo_id"), "file_id").join(s.repos.select("repo_id", "paper_id"), "repo_id") \
-        .where(F.col("paper_id").isNotNull())
-    a = fp.where(F.col("run_id") == 1).select("paper_id")
-    b = fp.where(F.col("run_id") == 2).select("paper_id")
-    return a.intersect(b)
+    fp = s.file_analyses.join(s.files.select("file_id", "repo_id"), "file_id").join(s.repos.select("repo_id", "paper_id"), "repo_id")
+    return U.shared_members(fp, "run_id", "paper_id")
 
 
-@register("group_exclusion", "J9 J6", with_star("""
+@register("group_exclusion", "J9", with_star("""
 WITH fr AS (SELECT f.file_id, f.repo_id, r.paper_id, fa.run_id FROM files f JOIN repos r ON r.repo_id = f.repo_id
-            JOIN file_analyses fa ON fa.file_id = f.file_id)
-SELECT file_id, repo_id, paper_id FROM fr
-WHERE run_id = 7 AND (paper_id IS NULL OR paper_id NOT IN (SELECT paper_id FROM fr WHERE run_id IN (1, 2) AND paper_id IS NOT NULL))"""))
+            JOIN file_analyses fa ON fa.file_id = f.file_id),
+debut AS (SELECT paper_id, min(run_id) AS run_id FROM fr WHERE paper_id IS NOT NULL GROUP BY paper_id)
+SELECT fr.run_id, fr.file_id, fr.repo_id, fr.paper_id FROM fr LEFT JOIN debut USING (paper_id)
+WHERE fr.paper_id IS NULL OR fr.run_id = debut.run_id"""))
 def q_group_exclusion(spark, d):
     s = Star(spark, d)
     fr = s.files.select("file_id", "repo_id").join(s.repos.select("repo_id", "paper_id"), "repo_id") \
         .join(s.file_analyses.select("file_id", "run_id"), "file_id")
-    seen = fr.where(F.col("run_id").isin(1, 2))
-    return U.group_exclusion(fr.where(F.col("run_id") == 7), seen, "paper_id").select("file_id", "repo_id", "paper_id")
+    return U.exclude_seen_groups(fr, "run_id", "paper_id").select("run_id", "file_id", "repo_id", "paper_id")
 
 
-@register("resume_remaining", "J8 M5", with_star("""
-SELECT f.file_id FROM files f JOIN file_analyses fa ON fa.file_id = f.file_id
-WHERE fa.run_id = 7 AND NOT EXISTS (
-  SELECT 1 FROM findings fn WHERE fn.run_id = 7 AND fn.file_analysis_id = fa.file_analysis_id)"""))
+@register("papers_with_findings", "J6", with_star("""
+SELECT p.paper_id, p.title FROM papers p
+WHERE p.paper_id IN (SELECT r.paper_id FROM findings fn, file_analyses fa, files f, repos r
+                     WHERE fa.file_analysis_id = fn.file_analysis_id AND f.file_id = fa.file_id AND r.repo_id = f.repo_id)"""))
+def q_papers_with_findings(spark, d):
+    s = Star(spark, d)
+    found = R.enriched_findings(s).select("paper_id")
+    return s.papers.join(found, "paper_id", "left_semi").select("paper_id", "title")
+
+
+# Files of a failed analysis are pending again: their analysis row does not count as one.
+@register("resume_remaining", "J8", with_star("""
+SELECT fa.run_id, fa.file_id FROM file_analyses fa JOIN analysis_runs ar ON ar.run_id = fa.run_id
+WHERE ar.status = 'running' AND fa.status IN ('timeout', 'error')"""))
 def q_resume_remaining(spark, d):
     s = Star(spark, d)
-    todo = s.file_analyses.where(F.col("run_id") == 7).select("file_analysis_id", "file_id")
-    done = s.findings.where(F.col("run_id") == 7).select("file_analysis_id").distinct()
-    return U.exclude(todo, done, "file_analysis_id").select("file_id")
+    done = s.file_analyses.where(F.col("status") == "success")
+    return U.remaining_files(s.analysis_runs, s.file_analyses.select("run_id", "file_id"), done)
+
+
+@register("manifest_enrichment", "J11 P2", with_star("""
+WITH p AS (SELECT paper_id, paper_url, title, matched_domain, 'owner' || (paper_id % 25) || '__' || 'Customer#' || lpad(CAST(paper_id % 40 AS VARCHAR), 9, '0') AS repo_name FROM papers),
+l AS (SELECT repo_name, max(paper_id) AS paper_id FROM p GROUP BY repo_name)
+SELECT r.repo_id, r.repo_name, coalesce(p.paper_url, '') AS paper_url, coalesce(p.title, '') AS title, coalesce(p.matched_domain, '') AS matched_domain
+FROM (SELECT repo_id, 'owner' || (repo_id % 25) || '__' || 'Customer#' || lpad(CAST(repo_id % 60 AS VARCHAR), 9, '0') AS repo_name FROM repos) r
+LEFT JOIN l ON l.repo_name = r.repo_name LEFT JOIN p ON p.paper_id = l.paper_id"""))
+def q_manifest_enrichment(spark, d):
+    s = Star(spark, d)
+    slug = lambda c, m: F.concat(F.lit("owner"), (F.col(c) % 25).cast("string"), F.lit("__Customer#"), F.lpad((F.col(c) % m).cast("string"), 9, "0"))
+    papers = s.papers.select(slug("paper_id", 40).alias("repo_name"), F.col("paper_id").alias("order_no"), "paper_url", "title", "matched_domain")
+    return U.manifest_enrichment(s.repos.select("repo_id", slug("repo_id", 60).alias("repo_name")), papers)
+
+
+@register("path_lookup", "J12", with_star("""
+WITH q AS (SELECT file_id AS asked, CASE file_id % 4 WHEN 0 THEN '/data/' || file_path WHEN 1 THEN file_path WHEN 2 THEN '/x/files/y/' || file_path ELSE 'other/' || file_id END AS path FROM files)
+SELECT q.asked, q.path, CASE WHEN asked % 4 = 3 THEN NULL ELSE f.file_id END AS file_id,
+       CASE asked % 4 WHEN 1 THEN 'exact' WHEN 3 THEN 'none' ELSE 'relative' END AS matched_by
+FROM q JOIN files f ON f.file_id = q.asked"""))
+def q_path_lookup(spark, d):
+    f = Star(spark, d).files
+    kind, p = F.col("file_id") % 4, F.col("file_path")
+    path = (F.when(kind == 0, F.concat(F.lit("/data/"), p)).when(kind == 1, p).when(kind == 2, F.concat(F.lit("/x/files/y/"), p))
+            .otherwise(F.concat(F.lit("other/"), F.col("file_id").cast("string"))))
+    return U.lookup_paths(f.select(F.col("file_id").alias("asked"), path.alias("path")), f.select("file_id", "file_path"))
+
+
+@register("file_papers", "J13", with_star("""
+SELECT fa.file_id, (SELECT r.paper_id FROM repos r WHERE r.repo_id = f.repo_id) AS paper_id
+FROM file_analyses fa JOIN files f ON f.file_id = fa.file_id WHERE fa.status <> 'success'"""))
+def q_file_papers(spark, d):
+    s = Star(spark, d)
+    return U.grandparent(s.file_analyses.where(F.col("status") != "success"), s.files, s.repos, "file_id", "repo_id", "paper_id")
+
+
+@register("unique_names", "W10", with_star("""
+WITH n AS (SELECT file_id, repo_id, 'part' || (file_id % 3) || '.v' || (file_id % 2) || '.py' AS name FROM files),
+k AS (SELECT *, row_number() OVER (PARTITION BY repo_id, name ORDER BY file_id) - 1 AS k FROM n)
+SELECT file_id, repo_id, name, CASE WHEN k = 0 THEN name ELSE left(name, length(name) - 3) || '_' || k || '.py' END AS unique_name FROM k"""))
+def q_unique_names(spark, d):
+    name = F.concat(F.lit("part"), (F.col("file_id") % 3).cast("string"), F.lit(".v"), (F.col("file_id") % 2).cast("string"), F.lit(".py"))
+    return U.unique_names(Star(spark, d).files.select("file_id", "repo_id", name.alias("name")), "repo_id", "name", "file_id")
+
+
+@register("orphaned_cache", "U10 T9", """
+WITH c AS (SELECT page_id, CAST(page_id AS VARCHAR) || '_' || substr(md5(url), 1, 12) AS cache_key FROM pages),
+r AS (SELECT CAST(p.page_id AS VARCHAR) || '_' || substr(md5(p.url), 1, 12) AS cache_key FROM pages p JOIN labels l ON l.doc_id = p.page_id)
+SELECT page_id, cache_key FROM c WHERE cache_key NOT IN (SELECT cache_key FROM r)""")
+def q_orphaned_cache(spark, d):
+    t = Tables(spark, d)
+    key = F.concat_ws("_", F.col("page_id").cast("string"), F.substring(F.md5("url"), 1, 12)).alias("cache_key")
+    named = t.pages.join(t.labels.select(F.col("doc_id").alias("page_id")), "page_id", "left_semi").select(key)
+    return U.orphaned_entries(t.pages.select("page_id", key), named, "cache_key")

@@ -248,7 +248,13 @@ def q_tie_audit(spark, d):
     return M.tie_audit(Tables(spark, d).orders, "o_totalprice", "o_orderkey", 100)
 
 
-@register("utc_normalization", "D16")
+# New York's clock changes of 2024 as a table: the second Sunday of March and the first of November
+@register("utc_normalization", "D16", """
+WITH e AS (SELECT event_id, user_id, ts FROM events),
+z AS (SELECT *, ts >= TIMESTAMP '2024-03-10 02:00' AND ts < TIMESTAMP '2024-03-10 03:00' AS skipped,
+                ts >= TIMESTAMP '2024-11-03 01:00' AND ts < TIMESTAMP '2024-11-03 02:00' AS ambiguous,
+                ts >= TIMESTAMP '2024-03-10 03:00' AND ts < TIMESTAMP '2024-11-03 01:00' AS summer FROM e)
+SELECT event_id, user_id, ts, ts + CASE WHEN summer THEN INTERVAL 4 HOUR ELSE INTERVAL 5 HOUR END AS ts_utc, skipped, ambiguous FROM z""")
 def q_utc_normalization(spark, d):
     e = Tables(spark, d).events.select("event_id", "user_id", "ts")
     return M.normalize_to_utc(e, "ts", "America/New_York")

@@ -63,7 +63,8 @@ WITH ef AS (
   SELECT fn.run_id, r.paper_id, fn.severity, fn.finding_id, fn.pattern_id, fn.confidence
   FROM findings fn JOIN file_analyses fa ON fa.file_analysis_id = fn.file_analysis_id
   JOIN files f ON f.file_id = fa.file_id JOIN repos r ON r.repo_id = f.repo_id
-  WHERE r.paper_id IS NOT NULL AND fn.severity IN ('critical', 'high')),
+  WHERE r.paper_id IS NOT NULL AND fn.severity IN ('critical', 'high')
+    AND EXISTS (SELECT 1 FROM finding_verifications v WHERE v.finding_id = fn.finding_id AND v.status = 'valid')),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, paper_id, severity
                                                      ORDER BY confidence DESC, finding_id) AS rn FROM ef) b WHERE rn = 1),
 ranked AS (SELECT *, {SEV_CASE.format(c='severity')} AS sev,
@@ -114,8 +115,7 @@ WHERE sample_rank <= quota"""))
 def q_confidence_quota_sample(spark, d):
     ef = R.enriched_findings(Star(spark, d)).where(F.col("confidence") >= 0.7).select("finding_id", "domain", "confidence")
     h = seeded_hash(42, "finding_id")
-    out = W.balanced_sample(ef, "finding_id", "domain", 50, order=[F.col("confidence").desc(), h],
-                            chunk=(-F.round(F.col("confidence") * 100)).cast("long"))
+    out = W.balanced_sample(ef, "finding_id", "domain", 50, order=[F.col("confidence").desc(), h])
     return out.select("finding_id", "domain", "confidence", "sample_rank", "quota")
 
 
@@ -124,9 +124,9 @@ WITH f AS (SELECT f.file_id, f.repo_id, r.paper_id, f.file_path FROM files f JOI
 p AS (SELECT DISTINCT paper_id FROM f WHERE paper_id IS NOT NULL),
 pk AS (SELECT paper_id FROM p ORDER BY md5('42|' || CAST(paper_id AS VARCHAR)) LIMIT 20)
 SELECT file_id, repo_id, paper_id, file_path FROM f
-WHERE paper_id IN (SELECT paper_id FROM pk) OR 20 >= (SELECT count(*) FROM p)"""))
+WHERE paper_id IS NULL OR paper_id IN (SELECT paper_id FROM pk)"""))
 def q_group_sample(spark, d):
-    return W.group_sample(Star(spark, d), 20)
+    return W.group_sample(Star(spark, d), 20, include_orphans=True)
 
 
 @register("dedup_pages_first", "W11", """
@@ -189,15 +189,25 @@ def q_running_peaks(spark, d):
     return W.running_peaks(Tables(spark, d).events)
 
 
-@register("line_chunks", "W16", """
-SELECT doc_id, start0 // 400 AS chunk_no, start0 + 1 AS start_line, least(start0 + 500, n_lines) AS end_line
-FROM (SELECT doc_id, n_lines, unnest(range(0, n_lines, 400)) AS start0
-      FROM (SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM documents) a) b""")
+def _chunk_sql(size, step):
+    return f"""
+SELECT doc_id, start0 // {step} AS chunk_no, start0 + 1 AS start_line, least(start0 + {size}, n_lines) AS end_line,
+       array_to_string(lines[start0 + 1:start0 + {size}], chr(10)) AS chunk
+FROM (SELECT doc_id, lines, n_lines, unnest(range(0, n_lines, {step})) AS start0
+      FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM documents) a) b"""
+
+
+@register("line_chunks", "W16", _chunk_sql(500, 400))
 def q_line_chunks(spark, d):
     return W.line_chunks(Tables(spark, d).documents)
 
 
-@register("event_window_counts", "M1 M3", """
+@register("line_chunks_overlapping", "W16", _chunk_sql(6, 4))
+def q_line_chunks_overlapping(spark, d):
+    return W.line_chunks(Tables(spark, d).documents, size=6, step=4)
+
+
+@register("event_window_counts", "M1", """
 SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, count(*) AS events,
        count(*) FILTER (WHERE event_type = 'error') AS errors, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS value_cents
 FROM events GROUP BY 1, 2""")

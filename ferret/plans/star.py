@@ -161,16 +161,10 @@ class Star:
         )
 
     @cached_property
-    def findings(self) -> DataFrame:
-        pr = self.pattern_runs
-        return pr.where((F.col("status") == "success") & (F.col("detected") != "no") & (F.col("confidence") >= 0.7)).select(
-            F.col("pattern_run_id").alias("finding_id"),
-            "file_analysis_id", "run_id", "rule_no", "pattern_id", "category", "severity", "confidence",
-            "detected", "focus_line",
-        )
-
-    @cached_property
-    def finding_verifications(self) -> DataFrame:
+    def judged_findings(self) -> DataFrame:
+        """findings ⟕ finding_verifications (J4, J5) in one pass: in this store both facts come from the same lineitem
+        groups, so the verification columns (``v_…``; v_status null = pending) are computed beside the finding's own and
+        lineitem is read once. ``ferret.operators.report.join_verifications`` is the join for separate tables."""
         pr = self.pattern_runs.where((F.col("status") == "success") & (F.col("detected") != "no") & (F.col("confidence") >= 0.7))
         status = (F.when(F.col("rule_no") % 20 == 0, "error")
                   .when(F.col("rf") == "A", "valid")
@@ -178,11 +172,20 @@ class Star:
                   .when(F.col("ls") == "F", "uncertain"))
         return pr.select(
             F.col("pattern_run_id").alias("finding_id"),
-            status.alias("status"),
-            F.concat(F.lit("flag "), F.col("rf"), F.lit(" status "), F.col("ls")).alias("reasoning"),
-            F.concat(F.lit("m"), (F.col("rule_no") % 2).cast("string")).alias("model"),
-            F.col("last_ship").alias("verified_at"),
-        ).where(F.col("status").isNotNull())
+            "file_analysis_id", "run_id", "rule_no", "pattern_id", "category", "severity", "confidence", "detected", "focus_line",
+            status.alias("v_status"),
+            F.concat(F.lit("flag "), F.col("rf"), F.lit(" status "), F.col("ls")).alias("v_reasoning"),
+            F.concat(F.lit("m"), (F.col("rule_no") % 2).cast("string")).alias("v_model"),
+            F.col("last_ship").alias("v_verified_at"))
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        return self.judged_findings.drop("v_status", "v_reasoning", "v_model", "v_verified_at")
+
+    @cached_property
+    def finding_verifications(self) -> DataFrame:
+        j = self.judged_findings.where(F.col("v_status").isNotNull())
+        return j.select("finding_id", *[F.col(f"v_{c}").alias(c) for c in ("status", "reasoning", "model", "verified_at")])
 
     # ---- prefilter ---------------------------------------------------------
     @cached_property
