@@ -257,14 +257,14 @@ def scaling_verdict(summary: DataFrame, key: str, size: str) -> DataFrame:
 
 def gauge_band(share: Column, middle: float = 0.6, high: float = 0.85) -> Column:
     """Band of a utilisation: green below 0.6, yellow below 0.85, else red."""
-    return F.when(share < middle, "green").when(share < high, "yellow").otherwise("red")
+    return F.when(share < middle, "green").when(share < high, "yellow").when(share.isNotNull(), "red")
 
 
 def gauge_bar(share: Column, width: int = 30) -> Column:
     """The gauge as text: ``width`` places, filled by the whole part of share · width, then the per cent."""
     filled = F.least(F.lit(width), F.greatest(F.lit(0), (share * width).cast("int")))
-    return F.concat(F.lit("["), F.repeat(F.lit("█"), filled), F.repeat(F.lit("░"), F.lit(width) - filled), F.lit("] "),
-                    F.format_string("%5.1f%%", share * 100.0))
+    return F.when(share.isNotNull(), F.concat(F.lit("["), F.repeat(F.lit("█"), filled), F.repeat(F.lit("░"), F.lit(width) - filled), F.lit("] "),
+                                              F.format_string("%5.1f%%", share * 100.0)))
 
 
 def monitor_gauges(totals: DataFrame, key: str) -> DataFrame:

@@ -76,8 +76,8 @@ def load_rule_catalog(spark, directory: str) -> tuple[DataFrame, DataFrame]:
 
     def parse(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            rows = [parse_rule_toml(p, c) or {"path": p} for p, c in zip(pdf["path"], pdf["content"])]
-            yield pd.DataFrame(rows, columns=names)
+            rows = [parse_rule_toml(p, c) or dict.fromkeys(names) | {"path": p} for p, c in zip(pdf["path"], pdf["content"])]
+            yield pd.DataFrame(rows, columns=names, dtype=object)
     parsed = files.mapInPandas(parse, schema)
     return parsed.where(F.col("id").isNotNull()), parsed.where(F.col("id").isNull()).select("path")
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 # Settings every job assumes. AQE re-plans joins from runtime sizes (a side
@@ -18,37 +16,25 @@ ENGINE_CONF = {
 }
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str = "ferret") -> SparkSession:
-    """Local/test session. On a cluster the launcher supplies master and sizes."""
-    b = SparkSession.builder.appName(app)
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None, app: str = "ferret", conf: dict | None = None) -> SparkSession:
+    """A session with the engine's settings. On a cluster the launcher supplies master, sizes and checkpoint folder; the
+    number of shuffle partitions is set only when given."""
+    b = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
     if master:
         b = b.master(master)
-    b = b.config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    for k, v in ENGINE_CONF.items():
+    if shuffle_partitions is not None:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for k, v in {**ENGINE_CONF, **(conf or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-
-
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only set one when it is unset (tests)."""
-    d = checkpoint_dir(spark)
-    if d:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(d)
-        return spark.sparkContext.getCheckpointDir() or d
-    d = fallback or os.path.join(os.environ.get("FERRET_SCRATCH", "/tmp"), "ferret-checkpoints")
-    spark.sparkContext.setCheckpointDir(d)
-    return d
-
-
-def cut_lineage(df):
-    """Reliable checkpoint into the shared checkpoint directory (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. There is no fallback, since a machine-local
+    folder would be seen by one machine only; local sessions and tests set a temporary one themselves."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not d:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return d.rstrip("/")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ferret.functions.text import utf8
+
 
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A JSON array file (or directory of them) → rows; a missing path raises."""
@@ -36,40 +38,35 @@ def scan_corpus(spark: SparkSession, root: str, globs: tuple[str, ...] = ("*.py"
     df = parts[0]
     for p in parts[1:]:
         df = df.unionByName(p)
-    text = F.regexp_replace(F.decode("content", "utf-8"), "�", "")
-    return df.select("path", text.alias("content"), F.col("length").alias("size"))
-
-
-CELLS = "struct<cells: array<struct<cell_type: string, source: string>>>"
+    return df.select("path", utf8(F.col("content")).alias("content"), F.col("length").alias("size"))
 
 
 def notebook_code(nb: DataFrame, content: str = "content") -> tuple[DataFrame, DataFrame]:
     """Code cells only; ``source`` may be a string or a list of strings (joined with ''); cells are
-    joined with a blank line. Returns (code, quarantine) — rows whose JSON does not parse go to quarantine."""
-    parsed = nb.withColumn("_nb", F.from_json(F.col(content), CELLS))
-    bad = parsed.where(F.col("_nb").isNull() | F.col("_nb.cells").isNull()).drop("_nb")
-    ok = parsed.where(F.col("_nb.cells").isNotNull())
+    joined with a blank line. Returns (code, quarantine) — rows whose JSON does not parse go to quarantine.
+
+    The cell's JSON type decides whether ``source`` is a list, not its text: a code string may itself look like one.
+    """
+    parsed = nb.withColumn("_nb", F.try_parse_json(F.col(content)))
+    cells = F.try_variant_get("_nb", "$.cells", "array<variant>")
+    parsed = parsed.withColumn("_cells", cells)
+    bad = parsed.where(F.col("_cells").isNull()).drop("_nb", "_cells")
+    ok = parsed.where(F.col("_cells").isNotNull())
 
     def src(c):
-        s = c["source"]
-        as_list = F.array_join(F.from_json(s, "array<string>"), "")
-        return F.when(F.trim(s).startswith("["), as_list).otherwise(s)
+        # a list yields an array of strings; only a string is cast to a string unchanged
+        lines = F.try_variant_get(c, "$.source", "array<string>")
+        return F.coalesce(F.array_join(lines, ""), F.try_variant_get(c, "$.source", "string"), F.lit(""))
 
-    code = F.filter(F.col("_nb.cells"), lambda c: c["cell_type"] == "code")
-    out = ok.withColumn("code", F.array_join(F.transform(code, src), "\n\n")).drop("_nb")
+    code = F.filter("_cells", lambda c: F.try_variant_get(c, "$.cell_type", "string") == "code")
+    out = ok.withColumn("code", F.array_join(F.transform(code, src), "\n\n")).drop("_nb", "_cells")
     return out, bad
 
 
 def write_run_results(df: DataFrame, path: str, partition: str = "run_id") -> None:
     """Partitioned sink with dynamic partition overwrite: re-running one run replaces only its
-    partition (idempotent), other runs stay."""
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy(partition).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    partition (idempotent), other runs stay. The mode is an option of this write; no session setting is touched."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
 EXPECTED_SCHEMA = ("scenario string, verified boolean, "
@@ -88,12 +85,14 @@ LINE_RE = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)(\{[^}]*\})?\s+(\S+)"
 
 
 def parse_exposition(df: DataFrame, text: str = "text", ts: str = "ts") -> DataFrame:
-    """Exposition text → (ts, name, labels, value); comment lines skipped; scientific notation parsed."""
+    """Exposition text → (ts, name, labels, value); comment lines and lines whose value is no number are skipped;
+    scientific notation parsed."""
     lines = df.select(ts, F.explode(F.split(F.col(text), "\n")).alias("line")).where(
         ~F.trim("line").startswith("#") & (F.trim("line") != ""))
-    return lines.select(ts, F.regexp_extract("line", LINE_RE, 1).alias("name"),
-                        F.regexp_extract("line", LINE_RE, 2).alias("labels"),
-                        F.regexp_extract("line", LINE_RE, 3).cast("double").alias("value"))
+    number = F.regexp_replace(F.regexp_extract("line", LINE_RE, 3), r"^\+?Inf$", "Infinity")
+    parsed = lines.select(ts, F.regexp_extract("line", LINE_RE, 1).alias("name"),
+                          F.regexp_extract("line", LINE_RE, 2).alias("labels"), number.try_cast("double").alias("value"))
+    return parsed.where((F.col("name") != "") & F.col("value").isNotNull())
 
 
 def rollup_series(samples: DataFrame, ts: str = "ts") -> DataFrame:

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ferret.session import ensure_checkpoint_dir
+from ferret.session import shared_dir
 from ferret.sources.tables import SCHEMAS, table_path
 
 
@@ -25,7 +26,7 @@ def event_stream(spark: SparkSession, source_dir: str, name: str = "events", fil
 
 
 def checkpoint_for(spark: SparkSession, query: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{query}"
+    return f"{shared_dir(spark)}/streams/{query}"
 
 
 # ------------------------------------------------------------------ M1 ----
@@ -48,27 +49,22 @@ RATE_STATE = "last_counter long, last_ts timestamp_ntz"
 
 
 def _rates(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (user_id,) = key
-    last_c, last_ts = (state.get if state.exists else (None, None))
-    out = []
-    for pdf in pdfs:
-        for ts, c in pdf.sort_values(["ts", "counter"])[["ts", "counter"]].itertuples(index=False):
-            if last_c is None:
-                delta, rate, reset = 0, 0.0, False
-            else:
-                delta = int(c - last_c)
-                el = (pd.Timestamp(ts) - pd.Timestamp(last_ts)).total_seconds()
-                rate = float(delta / el) if el > 0 else 0.0
-                reset = delta < 0
-            out.append((user_id, ts, int(c), delta, rate, reset))
-            last_c, last_ts = int(c), ts
-    state.update((last_c, pd.Timestamp(last_ts).to_pydatetime()))
-    yield pd.DataFrame(out, columns=["user_id", "ts", "counter", "delta", "rate", "reset"])
+    """A source's new samples of one micro-batch, as arrays; what came before is only the last (counter, ts)."""
+    new = pd.concat(list(pdfs)).sort_values(["ts", "counter"], kind="stable")
+    count, ts = new["counter"].to_numpy(np.int64), new["ts"].to_numpy("datetime64[us]")
+    before = state.get if state.exists else None
+    last_c, last_t = (before[0], np.datetime64(before[1], "us")) if before else (count[0], ts[0])
+    delta = np.diff(count, prepend=last_c)
+    elapsed = np.diff(ts, prepend=last_t) / np.timedelta64(1, "s")
+    rate = np.divide(delta, elapsed, out=np.zeros(len(delta)), where=elapsed > 0)
+    state.update((int(count[-1]), pd.Timestamp(ts[-1]).to_pydatetime()))
+    yield pd.DataFrame({"user_id": key[0], "ts": new["ts"].to_numpy(), "counter": count, "delta": delta, "rate": rate, "reset": delta < 0})
 
 
 def counter_rates_stream(samples: DataFrame) -> DataFrame:
     """M2: counter → delta and rate per source across micro-batches; first sample 0; a negative delta
-    (counter reset) is flagged. State per key is the last (counter, ts)."""
+    (counter reset) is flagged. State per key is the last (counter, ts), so a task holds a source's rows of one
+    micro-batch, never its history; the source's ``maxFilesPerTrigger`` bounds the batch."""
     return samples.select("user_id", "ts", "counter").groupBy("user_id").applyInPandasWithState(
         _rates, RATE_SCHEMA, RATE_STATE, "append", GroupStateTimeout.NoTimeout)
 
@@ -82,11 +78,21 @@ def peaks_and_totals(events: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ M7 ----
 
-def health_alerts(windows: DataFrame, min_events: int = 10, max_error_share: float = 0.10) -> DataFrame:
-    """M7: windows whose error share exceeds the limit once enough events were seen."""
-    share = F.col("errors") / F.col("events")
-    return windows.where((F.col("events") >= min_events) & (share > max_error_share)).select(
-        "window_start", "events", "errors", share.alias("error_share"), F.lit("error_share").alias("alert"))
+def health_alerts(windows: DataFrame, min_events: int = 10, max_error_share: float = 0.10, max_latency: float | None = None,
+                  max_waiting: int | None = None, min_hit_rate: float | None = None) -> DataFrame:
+    """M7: one row per window and alert: error_share over its limit once enough events were seen, mean latency or waiting
+    requests over theirs, and a hit rate under its. A limit of None, or a column that is not there, raises no alert."""
+    enough = F.col("events") >= min_events
+    share = F.try_divide(F.col("errors"), F.col("events"))
+    checks = [("error_share", share, enough & (share > max_error_share))]
+    if max_latency is not None and "mean_latency" in windows.columns:
+        checks.append(("latency", F.col("mean_latency"), enough & (F.col("mean_latency") > max_latency)))
+    if max_waiting is not None and "waiting" in windows.columns:
+        checks.append(("waiting", F.col("waiting").cast("double"), F.col("waiting") > max_waiting))
+    if min_hit_rate is not None and "hit_rate" in windows.columns:
+        checks.append(("hit_rate", F.col("hit_rate"), enough & (F.col("hit_rate") < min_hit_rate)))
+    found = F.filter(F.array(*[F.when(cond, F.struct(F.lit(name).alias("alert"), value.alias("value"))) for name, value, cond in checks]), lambda x: x.isNotNull())
+    return windows.select("window_start", "events", "errors", F.inline(found))
 
 
 # ------------------------------------------------------------------ M8 ----

@@ -7,6 +7,8 @@ from tools.oracle_check import compare, duck
 from ferret.plans.catalog import load_all
 
 REG = load_all()
+# audits that find nothing in the smallest tables
+EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +19,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(REG))
 def test_query_matches_oracle(spark, con, name):
     res = compare(spark, con, REG[name], SF_SMALL)
-    assert res["status"] in ("ok", "rows-only"), res
+    assert res["status"] == "ok" and (res["spark_rows"] > 0 or name in EMPTY), res
 
 
 def test_entry_smoke(spark):

@@ -99,7 +99,7 @@ def main():
 
     reg = load_all()
     names = a.names or list(reg)
-    spark = get_spark("local[8]")
+    spark = get_spark("local[8]", shuffle_partitions=8)
     con = duck(a.sf)
     results = []
     for n in names:
