@@ -7,7 +7,7 @@ before the chunk, which makes the chunks resistant to shifts. A fingerprint is t
 the chunks; likeness is containment weighted by length: common weight over the weight of the lighter set.
 
 Edge cases: a null text is an empty one; an empty text has the empty fingerprint, which is like (1.0) only another
-empty one; equal texts have equal fingerprints; rows that share a doc_id are ordered by their text; a null doc_id
+empty one; equal texts have equal fingerprints; rows that share a doc_id are ordered by a hash of their text; a null doc_id
 comes first; a single document is its own next one; extra columns are ignored.
 """
 
@@ -17,12 +17,12 @@ import hashlib
 from bisect import bisect_left
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferret.llm.common import Text, mix64, slices, spans_hash, stage
+from ferret.llm.common import Text, keyed, mix64, slices, spans_hash
 
 MIN, NORMAL, MAX = 16, 48, 192
 _GEAR = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x6EA5)).astype(np.uint32)
@@ -110,54 +110,52 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 
 
 def _in_order(batches):
-    """Rows of one range of doc_id in order. All but the last meet their next text here; the range's first and last
-    text are sent on, to meet their neighbours in other ranges."""
-    part = TaskContext.get().partitionId()
-    edge = lambda side, ids, text: pa.RecordBatch.from_arrays(
-        [ids, *[pa.nulls(1, k) for k in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())],
-         pa.array([side]), pa.array([part], pa.int32()), text], names=["doc_id", *COLUMNS, "side", "part", "text"])
+    """Rows of whole parts in order. Every document is followed by its next one, or by the row that was added to the end of
+    its part (``kind`` 1)."""
     held = None
     for b in batches:
         for s in slices(b, "text"):
-            ids, text = s.column("doc_id"), s.column("text").cast(pa.string())
-            if held is None:
-                yield edge("first", ids[:1], text[:1])
-            else:
-                ids, text = pa.concat_arrays([held[0], ids]), pa.concat_arrays([held[1], text])
+            ids, kind, text = (s.column(c) for c in ("doc_id", "kind", "text"))
+            if held is not None:
+                ids, kind, text = (pa.concat_arrays([x, y]) for x, y in zip(held, (ids, kind, text)))
             n = len(ids) - 1
-            if n:
-                yield pa.RecordBatch.from_arrays(
-                    [ids[:n], *compare_with_next(text[:n], text[1:]), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())],
-                    names=["doc_id", *COLUMNS, "side", "part", "text"])
-            held = ids[n:], text[n:]
-    if held is not None:
-        yield edge("last", *held)
+            own = pa.array(np.flatnonzero(kind.to_numpy()[:n] == 0))
+            if len(own):
+                following = pa.array(own.to_numpy() + 1)
+                yield pa.RecordBatch.from_arrays([ids.take(own), *compare_with_next(text.take(own), text.take(following))], names=["doc_id", *COLUMNS])
+            held = ids[n:], kind[n:], text[n:]
+
+
+def _parted(src: DataFrame) -> DataFrame:
+    """``src`` with a number ``part`` that rises with ``doc``: ranges of about equal size, four to a shuffle partition."""
+    n = 4 * int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = np.unique(np.array(src.approxQuantile("doc", [i / n for i in range(1, n)], 0.25 / n) or [], np.float64))
+
+    @F.pandas_udf("int")
+    def part(doc: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, doc.to_numpy().astype(np.float64), side="right").astype(np.int32))
+
+    return src.withColumn("part", part("doc"))
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Fingerprints of every document and of its edited text, whose last quarter is the start of the next document.
 
-    One shuffle: rows are dealt out by ranges of doc_id and sorted within them. The two edge rows of each range are
-    matched afterwards; there are as many as partitions, whatever the number of documents.
+    Documents are dealt out by fixed ranges of doc_id and sorted within them: one shuffle. Each range gets the first
+    document of the next range as an extra last row, so that the last document finds its next one; there are as
+    many such rows as ranges, whatever the number of documents.
     """
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    src = src.withColumn("h", F.xxhash64("text"))
-    ordered = src.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
-    done = stage(ordered.mapInArrow(_in_order, SCHEMA + ", side string, part int, text string"), "fingerprints")
-    firsts = done.where("side = 'first'").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
-    lasts = done.where("side = 'last'").select("doc_id", "part", "text")
-    parts = firsts.select("next_part")
-    everything = Window.orderBy("next_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    follow = parts.select(F.col("next_part").alias("part"), F.coalesce(
-        F.lead("next_part").over(Window.orderBy("next_part")), F.min("next_part").over(everything)).alias("next_part"))  # one row a partition
-    pairs = lasts.join(follow, "part").join(firsts, "next_part").select("doc_id", "text", "next_text")
-
-    def run(batches):
-        for b in batches:
-            for s in slices(b, "text"):
-                yield pa.RecordBatch.from_arrays([s.column("doc_id"), *compare_with_next(s.column("text"), s.column("next_text"))], names=["doc_id", *COLUMNS])
-
-    return done.where("side is null").select("doc_id", *COLUMNS).unionByName(pairs.mapInArrow(run, SCHEMA))
+    spark = docs.sparkSession
+    src = keyed(docs, F.col("doc_id").cast("long").alias("doc_id")).withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    src = _parted(src)
+    firsts = src.groupBy("part").agg(F.min(F.struct("doc", "th")).alias("f")).select("part", "f.doc", "f.th").orderBy("part").collect()  # one row a range
+    follow = [(r.part, n.doc, n.th) for r, n in zip(firsts, firsts[1:] + firsts[:1])]
+    follow = F.broadcast(spark.createDataFrame(follow, "part int, doc long, th long"))
+    ends = src.drop("part").join(follow, ["doc", "th"]).groupBy("part").agg(F.min("text").alias("text"))
+    ends = ends.select("part", F.lit(1).alias("kind"), *[F.lit(None).cast("long").alias(c) for c in ("doc", "th", "doc_id")], "text")
+    rows = src.select("part", F.lit(0).alias("kind"), "doc", "th", "doc_id", "text").unionByName(ends)
+    rows = rows.repartition("part").sortWithinPartitions("part", "kind", "doc", "th", "text")
+    return rows.mapInArrow(_in_order, SCHEMA)
 
 
 def op9_fingerprints(spark, sf_dir: str) -> DataFrame:
