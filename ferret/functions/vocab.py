@@ -59,6 +59,20 @@ ML_IMPORT_KEYWORDS = ["sklearn", "torch", "tensorflow", "keras", "xgboost", "lig
                       "numpy", "train_test_split", "cross_val", "fit", "predict", "model", "classifier",
                       "regressor", "neural", "dataset", "dataloader"]
 
+# ---- Fixed values: hints that give an example's expected answer away (T4), with their descriptions ----
+INTENT_HINTS: list[tuple[str, str, str]] = [
+    ("hint00", r'''"""[^"]*\b(bug|buggy|issue|problem|incorrect|wrong|broken|bad|leaky|leak|flaw|defect)\b[^"]*"""''', "Docstring hints at bug"),
+    ("hint01", r"""'''[^']*\b(bug|buggy|issue|problem|incorrect|wrong|broken|bad|leaky|leak|flaw|defect)\b[^']*'''""", "Docstring hints at bug"),
+    ("hint02", r'''"""[^"]*(correct|fixed|proper)\s+\w*\s*(implementation|version|approach|code|way|method)[^"]*"""''', "Docstring hints at correctness"),
+    ("hint03", r"""'''[^']*(correct|fixed|proper)\s+\w*\s*(implementation|version|approach|code|way|method)[^']*'''""", "Docstring hints at correctness"),
+    ("hint04", r"\bdef\s+(buggy_|incorrect_|wrong_|broken_|bad_|leaky_)", "Function name hints at bug"),
+    ("hint05", r"\bdef\s+(correct_|fixed_|proper_|safe_|good_)", "Function name hints at correctness"),
+    ("hint06", r"\bclass\s+(Buggy|Incorrect|Wrong|Broken|Bad|Leaky)", "Class name hints at bug"),
+    ("hint07", r"\bclass\s+(Correct|Fixed|Proper|Safe|Good)", "Class name hints at correctness"),
+    ("hint08", r"\b(buggy|incorrect|wrong|broken|bad|leaky)_(function|method|class|data|model|scaler)\s*=", "Variable name hints at bug"),
+    ("hint09", r"\b(correct|fixed|proper|safe|good)_(function|method|class|data|model|scaler)\s*=", "Variable name hints at correctness"),
+]
+
 # Demo lists for the registered queries: words that occur in the driver's invented prose.
 DEMO_DOMAINS: dict[str, list[str]] = {
     "english": [" the ", " and "],

@@ -116,11 +116,12 @@ def balanced_sample(df: DataFrame, id_col: str, domain_col: str, limit: int, see
     w = Window.partitionBy(domain_col).orderBy(*(order or [seeded_hash(seed, id_col)]))
     ranked = d.withColumn("sample_rank", F.row_number().over(w)).where(F.col("sample_rank") <= limit)
     doms = d.select(domain_col).distinct()
-    place = F.row_number().over(Window.orderBy(seeded_hash(seed, domain_col)))  # over the distinct domains only
-    share = F.struct(F.floor(F.lit(limit) / F.count(F.lit(1)).over(Window.partitionBy())).alias("base"),
-                     (F.lit(limit) % F.count(F.lit(1)).over(Window.partitionBy())).alias("more"))
-    quota = doms.select(domain_col, place.alias("_place"), share.alias("_s")).select(
-        domain_col, (F.col("_s.base") + (F.col("_place") <= F.col("_s.more")).cast("long")).alias("quota"))
+    k = doms.select(F.count(F.lit(1))).scalar()
+    # of more than ``limit`` domains only the first ``limit`` get a row, so no more are ever numbered
+    first = doms.withColumn("_h", seeded_hash(seed, domain_col)).orderBy("_h", domain_col).limit(limit)
+    place = F.row_number().over(Window.orderBy("_h", domain_col))
+    quota = first.withColumn("_place", place).select(
+        domain_col, (F.floor(F.lit(limit) / k) + (F.col("_place") <= F.lit(limit) % k).cast("long")).alias("quota"))
     return ranked.join(quota, domain_col).where(F.col("sample_rank") <= F.col("quota"))
 
 

@@ -232,6 +232,19 @@ def test_audits(spark):
     assert C.failure_summary(t, types=2).first().summary == "3 e, 2 f, 1 of 1 other types" and C.failure_summary(t).first().summary == "3 e, 2 f, 1 g"
 
 
+def test_intent_hints(spark):
+    from ferret.functions.vocab import INTENT_HINTS
+    code = [(1, 'def buggy_fit(): pass'), (2, '"""A leaky scaler."""\nclass GoodModel: pass'), (3, "wrong_data = 1"), (4, "'''the correct way'''"), (5, "def fit(): pass")]
+    got = C.hint_scan(spark.createDataFrame(code, "doc_id long, text string"), INTENT_HINTS).collect()
+    assert sorted((r.doc_id, r.description) for r in got) == [
+        (1, "Function name hints at bug"), (2, "Class name hints at correctness"), (2, "Docstring hints at bug"), (3, "Variable name hints at bug"), (4, "Docstring hints at correctness")]
+
+
+def test_more_domains_than_the_limit(spark):
+    df = spark.range(50).select("id", F.col("id").cast("string").alias("domain"))
+    assert W.balanced_sample(df, "id", "domain", 7).count() == 7
+
+
 def test_whole_texts_are_used(spark):
     long = "filler " * 20_000 + "needle needle needle needle"
     docs = spark.createDataFrame([(1, long), (2, None), (3, "needle")], "doc_id long, text string")
