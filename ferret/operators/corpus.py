@@ -96,7 +96,7 @@ def snippet_containment(items: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = keys.select("key").distinct()
     by_word = d.select("doc_id", F.explode(F.array_distinct(F.split("doc_text", " "))).alias("k")).select("doc_id", F.concat(F.lit("w"), "k").alias("key"))
     short = keys.where(F.col("key").startswith("g")).select("key").distinct()
-    by_gram = d.join(short.limit(1).select(F.lit(1).alias("_any")), F.lit(True), "left_semi")  # no trigrams unless some item needs them
+    by_gram = d.where(short.select(F.count(F.lit(1)) > 0).scalar())  # no trigrams unless some item needs them
     by_gram = by_gram.select("doc_id", F.explode(F.concat(*[_grams(F.col("doc_text"), n) for n in (1, 2, 3)])).alias("k")).distinct().select("doc_id", F.concat(F.lit("g"), "k").alias("key"))
     held = by_word.unionByName(by_gram).join(wanted, "key", "left_semi")
     count = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
@@ -336,10 +336,11 @@ def failure_summary(breakdown: DataFrame, types: int = 20) -> DataFrame:
     top = breakdown.orderBy(F.col("count").desc(), "error_type").limit(types)
     s = F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("o"), F.col("error_type"), F.col("count"))))
     listed = top.agg(s.alias("s"), F.count(F.lit(1)).alias("t"), F.sum("count").alias("c"))
-    whole = breakdown.agg(F.count(F.lit(1)).alias("all_t"), F.sum("count").alias("all_c"))
+    whole = breakdown.select(F.struct(F.count(F.lit(1)).alias("t"), F.sum("count").alias("c"))).scalar()
     text = F.array_join(F.transform("s", lambda x: F.concat(x["count"].cast("string"), F.lit(" "), x["error_type"])), ", ")
-    rest = F.when(F.col("all_t") > F.col("t"), F.concat(F.lit(", "), (F.col("all_c") - F.col("c")).cast("string"), F.lit(" of "), (F.col("all_t") - F.col("t")).cast("string"), F.lit(" other types"))).otherwise(F.lit(""))
-    return listed.crossJoin(F.broadcast(whole)).select(F.concat(text, rest).alias("summary"))  # one row each
+    more_t, more_c = whole.getField("t") - F.col("t"), whole.getField("c") - F.col("c")
+    rest = F.when(more_t > 0, F.concat(F.lit(", "), more_c.cast("string"), F.lit(" of "), more_t.cast("string"), F.lit(" other types"))).otherwise(F.lit(""))
+    return listed.select(F.concat(text, rest).alias("summary"))
 
 
 # ------------------------------------------------------------------ P25 ----

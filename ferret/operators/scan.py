@@ -97,7 +97,7 @@ def rule_scan(docs: DataFrame, rules: DataFrame, scorer: Scorer | None = None) -
     confidence = min(0.5 + 0.05·n, 0.99); yes ≥ 0.7, context-dependent ≥ 0.6. It never fails; statuses such as
     ``timeout`` or ``context_length`` come from plugged scorers.
     """
-    both = docs.select("doc_id", "text").crossJoin(F.broadcast(catalogue_array(rules)))  # one row
+    both = docs.select("doc_id", "text", catalogue_array(rules).scalar().alias("_catalogue"))
     if scorer is not None:
         def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in it:
