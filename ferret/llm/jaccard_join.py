@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferret.llm.common import Text, U, list_array, mix64, slices, stage, windows_hash
+from ferret.llm.common import Text, U, drop_staged, mix64, slices, stage, windows_hash
 from ferret.llm.components import components
 
 NO_ID = -(1 << 63)
@@ -268,6 +268,11 @@ def _leaves(regions: DataFrame, num: int, den: int) -> DataFrame:
     return regions.repartition("region").sortWithinPartitions("region", "digest").select("region", "digest", "set").mapInArrow(run, "digest binary, root binary")
 
 
+def _region_rows(child, parent, names, sizes, blobs) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(child, pa.int64()), pa.array(parent, pa.int64()), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())],
+                                      names=["region", "parent", "digest", "n", "set"])
+
+
 def _split(big: DataFrame, sizes: DataFrame, num: int, den: int, max_members: int) -> DataFrame:
     """One level of Voronoi regions with windows. Members are dealt out in salted blocks, the pivots go to each."""
     salts = sizes.select("region", F.ceil(F.col("members") / max_members).cast("int").alias("salts"))
@@ -282,18 +287,23 @@ def _split(big: DataFrame, sizes: DataFrame, num: int, den: int, max_members: in
     def run(batches):
         at, pivot = None, []
         for b in batches:
-            for (region, salt, kind, name, n, blob) in zip(*[b.column(c).to_pylist() for c in ("region", "salt", "kind", "digest", "n", "set")]):
+            child, parent, names, sizes, blobs, held = [], [], [], [], [], 0
+            for region, salt, kind, name, n, blob in zip(*[b.column(c).to_pylist() for c in ("region", "salt", "kind", "digest", "n", "set")]):
                 if (region, salt) != at:
                     at, pivot = (region, salt), []
-                s = np.frombuffer(blob, U)
                 if kind == 0:
-                    pivot.append(s)
+                    pivot.append(np.frombuffer(blob, U))
                     continue
-                dist = np.array([_distances([s], p)[0] for p in pivot])
+                dist = np.array([_distances([np.frombuffer(blob, U)], p)[0] for p in pivot])
                 to = np.flatnonzero(dist <= dist.min() + 2 * radius + 1e-9)
-                child = mix64(U(region & (1 << 64) - 1) + to.astype(U) + U(1)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(child), pa.array([region] * len(to)), pa.array([name] * len(to), pa.binary()), pa.array([n] * len(to)), pa.array([blob] * len(to), pa.binary())],
-                                                 names=["region", "parent", "digest", "n", "set"])
+                child += mix64(U(region & (1 << 64) - 1) + to.astype(U) + U(1)).view(np.int64).tolist()
+                for column, value in ((parent, region), (names, name), (sizes, n), (blobs, blob)):
+                    column += [value] * len(to)
+                held += len(blob) * len(to)
+                if held > 8 << 20:
+                    yield _region_rows(child, parent, names, sizes, blobs)
+                    child, parent, names, sizes, blobs, held = [], [], [], [], [], 0
+            yield _region_rows(child, parent, names, sizes, blobs)
 
     return dealt.select("region", "salt", "kind", "digest", "n", "set").mapInArrow(run, "region long, parent long, digest binary, n long, set binary")
 
@@ -341,6 +351,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     members = members.groupBy("region", "digest", "n").agg(F.min("doc_id").alias("doc_id"))
     points = stage(_region_sets(docs, members, shingle), "points")
     links = stage(join_points(points, num, den, max_members, max_shingles).where("digest <> root"), "links")
+    drop_staged(points)
     comp = components(links.select(F.col("digest").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("digest"), "root")
     rows = prof.select("doc_id", "n", "digest").join(comp, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     least = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -105,12 +105,12 @@ def identify(docs: DataFrame, pages: DataFrame) -> DataFrame:
     # posteriors in millionths: integer sums do not depend on the order of addition
     page = page.withColumn("q", F.transform("p", lambda x: F.round(x * 1_000_000).cast("long")))
     sums = lambda *by: [F.array(*[F.sum(F.col("q")[i]) for i in range(n)]).alias(f"sum_{by[-1]}")]
-    every = F.broadcast(page.agg(*sums("all")))  # one row
+    every = page.select(*sums("all")).scalar()
     by_host = page.groupBy("host", "domain").agg(*sums("host"))
     by_domain = by_host.groupBy("domain").agg(F.array(*[F.sum(F.col("sum_host")[i]) for i in range(n)]).alias("sum_domain"))
     by_declared = page.groupBy("declared").agg(*sums("declared"))
     by_suffix = page.groupBy("suffix").agg(*sums("suffix"))
-    x = page.join(by_host, ["host", "domain"]).join(by_domain, "domain").join(by_declared, "declared").join(by_suffix, "suffix").crossJoin(every)
+    x = page.join(by_host, ["host", "domain"]).join(by_domain, "domain").join(by_declared, "declared").join(by_suffix, "suffix").withColumn("sum_all", every)
     less = lambda c, i: F.greatest(F.lit(0.0), (F.col(c)[i] - F.col("q")[i]) / 1e6)  # noqa: E731  without the page itself
     total = lambda c: F.greatest(F.lit(0.0), (F.aggregate(F.col(c), F.lit(0).cast("long"), lambda a, b: a + b)) / 1e6 - 1)
     fused = []
