@@ -2,8 +2,8 @@
 
 Each page becomes a small tree of elements. Paragraphs of some length pass points (one, one per comma, one per
 hundred characters up to three) to their parent, half to the grandparent, a third and so on above; a container's
-points are discounted by its link density. The best container, lifted to the article or main element around
-it, and those of its siblings that score well or are plain long paragraphs are kept. Menus, headers, footers, side
+points are discounted by its link density. The best container, lifted to the article, main or named content element
+around it, and those of its siblings that score well or are headings, paragraphs, lists or tables of text are kept. Menus, headers, footers, side
 bars, notices, adverts, forms, reader comments, scripts and styles are left out by element, role or class wherever
 they stand.
 
@@ -30,6 +30,7 @@ BLOCK = frozenset(
     "section summary table tbody td tfoot th thead tr ul caption legend".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - {"html", "body", "caption", "legend", "tbody", "thead", "tfoot", "tr", "td", "th", "summary", "figcaption"}
+FLOW = frozenset("p pre blockquote ul ol dl table figure".split())
 PARAGRAPH = frozenset("p pre blockquote td li dd".split())
 BASE = {"article": 30, "main": 25, "section": 3, "div": 5, "td": 3, "blockquote": 3, "body": 0, "ul": -3, "ol": -3, "dl": -3}
 #: class, id and role words that mark what is not the article, whatever else they stand with
@@ -46,26 +47,30 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "drop", "score", "scored", "chars", "linked", "commas")
+    __slots__ = ("tag", "parent", "kids", "drop", "score", "scored", "chars", "linked", "commas", "content")
 
     def __init__(self, tag, parent, drop):
         self.tag, self.parent, self.drop = tag, parent, drop
         self.kids: list = []  # nodes and strings, in page order
-        self.score, self.scored, self.chars, self.linked, self.commas = 0.0, False, 0, 0, 0
+        self.score, self.scored, self.chars, self.linked, self.commas, self.content = 0.0, False, 0, 0, 0, False
 
 
-def _unwanted(tag: str, attrs, inside_article: bool) -> bool:
+def _marks(tag: str, attrs, inside_article: bool) -> tuple[bool, bool]:
+    """Whether an element is left out, and whether its class, id or role names it as content."""
     if tag in DROP or tag == "header" and not inside_article:
-        return True
+        return True, False
     words: set[str] = set()
     for k, v in attrs:
         if k == "hidden" or k == "style" and v and _HIDDEN.search(v):
-            return True
+            return True, False
         if k in ("class", "id", "role") and v:
             words.update(_WORD.findall(_CAMEL.sub(" ", v).lower()))
-    if not words or tag in ("html", "body", "article", "main") and not words & {"comment", "comments", "ad", "advert", "sponsored"}:
-        return False
-    return bool(words & NEVER) or bool(words & PERHAPS) and not words & CONTENT
+    if not words:
+        return False, False
+    content = bool(words & CONTENT)
+    if tag in ("html", "body", "article", "main") and not words & {"comment", "comments", "ad", "advert", "sponsored"}:
+        return False, content
+    return bool(words & NEVER) or bool(words & PERHAPS) and not content, content
 
 
 class Tree(HTMLParser):
@@ -100,7 +105,9 @@ class Tree(HTMLParser):
         if tag == "header":
             while up is not None and not inside:
                 inside, up = up.tag in ("article", "main"), up.parent
-        self.at = Node(tag, at, at.drop or _unwanted(tag, attrs, inside))
+        out, content = _marks(tag, attrs, inside)
+        self.at = Node(tag, at, at.drop or out)
+        self.at.content = content
         at.kids.append(self.at)
 
     def handle_startendtag(self, tag, attrs):
@@ -210,6 +217,12 @@ def _descend(node: Node) -> list[Node]:
     return out
 
 
+def _inside(node: Node, tags) -> bool:
+    while node is not None and node.tag not in tags:
+        node = node.parent
+    return node is not None
+
+
 def main_text(html: str | None) -> str:
     """Blocks of the article in page order, white space in them made one space, joined by two newlines."""
     if not html:
@@ -220,18 +233,24 @@ def main_text(html: str | None) -> str:
     root = tree.root
     _measure(root)
     nodes = [root, *_descend(root)]
+    for n in nodes:  # a list of nothing but links is a menu, unless it stands in an article
+        if n.tag in ("ul", "ol") and n.chars and n.linked >= 0.9 * n.chars and not _inside(n, ("article", "main")):
+            n.drop = True
     worth = lambda n: n.score * (1 - n.linked / n.chars) if n.chars else 0.0
     scored = [n for n in nodes if n.scored]
     best = max(scored, key=worth, default=None)
     if best is None:
         best = next((n for t in ("article", "main") for n in nodes if n.tag == t), root)
-    up = best
-    while up is not None:  # the whole article around the best container
+    up, named = best, best
+    while up is not None:  # the whole article around the best container: article, else main, else what is named content
         if up.tag in ("article", "main"):
-            best = up
+            named = up
             if up.tag == "article":
                 break
+        elif up.content and up.tag in BLOCK and up.tag not in ("html", "body") and named.tag != "main":
+            named = up
         up = up.parent
+    best = named
     if best.parent is None:
         return "\n\n".join(blocks([best]))
     least = max(10.0, 0.2 * worth(best))
@@ -241,8 +260,8 @@ def main_text(html: str | None) -> str:
             keep.append(k)
         elif isinstance(k, Node) and not k.drop:
             density = k.linked / k.chars if k.chars else 1.0
-            if k.scored and k.tag == best.tag and worth(k) >= least or k.tag == "p" and k.chars > 80 and density < 0.25 or \
-                    best.tag not in ("article", "main") and (k.tag in HEADING or k.scored and worth(k) >= least):
+            if k.tag == "article" and k.scored and worth(k) >= least or best.tag not in ("article", "main") and (
+                    k.tag in HEADING or k.tag in FLOW and density < 0.5 or k.scored and worth(k) >= least):
                 keep.append(k)
     return "\n\n".join(blocks(keep))
 
