@@ -32,7 +32,7 @@ from ferret.llm.common import slices
 
 MARK = "▁"
 DEFAULT_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE_WORDS = 400_000
+CACHE_WORDS, SLICE = 300_000, 1 << 20
 _WORDS = re.compile(f"{MARK}+[^{MARK}\n\t]*|[^{MARK}\n\t]+|[\n\t]")
 
 
@@ -163,7 +163,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, colu
         encoder = Encoder(Vocabulary(vocabulary))
         for b in batches:
             b = b.rename_columns([f"c{i}" for i in range(b.num_columns)])
-            for s in slices(b, f"c{at}"):
+            for s in slices(b, f"c{at}", SLICE):
                 flat, ptr = encoder.encode(s.column(at).to_pylist())
                 col = pa.ListArray.from_arrays(pa.array(ptr.astype(np.int32)), pa.array(flat), mask=s.column(at).is_null())
                 yield pa.RecordBatch.from_arrays([*s.columns, col], names=[*kept, ids])
@@ -172,23 +172,29 @@ def encode_documents(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, colu
     return src.mapInArrow(run, StructType([*src.schema.fields]).add(ids, ArrayType(IntegerType())))
 
 
+def decode_ids(flat: np.ndarray, ptr: np.ndarray, tables) -> list[str]:
+    """The text of each row of ids; bytes that are no UTF-8 become U+FFFD."""
+    pool, start, size = tables
+    data, off = gather(pool, start[flat], size[flat], ptr)
+    raw = data.tobytes()
+    texts = [raw[a:z].decode("utf-8", "replace") for a, z in zip(off[:-1].tolist(), off[1:].tolist())]
+    return [x[1:] if x[:1] == " " else x for x in texts]
+
+
 def decode_documents(encoded: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, ids: str = "ids", column: str = "decoded") -> DataFrame:
-    """``encoded`` with a column of the texts that its ids stand for; bytes that are no UTF-8 become U+FFFD."""
+    """``encoded`` with a column of the texts that its ids stand for."""
     kept = [c for c in encoded.columns if c != column]
     at = kept.index(ids)
 
     def run(batches):
-        pool, start, size = Vocabulary(vocabulary).tables()
+        tables = Vocabulary(vocabulary).tables()
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 s = b.slice(i, 256)
                 lists = s.column(at)
                 flat = lists.flatten().to_numpy(zero_copy_only=False)
                 ptr = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
-                data, off = gather(pool, start[flat], size[flat], ptr)
-                raw = data.tobytes()
-                texts = [raw[a:z].decode("utf-8", "replace") for a, z in zip(off[:-1].tolist(), off[1:].tolist())]
-                texts = [x[1:] if x[:1] == " " else x for x in texts]
+                texts = decode_ids(flat, ptr, tables)
                 col = pa.array([x if ok else None for x, ok in zip(texts, lists.is_valid().to_pylist())], pa.string())
                 yield pa.RecordBatch.from_arrays([*s.columns, col], names=[*kept, column])
 
@@ -196,26 +202,28 @@ def decode_documents(encoded: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, i
     return src.mapInArrow(run, StructType([*src.schema.fields]).add(column, StringType()))
 
 
-def ids_digest(df: DataFrame, ids: str = "ids") -> DataFrame:
-    """SHA-256 of the ids as little-endian 32-bit integers, in a column ``ids_sha256`` in place of ``ids``."""
-    kept = [c for c in df.columns if c != ids]
-    at = df.columns.index(ids)
+def token_digests(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """Encode and decode without leaving the task: doc_id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit
+    integers), decoded_sha256, round_trip (the decoded text is the text). A null text counts as empty."""
+    sha = lambda x: hashlib.sha256(x).hexdigest()
 
     def run(batches):
+        voc = Vocabulary(vocabulary)
+        encoder, tables = Encoder(voc), voc.tables()
         for b in batches:
-            lists = b.column(at)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<i4", copy=False)
-            ptr = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).tolist()
-            col = pa.array([hashlib.sha256(flat[a:z].tobytes()).hexdigest() for a, z in zip(ptr[:-1], ptr[1:])])
-            yield pa.RecordBatch.from_arrays([*[x for i, x in enumerate(b.columns) if i != at], col], names=[*kept, "ids_sha256"])
+            for s in slices(b, "text", SLICE):
+                texts = [x or "" for x in s.column("text").to_pylist()]
+                flat, ptr = encoder.encode(texts)
+                decoded = decode_ids(flat, ptr, tables)
+                flat = flat.astype("<i4", copy=False)
+                yield pa.RecordBatch.from_arrays([
+                    s.column("doc_id"), pa.array(np.diff(ptr)), pa.array([sha(flat[a:z].tobytes()) for a, z in zip(ptr[:-1], ptr[1:])], pa.string()),
+                    pa.array([sha(x.encode()) for x in decoded], pa.string()), pa.array([x == y.replace(MARK, " ") for x, y in zip(decoded, texts)], pa.bool_())],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
 
-    return df.mapInArrow(run, StructType([f for f in df.schema.fields if f.name != ids]).add("ids_sha256", StringType()))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return src.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
 
 
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """Every document encoded and decoded: doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    both = decode_documents(encode_documents(docs))
-    out = both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"),
-                      (F.col("decoded") == F.translate("text", MARK, " ")).alias("round_trip"), "ids")
-    return ids_digest(out)
+    return token_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
