@@ -163,10 +163,11 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
     """doc, th and text of every row: the least-first order of documents. A null doc_id comes last, a null text is empty.
-    ``th`` tells apart rows that share a doc_id (by their text); it is 0 where ids are unique."""
+    ``th`` tells apart rows that share a doc_id (by their text); where ids are unique it is the sign of ``doc``: not a
+    literal, which Spark would take out of the join keys and so shuffle a table again that is dealt out by both."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     unique = docs.groupBy(doc.alias("doc")).count().where("count > 1").limit(1).isEmpty()
-    th = F.lit(0).cast("long") if unique else F.xxhash64("text")
+    th = F.shiftright(doc, 63) if unique else F.xxhash64("text")
     return docs.select(doc.alias("doc"), th.alias("th"), F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
