@@ -12,8 +12,8 @@
    farther: two points within ``r`` meet in the region of either. Regions split again until they are small. Where the
    windows keep a region from shrinking, it is dealt out in pairs of blocks, which is exact too.
 4. *Leaves.* A small region is joined in one task: recursively by pivots of its own, and at the end by exact
-   intersection counts of all its points at once. A leaf gives each point's least linked name, a spanning forest, not
-   all pairs: a group of many near copies costs a row a point.
+   intersection counts of all its points at once. A leaf gives each point's least linked name (a spanning forest) and its
+   number of links, not the pairs: a group of many near copies costs a row a point.
 
 Edge cases: null texts and texts without words have the empty set, which links with nothing (component = own doc_id);
 shorter texts than the shingle have their whole word sequence as one shingle; rows that repeat a doc_id each give a
@@ -131,74 +131,95 @@ def linked(i, a, b, num, den):
     return den * i >= num * (a + b - i)
 
 
-def _block(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """Least linked index of every set, over chains of links, by exact intersection counts of all pairs at once."""
+def near_pairs(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which of the sets link, as a matrix with a true diagonal, by exact intersection counts of all pairs at once."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
-    if n == 2:
-        i = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return np.array([0, 0 if linked(i, size[0], size[1], num, den) else 1])
-    token, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    _, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     number = np.cumsum(df > 1) - 1
     owner, common = np.repeat(np.arange(n), size), df[inverse] > 1
     owner, col = owner[common], number[inverse[common]]
     order = np.argsort(col, kind="stable")
     owner, col = owner[order], col[order]
-    width = 4096
+    columns = int(col[-1]) + 1 if len(col) else 0
+    width = min(4096, columns)
     count = np.zeros((n, n), np.float32)
-    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, width):
+    for lo in range(0, columns, max(width, 1)):
         a, b = np.searchsorted(col, (lo, lo + width))
         m = np.zeros((n, width), np.float32)
         m[owner[a:b], col[a:b] - lo] = 1
         count += m @ m.T
-    i = count.astype(np.int64)
-    near = linked(i, size[:, None], size[None, :], num, den)
-    label = np.arange(n)
+    near = linked(count.astype(np.int64), size[:, None], size[None, :], num, den)
+    np.fill_diagonal(near, True)
+    return near
+
+
+def _labels(near: np.ndarray) -> np.ndarray:
+    """Least index of everyone's component, by minima that pass along the links."""
+    label = np.arange(len(near))
     while True:
-        new = np.where(near, label[None, :], n).min(axis=1)
-        new = np.minimum(new, label)[np.minimum(new, label)]
+        new = np.minimum(np.where(near, label[None, :], len(near)).min(axis=1), label)
+        new = new[new]
         if (new == label).all():
             return label
         label = new
 
 
-def join_region(sets: list[np.ndarray], num: int, den: int, leaf: int = LEAF) -> np.ndarray:
-    """Least index of the component of every set of one region."""
-    parent = np.arange(len(sets))
+def join_region(sets: list[np.ndarray], num: int, den: int, weight: np.ndarray | None = None, core: np.ndarray | None = None,
+                side: np.ndarray | None = None, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+    """Of every set of one region: the least index of its component, and its links, each counted ``weight`` times.
+
+    A point is ``core`` in the one region that is its own and a guest in others: links count where a point is core,
+    and each meets its points there. In a pair of blocks (``side`` names the block, -1 elsewhere) links inside a block do
+    not count, as the block has a region of its own.
+    """
+    n = len(sets)
+    parent, links = np.arange(n), np.zeros(n, np.int64)
+    weight = np.ones(n, np.int64) if weight is None else weight
+    core = np.ones(n, bool) if core is None else core
+    cross = side is not None and (side >= 0).any()
 
     def root(x):
         while parent[x] != x:
             parent[x] = x = parent[parent[x]]
         return x
 
-    def settle(members, label):
-        for x, y in zip(members, members[label]):
+    def join(members, own, block=None):
+        if len(members) < 2:
+            return
+        near = near_pairs([sets[i] for i in members], num, den)
+        label = _labels(near)
+        for x, y in zip(members.tolist(), members[label].tolist()):
             a, b = root(x), root(y)
             if a != b:
                 parent[max(a, b)] = min(a, b)
+        np.fill_diagonal(near, False)
+        for part in (side[members] if cross else None, block):
+            if part is not None:
+                near &= part[:, None] != part[None, :]
+        links[members] += np.where(own, near @ weight[members], 0)
 
-    todo = [np.arange(len(sets))]
+    todo = [(np.arange(n), core)]
     while todo:
-        members = todo.pop()
+        members, own = todo.pop()
         if len(members) <= leaf:
-            settle(members, _block([sets[i] for i in members], num, den) if len(members) > 1 else np.zeros(1, int))
+            join(members, own)
             continue
         dist = np.stack([_distances([sets[i] for i in members], sets[p]) for p in _spread(members)], axis=1)
-        own = dist.argmin(axis=1)
-        slack = dist[np.arange(len(members)), own] + 2 * (1 - num / den) + 1e-9
-        for q in range(dist.shape[1]):
-            inside = members[dist[:, q] <= slack]
-            if not (own == q).any():
-                continue
-            if len(inside) <= 0.8 * len(members):
-                todo.append(inside)
-            else:  # the windows hold nearly all: pairs of blocks
-                for a in range(0, len(members), leaf // 2):
-                    for b in range(a, len(members), leaf // 2):
-                        both = members[a:a + leaf // 2] if a == b else np.concatenate([members[a:a + leaf // 2], members[b:b + leaf // 2]])
-                        settle(both, _block([sets[i] for i in both], num, den) if len(both) > 1 else np.zeros(1, int))
-                break
-    return np.array([root(x) for x in range(len(sets))])
+        home = dist.argmin(axis=1)
+        slack = dist[np.arange(len(members)), home] + 2 * (1 - num / den) + 1e-9
+        children = [(dist[:, q] <= slack, own & (home == q)) for q in range(dist.shape[1])]
+        children = [(members[inside], mine[inside]) for inside, mine in children if mine.any()]
+        if all(len(c) <= 0.8 * len(members) for c, _ in children):
+            todo += children
+            continue
+        half = leaf // 2  # the windows hold nearly all: blocks, and pairs of blocks
+        for a in range(0, len(members), half):
+            join(members[a:a + half], own[a:a + half])
+            for b in range(a + half, len(members), half):
+                both, mine = (np.concatenate([x[a:a + half], x[b:b + half]]) for x in (members, own))
+                join(both, mine, np.arange(len(both)) < half)
+    return np.array([root(x) for x in range(n)]), links
 
 
 def _spread(members: np.ndarray) -> np.ndarray:
@@ -219,7 +240,7 @@ def _distances(sets: list[np.ndarray], pivot: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- Spark
 
 def _region_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """region, digest, n and the set itself (8 bytes a shingle) of every member."""
+    """region, digest, n, copies and the set itself (8 bytes a shingle) of every member."""
     def run(batches):
         for b in batches:
             for part in slices(b, "text"):
@@ -230,10 +251,11 @@ def _region_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
                         keep.append(i)
                         blobs.append(s.tobytes())
                 rows = part.take(pa.array(keep, pa.int64()))
-                yield pa.RecordBatch.from_arrays([rows.column("region"), rows.column("digest"), rows.column("n"), pa.array(blobs, pa.binary())], names=["region", "digest", "n", "set"])
+                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in ("region", "digest", "n", "copies")], pa.array(blobs, pa.binary())], names=["region", "digest", "n", "copies", "set"])
 
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    return texts.join(members, "doc_id").select("region", "digest", "n", "text").mapInArrow(run, "region long, digest binary, n long, set binary")
+    points = texts.join(members, "doc_id").select("region", "digest", "n", "copies", "text").mapInArrow(run, "region long, digest binary, n long, copies long, set binary")
+    return points.select("*", F.lit(True).alias("core"), F.lit(-1).alias("side"))
 
 
 def _grouped(batches, key: str):
@@ -253,24 +275,16 @@ def _grouped(batches, key: str):
 
 
 def _leaves(regions: DataFrame, num: int, den: int) -> DataFrame:
-    """(digest, root): each point's least linked point within its region."""
+    """(digest, root, links): each point's least linked point within its region, and its links with the copies of others."""
     def run(batches):
         for _, group in _grouped(batches, "region"):
-            names, sets = [], []
-            for g in group:
-                names += g.column("digest").to_pylist()
-                sets += [np.frombuffer(x, U) for x in g.column("set").to_pylist()]
-            unique = dict(zip(names, sets))
-            names, sets = list(unique), list(unique.values())
-            root = join_region(sets, num, den)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([names[r] for r in root.tolist()], pa.binary())], names=["digest", "root"])
+            column = lambda c: [x for g in group for x in g.column(c).to_pylist()]  # noqa: E731,B023
+            names, sets = column("digest"), [np.frombuffer(x, U) for x in column("set")]
+            root, links = join_region(sets, num, den, np.array(column("copies")), np.array(column("core"), bool), np.array(column("side")))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([names[r] for r in root.tolist()], pa.binary()), pa.array(links)], names=["digest", "root", "links"])
 
-    return regions.repartition("region").sortWithinPartitions("region", "digest").select("region", "digest", "set").mapInArrow(run, "digest binary, root binary")
-
-
-def _region_rows(child, parent, names, sizes, blobs) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(child, pa.int64()), pa.array(parent, pa.int64()), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())],
-                                      names=["region", "parent", "digest", "n", "set"])
+    rows = regions.select("region", "digest", "copies", "set", "core", "side").repartition("region").sortWithinPartitions("region", "digest")
+    return rows.mapInArrow(run, "digest binary, root binary, links long")
 
 
 def _split(big: DataFrame, sizes: DataFrame, num: int, den: int, max_members: int) -> DataFrame:
@@ -283,42 +297,49 @@ def _split(big: DataFrame, sizes: DataFrame, num: int, den: int, max_members: in
     rest = rows.withColumn("salt", F.pmod(F.xxhash64("digest"), F.col("salts")).cast("int")).withColumn("kind", F.lit(1))
     dealt = rest.unionByName(pivots).repartition("region", "salt").sortWithinPartitions("region", "salt", "kind", "digest")
     radius = 1 - num / den
+    columns = ["region", "parent", "digest", "n", "copies", "set", "core"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+    frame = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(columns), kinds)], names=columns)
 
     def run(batches):
         at, pivot = None, []
         for b in batches:
-            child, parent, names, sizes, blobs, held = [], [], [], [], [], 0
-            for region, salt, kind, name, n, blob in zip(*[b.column(c).to_pylist() for c in ("region", "salt", "kind", "digest", "n", "set")]):
+            rows, held = [], 0
+            for region, salt, kind, name, n, copies, blob, core in zip(*[b.column(c).to_pylist() for c in ("region", "salt", "kind", "digest", "n", "copies", "set", "core")]):
                 if (region, salt) != at:
                     at, pivot = (region, salt), []
                 if kind == 0:
                     pivot.append(np.frombuffer(blob, U))
                     continue
                 dist = np.array([_distances([np.frombuffer(blob, U)], p)[0] for p in pivot])
-                to = np.flatnonzero(dist <= dist.min() + 2 * radius + 1e-9)
-                child += mix64(U(region & (1 << 64) - 1) + to.astype(U) + U(1)).view(np.int64).tolist()
-                for column, value in ((parent, region), (names, name), (sizes, n), (blobs, blob)):
-                    column += [value] * len(to)
+                home = int(dist.argmin())
+                to = np.flatnonzero(dist <= dist[home] + 2 * radius + 1e-9)
+                child = mix64(U(region & (1 << 64) - 1) + to.astype(U) + U(1)).view(np.int64)
+                rows += [(c, region, name, n, copies, blob, core and q == home) for c, q in zip(child.tolist(), to.tolist())]
                 held += len(blob) * len(to)
                 if held > 8 << 20:
-                    yield _region_rows(child, parent, names, sizes, blobs)
-                    child, parent, names, sizes, blobs, held = [], [], [], [], [], 0
-            yield _region_rows(child, parent, names, sizes, blobs)
+                    yield frame(rows)
+                    rows, held = [], 0
+            yield frame(rows)
 
-    return dealt.select("region", "salt", "kind", "digest", "n", "set").mapInArrow(run, "region long, parent long, digest binary, n long, set binary")
+    out = dealt.select("region", "salt", "kind", "digest", "n", "copies", "set", "core").mapInArrow(run, "region long, parent long, digest binary, n long, copies long, set binary, core boolean")
+    # a region without a point of its own adds nothing: every pair meets in the region of either point
+    return out.join(out.where("core").select("region").distinct(), "region", "left_semi").withColumn("side", F.lit(-1))
 
 
 def _blocks(stuck: DataFrame, sizes: DataFrame, max_members: int) -> DataFrame:
-    """Regions that windows keep from shrinking, as pairs of blocks of half the size: every pair of points meets."""
+    """Regions that windows keep from shrinking, as blocks and pairs of blocks of half the size: every pair of points meets."""
     n = sizes.select("region", F.ceil(2 * F.col("members") / max_members).cast("int").alias("blocks"))
-    rows = stuck.join(n, "region").withColumn("own", F.pmod(F.xxhash64(F.lit(1), "digest"), F.col("blocks")).cast("int"))
+    rows = stuck.drop("side").join(n, "region").withColumn("own", F.pmod(F.xxhash64(F.lit(1), "digest"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("region"), "digest", "n", "set")
+    return rows.select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("region"), "digest", "n", "copies", "set", "core",
+                       F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own")).alias("side"))
 
 
 def join_points(points: DataFrame, num: int, den: int, max_members: int = 4096, max_shingles: int = 4_000_000) -> DataFrame:
-    """(digest, root) links that connect exactly the points which chains of pairs within the radius connect.
-    ``points``: region, digest, n, set; pairs in different regions are known to be farther apart."""
+    """(digest, root, links): roots connect exactly the points which chains of pairs within the radius connect, and the
+    links of a digest add up to its number of linked documents with other sets. ``points``: region, digest, n, copies,
+    set, core, side; pairs in different regions are known to be farther apart."""
     found, level = None, points
     while True:
         sizes = level.groupBy("region").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
@@ -333,7 +354,7 @@ def join_points(points: DataFrame, num: int, den: int, max_members: int = 4096,
         shrunk = child.join(large.select(F.col("region").alias("parent"), F.col("members").alias("before")), "parent")
         stuck = stage(shrunk.where("members > 0.8 * before").select("parent").distinct().withColumnRenamed("parent", "region"), "stuck")
         found = _union(found, _leaves(_blocks(level.join(stuck, "region", "left_semi"), large, max_members), num, den))
-        level = stage(split.join(stuck.withColumnRenamed("region", "parent"), "parent", "left_anti").select("region", "digest", "n", "set"), "level")
+        level = stage(split.join(stuck.withColumnRenamed("region", "parent"), "parent", "left_anti").drop("parent"), "level")
 
 
 def _union(a: DataFrame | None, b: DataFrame) -> DataFrame:
@@ -341,23 +362,46 @@ def _union(a: DataFrame | None, b: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, max_members: int = 4096, max_shingles: int = 4_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row; documents link when ``den * |A & B| >= num * |A | B|``."""
+    """doc_id, n_shingles, component_id and n_links (rows it links with) of every row; documents link when
+    ``den * |A & B| >= num * |A | B|``."""
     prof = stage(profiles(docs, shingle, num, den), "profiles")
     by_sig = prof.where("sigs is not null").select(F.explode("sigs").alias("sig"), "node")
     pivot = F.first("node").over(Window.partitionBy("sig").orderBy("node"))
     attached = by_sig.withColumn("pivot", pivot).where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     regions = components(attached).select("node", F.col("root").alias("region"))
-    members = prof.where("n > 0").select("node", "digest", "n", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")).join(regions, "node")
-    members = members.groupBy("region", "digest", "n").agg(F.min("doc_id").alias("doc_id"))
+    # one row a set: its node, rows and least id
+    sets = stage(prof.where("n > 0").groupBy("digest").agg(F.min("node").alias("node"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least")), "sets")
+    members = sets.join(regions, "node").select("region", "digest", "n", "copies", F.coalesce("least", F.lit(NO_ID)).alias("doc_id"))
     points = stage(_region_sets(docs, members, shingle), "points")
-    links = stage(join_points(points, num, den, max_members, max_shingles).where("digest <> root"), "links")
+    found = stage(join_points(points, num, den, max_members, max_shingles), "links")
     drop_staged(points)
-    comp = components(links.select(F.col("digest").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("digest"), "root")
-    rows = prof.select("doc_id", "n", "digest").join(comp, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    least = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    rows = rows.join(least, "root", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    comp = components(found.select(F.col("digest").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("digest"), "root")
+    links = found.groupBy("digest").agg(F.sum("links").alias("links"))
+    each = sets.join(comp, "digest", "left").join(links, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    least = each.groupBy("root").agg(F.min("least").alias("component_id"))
+    each = each.join(least, "root").select("digest", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    rows = prof.select("doc_id", "n", "digest").join(each, "digest", "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                       F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, num=90, den=100)
+
+
+#: The same in DuckDB SQL: every pair that shares a shingle, and all that each document reaches.
+OP1_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                                 ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+half AS (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 90 * (a.n + b.n - i)),
+links AS (SELECT x, y FROM half UNION ALL SELECT y, x FROM half),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT links.y, reach.r FROM reach JOIN links ON links.x = reach.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, coalesce(k.n_links, 0)::BIGINT AS n_links
+FROM documents d JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
+LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, count(*) AS n_links FROM links GROUP BY x) k USING (doc_id)
+"""

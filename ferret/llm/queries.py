@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ferret.llm.fingerprints import op9_fingerprints
 from ferret.llm.html_text import op10_html_extraction
-from ferret.llm.jaccard_join import op1_jaccard_join
+from ferret.llm.jaccard_join import OP1_SQL, op1_jaccard_join
 from ferret.llm.language_id import op8_language_id
 from ferret.llm.line_dedup import OP6_SQL, op6_line_dedup
 from ferret.llm.mixing import op2_mixing
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_html_extraction": op10_html_extraction,
 }
 
-ORACLES: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL}
+ORACLES: dict[str, str] = {"op1_jaccard_join": OP1_SQL, "op5_substring_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL}

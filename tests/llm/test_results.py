@@ -37,7 +37,7 @@ def brute_groups(texts, k, num, den):
     for i, t in texts.items():
         w = WORD.findall(t.translate(LOWER))
         sets[i] = {tuple(w[j:j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
-    parent = {i: i for i in sets}
+    parent, links = {i: i for i in sets}, dict.fromkeys(sets, 0)
 
     def root(x):
         while parent[x] != x:
@@ -52,7 +52,9 @@ def brute_groups(texts, k, num, den):
                 if den * n >= num * (len(sets[a]) + len(sets[b]) - n):
                     x, y = root(a), root(b)
                     parent[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), root(i)) for i in ids}
+                    links[a] += 1
+                    links[b] += 1
+    return {i: (len(sets[i]), root(i), links[i]) for i in ids}
 
 
 @pytest.mark.parametrize("k,num,members", [(3, 90, 4096), (5, 80, 4096), (3, 40, 4)])
@@ -66,7 +68,7 @@ def test_jaccard_join(spark, docs, texts, k, num, members):
             w[rng.randrange(len(w))] = f"w{rng.randrange(10**6)}"
         more[10_000 + i] = " ".join(w)
     frame = spark.createDataFrame(list(more.items()), "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(frame, k, num, 100, max_members=members).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.near_duplicates(frame, k, num, 100, max_members=members).collect()}
     assert got == brute_groups(more, k, num, 100)
 
 
@@ -74,8 +76,14 @@ def test_join_region_recursion():
     rng = np.random.default_rng(2)
     base = [rng.integers(0, 1 << 62, 60).astype(np.uint64) for _ in range(6)]
     sets = [np.unique(np.concatenate([b[rng.random(60) < 0.97], rng.integers(0, 1 << 62, rng.integers(0, 4)).astype(np.uint64)])) for b in base for _ in range(40)]
-    whole = jaccard_join._block(sets, 80, 100)
-    assert (jaccard_join.join_region(sets, 80, 100, leaf=16) == whole).all() and len(set(whole.tolist())) < 60
+    near = jaccard_join.near_pairs(sets, 80, 100)
+    whole, weight = jaccard_join._labels(near), rng.integers(1, 5, len(sets))
+    for leaf in (8, 16, 100, 1000):
+        root, links = jaccard_join.join_region(sets, 80, 100, weight, leaf=leaf)
+        assert (root == whole).all() and (links == near @ weight - weight).all()
+    assert len(set(whole.tolist())) < 60
+    side = np.arange(len(sets)) % 2
+    assert (jaccard_join.join_region(sets, 80, 100, weight, side=side, leaf=16)[1] == (near & (side[:, None] != side)) @ weight).all()
 
 
 def test_signatures_meet():
@@ -222,10 +230,10 @@ def test_round_trip(spark, texts):
     assert {r.doc_id: r.decoded_sha256 for r in got} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()}
 
 
-def test_substring_and_line_dedup_against_sql(spark):
+def test_queries_against_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    for query, sql in ((substring_dedup.op5_substring_dedup, substring_dedup.OP5_SQL), (line_dedup.op6_line_dedup, line_dedup.OP6_SQL)):
+    for query, sql in ((jaccard_join.op1_jaccard_join, jaccard_join.OP1_SQL), (substring_dedup.op5_substring_dedup, substring_dedup.OP5_SQL), (line_dedup.op6_line_dedup, line_dedup.OP6_SQL)):
         got, want = query(spark, SF), con.sql(sql)
         assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
 
@@ -351,7 +359,7 @@ def test_pipeline_against_brute_force(spark):
     assert {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in rows} == {i: h for i, h in want.items() if i not in lost} and all(r.n_chars == len(r.text) for r in rows)
     near = P.stage(P.STAGES[2][1](spark, lines, SF), "t")
     groups = brute_groups({r.doc_id: r.text for r in rows}, 5, 80, 100)
-    assert {r.doc_id for r in near.collect()} == {i for i, (_, c) in groups.items() if c == i}
+    assert {r.doc_id for r in near.collect()} == {i for i, (_, c, _) in groups.items() if c == i}
     mixed = P.stage(P.STAGES[3][1](spark, near, SF), "t")
     times = {r.doc_id: r.n for r in mixed.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     repeats, _ = mixing.mix_sources(near.withColumn("doc_id", F.xxhash64("doc_id", "text")))
