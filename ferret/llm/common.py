@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U = np.uint64
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _POLY = 0x9E3779B97F4A7C15 | 1
 _POLY_INV = pow(_POLY, -1, 1 << 64)
 _SEP = np.zeros(256, bool)
@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     cluster without it this raises, since a machine-local folder is not seen by the executors."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="llm-checkpoints-")
         spark.sparkContext.setCheckpointDir(d)

@@ -71,7 +71,7 @@ def _halves(min_words: int):
                 ok = ok[np.unique(x.c1[ok], return_index=True)[1]]
                 ok = np.array([i for i, c in zip(ok.tolist(), x.c1[ok].tolist()) if c not in seen], np.int64)
                 seen.update(x.c1[ok].tolist())
-                if len(seen) > 4 * CHUNK:  # forgetting only costs repeated rows
+                if len(seen) > CHUNK // 2:  # forgetting only costs repeated rows
                     seen.clear()
                 lo, hi, n = x.lo[ok], x.hi[ok], x.size[ok]
                 keys = []
@@ -87,8 +87,9 @@ def _halves(min_words: int):
 def _variants(batches):
     """Of the wanted lines: key and check (two hashes of a variant), role (S: variant at its place, D: variant, F: the
     whole line, which may be a variant of a longer one), c1 and the line's first occurrence."""
+    roles = pa.array(["S", "D", "F"])
     for b in batches:
-        for part in slices(b, "text"):
+        for part in slices(b, "text", 1 << 20):
             x = Lines(Text(part.column("text")))
             want = part.column("lines")
             at = {}
@@ -97,8 +98,8 @@ def _variants(batches):
             owner = np.repeat(np.arange(part.num_rows), want.value_lengths().to_numpy())
             rows = np.array([at[d, k] for d, k in zip(owner.tolist(), want.flatten().to_pylist())], np.int64)
             ids, th = part.column("doc").to_numpy(), part.column("th").to_numpy()
-            for i in range(0, len(rows), 4096):
-                r = rows[i:i + 4096]
+            for i in range(0, len(rows), 1024):
+                r = rows[i:i + 1024]
                 n = x.size[r]
                 line = np.repeat(np.arange(len(r)), n)
                 place = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
@@ -113,11 +114,11 @@ def _variants(batches):
                     both.append(mix64(left + right + (hi - lo - 1).astype(U) * U(0xD6E8FEB86659FD93)))
                 key = np.concatenate([mix64(both[0] ^ mix64(place.astype(U) + U(1))), both[0], x.c1[r]])
                 check = np.concatenate([both[1], both[1], x.c2[r]])
-                role = ["S"] * len(line) + ["D"] * len(line) + ["F"] * len(r)
+                role = roles.take(pa.array(np.repeat(np.arange(3), [len(line), len(line), len(r)])))
                 line = np.concatenate([line, line, np.arange(len(r))])
                 d = x.doc[r][line]
                 yield pa.RecordBatch.from_arrays(
-                    [long_array(key), long_array(check), pa.array(role), long_array(x.c1[r][line]),
+                    [long_array(key), long_array(check), role, long_array(x.c1[r][line]),
                      pa.array(ids[d]), pa.array(th[d]), pa.array(x.number[r][line].astype(np.int32))], names=["key", "check", "role", "c1", "doc", "th", "line"])
 
 
