@@ -114,7 +114,7 @@ def _in_order(batches):
     its part (``kind`` 1)."""
     held = None
     for b in batches:
-        for s in slices(b, "text"):
+        for s in slices(b, "text", 1 << 20):
             ids, kind, text = (s.column(c) for c in ("doc_id", "kind", "text"))
             if held is not None:
                 ids, kind, text = (pa.concat_arrays([x, y]) for x, y in zip(held, (ids, kind, text)))

@@ -4,8 +4,8 @@ Seeds are runs of ``SEED`` words; the least seed hash of every window of ``lengt
 two equal windows have equal anchors (winnowing). A row is an anchor occurrence with its *span*: the words of all the
 consecutive windows that chose it. Rows are joined on the anchor; anchors that occur once are dropped. Extension goes
 from coarse to fine: an occurrence whose whole span is equal to an earlier one's is a repeat as far as it reaches; of
-the spans that differ, one occurrence each is extended word by word, as hashes of each of its windows. A
-window is a repeat if an equal one starts earlier; the union of the repeats of a document are its maximal repeats of
+the spans that differ, one occurrence each is extended word by word, as hashes of each of its windows (words are
+compared by 128 bits: anchor and span, or two hashes of a window). A window is a repeat if an equal one starts earlier; the union of the repeats of a document are its maximal repeats of
 at least ``length`` words, and their words are removed.
 
 Repeats that one task sees itself are found there (in runs of ``CHUNK`` rows) and take no part in the joins, so a
@@ -86,7 +86,7 @@ def _anchors(length: int):
 
 
 def _windows(length: int):
-    names = ["window", "doc", "th", "lo"]
+    names = ["window", "check", "doc", "th", "lo"]
 
     def run(batches):
         held, size = [], 0
@@ -100,13 +100,13 @@ def _windows(length: int):
                 row = np.repeat(np.arange(len(lo)), n)
                 pos = lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 at = t.wptr[owner[row]] + pos
-                held.append([ranges_hash(h, at, at + length), ids[owner[row]], th[owner[row]], pos.astype(np.int32)])
+                held.append([ranges_hash(h, at, at + length), ranges_hash(h, at, at + length, 77), ids[owner[row]], th[owner[row]], pos.astype(np.int32)])
                 size += len(row)
                 if size >= CHUNK:
-                    yield _flush(held, names, lambda c: c["window"])
+                    yield _flush(held, names, lambda c: mix64(c["window"]) ^ c["check"])
                     held, size = [], 0
         if held:
-            yield _flush(held, names, lambda c: c["window"])
+            yield _flush(held, names, lambda c: mix64(c["window"]) ^ c["check"])
 
     return run
 
@@ -149,8 +149,8 @@ def dedup_substrings(docs: DataFrame, length: int = 20) -> DataFrame:
     texts = rows.repartition("doc", "th")  # the one shuffle of texts: both joins below read all its columns, so Spark reuses it
     per_doc = lambda d: d.groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))  # noqa: E731  bounded by the document
     edges = texts.join(per_doc(seeds.where("not repeat")), ["doc", "th"])
-    fine = edges.mapInArrow(_windows(length), "window long, doc long, th long, lo int, dup boolean").withColumn("salt", salt)
-    fine = fine.withColumn("rank", F.row_number().over(Window.partitionBy("window", "salt").orderBy(*order))).where("dup or rank > 1")
+    fine = edges.mapInArrow(_windows(length), "window long, check long, doc long, th long, lo int, dup boolean").withColumn("salt", salt)
+    fine = fine.withColumn("rank", F.row_number().over(Window.partitionBy("window", "check", "salt").orderBy(*order))).where("dup or rank > 1")
     repeats = seeds.where("repeat").select("doc", "th", "lo", "n").unionByName(fine.select("doc", "th", "lo", F.lit(1).alias("n")))
     out = texts.join(per_doc(repeats), ["doc", "th"], "left").select("doc_id", "text", "spans")
     return out.mapInArrow(_kept(length), "doc_id long, n_words long, n_removed long, text string")
