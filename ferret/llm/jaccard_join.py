@@ -3,17 +3,18 @@
 1. *Sets.* A document is the set of its distinct word shingles (64-bit hashes); equal sets are one point, named by a
    128-bit digest.
 2. *Pivots.* Points within the radius ``r = 1 - threshold`` differ in at most ``delta`` shingles, a bound that follows
-   from the larger size. The hash space is cut into more than ``delta`` ranges, so such points agree in at least one
-   whole range. The point with the least name among those that agree in a range is the range's pivot, and each
-   point is attached to the pivots of its ranges. Points of different attached clusters are farther apart than ``r``,
+   from the larger size. The hash space is cut into more ranges than that, so such points agree in at least one whole
+   range (``Signatures``). The point with the least name among those that agree is the pivot, and each point is
+   attached to the pivots of its ranges. Points of different attached clusters are farther apart than ``r``,
    so clusters are regions that need no replication.
 3. *Voronoi regions.* A region of more than ``max_members`` points (or ``max_shingles`` shingles) elects pivots; every
    point goes to its nearest pivot's region and, by the triangle inequality, also to those of pivots at most ``2 r``
    farther: two points within ``r`` meet in the region of either. Regions split again until they are small. Where the
    windows keep a region from shrinking, it is dealt out in pairs of blocks, which is exact too.
-4. *Leaves.* A small region is joined in one task: recursively by pivots of its own, and at the end by exact
-   intersection counts of all its points at once. A leaf gives each point's least linked name (a spanning forest) and its
-   number of links, not the pairs: a group of many near copies costs a row a point.
+4. *Leaves.* A small region is joined in one task: it falls apart by its rarest shingles where these are not shared, then
+   splits recursively by pivots of its own, and is joined at the end by exact intersection counts of all its points at
+   once. A leaf gives each point's least linked name (a spanning forest) and its number of links, not the pairs: a group
+   of many near copies costs a row a point.
 
 Edge cases: null texts and texts without words have the empty set, which links with nothing (component = own doc_id);
 shorter texts than the shingle have their whole word sequence as one shingle; rows that repeat a doc_id each give a
@@ -30,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferret.llm.common import Text, U, drop_staged, mix64, slices, stage, windows_hash
+from ferret.llm.common import Text, U, long_array, mix64, slices, stage, windows_hash
 from ferret.llm.components import components
 
 NO_ID = -(1 << 63)
-PIVOTS, LEAF = 16, 512
+PIVOTS, SPLIT_PIVOTS, LEAF = 16, 4, 512
 
 
 # ---------------------------------------------------------------- sets and signatures
@@ -53,11 +54,13 @@ def digest(s: np.ndarray) -> bytes:
 
 
 class Signatures:
-    """Hashes of a set's parts in equal ranges of the hash space.
+    """Hashes of parts of a set such that sets within the radius have one in common.
 
-    ``parts`` values form a ladder; the one for a pair of sets is fixed by the larger size, and a set emits those of
-    all sizes a partner may have. With ``m`` parts and at most ``m - 1 - spare`` differences, more than ``spare``
-    parts agree; so empty parts need no signature unless a set has more than ``spare`` of them.
+    The hash space is cut into equal ranges; sets that differ in at most ``delta`` elements agree in all but ``delta``
+    ranges. The number of ranges is from a ladder and is fixed by the larger of two sizes; a set emits the signatures
+    of all sizes a partner may have. Empty parts get none. There are ``spare`` ranges more than needed, so a set with
+    no more empty parts than that agrees with its partners in elements; where both sets have more, they meet by
+    their prefixes: the least elements, as many as a partner may lack, and one.
     """
 
     def __init__(self, num: int, den: int):
@@ -66,19 +69,16 @@ class Signatures:
         while m < 1 << 22:
             self.ladder.append(m)
             m = max(m + 1, math.ceil(m * 1.3))
-        self.caps = np.array([m - 1 - self.spare(m) for m in self.ladder])
+        self.spare = {m: 0 if m == 1 else 1 + m // (16 if 10 * num >= 9 * den else 8) + 2 * (m >= 8) for m in self.ladder}
+        self.caps = np.array([m - self.spare[m] - 1 for m in self.ladder])
         self.edges: dict[int, np.ndarray] = {}
         self.salt: dict[int, np.ndarray] = {}
 
-    @staticmethod
-    def spare(m: int) -> int:
-        return 0 if m == 1 else 1 if m < 13 else 2
-
     def delta(self, size: int) -> int:
         """Most elements in which two sets of at most ``size`` elements may differ."""
         return 2 * size * (self.den - self.num) // (self.den + self.num)
 
-    def parts(self, n: int) -> list[int]:
+    def ranges(self, n: int) -> list[int]:
         low = int(np.searchsorted(self.caps, self.delta(n)))
         high = int(np.searchsorted(self.caps, self.delta(n * self.den // self.num)))
         return self.ladder[low:high + 1]
@@ -87,41 +87,55 @@ class Signatures:
         acc = np.zeros(len(s) + 1, U)
         np.cumsum(mix64(s ^ U(0x165667B19E3779F9)), out=acc[1:])
         out = []
-        for m in self.parts(len(s)):
+        for m in self.ranges(len(s)):
             if m not in self.edges:
                 self.edges[m] = np.array([-(-(i << 64) // m) for i in range(1, m)], U)
                 self.salt[m] = mix64(np.arange(m, dtype=U) + U(m << 24))
             at = np.concatenate([[0], np.searchsorted(s, self.edges[m]), [len(s)]])
-            sig = mix64((acc[at[1:]] - acc[at[:-1]]) + self.salt[m])
             full = np.diff(at) > 0
-            out.append(sig[full] if m - int(full.sum()) <= self.spare(m) else sig)
+            out.append(mix64((acc[at[1:]] - acc[at[:-1]]) + self.salt[m])[full])
+            if m - int(full.sum()) > self.spare[m]:
+                out.append(mix64(s[:len(s) - -(-len(s) * self.num // self.den) + 1] + U(m)))
         return np.concatenate(out)
 
 
-def profiles(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, digest, node (64 bits of the digest), sigs (null for a set that the task has met before)."""
+def _node(d: bytes) -> int:
+    return int.from_bytes(d[:8], "little", signed=True)
+
+
+def profiles(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, n and digest (null for an empty set) of every row, and node: 64 bits of the digest."""
+    def run(batches):
+        for b in batches:
+            for part in slices(b, "text"):
+                sets = list(shingle_sets(Text(part.column("text"), lower=True), k))
+                names = [digest(s) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array([d and _node(d) for d in names], pa.int64())],
+                    names=["doc_id", "n", "digest", "node"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest binary, node long")
+
+
+def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(sig, node) of every set; a task emits equal sets once."""
     def run(batches):
         sig, seen = Signatures(num, den), set()
         for b in batches:
             for part in slices(b, "text"):
-                n, dig, flat, ptr, fresh = [], [], [], [0], []
+                rows, nodes = [np.empty(0, U)], []
                 for s in shingle_sets(Text(part.column("text"), lower=True), k):
                     d = digest(s) if len(s) else None
-                    new = d is not None and d not in seen
-                    if new:
-                        seen.add(d)
-                        flat.append(sig.of(s))
-                    n.append(len(s))
-                    dig.append(d)
-                    fresh.append(not new)
-                    ptr.append(ptr[-1] + (len(flat[-1]) if new else 0))
-                node = pa.array([None if d is None else int.from_bytes(d[:8], "little", signed=True) for d in dig], pa.int64())
-                values = np.concatenate(flat).view(np.int64) if flat else np.empty(0, np.int64)
-                sigs = pa.ListArray.from_arrays(pa.array(np.array(ptr, np.int32)), pa.array(values), mask=pa.array(fresh))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), node, sigs],
-                                                 names=["doc_id", "n", "digest", "node", "sigs"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest binary, node long, sigs array<long>")
+                    if d is None or d in seen:
+                        continue
+                    if len(seen) > 1 << 19:  # forgetting only costs repeated rows
+                        seen.clear()
+                    seen.add(d)
+                    rows.append(sig.of(s))
+                    nodes.append(_node(d))
+                yield pa.RecordBatch.from_arrays([long_array(np.concatenate(rows)), pa.array(np.repeat(np.array(nodes, np.int64), [len(r) for r in rows[1:]]))], names=["sig", "node"])
+
+    return docs.select("text").mapInArrow(run, "sig long, node long")
 
 
 # ---------------------------------------------------------------- joins inside a region
@@ -165,6 +179,36 @@ def _labels(near: np.ndarray) -> np.ndarray:
         label = new
 
 
+def separate(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Label of every set such that sets with different labels do not link. Elements are ordered by how many sets of
+    the region hold them; linked sets share one of their first (rarest) elements, as many as a partner may lack and one. So
+    texts that were attached by a common passage fall apart, since its shingles are the frequent ones."""
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)
+    _, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    token, df = token.astype(np.int32), df.astype(np.int32)[token]
+    order = np.lexsort((token, df, owner))  # owners stay in their places
+    del df
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    order = order[place < np.repeat(size + size * -num // den + 1, size)]
+    token, owner = token[order], owner[order]
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    same = token[1:] == token[:-1]
+    a, b = owner[:-1][same], owner[1:][same]
+    label = np.arange(len(sets))
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
 def join_region(sets: list[np.ndarray], num: int, den: int, weight: np.ndarray | None = None, core: np.ndarray | None = None,
                 side: np.ndarray | None = None, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
     """Of every set of one region: the least index of its component, and its links, each counted ``weight`` times.
@@ -200,6 +244,11 @@ def join_region(sets: list[np.ndarray], num: int, den: int, weight: np.ndarray |
         links[members] += np.where(own, near @ weight[members], 0)
 
     todo = [(np.arange(n), core)]
+    if n > leaf:
+        label = separate(sets, num, den)
+        order = np.argsort(label, kind="stable")
+        parts = np.split(order, np.flatnonzero(np.diff(label[order])) + 1)
+        todo = [(part, core[part]) for part in parts]
     while todo:
         members, own = todo.pop()
         if len(members) <= leaf:
@@ -291,8 +340,8 @@ def _split(big: DataFrame, sizes: DataFrame, num: int, den: int, max_members: in
     """One level of Voronoi regions with windows. Members are dealt out in salted blocks, the pivots go to each."""
     salts = sizes.select("region", F.ceil(F.col("members") / max_members).cast("int").alias("salts"))
     rows = big.join(salts, "region")
-    rank = F.row_number().over(Window.partitionBy("region").orderBy("digest"))  # at most PIVOTS rows leave each region: planned as a group limit
-    pivots = rows.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).drop("rank")
+    rank = F.row_number().over(Window.partitionBy("region").orderBy("digest"))  # a few rows leave each region: planned as a group limit
+    pivots = rows.withColumn("rank", rank).where(F.col("rank") <= SPLIT_PIVOTS).drop("rank")
     pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("kind", F.lit(0))
     rest = rows.withColumn("salt", F.pmod(F.xxhash64("digest"), F.col("salts")).cast("int")).withColumn("kind", F.lit(1))
     dealt = rest.unionByName(pivots).repartition("region", "salt").sortWithinPartitions("region", "salt", "kind", "digest")
@@ -336,16 +385,20 @@ def _blocks(stuck: DataFrame, sizes: DataFrame, max_members: int) -> DataFrame:
                        F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own")).alias("side"))
 
 
-def join_points(points: DataFrame, num: int, den: int, max_members: int = 4096, max_shingles: int = 4_000_000) -> DataFrame:
+def region_sizes(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("region").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
+
+
+def join_points(points: DataFrame, sizes: DataFrame, num: int, den: int, max_members: int, max_shingles: int) -> DataFrame:
     """(digest, root, links): roots connect exactly the points which chains of pairs within the radius connect, and the
     links of a digest add up to its number of linked documents with other sets. ``points``: region, digest, n, copies,
-    set, core, side; pairs in different regions are known to be farther apart."""
+    set, core, side; pairs in different regions are known to be farther apart. ``sizes``: their region_sizes."""
     found, level = None, points
     while True:
-        sizes = level.groupBy("region").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
         large = stage(sizes.where((F.col("members") > max_members) | (F.col("shingles") > max_shingles)).where("members > 1"), "large")
         if large.isEmpty():
             return _union(found, _leaves(level, num, den))
+        level = stage(level, "level")
         # a large region's budget of members follows its shingles
         large = large.withColumn("members", F.greatest("members", F.ceil(F.col("shingles") * max_members / max_shingles)))
         found = _union(found, _leaves(level.join(large, "region", "left_anti"), num, den))
@@ -354,27 +407,25 @@ def join_points(points: DataFrame, num: int, den: int, max_members: int = 4096,
         shrunk = child.join(large.select(F.col("region").alias("parent"), F.col("members").alias("before")), "parent")
         stuck = stage(shrunk.where("members > 0.8 * before").select("parent").distinct().withColumnRenamed("parent", "region"), "stuck")
         found = _union(found, _leaves(_blocks(level.join(stuck, "region", "left_semi"), large, max_members), num, den))
-        level = stage(split.join(stuck.withColumnRenamed("region", "parent"), "parent", "left_anti").drop("parent"), "level")
+        level = split.join(stuck.withColumnRenamed("region", "parent"), "parent", "left_anti").drop("parent")
+        sizes = region_sizes(level)
 
 
 def _union(a: DataFrame | None, b: DataFrame) -> DataFrame:
     return b if a is None else a.unionByName(b)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, max_members: int = 4096, max_shingles: int = 4_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, max_members: int = 16_384, max_shingles: int = 4_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (rows it links with) of every row; documents link when
     ``den * |A & B| >= num * |A | B|``."""
-    prof = stage(profiles(docs, shingle, num, den), "profiles")
-    by_sig = prof.where("sigs is not null").select(F.explode("sigs").alias("sig"), "node")
+    prof = stage(profiles(docs, shingle), "profiles")
     pivot = F.first("node").over(Window.partitionBy("sig").orderBy("node"))
-    attached = by_sig.withColumn("pivot", pivot).where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    attached = signatures(docs, shingle, num, den).withColumn("pivot", pivot).where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     regions = components(attached).select("node", F.col("root").alias("region"))
     # one row a set: its node, rows and least id
     sets = stage(prof.where("n > 0").groupBy("digest").agg(F.min("node").alias("node"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least")), "sets")
     members = sets.join(regions, "node").select("region", "digest", "n", "copies", F.coalesce("least", F.lit(NO_ID)).alias("doc_id"))
-    points = stage(_region_sets(docs, members, shingle), "points")
-    found = stage(join_points(points, num, den, max_members, max_shingles), "links")
-    drop_staged(points)
+    found = stage(join_points(_region_sets(docs, members, shingle), region_sizes(members), num, den, max_members, max_shingles), "links")
     comp = components(found.select(F.col("digest").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("digest"), "root")
     links = found.groupBy("digest").agg(F.sum("links").alias("links"))
     each = sets.join(comp, "digest", "left").join(links, "digest", "left").withColumn("root", F.coalesce("root", "digest"))

@@ -87,16 +87,19 @@ def test_join_region_recursion():
 
 
 def test_signatures_meet():
-    rng = np.random.default_rng(5)
-    sig = jaccard_join.Signatures(90, 100)
-    for n in [1, 2, 9, 10, 18, 19, 40, 150, 900]:
+    rng, met = np.random.default_rng(5), 0
+    for n, num in [(n, num) for n in (1, 2, 4, 5, 9, 10, 18, 19, 40, 150, 900) for num in (90, 80, 50)]:
+        sig = jaccard_join.Signatures(num, 100)
         for _ in range(30):
             a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
-            b = a[rng.permutation(len(a))[:len(a) - int(rng.integers(0, len(a) // 20 + 1))]]
-            b = np.unique(np.concatenate([b, rng.integers(0, 1 << 64, int(rng.integers(0, n // 20 + 1)), dtype=np.uint64)]))
+            most = n * (100 - num) // 150 + 1
+            b = a[rng.permutation(len(a))[:len(a) - int(rng.integers(0, most + 1))]]
+            b = np.unique(np.concatenate([b, rng.integers(0, 1 << 64, int(rng.integers(0, most + 1)), dtype=np.uint64)]))
             i = len(np.intersect1d(a, b))
-            if jaccard_join.linked(i, len(a), len(b), 90, 100):
-                assert set(sig.of(a).tolist()) & set(sig.of(b).tolist()), (n, len(a), len(b), i)
+            if len(b) and jaccard_join.linked(i, len(a), len(b), num, 100):
+                met += 1
+                assert set(sig.of(a).tolist()) & set(sig.of(b).tolist()), (n, num, len(a), len(b), i)
+    assert met > 300
 
 
 def test_components(spark):
