@@ -338,7 +338,7 @@ def _leaves(regions: DataFrame, num: int, den: int) -> DataFrame:
 
 def _split(big: DataFrame, sizes: DataFrame, num: int, den: int, max_members: int) -> DataFrame:
     """One level of Voronoi regions with windows. Members are dealt out in salted blocks, the pivots go to each."""
-    salts = sizes.select("region", F.ceil(F.col("members") / max_members).cast("int").alias("salts"))
+    salts = sizes.select("region", F.ceil(F.col("budget") / max_members).cast("int").alias("salts"))
     rows = big.join(salts, "region")
     rank = F.row_number().over(Window.partitionBy("region").orderBy("digest"))  # a few rows leave each region: planned as a group limit
     pivots = rows.withColumn("rank", rank).where(F.col("rank") <= SPLIT_PIVOTS).drop("rank")
@@ -378,7 +378,7 @@ def _split(big: DataFrame, sizes: DataFrame, num: int, den: int, max_members: in
 
 def _blocks(stuck: DataFrame, sizes: DataFrame, max_members: int) -> DataFrame:
     """Regions that windows keep from shrinking, as blocks and pairs of blocks of half the size: every pair of points meets."""
-    n = sizes.select("region", F.ceil(2 * F.col("members") / max_members).cast("int").alias("blocks"))
+    n = sizes.select("region", F.least(F.ceil(2 * F.col("budget") / max_members), F.greatest("members", F.lit(2))).cast("int").alias("blocks"))
     rows = stuck.drop("side").join(n, "region").withColumn("own", F.pmod(F.xxhash64(F.lit(1), "digest"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("region"), "digest", "n", "copies", "set", "core",
@@ -399,8 +399,8 @@ def join_points(points: DataFrame, sizes: DataFrame, num: int, den: int, max_mem
         if large.isEmpty():
             return _union(found, _leaves(level, num, den))
         level = stage(level, "level")
-        # a large region's budget of members follows its shingles
-        large = large.withColumn("members", F.greatest("members", F.ceil(F.col("shingles") * max_members / max_shingles)))
+        # a large region is dealt out by its members or its shingles, whichever are more; whether it shrinks is judged by its members
+        large = large.withColumn("budget", F.greatest("members", F.ceil(F.col("shingles") * max_members / max_shingles)))
         found = _union(found, _leaves(level.join(large, "region", "left_anti"), num, den))
         split = stage(_split(level.join(large.select("region"), "region", "left_semi"), large, num, den, max_members), "split")
         child = split.groupBy("region", "parent").agg(F.count(F.lit(1)).alias("members"))

@@ -72,6 +72,29 @@ def test_jaccard_join(spark, docs, texts, k, num, members):
     assert got == brute_groups(more, k, num, 100)
 
 
+def test_jaccard_join_of_long_texts(spark, monkeypatch):
+    """Regions over max_shingles that windows cannot shrink: long near copies, and unrelated texts that share a passage."""
+    rng, split, rounds = random.Random(3), jaccard_join._split, []
+
+    def counted(*args):
+        rounds.append(1)
+        assert len(rounds) <= 4, "regions are split again and again"
+        return split(*args)
+
+    monkeypatch.setattr(jaccard_join, "_split", counted)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    copy, passage, texts = words(400), words(300), {}
+    for i in range(14):
+        near = list(copy)
+        for _ in range(i % 4):
+            near[rng.randrange(len(near))] = f"x{i}"
+        texts[i] = " ".join(near)
+        texts[100 + i] = " ".join(passage + words(100))
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.near_duplicates(frame, 5, 80, 100, max_members=8, max_shingles=800).collect()}
+    assert rounds and got == brute_groups(texts, 5, 80, 100)
+
+
 def test_join_region_recursion():
     rng = np.random.default_rng(2)
     base = [rng.integers(0, 1 << 62, 60).astype(np.uint64) for _ in range(6)]
