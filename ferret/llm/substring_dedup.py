@@ -50,17 +50,20 @@ def anchor_spans(t: Text, length: int) -> tuple[np.ndarray, ...]:
     return doc[low], seeds[pick], span, low - t.wptr[doc[low]], count
 
 
-def _local_repeats(key: np.ndarray, *order: np.ndarray) -> np.ndarray:
-    """Rows that are not the first, in the given order, of those with their key."""
+def _local_repeats(key: np.ndarray, *order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that come after another one, in the given order, with their key; and those that another one equals in all."""
     by = np.lexsort((*reversed(order), key))
-    later = np.zeros(len(key), bool)
-    later[by[1:]] = key[by[1:]] == key[by[:-1]]
-    return later
+    later, copy = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    later[by[1:]] = same = key[by[1:]] == key[by[:-1]]
+    copy[by[1:]] = np.logical_and.reduce([same, *[x[by[1:]] == x[by[:-1]] for x in order]])
+    return later, copy
 
 
 def _flush(held: list[list[np.ndarray]], names: list[str], key) -> pa.RecordBatch:
     cols = dict(zip(names, [np.concatenate(c) for c in zip(*held)]))
-    dup = _local_repeats(key(cols), cols["doc"], cols["th"], cols["lo"])
+    dup, copy = _local_repeats(key(cols), cols["doc"], cols["th"], cols["lo"])
+    if copy.any():  # of a row that is there twice; no repeat of itself
+        cols, dup = {k: c[~copy] for k, c in cols.items()}, dup[~copy]
     arrays = [long_array(c) if c.dtype == U else pa.array(c) for c in cols.values()]
     return pa.RecordBatch.from_arrays([*arrays, pa.array(dup)], names=[*names, "dup"])
 
@@ -143,14 +146,16 @@ def dedup_substrings(docs: DataFrame, length: int = 20) -> DataFrame:
     spans = rows.select("doc", "th", "text").mapInArrow(_anchors(length), "anchor long, span long, doc long, th long, lo int, n int, dup boolean").withColumn("salt", salt)
     own, order = Window.partitionBy("anchor", "salt"), ["doc", "th", "lo"]
     spans = spans.withColumn("met", F.count(F.lit(1)).over(own)).where("met > 1 or dup")
-    spans = spans.withColumn("rank", F.row_number().over(Window.partitionBy("anchor", "salt", "span").orderBy(*order)))
-    spans = spans.withColumn("kinds", F.sum((F.col("rank") == 1).cast("int")).over(own))
+    # rank: copies of one row tie, so only an earlier occurrence makes a repeat
+    equal = Window.partitionBy("anchor", "salt", "span").orderBy(*order)
+    spans = spans.withColumn("rank", F.rank().over(equal)).withColumn("nth", F.row_number().over(equal))
+    spans = spans.withColumn("kinds", F.sum((F.col("nth") == 1).cast("int")).over(own))
     seeds = stage(spans.select("doc", "th", "lo", "n", (F.col("dup") | (F.col("rank") > 1)).alias("repeat"), "kinds").where("repeat or kinds > 1"), "seeds")
     texts = rows.repartition("doc", "th")  # the one shuffle of texts: both joins below read all its columns, so Spark reuses it
-    per_doc = lambda d: d.groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))  # noqa: E731  bounded by the document
+    per_doc = lambda d: d.groupBy("doc", "th").agg(F.collect_set(F.struct("lo", "n")).alias("spans"))  # noqa: E731  bounded by the document
     edges = texts.join(per_doc(seeds.where("not repeat")), ["doc", "th"])
     fine = edges.mapInArrow(_windows(length), "window long, check long, doc long, th long, lo int, dup boolean").withColumn("salt", salt)
-    fine = fine.withColumn("rank", F.row_number().over(Window.partitionBy("window", "check", "salt").orderBy(*order))).where("dup or rank > 1")
+    fine = fine.withColumn("rank", F.rank().over(Window.partitionBy("window", "check", "salt").orderBy(*order))).where("dup or rank > 1")
     repeats = seeds.where("repeat").select("doc", "th", "lo", "n").unionByName(fine.select("doc", "th", "lo", F.lit(1).alias("n")))
     out = texts.join(per_doc(repeats), ["doc", "th"], "left").select("doc_id", "text", "spans")
     return out.mapInArrow(_kept(length), "doc_id long, n_words long, n_removed long, text string")

@@ -281,6 +281,18 @@ def test_substring_dedup_of_many_overlapping_repeats(spark):
     assert {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substring_dedup.dedup_substrings(frame).collect()} == want
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_substring_dedup_of_repeated_rows(spark, parts):
+    rng = random.Random(6)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = text(30)
+    made = [(i, " ".join([text(40), passage, text(25)] if i % 2 else [text(70)])) for i in range(8)]
+    rows = made * 3 + [(None, made[0][1])] * 2 + [(None, own := text(50))] * 2
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    want = [(i, t if i == 1 or i % 2 == 0 else " ".join(t.split()[:40] + t.split()[70:])) for i, t in made] * 3 + [(None, "")] * 2 + [(None, own)] * 2
+    assert sorted(((r.doc_id, r.text) for r in substring_dedup.dedup_substrings(frame).collect()), key=str) == sorted(want, key=str)
+
+
 def test_lines_one_edit_apart(spark):
     w = [f"w{i}" for i in range(14)]
     line = lambda x: " ".join(x)
