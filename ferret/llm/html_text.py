@@ -4,8 +4,9 @@ Each page becomes a small tree of elements. Paragraphs of some length pass point
 hundred characters up to three) to their parent, half to the grandparent, a third and so on above; a container's
 points are discounted by its link density. The best container, lifted to the article, main or named content element
 around it, and those of its siblings that score well or are headings, paragraphs, lists or tables of text are kept. Menus, headers, footers, side
-bars, notices, adverts, forms, reader comments, scripts and styles are left out by element, role or class wherever
-they stand.
+bars, notices, adverts, forms, reader comments, scripts and styles are left out by element, role, class or id wherever
+they stand. A name of several words (``share-enabled``) only counts where no content is named beside it and the element
+does not hold the article or most of the text; html, body and main always stay.
 
 Edge cases: null or empty html gives an empty text; malformed markup never raises; a page without any paragraph
 falls back to its article, its main element or its body; rows with equal page_id each give a row; extra columns are
@@ -33,7 +34,7 @@ CLOSES_P = BLOCK - {"html", "body", "caption", "legend", "tbody", "thead", "tfoo
 FLOW = frozenset("p pre blockquote ul ol dl table figure".split())
 PARAGRAPH = frozenset("p pre blockquote td li dd".split())
 BASE = {"article": 30, "main": 25, "section": 3, "div": 5, "td": 3, "blockquote": 3, "body": 0, "ul": -3, "ol": -3, "dl": -3}
-#: class, id and role words that mark what is not the article, whatever else they stand with
+#: class, id and role words that mark what is not the article: as whole names always, as part of a name unless ``settle`` keeps the element
 NEVER = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner comment comments commentlist disqus replies respond "
     "sidebar side aside nav navbar navigation menu menubar breadcrumb breadcrumbs footer cookie cookies consent gdpr notice alert popup modal overlay "
@@ -41,47 +42,91 @@ NEVER = frozenset(
 #: the same, unless a word of CONTENT stands with them
 PERHAPS = frozenset("header masthead related recommended recommendations pagination pager toc tags meta byline tools topbar".split())
 CONTENT = frozenset("article content main post entry body story text".split())
+COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+#: words that make a name a state of the page (comments-open), not a part of it
+STATE = frozenset("has no not with without is show shows showing hide hides hiding open closed enabled disabled free on off".split())
+#: words beside which a word of NEVER still names a part of the page
+LAYOUT = NEVER | PERHAPS | CONTENT | frozenset(
+    "site page top left right bottom primary secondary global section area container wrapper wrap box bar block list item items form field button buttons link links icon icons inner outer".split())
+HEAD = frozenset("base basefont bgsound head link meta noscript script style template title".split())
 _WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "drop", "score", "scored", "chars", "linked", "commas", "content")
+    __slots__ = ("tag", "parent", "kids", "drop", "score", "scored", "chars", "linked", "commas", "content", "doubt")
 
     def __init__(self, tag, parent, drop):
         self.tag, self.parent, self.drop = tag, parent, drop
         self.kids: list = []  # nodes and strings, in page order
         self.score, self.scored, self.chars, self.linked, self.commas, self.content = 0.0, False, 0, 0, 0, False
+        self.doubt = 0
 
 
-def _marks(tag: str, attrs, inside_article: bool) -> tuple[bool, bool]:
-    """Whether an element is left out, and whether its class, id or role names it as content."""
+def _marks(tag: str, attrs, inside_article: bool) -> tuple[bool, bool, int]:
+    """Whether an element is left out, whether its class, id or role names it as content, and its doubt: 1 for a name of
+    several words one of which is of NEVER, 2 if all the others are of LAYOUT, or it is about comments, or a whole name of
+    NEVER stands beside one of CONTENT."""
     if tag in DROP or tag == "header" and not inside_article:
-        return True, False
+        return True, False, 0
+    never = NEVER if tag != "article" else frozenset(("comment", "comments", "ad", "advert", "sponsored"))
     words: set[str] = set()
+    whole, related, clean, doubt = False, False, False, 0
     for k, v in attrs:
-        if k == "hidden" or k == "style" and v and _HIDDEN.search(v):
-            return True, False
+        if (k == "hidden" or k == "style" and v and _HIDDEN.search(v)) and tag not in ("html", "body", "main"):
+            return True, False, 0
         if k in ("class", "id", "role") and v:
-            words.update(_WORD.findall(_CAMEL.sub(" ", v).lower()))
-    if not words:
-        return False, False
+            for name in v.split():
+                parts = set(_WORD.findall(_CAMEL.sub(" ", name).lower()))
+                words |= parts
+                bad = parts & never
+                related |= bool(parts & PERHAPS) and (k != "id" or tag not in HEADING and parts <= LAYOUT)
+                clean |= not bad and bool(parts & CONTENT)
+                if not bad or tag in HEADING and k == "id":  # ids of headings are made from their text
+                    continue
+                plain = parts <= LAYOUT
+                if len(parts) == 1:
+                    whole = True
+                elif not parts & STATE and (plain or k != "id"):  # other ids are made from headings, too
+                    doubt = max(doubt, 2 if plain or bad & COMMENTS else 1)
     content = bool(words & CONTENT)
-    if tag in ("html", "body", "article", "main") and not words & {"comment", "comments", "ad", "advert", "sponsored"}:
-        return False, content
-    return bool(words & NEVER) or bool(words & PERHAPS) and not content, content
+    if tag in ("html", "body", "main"):
+        return False, content, 0
+    if clean:  # a name of its own says content: no doubt, or only one instead of an end
+        whole, doubt = False, 2 if whole or doubt == 2 else 0
+    return whole or related and not content and tag != "article", content, doubt
+
+
+def settle(root: Node) -> None:
+    """Leave out the elements in doubt, but those that hold the article or more than half of the text outside links."""
+    order, stack = [], [(root, False)]  # no recursion, as below
+    while stack:
+        n, a = stack.pop()
+        a = a or n.tag == "a"
+        order.append((n, 0 if a else sum(len(k.strip()) for k in n.kids if not isinstance(k, Node))))
+        stack.extend((k, a) for k in n.kids if isinstance(k, Node) and not k.drop)
+    total, size, holds = sum(c for _, c in order), {}, {}
+    for n, own in reversed(order):
+        kids = [k for k in n.kids if isinstance(k, Node) and not k.drop]
+        size[n] = own + sum(size[k] for k in kids)
+        holds[n] = max([2 if k.tag in ("h1", "main") else 1 if k.tag == "article" else 0 for k in kids] + [holds[k] for k in kids], default=0)
+        if n.doubt and holds[n] < n.doubt and not (n.doubt == 1 and 2 * size[n] > total):
+            n.drop = True
 
 
 class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None, False)
+        self.doubt = False
 
     def parse_marked_section(self, i, report=1):
         return self.parse_bogus_comment(i, report)
 
     def handle_starttag(self, tag, attrs):
+        if tag not in HEAD:
+            self._leave_head(tag == "body")
         at = self.at
         if tag in VOID:
             at.kids.append(" " if tag in ("br", "wbr") else Node(tag, at, True) if tag == "hr" else "")
@@ -105,11 +150,20 @@ class Tree(HTMLParser):
         if tag == "header":
             while up is not None and not inside:
                 inside, up = up.tag in ("article", "main"), up.parent
-        out, content = _marks(tag, attrs, inside)
+        out, content, doubt = _marks(tag, attrs, inside)
         self.at = Node(tag, at, at.drop or out)
-        self.at.content = content
+        self.at.content, self.at.doubt = content, doubt
+        self.doubt |= doubt > 0
         at.kids.append(self.at)
 
+    def _leave_head(self, body: bool):
+        """The end tag of head may be omitted: body, or else the first thing that cannot stand in it, closes it."""
+        x = self.at
+        while x.parent is not None and x.tag != "head" and (body or x.tag == "title"):
+            x = x.parent
+        if x.tag == "head":
+            self.at = x.parent
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag not in BLOCK and self.at.tag == tag:
@@ -134,6 +188,8 @@ class Tree(HTMLParser):
         self._close({tag}, frozenset() if tag in BLOCK or tag in DROP else BLOCK)
 
     def handle_data(self, data):
+        if self.at.tag == "head" and data.strip():
+            self._leave_head(False)
         if not self.at.drop:
             self.at.kids.append(data)
 
@@ -231,6 +287,8 @@ def main_text(html: str | None) -> str:
     tree.feed(html)
     tree.close()
     root = tree.root
+    if tree.doubt:
+        settle(root)
     _measure(root)
     nodes = [root, *_descend(root)]
     for n in nodes:  # a list of nothing but links is a menu, unless it stands in an article

@@ -361,6 +361,25 @@ def test_main_text(css):
                                      "\n\nQuoted <words>\n\nitem one\n\nitem two\n\nLast.")
 
 
+FIRST, SECOND = ("The first paragraph of the article, with commas, and enough text to count as one.", "The second one, which is long enough, too, to be a paragraph of its own.")
+
+
+@pytest.mark.parametrize("page", [
+    "<html><body class='showing-comments'><div>%s</div></body></html>", "<html><body class='comments-open'><main class='ad'>%s</main></body></html>", "<body style='display:none'><div>%s</div>",
+    "<body><article class='post ad-free'>%s</article></body>", "<body><article class='comments-open'>%s</article></body>", "<body><div class='post-content share-enabled'>%s</div></body>",
+    "<body><div class='layout-sidebar-x'><article>%s</article></div></body>", "<body><div class='content-sidebar-wrap'><main>%s</main></div></body>", "<body><div class='x-ad-y'>%s</div></body>", "<body><div class='post notice'><h1></h1>%s</div></body>",
+    "<html><head><title>T</title><meta charset=utf-8><body><div>%s</div></body></html>", "<html><head><title>T</title><body class=x><div>%s</div></body></html>",
+    "<html><head><title>T</title><div>%s</div></html>", "<html><head><title>T</title><style>p{}</style><script>x</script>%s"])
+def test_whole_pages_stay(page):
+    assert main_text(page % f"<p>{FIRST}</p><p>{SECOND}</p>") == f"{FIRST}\n\n{SECOND}"
+
+
+def test_slug_ids_and_comments():
+    page = (f"<body><article><h2 id='social-impact'>Social impact</h2><p>{FIRST}</p><h2 id='search'>Search</h2><section id='search-and-rescue'><p>{SECOND}</p></section>"
+            f"<div id='share-buttons'>Share it</div><div class='x-share-y'>Send it</div></article><div id='comments'><p>{FIRST}</p></div><div class='comments-area'><article class='comment-body'><p>{FIRST * 9}</p></article></div></body>")
+    assert main_text(page) == f"Social impact\n\n{FIRST}\n\nSearch\n\n{SECOND}"
+
+
 def test_table_pages():
     import html
     for (page,) in duckdb.sql(f"SELECT html FROM '{SF}/pages.parquet'").fetchall():
