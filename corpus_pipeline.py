@@ -3,7 +3,8 @@
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next one's ``docs``. All but the last return the columns of documents.
 
-1. quality_classifier: documents whose quality score is below ``ACCEPT`` go.
+1. quality_classifier: documents whose quality score is below ``ACCEPT`` go. Where the labels outside the held-out fold are
+   none or of one class, no model can be fitted and all documents stay.
 2. line_dedup: lines that repeat an earlier one, or are one word edit from it, go; a document that loses all its
    lines goes, one without any line from the start stays. n_chars follows the text.
 3. jaccard_join: of the documents that chains of 80 % similar five-word shingle sets connect, the one with the least
@@ -30,7 +31,7 @@ from ferret.llm.sentencepieces import encode_documents
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = score_quality(docs, docs, labels, score="__quality")
+    scored = score_quality(docs, docs, labels, score="__quality", unfitted=1.0)
     return scored.where(F.col("__quality") >= ACCEPT).drop("__quality")
 
 

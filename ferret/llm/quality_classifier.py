@@ -186,11 +186,14 @@ def fit(docs: DataFrame, labels: DataFrame, table: np.ndarray, max_labelled: int
     return net
 
 
-def score_quality(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, score: str = "score") -> DataFrame:
+def score_quality(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, score: str = "score", unfitted: float | None = None) -> DataFrame:
     """``docs`` with the column ``score`` (its other columns are kept). ``max_labelled`` bounds the fitted sample: the
-    labelled rows outside the held-out fold with the smallest hash of doc_id."""
+    labelled rows outside the held-out fold with the smallest hash of doc_id. ``unfitted``: the score of all documents
+    where these rows are none or of one class, so that no model is fitted; by default 0.5 or that class."""
     table = word_vectors(train_docs)
     net = fit(train_docs, labels, table, max_labelled)
+    if unfitted is not None and isinstance(net, Constant):
+        net = Constant(unfitted)
     kept = [c for c in docs.columns if c != score]
     src = docs.select(*[F.col(f"`{c}`") for c in kept])
 

@@ -147,5 +147,11 @@ def test_pipeline_edges(spark, docs, labels, pages, tmp_path):
         assert cur.columns == docs.columns, name
 
 
+def test_pipeline_without_a_model(spark, docs, labels, tmp_path):
+    for name, table in (("none", empty(spark, LABEL)), ("bad", labels.where("quality = 0"))):
+        table.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        assert P.STAGES[0][1](spark, docs, f"{tmp_path}/{name}").count() == len(rows()), name
+
+
 def test_registered():
     assert [int(k[2:].split("_")[0]) for k in Q.QUERIES] == list(range(1, 11)) and set(Q.ORACLES) <= set(Q.QUERIES)
