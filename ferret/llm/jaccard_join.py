@@ -104,17 +104,18 @@ def _node(d: bytes) -> int:
 
 
 def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n and digest (null for an empty set) of every row, and node: 64 bits of the digest."""
+    """doc_id, th (hash of the text), n and digest (null for an empty set) of every row, and node: 64 bits of the digest."""
     def run(batches):
         for b in batches:
             for part in slices(b, "text"):
                 sets = list(shingle_sets(Text(part.column("text"), lower=True), k))
                 names = [digest(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array([d and _node(d) for d in names], pa.int64())],
-                    names=["doc_id", "n", "digest", "node"])
+                    [part.column("doc_id"), part.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array([d and _node(d) for d in names], pa.int64())],
+                    names=["doc_id", "th", "n", "digest", "node"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest binary, node long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    return rows.mapInArrow(run, "doc_id long, th long, n long, digest binary, node long")
 
 
 def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -288,22 +289,24 @@ def _distances(sets: list[np.ndarray], pivot: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- Spark
 
-def _region_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """region, digest, n, copies and the set itself (8 bytes a shingle) of every member."""
+def _region_sets(docs: DataFrame, members: DataFrame, k: int, repeated: bool) -> DataFrame:
+    """region, digest, n, copies and the set itself (8 bytes a shingle) of every member, once. ``repeated``: whether rows
+    of ``docs`` repeat both doc_id and text."""
     def run(batches):
         for b in batches:
             for part in slices(b, "text"):
                 want = part.column("digest").to_pylist()
                 keep, blobs = [], []
                 for i, s in enumerate(shingle_sets(Text(part.column("text"), lower=True), k)):
-                    if len(s) and digest(s) == want[i]:  # another row may carry the same doc_id
+                    if len(s) and digest(s) == want[i]:  # another text may have the same doc_id and hash
                         keep.append(i)
                         blobs.append(s.tobytes())
                 rows = part.take(pa.array(keep, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in ("region", "digest", "n", "copies")], pa.array(blobs, pa.binary())], names=["region", "digest", "n", "copies", "set"])
 
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    points = texts.join(members, "doc_id").select("region", "digest", "n", "copies", "text").mapInArrow(run, "region long, digest binary, n long, copies long, set binary")
+    texts = (texts.distinct() if repeated else texts).withColumn("th", F.xxhash64("text"))
+    points = texts.join(members, ["doc_id", "th"]).select("region", "digest", "n", "copies", "text").mapInArrow(run, "region long, digest binary, n long, copies long, set binary")
     return points.select("*", F.lit(True).alias("core"), F.lit(-1).alias("side"))
 
 
@@ -423,9 +426,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     attached = signatures(docs, shingle, num, den).withColumn("pivot", pivot).where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     regions = components(attached).select("node", F.col("root").alias("region"))
     # one row a set: its node, rows and least id
-    sets = stage(prof.where("n > 0").groupBy("digest").agg(F.min("node").alias("node"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least")), "sets")
-    members = sets.join(regions, "node").select("region", "digest", "n", "copies", F.coalesce("least", F.lit(NO_ID)).alias("doc_id"))
-    found = stage(join_points(_region_sets(docs, members, shingle), region_sizes(members), num, den, max_members, max_shingles), "links")
+    sets = stage(prof.where("n > 0").groupBy("digest").agg(F.min("node").alias("node"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("row")), "sets")
+    members = sets.join(regions, "node").select("region", "digest", "n", "copies", F.coalesce("row.doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("row.th").alias("th"))
+    repeated = not prof.groupBy("doc_id", "th").count().where("count > 1").limit(1).isEmpty()
+    found = stage(join_points(_region_sets(docs, members, shingle, repeated), region_sizes(members), num, den, max_members, max_shingles), "links")
     comp = components(found.select(F.col("digest").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("digest"), "root")
     links = found.groupBy("digest").agg(F.sum("links").alias("links"))
     each = sets.join(comp, "digest", "left").join(links, "digest", "left").withColumn("root", F.coalesce("root", "digest"))

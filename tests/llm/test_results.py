@@ -95,6 +95,15 @@ def test_jaccard_join_of_long_texts(spark, monkeypatch):
     assert rounds and got == brute_groups(texts, 5, 80, 100)
 
 
+def test_jaccard_join_of_repeated_rows(spark):
+    w = [f"w{i}" for i in range(60)]
+    near, other = " ".join(w), " ".join(w[:-1])
+    alone = [(None, f"{i} " * 30) for i in range(20)]
+    frame = spark.createDataFrame([(1, near), (1, near), (1, "another text"), (2, other), (None, other), (None, other), *alone], "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.component_id, r.n_links) for r in jaccard_join.near_duplicates(frame, 3, 90, 100).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1, 4), (1, 1, 4), (1, 1, 0), (2, 1, 4), (None, 1, 4), (None, 1, 4), *[(None, None, 0)] * 20], key=str)
+
+
 def test_join_region_recursion():
     rng = np.random.default_rng(2)
     base = [rng.integers(0, 1 << 62, 60).astype(np.uint64) for _ in range(6)]
