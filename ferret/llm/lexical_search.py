@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferret.llm.common import U, drop_staged, slices, spans_hash, stage
+from ferret.llm.common import U, slices, spans_hash, stage
 
 TOP = 10
 WIDTH = 1024

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ferret.llm.conversation_repair import op13_conversation_repair
 from ferret.llm.fingerprints import op9_fingerprints
 from ferret.llm.html_text import op10_html_extraction
 from ferret.llm.jaccard_join import OP1_SQL, op1_jaccard_join
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_html_extraction": op10_html_extraction,
     "op11_lexical_search": op11_lexical_search,
     "op12_token_counts": op12_token_counts,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {"op1_jaccard_join": OP1_SQL, "op5_substring_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL,
