@@ -1,18 +1,15 @@
-"""Deterministic ordering and skew-safe sequence helpers.
+"""Deterministic ordering and skew-safe row numbers (see ``prefix_scan`` for sequences over time).
 
 A window ``partitionBy(k).orderBy(...)`` puts every row of one key into one
-task; when one key holds a third of the data that task is the job. The helpers
-here compute the same exact results by splitting each key into nested ordered
-*chunks* (prefixes of the order key, coarse to fine: hour then second of a
-timestamp, two then four digits of a hash):
+task; when one key holds a third of the data that task is the job. Row numbers in a hash
+order are found without it by splitting each key into nested ordered *chunks* (two, then four digits of the hash):
 
 * totals per finest chunk are aggregated map-side;
 * what precedes a chunk is found level by level: a window over the coarsest
   chunks of a key, then windows over the finer chunks inside one coarser chunk;
 * the row-level window runs inside one finest chunk.
 
-So row numbers, running sums, lags and trailing-frame sums stay exact and no
-task receives a whole hot key. Null keys form a group of their own.
+So row numbers stay exact and no task receives a whole hot key. Null keys form a group of their own.
 """
 
 from __future__ import annotations
@@ -43,14 +40,6 @@ def split_of(h: Column, train: str = "b333", validation: str = "d999") -> Column
     return F.when(b < train, "train").when(b < validation, "validation").otherwise("test")
 
 
-TIME_CHUNKS = ("hour", "second")
-
-
-def time_chunks(ts: str) -> list[Column]:
-    """Chunks of an order by ``ts``."""
-    return [F.date_trunc(unit, ts) for unit in TIME_CHUNKS]
-
-
 def hash_chunks(h: Column) -> list[Column]:
     """Chunks of an order by a hex hash."""
     return [hash_bucket(h, 2), hash_bucket(h, 4)]
@@ -99,52 +88,3 @@ def chunked_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Colum
     j, names = _chunked(df, keys, chunks, {"_n": ("sum", F.lit(1))})
     w = Window.partitionBy(*keys, *names).orderBy(*order)
     return j.withColumn(out, F.coalesce("_p__n", F.lit(0)) + F.row_number().over(w)).drop(*names, "_p__n")
-
-
-def chunked_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunks: Sequence[Column],
-                        values: dict[str, Column]) -> DataFrame:
-    """Exact running sums (``unboundedPreceding .. currentRow``) per key.
-
-    ``values`` maps output name → expression to sum (use integers for exact results).
-    """
-    j, names = _chunked(df, keys, chunks, {n: ("sum", e) for n, e in values.items()})
-    w = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = {n: F.coalesce(F.col(f"_p_{n}"), F.lit(0)) + F.sum(e).over(w) for n, e in values.items()}
-    return j.withColumns(sums).drop(*names, *[f"_p_{n}" for n in values])
-
-
-def chunked_running_max(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunks: Sequence[Column],
-                        value: Column, out: str) -> DataFrame:
-    """Exact running maximum per key."""
-    j, names = _chunked(df, keys, chunks, {"_m": ("max", value)})
-    w = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return j.withColumn(out, F.greatest("_p__m", F.max(value).over(w))).drop(*names, "_p__m")
-
-
-def chunked_lag(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunks: Sequence[Column],
-                values: Sequence[str]) -> DataFrame:
-    """Exact ``lag(v, 1)`` per key (adds ``prev_<v>``); the first row of a key gets null.
-
-    Inside a chunk it is a plain lag; the first row of a chunk takes the last row of all earlier chunks, found as the
-    maximum of (order, values), so rows with equal leading order columns keep their full order.
-    """
-    row = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], *values)
-    j, names = _chunked(df, keys, chunks, {"_last": ("max", row)})
-    w = Window.partitionBy(*keys, *names).orderBy(*order)
-    first = F.row_number().over(w) == 1
-    lags = {f"prev_{v}": F.when(first, F.col(f"_p__last.{v}")).otherwise(F.lag(v).over(w)) for v in values}
-    return j.withColumns(lags).drop(*names, "_p__last")
-
-
-def trailing_sums(df: DataFrame, keys: Sequence[str], rn: str, cums: Sequence[str], w: int) -> DataFrame:
-    """Sums over the trailing ``w`` rows (``rowsBetween(-(w-1), 0)``) from running sums.
-
-    S(rn) − S(rn − w) via an equi-join on (keys, rn): the join key includes the
-    row number, so a hot key spreads over many shuffle partitions.
-    """
-    keys = list(keys)
-    prev = df.select(*keys, (F.col(rn) + w).alias(rn), *[F.col(c).alias(f"_p_{c}") for c in cums])
-    j = join_null_safe(df, prev, [*keys, rn], "left")
-    for c in cums:
-        j = j.withColumn(f"{c}_w{w}", F.col(c) - F.coalesce(F.col(f"_p_{c}"), F.lit(0)))
-    return j.drop(*[f"_p_{c}" for c in cums]).withColumn("frame_rows", F.least(F.col(rn), F.lit(w)))

@@ -279,12 +279,14 @@ def category_mismatch(rules: DataFrame, path: str = "path", declared: str = "cat
 
 # ------------------------------------------------------------------ T14 ----
 
-HREF_RE = r"href=\"([^\"]*)\""
+# an attribute value in double quotes, in single quotes, or without quotes
+HREF_RE = r"(?i)\bhref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
 
 
 def link_audit(pages: DataFrame, max_links: int = 5) -> DataFrame:
     """Per page: links none / more than max / blank / scheme not http(s) (relative links count)."""
-    links = F.regexp_extract_all(F.col("html"), F.lit(HREF_RE), 1)
+    raw = F.regexp_extract_all(F.col("html"), F.lit(HREF_RE), 1)
+    links = F.transform(raw, lambda x: F.when(x.rlike("^[\"']"), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x))
     p = pages.select("page_id", links.alias("links"))
     blank = F.size(F.filter("links", lambda x: F.trim(x) == ""))
     bad = F.size(F.filter("links", lambda x: (F.trim(x) != "") & ~F.lower(x).rlike("^https?://")))
@@ -330,13 +332,13 @@ def error_breakdown(errors: DataFrame, message: str = "message") -> DataFrame:
         F.count(F.lit(1)).alias("count"))
 
 
-def failure_summary(breakdown: DataFrame, types: int = 20) -> DataFrame:
-    """One string ``n type, …`` sorted by count desc then type: the ``types`` most common, then how many other
-    types and errors there are. Error texts are free, so their number is not bounded; the top list is."""
-    top = breakdown.orderBy(F.col("count").desc(), "error_type").limit(types)
+def failure_summary(breakdown: DataFrame, types: int | None = None) -> DataFrame:
+    """One string ``n type, …`` of all types, sorted by count desc then type. With ``types`` only so many of the most
+    common, then how many other types and errors there are (error texts are free, so their number is not bounded)."""
+    top = breakdown.orderBy(F.col("count").desc(), "error_type").limit(types) if types is not None else breakdown
     s = F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("o"), F.col("error_type"), F.col("count"))))
-    listed = top.agg(s.alias("s"), F.count(F.lit(1)).alias("t"), F.sum("count").alias("c"))
-    whole = breakdown.select(F.struct(F.count(F.lit(1)).alias("t"), F.sum("count").alias("c"))).scalar()
+    listed = top.agg(s.alias("s"), F.count(F.lit(1)).alias("t"), F.coalesce(F.sum("count"), F.lit(0)).alias("c"))
+    whole = breakdown.select(F.struct(F.count(F.lit(1)).alias("t"), F.coalesce(F.sum("count"), F.lit(0)).alias("c"))).scalar()
     text = F.array_join(F.transform("s", lambda x: F.concat(x["count"].cast("string"), F.lit(" "), x["error_type"])), ", ")
     more_t, more_c = whole.getField("t") - F.col("t"), whole.getField("c") - F.col("c")
     rest = F.when(more_t > 0, F.concat(F.lit(", "), more_c.cast("string"), F.lit(" of "), more_t.cast("string"), F.lit(" other types"))).otherwise(F.lit(""))

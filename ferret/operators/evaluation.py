@@ -194,23 +194,30 @@ def counts_cube(df: DataFrame, a: str, b: str) -> DataFrame:
 def histogram_percentile(buckets: DataFrame, group: list[str], p: float) -> DataFrame:
     """Cumulative buckets (le, count) → first finite le with count ≥ total·p/100, total = count of the
     last finite bucket; +Inf ignored; total 0 → null."""
-    fin = buckets.where(F.col("le") != F.lit(float("inf")))
-    tot = fin.groupBy(*group).agg(F.max_by("count", "le").alias("total"))
-    j = fin.join(tot, group)
-    pick = F.min(F.when(F.col("count") >= F.col("total") * p / 100.0, F.col("le")))
-    return j.groupBy(*group).agg(F.when(F.max("total") > 0, pick).alias(f"p{int(p)}"))
+    return histogram_percentiles(buckets, group, [p])
+
+
+def histogram_percentiles(buckets: DataFrame, group: list[str], ps: list[float]) -> DataFrame:
+    """A35 for several percentiles at once, one exchange. A histogram's buckets are a fixed handful, kept as a sorted list of (le, count)."""
+    fin = F.col("le") != F.lit(float("inf"))
+    g = buckets.groupBy(*group).agg(F.sort_array(F.collect_list(F.when(fin, F.struct("le", "count")))).alias("b"))
+    total = F.element_at("b", -1)["count"]
+    reach = lambda p: F.try_element_at(F.filter("b", lambda x: x["count"] >= total * p / 100.0), F.lit(1))["le"]
+    return g.where(F.size("b") > 0).select(*group, *[F.when(total > 0, reach(p)).alias(f"p{int(p)}") for p in ps])
 
 
 # ------------------------------------------------------------------ A36 ----
 
 def snapshot_deltas(samples: DataFrame, key: str = "user_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """first→last snapshot per source: requests, elapsed, throughput, mean latency (elapsed per request), hit
-    rate, and hits and queries per request (zero-guarded). Ties of time are ordered by the rest of ``order``."""
-    snap = F.struct(*order, "counter", "hits", "queries")
-    g = samples.groupBy(key).agg(F.min(snap).alias("a"), F.max(snap).alias("b"))
-    el = (F.unix_micros(F.col("b.ts").cast("timestamp")) - F.unix_micros(F.col("a.ts").cast("timestamp"))) / 1e6
-    diff = lambda c: F.col(f"b.{c}") - F.col(f"a.{c}")
-    req, hits, q = diff("counter"), diff("hits"), diff("queries")
+    rate, and hits and queries per request (zero-guarded). ``samples``: key, order, hit and query (0 or 1) of each request.
+
+    A counter at the last snapshot less the counter at the first is what came after the first sample, so one
+    aggregation of sums and of the first and last time does, without running sums."""
+    first = F.min(F.struct(*order, "hit", "query"))
+    g = samples.groupBy(key).agg(first.alias("a"), F.max(order[0]).alias("end"), F.count(F.lit(1)).alias("n"), F.sum("hit").alias("h"), F.sum("query").alias("q"))
+    el = (F.unix_micros(F.col("end").cast("timestamp")) - F.unix_micros(F.col(f"a.{order[0]}").cast("timestamp"))) / 1e6
+    req, hits, q = F.col("n") - 1, F.col("h") - F.col("a.hit"), F.col("q") - F.col("a.query")
     return g.select(key, req.alias("requests"), el.alias("elapsed_s"),
                     safe_div(req, el).alias("throughput"), safe_div(el, req).alias("latency_s"), safe_div(hits, q).alias("hit_rate"),
                     safe_div(hits, req).alias("hits_per_request"), safe_div(q, req).alias("queries_per_request"))
@@ -260,17 +267,42 @@ def gauge_band(share: Column, middle: float = 0.6, high: float = 0.85) -> Column
     return F.when(share < middle, "green").when(share < high, "yellow").when(share.isNotNull(), "red")
 
 
-def gauge_bar(share: Column, width: int = 30) -> Column:
+def per_cent(part: Column, whole: Column) -> Column:
+    """``part / whole`` in per cent with one decimal, ties to the even digit, of the exact ratio of two integers (a double
+    of it may lie on either side of a tie)."""
+    rest = (part * 1000) % whole
+    low = ((part * 1000 - rest) / whole).cast("long")
+    tenths = low + ((rest * 2 > whole) | ((rest * 2 == whole) & (low % 2 == 1))).cast("long")
+    return F.concat(F.lpad(((tenths - tenths % 10) / 10).cast("long").cast("string"), 3, " "), F.lit("."), (tenths % 10).cast("string"), F.lit("%"))
+
+
+def gauge_bar(part: Column, whole: Column, width: int = 30) -> Column:
     """The gauge as text: ``width`` places, filled by the whole part of share · width, then the per cent."""
-    filled = F.least(F.lit(width), F.greatest(F.lit(0), (share * width).cast("int")))
-    return F.when(share.isNotNull(), F.concat(F.lit("["), F.repeat(F.lit("█"), filled), F.repeat(F.lit("░"), F.lit(width) - filled), F.lit("] "),
-                                              F.format_string("%5.1f%%", share * 100.0)))
+    filled = F.least(F.lit(width), F.greatest(F.lit(0), F.floor(part * width / whole).cast("int")))
+    return F.when(whole > 0, F.concat(F.lit("["), F.repeat(F.lit("█"), filled), F.repeat(F.lit("░"), F.lit(width) - filled), F.lit("] "), per_cent(part, whole)))
+
+
+# outcome columns and their names in the history (fixed values); the first one is always shown
+OUTCOMES = (("ok", "ok"), ("truncated", "truncated"), ("aborted", "aborted"), ("errors", "errors"))
+
+
+def outcome_history(outcomes: tuple[tuple[str, str], ...] = OUTCOMES) -> Column:
+    """How requests ended: ``3 ok  1 errors  (4 total)``; but for the first, outcomes that did not occur are left out; null without any."""
+    total = sum((F.col(c) for c, _ in outcomes[1:]), F.col(outcomes[0][0]))
+    shown = [F.when((F.col(c) > 0) | F.lit(i == 0), F.concat(F.col(c).cast("string"), F.lit(f" {name}"))) for i, (c, name) in enumerate(outcomes)]
+    return F.when(total > 0, F.concat_ws("  ", *shown, F.concat(F.lit("("), total.cast("string"), F.lit(" total)"))))
 
 
 def monitor_gauges(totals: DataFrame, key: str) -> DataFrame:
-    """Per source the outcome shares of its requests with their bars and bands, and the hit-rate band (green above
-    0.3, yellow above 0.1, else dim; null without queries). ``totals``: key, requests, errors, hits, queries."""
+    """Per source the error share of its requests with its bar and band, and the hit-rate band (green above
+    0.3, yellow above 0.1, else dim; null without queries). ``totals``: key, requests, errors, hits, queries; where they also
+    hold the other outcomes (ok, truncated, aborted) the history is added, where they hold latency_cents the mean latency."""
     err = F.when(F.col("requests") > 0, F.col("errors") / F.col("requests"))
     hit = F.when(F.col("queries") > 0, F.col("hits") / F.col("queries"))
-    return totals.select(key, "requests", err.alias("error_share"), gauge_bar(err).alias("error_bar"), gauge_band(err).alias("error_band"),
-                         hit.alias("hit_rate"), F.when(hit > 0.3, "green").when(hit > 0.1, "yellow").when(hit.isNotNull(), "dim").alias("hit_band"))
+    out = [key, "requests", err.alias("error_share"), gauge_bar(F.col("errors"), F.col("requests")).alias("error_bar"), gauge_band(err).alias("error_band"),
+           hit.alias("hit_rate"), F.when(hit > 0.3, "green").when(hit > 0.1, "yellow").when(hit.isNotNull(), "dim").alias("hit_band")]
+    if all(c in totals.columns for c, _ in OUTCOMES):
+        out.append(outcome_history().alias("history"))
+    if "latency_cents" in totals.columns:
+        out.append(F.when(F.col("requests") > 0, F.col("latency_cents") / 100.0 / F.col("requests")).alias("mean_latency"))
+    return totals.select(*out)

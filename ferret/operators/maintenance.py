@@ -32,12 +32,10 @@ def exclude(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def declared_vs_present(declared: DataFrame, present: DataFrame, key: str) -> DataFrame:
-    """Two-way difference tagged by side (one full outer join on distinct keys)."""
-    d = declared.select(key).distinct().withColumn("_d", F.lit(True))
-    p = present.select(key).distinct().withColumn("_p", F.lit(True))
-    j = d.join(p, key, "full")
-    return j.where(F.col("_d").isNull() | F.col("_p").isNull()).select(
-        key, F.when(F.col("_p").isNull(), "declared_only").otherwise("present_only").alias("side"))
+    """Two-way difference tagged by side: both sides in one grouping by key, in which nulls are equal."""
+    both = declared.select(key, F.lit(1).alias("_s")).unionByName(present.select(key, F.lit(2).alias("_s")))
+    g = both.groupBy(key).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi")).where("_lo = _hi")
+    return g.select(key, F.when(F.col("_lo") == 1, "declared_only").otherwise("present_only").alias("side"))
 
 
 def insert_if_absent(existing: DataFrame, incoming: DataFrame, key: str, id_col: str) -> DataFrame:
@@ -59,12 +57,15 @@ def upsert_latest(current: DataFrame, updates: DataFrame, key: str, recency: str
     return g.select(key, "_r.*").select(*current.columns)
 
 
-def keyed_update(base: DataFrame, updates: DataFrame, key: list[str], cols: list[str]) -> DataFrame:
-    """Update columns of matched rows (left join + coalesce); unmatched rows unchanged."""
-    up = updates.select(*key, *[F.col(c).alias(f"_u_{c}") for c in cols], F.lit(True).alias("_matched"))
-    j = base.join(up, key, "left")
-    out = [F.coalesce(F.col(f"_u_{c}"), F.col(c)).alias(c) if c in cols else F.col(c) for c in base.columns]
-    return j.select(*out, F.coalesce("_matched", F.lit(False)).alias("updated"))
+def keyed_update(base: DataFrame, updates: DataFrame, key: list[str], cols: list[str], recency: str | None = None) -> DataFrame:
+    """Update columns of matched rows; unmatched rows unchanged, updates without a row dropped. Of several updates of one key the most
+    recent wins (``recency``), then the greatest values; an update may write nulls; null keys match each other."""
+    lead = [recency] if recency else []
+    up = updates.groupBy(*key).agg(F.max(F.struct(*lead, *[c for c in cols if c != recency])).alias("_u"))
+    j = join_null_safe(base, up, key, "left")
+    hit = F.col("_u").isNotNull()
+    out = [F.when(hit, F.col("_u")[c]).otherwise(F.col(c)).alias(c) if c in cols else F.col(c) for c in base.columns]
+    return j.select(*out, hit.alias("updated"))
 
 
 def run_events(runs: DataFrame) -> DataFrame:
@@ -140,13 +141,14 @@ def manifest_enrichment(files: DataFrame, papers: DataFrame, slug: str = "repo_n
 
 
 def lookup_paths(requests: DataFrame, files: DataFrame, path: str = "path", anchor: str = "files/") -> DataFrame:
-    """Id of a path: an exact match, else a match of what follows the last ``anchor``; null when neither."""
-    tail = F.when(F.col(path).contains(anchor), F.concat(F.lit(anchor), F.element_at(F.split(F.col(path), anchor, -1), -1)))
-    exact = files.select(F.col("file_path").alias(path), F.col("file_id").alias("_exact"))
-    part = files.select(F.col("file_path").alias("_tail"), F.col("file_id").alias("_part"))
-    j = requests.withColumn("_tail", tail).join(exact, path, "left").join(part, "_tail", "left")
-    return j.select(*requests.columns, F.coalesce("_exact", "_part").alias("file_id"),
-                    F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_part").isNotNull(), "relative").otherwise("none").alias("matched_by"))
+    """Id of a path: an exact match, else a match of what follows the last ``anchor``; null when neither. One answer a
+    request: of several files with the path the least id."""
+    known = files.groupBy(F.col("file_path").alias("_p")).agg(F.min("file_id").alias("_id"))
+    exact = requests.join(known, F.col(path) == F.col("_p"), "left").withColumnRenamed("_id", "_exact").drop("_p")
+    tail = F.when(F.col("_exact").isNull() & F.col(path).contains(anchor), F.concat(F.lit(anchor), F.element_at(F.split(F.col(path), anchor, -1), -1)))
+    j = exact.withColumn("_tail", tail).join(known, F.col("_tail") == F.col("_p"), "left")
+    return j.select(*[j[c] for c in requests.columns], F.coalesce("_exact", "_id").alias("file_id"),
+                    F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_id").isNotNull(), "relative").otherwise("none").alias("matched_by"))
 
 
 def grandparent(ids: DataFrame, child: DataFrame, parent: DataFrame, key: str, via: str, target: str) -> DataFrame:
@@ -158,12 +160,13 @@ def unique_names(files: DataFrame, group: str, name: str, order_col: str) -> Dat
     """A name for every row that is unique within its group, given in input order: a name not in use is kept,
     otherwise ``stem_1.ext``, ``stem_2.ext``, … until one is free. Adds ``unique_name``.
 
-    Names can only meet names of the same family (stem without trailing ``_<number>``, and extension). A family of one
+    A null name stays null. Names can only meet names of the same family (stem without trailing ``_<number>``, and extension). A family of one
     name is numbered by a window; only families in which given and made-up names can clash are walked one by one.
     """
     ext = F.regexp_extract(F.col(name), r"^.+(\.[^.]+)$", 1)
     stem = F.substring(F.col(name), F.lit(1), F.length(name) - F.length(ext))
-    d = files.withColumn("_ext", ext).withColumn("_stem", stem).withColumn("_root", F.regexp_replace("_stem", r"(_\d+)+$", ""))
+    unnamed = files.where(F.col(name).isNull()).withColumn("unique_name", F.lit(None).cast("string"))
+    d = files.where(F.col(name).isNotNull()).withColumn("_ext", ext).withColumn("_stem", stem).withColumn("_root", F.regexp_replace("_stem", r"(_\d+)+$", ""))
     family = [group, "_root", "_ext"]
     mixed = d.groupBy(*family).agg((F.min(name) != F.max(name)).alias("_mixed"))
     d = join_null_safe(d, mixed, family)
@@ -186,7 +189,7 @@ def unique_names(files: DataFrame, group: str, name: str, order_col: str) -> Dat
 
     schema = T.StructType([*files.schema.fields]).add("unique_name", T.StringType())
     clashing = d.where("_mixed").groupBy(*family).applyInPandas(walk, schema)
-    return plain.select(*cols).unionByName(clashing)
+    return plain.select(*cols).unionByName(clashing).unionByName(unnamed)
 
 
 def orphaned_entries(cache: DataFrame, references: DataFrame, key: str) -> DataFrame:

@@ -15,14 +15,13 @@ from pyspark.sql import functions as F
 from ferret.functions.ordering import (
     DEFAULT_SEED,
     chunked_row_number,
-    chunked_running_sum,
     hash_bucket,
     hash_chunks,
     join_null_safe,
     seeded_hash,
     split_of,
-    time_chunks,
 )
+from ferret.functions.prefix_scan import prefix_scan
 
 HEX = "0123456789abcdef"
 
@@ -146,16 +145,10 @@ def temporal_folds(df: DataFrame, ts: str, k: int = 5) -> DataFrame:
 def past_only_features(events: DataFrame, w: int = 3) -> DataFrame:
     """Lag and trailing mean of the previous w values per user (never the current or a future row);
     the audit compares each feature with the *next* value to flag look-ahead."""
-    e = events.select("user_id", "ts", "event_id", "value")
-    cum = chunked_running_sum(e, ["user_id"], [F.col("ts"), F.col("event_id")], time_chunks("ts"),
-                              {"rn": F.lit(1).cast("long"), "c": F.round(F.col("value") * 100).cast("long")})
-    keys = ["user_id", "rn"]
-    prev = cum.select("user_id", (F.col("rn") + 1).alias("rn"), F.col("value").alias("prev_value"), F.col("c").alias("c1"))
-    back = cum.select("user_id", (F.col("rn") + w + 1).alias("rn"), F.col("c").alias("cw"))
-    nxt = cum.select("user_id", (F.col("rn") - 1).alias("rn"), F.col("value").alias("next_value"))
-    j = cum.join(prev, keys, "left").join(back, keys, "left").join(nxt, keys, "left")
+    e = events.select("user_id", "ts", "event_id", "value", F.round(F.col("value") * 100).cast("long").alias("c"))
+    j = prefix_scan(e, ["user_id"], ["ts", "event_id"], rn="rn", lags={"prev_value": ("value", 1)}, trailing={"back": ("c", w + 1)}, leads={"next_value": "value"})
     n_prev = F.least(F.col("rn") - 1, F.lit(w))
-    trailing = F.when(n_prev > 0, (F.col("c1") - F.coalesce("cw", F.lit(0))).cast("double") / n_prev / 100.0)
+    trailing = F.when(n_prev > 0, (F.col("back") - F.coalesce("c", F.lit(0))).cast("double") / n_prev / 100.0)
     return j.select("user_id", "ts", "event_id", "rn", "value", "prev_value", trailing.alias(f"trailing_mean_{w}"),
                     "next_value", (F.col("prev_value") == F.col("next_value")).alias("lag_equals_future"))
 

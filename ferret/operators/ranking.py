@@ -3,8 +3,8 @@
 Top-k per group uses ``row_number() <= k`` with a literal k, which Spark plans
 as a map-side ``WindowGroupLimit`` before the shuffle, so a hot group ships at
 most k rows per map task. Quotas that differ per group and per-key sequences
-(running counters, lags, trailing frames) use the chunked helpers in
-``ferret.functions.ordering`` so no task ever holds a whole key.
+(running counters, lags, trailing frames) are prefix scans over range partitions
+(``ferret.functions.prefix_scan``) so no task ever holds a whole key.
 """
 
 from __future__ import annotations
@@ -12,15 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferret.functions.ordering import (
-    DEFAULT_SEED,
-    chunked_lag,
-    chunked_running_max,
-    chunked_running_sum,
-    seeded_hash,
-    time_chunks,
-    trailing_sums,
-)
+from ferret.functions.ordering import DEFAULT_SEED, seeded_hash
+from ferret.functions.prefix_scan import prefix_scan
 from ferret.operators import report as R
 from ferret.plans.star import SEVERITY_ORDER, Star
 
@@ -145,48 +138,43 @@ def dedup_ordered(df: DataFrame, key: str | Column, order_col: str, keep: str =
 
 # ------------------------------------------------------- metric samples ----
 
+def _samples(events: DataFrame) -> DataFrame:
+    """Samples of the sources with their integer counters."""
+    return events.select("user_id", "ts", "event_id", "event_type", "value", F.round(F.col("value") * 100).cast("long").alias("cents"),
+                         (F.col("event_type") == "purchase").cast("long").alias("hit"), (F.col("event_type") == "click").cast("long").alias("query"))
+
+
+SAMPLE_ORDER = ["ts", "event_id"]
+
+
 def metric_samples(events: DataFrame) -> DataFrame:
     """Per source (user) counters over time: cumulative samples, purchases (hits) and clicks (queries)."""
-    e = events.select("user_id", "ts", "event_id", "event_type", "value")
-    return chunked_running_sum(
-        e, ["user_id"], [F.col("ts"), F.col("event_id")], time_chunks("ts"),
-        {"counter": F.lit(1).cast("long"),
-         "hits": (F.col("event_type") == "purchase").cast("long"),
-         "queries": (F.col("event_type") == "click").cast("long"),
-         "value_cents": F.round(F.col("value") * 100).cast("long")})
+    return prefix_scan(_samples(events), ["user_id"], SAMPLE_ORDER, rn="counter", sums={"hits": "hit", "queries": "query", "value_cents": "cents"}).drop("cents", "hit", "query")
 
 
 def counter_rates(events: DataFrame) -> DataFrame:
     """Counter → delta and rate per source; first sample 0; elapsed ≤ 0 → 0."""
-    m = metric_samples(events)
-    lagged = chunked_lag(m, ["user_id"], [F.col("ts"), F.col("event_id")], time_chunks("ts"), ["counter", "ts"])
+    m = prefix_scan(events.select("user_id", "ts", "event_id"), ["user_id"], SAMPLE_ORDER, rn="counter", lags={"prev_ts": ("ts", 1)})
     elapsed = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("prev_ts").cast("timestamp"))) / 1e6
-    delta = F.when(F.col("prev_counter").isNull(), F.lit(0)).otherwise(F.col("counter") - F.col("prev_counter"))
-    return lagged.select(
+    delta = F.when(F.col("counter") == 1, F.lit(0).cast("long")).otherwise(F.lit(1).cast("long"))  # the counter counts samples
+    return m.select(
         "user_id", "ts", "event_id", "counter", delta.alias("delta"),
         F.coalesce(elapsed, F.lit(0.0)).alias("elapsed_s"),
-        F.when(F.col("prev_counter").isNull() | (elapsed <= 0), F.lit(0.0)).otherwise(delta / elapsed).alias("rate"))
+        F.when((F.col("counter") == 1) | (elapsed <= 0) | elapsed.isNull(), F.lit(0.0)).otherwise(delta / elapsed).alias("rate"))
 
 
 def trailing_metrics(events: DataFrame, w: int = 5) -> DataFrame:
     """W12 + W13: trailing mean of value and rolling hit ratio over the last w samples per source."""
-    e = events.select("user_id", "ts", "event_id", "event_type", "value")
-    cum = chunked_running_sum(
-        e, ["user_id"], [F.col("ts"), F.col("event_id")], time_chunks("ts"),
-        {"rn": F.lit(1).cast("long"), "c_value": F.round(F.col("value") * 100).cast("long"),
-         "c_hits": (F.col("event_type") == "purchase").cast("long"),
-         "c_queries": (F.col("event_type") == "click").cast("long")})
-    t = trailing_sums(cum, ["user_id"], "rn", ["c_value", "c_hits", "c_queries"], w)
+    t = prefix_scan(_samples(events), ["user_id"], SAMPLE_ORDER, rn="rn", trailing={"w_value": ("cents", w), "w_hits": ("hit", w), "w_queries": ("query", w)})
     return t.select(
         "user_id", "ts", "event_id", "rn",
-        (F.col(f"c_value_w{w}").cast("double") / F.col("frame_rows") / 100.0).alias("moving_avg"),
-        F.when(F.col(f"c_queries_w{w}") > 0, F.col(f"c_hits_w{w}") / F.col(f"c_queries_w{w}")).otherwise(F.lit(0.0)).alias("hit_ratio"))
+        (F.col("w_value").cast("double") / F.least(F.col("rn"), F.lit(w)) / 100.0).alias("moving_avg"),
+        F.when(F.col("w_queries") > 0, F.col("w_hits") / F.col("w_queries")).otherwise(F.lit(0.0)).alias("hit_ratio"))
 
 
 def running_peaks(events: DataFrame) -> DataFrame:
-    """Running maximum of value per source, chunked (chunk maxima carried forward)."""
-    return chunked_running_max(events.select("user_id", "ts", "event_id", "value"), ["user_id"], [F.col("ts"), F.col("event_id")],
-                               time_chunks("ts"), F.col("value"), "peak_value")
+    """Running maximum of value per source."""
+    return prefix_scan(events.select("user_id", "ts", "event_id", "value"), ["user_id"], SAMPLE_ORDER, maxes={"peak_value": "value"})
 
 
 def line_chunks(docs: DataFrame, size: int = 500, step: int = 400) -> DataFrame:

@@ -1,9 +1,9 @@
 """Rule catalog and the rule scan.
 
-Each document row meets the whole (bounded) rule catalogue as one array — the Spark analogue of the reference's
-shared prompt prefix — and is exploded to (document, rule) rows only on output, so no text is ever replicated through
-a shuffle. The default scorer is a built-in expression; a plugged scorer ``(pandas.DataFrame[doc_id, text], rules) ->
-rows`` runs in ``mapInPandas``. Filters on rules and documents belong below the scan.
+Each document meets the whole (bounded) rule catalogue at once — the Spark analogue of the reference's shared prompt
+prefix — and becomes (document, rule) rows only on output, so no text is ever replicated through a shuffle. The default
+scorer counts all patterns in one pass over the bytes of an Arrow batch; a plugged scorer ``(pandas.DataFrame[doc_id, text],
+rules) -> rows`` runs in ``mapInPandas``. Filters on rules and documents belong below the scan.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from __future__ import annotations
 import tomllib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,37 +87,123 @@ def load_rule_catalog(spark, directory: str) -> tuple[DataFrame, DataFrame]:
 Scorer = Callable[[pd.DataFrame, list[dict]], pd.DataFrame]
 
 
-def catalogue_array(rules: DataFrame) -> DataFrame:
-    """The rule catalogue as one row: an array in rule order. It is a bounded configuration table."""
-    return rules.agg(F.sort_array(F.collect_list(F.struct("rule_no", "pattern_id", "pattern"))).alias("_catalogue"))
+class PatternCounter:
+    """Counts the non-overlapping occurrences of all patterns in one pass over the UTF-8 bytes of a text column.
 
+    The first two bytes of every position look up the patterns that begin with them; the few positions that remain are
+    compared with the rest of their patterns. Patterns of one byte are looked up by it; an empty pattern never occurs.
+    """
 
-def rule_scan(docs: DataFrame, rules: DataFrame, scorer: Scorer | None = None) -> DataFrame:
-    """T16 + J10: every document × every selected rule, one row per pair.
+    def __init__(self, patterns: list[str]):
+        self.raw = [p.encode() for p in patterns]
+        self.one = {p[0]: [i for i, q in enumerate(self.raw) if q == p] for p in self.raw if len(p) == 1}
+        starts = sorted({p[:2] for p in self.raw if len(p) > 1})
+        self.code = np.zeros(1 << 16, np.uint16 if len(starts) < 1 << 16 else np.uint32)
+        self.of = [[]]
+        for s in starts:
+            self.code[s[0] << 8 | s[1]] = len(self.of)
+            self.of.append([i for i, q in enumerate(self.raw) if q[:2] == s])
+
+    def counts(self, col: pa.Array) -> np.ndarray:
+        """A row of counts for each text; a null text counts as empty."""
+        col = col.cast(pa.large_string()).fill_null("")
+        _, offsets, data = col.buffers()
+        off = np.frombuffer(offsets, np.int64)[col.offset:col.offset + len(col) + 1]
+        x = np.frombuffer(data, np.uint8)[off[0]:off[-1]] if data is not None else np.empty(0, np.uint8)
+        off = off - off[0]
+        out = np.zeros((len(col), len(self.raw)), np.int64)
+        for byte, which in self.one.items():
+            out[:, which] = np.diff(np.searchsorted(np.flatnonzero(x == byte), off))[:, None]
+        if len(x) < 2:
+            return out
+        code = self.code[x[:-1].astype(np.uint16) << 8 | x[1:]]
+        at = np.flatnonzero(code)
+        kind, doc = code[at], np.searchsorted(off, at, side="right") - 1
+        at, kind, doc = (v[at + 2 <= off[doc + 1]] for v in (at, kind, doc))
+        order = np.argsort(kind, kind="stable")
+        at, doc, bounds = at[order], doc[order], np.searchsorted(kind[order], np.arange(len(self.of) + 1))
+        for k in range(1, len(self.of)):
+            for i in self.of[k]:
+                here, inside = at[bounds[k]:bounds[k + 1]], doc[bounds[k]:bounds[k + 1]]
+                tail = self.raw[i][2:]
+                if tail:
+                    fits = here + len(self.raw[i]) <= off[inside + 1]
+                    here, inside = here[fits], inside[fits]
+                    for j, byte in enumerate(tail):
+                        hit = x[here + 2 + j] == byte
+                        here, inside = here[hit], inside[hit]
+                if len(here) > 1 and (np.diff(here) < len(self.raw[i])).any():  # occurrences overlap: the leftmost count
+                    taken, end = [], -1
+                    for n, pos in enumerate(here.tolist()):
+                        if pos >= end:
+                            taken.append(n)
+                            end = pos + len(self.raw[i])
+                    inside = inside[taken]
+                out[:, i] = np.bincount(inside, minlength=len(col))
+        return out
+
+
+SLICE_BYTES, MAX_RULES = 4 << 20, 100_000
+
+
+def rule_scan(docs: DataFrame, rules: DataFrame, scorer: Scorer | None = None, wanted: str | None = None) -> DataFrame:
+    """T16 + J10: every document × every selected rule, one row per pair; with ``wanted``, a column of rule numbers, only those of a document.
 
     Default scorer: occurrences of the rule's pattern in the lower-cased text (non-overlapping);
-    confidence = min(0.5 + 0.05·n, 0.99); yes ≥ 0.7, context-dependent ≥ 0.6. It never fails; statuses such as
-    ``timeout`` or ``context_length`` come from plugged scorers.
+    confidence = min(0.5 + 0.05·n, 0.99); yes ≥ 0.7, context-dependent ≥ 0.6. A text is read once for the whole catalogue. It never
+    fails; statuses such as ``timeout`` or ``context_length`` come from plugged scorers. The catalogue is a bounded
+    configuration table (checked), read once on the driver.
     """
-    both = docs.select("doc_id", "text", catalogue_array(rules).scalar().alias("_catalogue"))
+    catalogue = rules.select("rule_no", "pattern_id", "pattern").orderBy("rule_no", "pattern_id").limit(MAX_RULES + 1).collect()
+    if len(catalogue) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
     if scorer is not None:
+        known = [r.asDict() for r in catalogue]
+        lists = [wanted] if wanted else []
+
         def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in it:
                 if len(pdf):
-                    yield scorer(pdf[["doc_id", "text"]], list(pdf["_catalogue"].iloc[0])).astype({"doc_id": "int64", "rule_no": "int64"})
-        return both.mapInPandas(run, RULE_RUN_SCHEMA)
-    low = both.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("_low"), "_catalogue")
-    hits = F.transform("_catalogue", lambda r: F.struct(
-        r["rule_no"].alias("rule_no"), r["pattern_id"].alias("pattern_id"),
-        F.when(F.length(r["pattern"]) > 0, ((F.length("_low") - F.length(F.replace(F.col("_low"), r["pattern"], F.lit("")))) / F.length(r["pattern"])).cast("long"))
-        .otherwise(F.lit(0)).alias("n_matches")))
-    x = low.select("doc_id", F.inline(hits))
+                    found = scorer(pdf[["doc_id", "text"]], known).astype({"doc_id": "int64", "rule_no": "int64"})
+                    if wanted:
+                        asked = {(d, n) for d, ns in zip(pdf["doc_id"], pdf[wanted]) for n in ns}
+                        found = found[[pair in asked for pair in zip(found["doc_id"], found["rule_no"])]]
+                    yield found
+        return docs.select("doc_id", "text", *lists).mapInPandas(run, RULE_RUN_SCHEMA)
+    number = np.array([r.rule_no for r in catalogue], np.int64)
+    names = pa.array([r.pattern_id for r in catalogue], pa.string())
+    patterns = [r.pattern or "" for r in catalogue]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = PatternCounter(patterns)
+        for b in batches:
+            for s in _slices(b):
+                n = counter.counts(s.column(1))
+                row, which = np.repeat(np.arange(len(n)), len(number)), np.tile(np.arange(len(number)), len(n))
+                if wanted:
+                    pairs = set(zip(np.repeat(np.arange(len(n)), s.column(2).value_lengths()).tolist(), s.column(2).flatten().to_pylist()))
+                    asked = np.fromiter((pair in pairs for pair in zip(row.tolist(), number[which].tolist())), bool, len(row))
+                    row, which = row[asked], which[asked]
+                yield pa.RecordBatch.from_arrays([s.column(0).take(pa.array(row)), pa.array(number[which]), names.take(pa.array(which)), pa.array(n[row, which])],
+                                                 names=["doc_id", "rule_no", "pattern_id", "n_matches"])
+
+    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"), *([F.col(wanted).cast("array<long>")] if wanted else [])).mapInArrow(count, "doc_id long, rule_no long, pattern_id string, n_matches long")
     conf = F.least(F.lit(0.5) + F.lit(0.05) * F.col("n_matches"), F.lit(0.99))
     return x.select("doc_id", "rule_no", "pattern_id", F.lit("success").alias("status"),
                     F.when(conf >= 0.7, "yes").when(conf >= 0.6, "context-dependent").otherwise("no").alias("detected"),
                     conf.alias("confidence"), "n_matches")
 
 
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``SLICE_BYTES`` of text, or one longer text."""
+    off = np.frombuffer(b.column(1).cast(pa.large_string()).buffers()[1], np.int64)[b.column(1).offset:b.column(1).offset + b.num_rows + 1] if b.num_rows else []
+    i = 0
+    while i < b.num_rows:
+        j = max(i + 1, int(np.searchsorted(off, off[i] + SLICE_BYTES, side="right")) - 1)
+        yield b.slice(i, min(j, b.num_rows) - i)
+        i = min(j, b.num_rows)
+
+
 def scan_findings(rule_runs: DataFrame, min_confidence: float = 0.7) -> DataFrame:
     """Detected in (yes, context-dependent) and confidence ≥ min; at most one per (document, rule)."""
     return rule_runs.where((F.col("status") == "success") & F.col("detected").isin("yes", "context-dependent")
@@ -135,8 +223,12 @@ def failed_runs(rule_runs: DataFrame, statuses: list[str]) -> DataFrame:
 
 
 def rescan(failed: DataFrame, docs: DataFrame, rules: DataFrame, scorer: Scorer | None = None) -> DataFrame:
-    """Run the failed (file, rule) pairs again and return their new status, detected and confidence by
-    pattern_run_id. ``docs``: doc_id (the file) and text of the files to read; only their failed rules count."""
-    again = rule_scan(docs, rules, scorer).select(F.col("doc_id").alias("file_analysis_id"), "rule_no", "status", "detected", "confidence")
-    return failed.select("pattern_run_id", "file_analysis_id", "rule_no").join(again, ["file_analysis_id", "rule_no"]).select(
-        "pattern_run_id", "status", "detected", "confidence")
+    """Run the failed (document, rule) pairs again and return their new status, detected and confidence by
+    pattern_run_id. ``failed``: pattern_run_id, doc_id, rule_no.
+
+    The work list has every pair once, as a list of rules by document (at most the catalogue), so a text is read once however many
+    runs of it failed, and only the listed rules come back. Pairs without a document or a rule have no new result."""
+    work = failed.select("doc_id", "rule_no").distinct().groupBy("doc_id").agg(F.collect_list("rule_no").alias("wanted"))
+    texts = docs.select("doc_id", "text").join(work, "doc_id")
+    again = rule_scan(texts, rules, scorer, wanted="wanted").select("doc_id", "rule_no", "status", "detected", "confidence")
+    return failed.select("pattern_run_id", "doc_id", "rule_no").join(again, ["doc_id", "rule_no"]).select("pattern_run_id", "status", "detected", "confidence")

@@ -234,9 +234,7 @@ def q_histogram_percentiles(spark, d):
     # cumulative counts over the (type × bucket) table: a handful of rows per type
     c = b.select("event_type", "le", F.sum("n").over(Window.partitionBy("event_type").orderBy("le")
                                                       .rowsBetween(Window.unboundedPreceding, 0)).alias("count"))
-    p50 = E.histogram_percentile(c, ["event_type"], 50)
-    p90 = E.histogram_percentile(c, ["event_type"], 90)
-    return p50.join(p90, "event_type")
+    return E.histogram_percentiles(c, ["event_type"], [50, 90])
 
 
 @register("snapshot_deltas", "A36 W14", """
@@ -253,7 +251,8 @@ SELECT user_id, c1 - c0 AS requests, el AS elapsed_s, CASE WHEN el > 0 THEN (c1
        CASE WHEN c1 - c0 > 0 THEN CAST(h1 - h0 AS DOUBLE) / (c1 - c0) ELSE 0.0 END AS hits_per_request,
        CASE WHEN c1 - c0 > 0 THEN CAST(q1 - q0 AS DOUBLE) / (c1 - c0) ELSE 0.0 END AS queries_per_request FROM g""")
 def q_snapshot_deltas(spark, d):
-    return E.snapshot_deltas(W.metric_samples(Tables(spark, d).events))
+    t = F.col("event_type")
+    return E.snapshot_deltas(Tables(spark, d).events.select("user_id", "ts", "event_id", (t == "purchase").cast("long").alias("hit"), (t == "click").cast("long").alias("query")))
 
 
 @register("generalisation_gap", "A31", with_star("""
@@ -293,19 +292,29 @@ def q_scaling_verdict(spark, d):
     return E.scaling_verdict(E.timing_summary(t, "k", "lines", "duration_seconds"), "k", "lines")
 
 
+# requests end ok (view), truncated (click), aborted (purchase) or in an error; their value is the latency
 @register("monitor_gauges", "A39", """
-WITH t AS (SELECT user_id, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors,
-                  count(*) FILTER (event_type = 'purchase' AND event_id % 4 = 0) AS hits, count(*) FILTER (event_type = 'purchase') AS queries
+WITH t AS (SELECT user_id, count(*) AS requests, count(*) FILTER (event_type = 'view') AS ok, count(*) FILTER (event_type = 'click') AS truncated,
+                  count(*) FILTER (event_type = 'purchase') AS aborted, count(*) FILTER (event_type = 'error') AS errors,
+                  count(*) FILTER (event_type = 'purchase' AND event_id % 4 = 0) AS hits, count(*) FILTER (event_type = 'purchase') AS queries,
+                  sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS cents
            FROM events GROUP BY user_id),
-s AS (SELECT user_id, requests, errors::DOUBLE / requests AS e, CASE WHEN queries > 0 THEN hits::DOUBLE / queries END AS h FROM t)
-SELECT user_id, requests, e AS error_share,
-       '[' || repeat('█', CAST(floor(e * 30) AS INTEGER)) || repeat('░', 30 - CAST(floor(e * 30) AS INTEGER)) || '] ' || printf('%5.1f%%', e * 100.0) AS error_bar,
+s AS (SELECT *, errors::DOUBLE / requests AS e, CASE WHEN queries > 0 THEN hits::DOUBLE / queries END AS h,
+             (errors * 1000) // requests AS low, (errors * 1000) % requests AS rest, ok + truncated + aborted + errors AS total FROM t),
+u AS (SELECT *, low + CASE WHEN 2 * rest > requests OR (2 * rest = requests AND low % 2 = 1) THEN 1 ELSE 0 END AS tenths FROM s)
+SELECT user_id, requests,
+       CASE WHEN total > 0 THEN ok || ' ok' || CASE WHEN truncated > 0 THEN '  ' || truncated || ' truncated' ELSE '' END || CASE WHEN aborted > 0 THEN '  ' || aborted || ' aborted' ELSE '' END
+         || CASE WHEN errors > 0 THEN '  ' || errors || ' errors' ELSE '' END || '  (' || total || ' total)' END AS history,
+       e AS error_share,
+       '[' || repeat('█', CAST((errors * 30) // requests AS INTEGER)) || repeat('░', 30 - CAST((errors * 30) // requests AS INTEGER)) || '] ' || lpad(CAST(tenths // 10 AS VARCHAR), 3, ' ') || '.' || (tenths % 10) || '%' AS error_bar,
        CASE WHEN e < 0.6 THEN 'green' WHEN e < 0.85 THEN 'yellow' ELSE 'red' END AS error_band, h AS hit_rate,
-       CASE WHEN h > 0.3 THEN 'green' WHEN h > 0.1 THEN 'yellow' WHEN h IS NOT NULL THEN 'dim' END AS hit_band
-FROM s""")
+       CASE WHEN h > 0.3 THEN 'green' WHEN h > 0.1 THEN 'yellow' WHEN h IS NOT NULL THEN 'dim' END AS hit_band, cents / 100.0 / requests AS mean_latency
+FROM u""")
 def q_monitor_gauges(spark, d):
     t = F.col("event_type")
     g = Tables(spark, d).events.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("requests"), F.count_if(t == "error").alias("errors"),
-        F.count_if((t == "purchase") & (F.col("event_id") % 4 == 0)).alias("hits"), F.count_if(t == "purchase").alias("queries"))
+        F.count(F.lit(1)).alias("requests"), F.count_if(t == "view").alias("ok"), F.count_if(t == "click").alias("truncated"), F.count_if(t == "purchase").alias("aborted"),
+        F.count_if(t == "error").alias("errors"), F.count_if((t == "purchase") & (F.col("event_id") % 4 == 0)).alias("hits"), F.count_if(t == "purchase").alias("queries"),
+        F.sum(F.round(F.col("value") * 100).cast("long")).alias("latency_cents"))
     return E.monitor_gauges(g, "user_id")
+

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ferret.functions import text as X
+from ferret.functions.staging import stage, staging_dir
 from ferret.operators import maintenance as U
 from ferret.operators import report as R
 from ferret.operators import scan as S
+from ferret.operators.matching import fuzzy_best_match
+from ferret.operators.merge import KeyedTable
 from ferret.plans.catalog import register
 from ferret.plans.star import Star
 from ferret.plans.star_sql import with_star
@@ -61,40 +66,68 @@ SELECT * FROM upd
 UNION ALL SELECT finding_id, status, reasoning, model, verified_at FROM finding_verifications o
           WHERE NOT EXISTS (SELECT 1 FROM upd WHERE upd.finding_id = o.finding_id)"""))
 def q_upsert_verifications(spark, d):
+    return U.upsert_latest(Star(spark, d).finding_verifications, _second_answers(spark, d), "finding_id", "verified_at")
+
+
+def _second_answers(spark, d):
     s = Star(spark, d)
     fv = s.finding_verifications
     line = F.col("focus_line").cast("string")
     kind = F.col("rule_no") % 3
     answer = F.when(kind == 0, F.concat(F.lit("VALID: line "), line)).when(kind == 1, F.concat(F.lit("INVALID: line "), line)).otherwise("Cannot say\nmore")
     asked = fv.where(F.col("status") == "uncertain").select("finding_id", "verified_at").join(s.findings.select("finding_id", "rule_no", "focus_line"), "finding_id")
-    upd = asked.withColumn("answer", answer).select(
+    return asked.withColumn("answer", answer).select(
         "finding_id", X.verdict("answer").alias("status"), X.reasoning_text("answer").alias("reasoning"), F.lit("m9").alias("model"), "verified_at")
-    return U.upsert_latest(fv, upd, "finding_id", "verified_at")
 
 
 # The timed-out runs are scanned again; the second scan reads the documents (a file's document is its number modulo
-# the documents) and writes its own status, confidence and detection.
+# the documents) and writes its own status, confidence and detection. Each (document, rule) is scored once.
 @register("retry_update", "U5 J20 T17", with_star("""
 WITH pr AS MATERIALIZED (SELECT * FROM pattern_runs),
-dt AS MATERIALIZED (SELECT doc_id, lower(text) AS t FROM documents),
 n AS (SELECT count(*) AS n FROM documents),
-again AS (SELECT pattern_run_id, CAST(len(string_split(dt.t, substr('tnrshldcmwb', CAST(rule_no % 11 AS INTEGER) + 1, 1) || substr('aeiouy', CAST((rule_no // 11) % 6 AS INTEGER) + 1, 1))) - 1 AS BIGINT) AS m
-          FROM pr, n, dt WHERE pr.status = 'timeout' AND dt.doc_id = pr.file_analysis_id % n.n)
+f AS MATERIALIZED (SELECT pattern_run_id, file_analysis_id % n.n AS doc_id, rule_no FROM pr, n WHERE status = 'timeout'),
+work AS MATERIALIZED (SELECT DISTINCT doc_id, rule_no, substr('tnrshldcmwb', CAST(rule_no % 11 AS INTEGER) + 1, 1) || substr('aeiouy', CAST((rule_no // 11) % 6 AS INTEGER) + 1, 1) AS syl FROM f),
+again AS MATERIALIZED (SELECT doc_id, rule_no, (length(lower(text)) - length(replace(lower(text), syl, ''))) // 2 AS m FROM work JOIN documents USING (doc_id))
 SELECT pr.pattern_run_id, pr.run_id, CASE WHEN a.m IS NULL THEN pr.status ELSE 'success' END AS status,
        CASE WHEN a.m IS NULL THEN pr.detected WHEN a.m >= 4 THEN 'yes' WHEN a.m >= 2 THEN 'context-dependent' ELSE 'no' END AS detected,
        CASE WHEN a.m IS NULL THEN pr.confidence ELSE least(0.5 + 0.05 * CAST(a.m AS DOUBLE), 0.99) END AS confidence, a.m IS NOT NULL AS updated
-FROM pr LEFT JOIN again a ON a.pattern_run_id = pr.pattern_run_id"""))
+FROM pr LEFT JOIN f ON f.pattern_run_id = pr.pattern_run_id LEFT JOIN again a ON a.doc_id = f.doc_id AND a.rule_no = f.rule_no"""))
 def q_retry_update(spark, d):
     s, t = Star(spark, d), Tables(spark, d)
     pr = s.pattern_runs
-    failed = S.failed_runs(pr, ["timeout"])
     n = t.documents.select(F.count(F.lit(1))).scalar()
-    texts = failed.select("file_analysis_id").distinct().withColumn("doc", F.col("file_analysis_id") % n)
-    texts = texts.join(t.documents.select(F.col("doc_id").alias("doc"), "text"), "doc").select(F.col("file_analysis_id").alias("doc_id"), "text")
-    again = S.rescan(failed, texts, S.rule_catalog(s))
+    failed = S.failed_runs(pr, ["timeout"]).withColumn("doc_id", F.col("file_analysis_id") % n)
+    again = S.rescan(failed, t.documents, S.rule_catalog(s))
     return U.keyed_update(pr.select("pattern_run_id", "run_id", "status", "detected", "confidence"), again, ["pattern_run_id"], ["status", "detected", "confidence"])
 
 
+# U3-U5 on a stored table: the verifications are stored in buckets, then the second verifier's answers are merged, twice
+@register("merged_verifications", "U4 U5 T18", with_star(f"""
+WITH upd AS ({_UPD})
+SELECT * FROM upd
+UNION ALL SELECT finding_id, status, reasoning, model, verified_at FROM finding_verifications o
+          WHERE NOT EXISTS (SELECT 1 FROM upd WHERE upd.finding_id = o.finding_id)"""))
+def q_merged_verifications(spark, d):
+    fv = Star(spark, d).finding_verifications
+    table = KeyedTable(spark, f"{staging_dir(spark)}/verifications-{uuid.uuid4().hex}", "finding_id", fv.schema).create(fv)
+    upd = stage(_second_answers(spark, d), "answers")
+    table.merge(upd, recency="verified_at")
+    table.merge(upd, recency="verified_at")  # a replay changes nothing
+    return table.read()
+
+
+@register("merged_repos", "U3 P1", with_star(r"""
+WITH inc AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '/+$', ''), '\.git$', '') AS repo_url FROM pages),
+new AS (SELECT repo_url FROM inc WHERE repo_url NOT IN (SELECT repo_url FROM repos))
+SELECT repo_id, repo_url FROM repos
+UNION ALL SELECT (SELECT coalesce(max(repo_id), 0) FROM repos) + row_number() OVER (ORDER BY md5(repo_url), repo_url) AS repo_id, repo_url FROM new"""))
+def q_merged_repos(spark, d):
+    repos = Star(spark, d).repos.select("repo_id", "repo_url")
+    table = KeyedTable(spark, f"{staging_dir(spark)}/repos-{uuid.uuid4().hex}", "repo_url", repos.schema).create(repos)
+    table.insert_new(Tables(spark, d).pages.select(X.normalize_github_url("url").alias("repo_url")), "repo_id")
+    return table.read()
+
+
 @register("run_lifecycle", "U6 W2", with_star("""
 WITH ev AS (SELECT run_id, 'running' AS state, started_at AS ev_at, CAST(NULL AS BIGINT) AS total_files FROM analysis_runs
             UNION ALL SELECT run_id, 'completed', completed_at, total_files FROM analysis_runs WHERE status = 'completed')
@@ -229,3 +262,25 @@ def q_orphaned_cache(spark, d):
     key = F.concat_ws("_", F.col("page_id").cast("string"), F.substring(F.md5("url"), 1, 12)).alias("cache_key")
     named = t.pages.join(t.labels.select(F.col("doc_id").alias("page_id")), "page_id", "left_semi").select(key)
     return U.orphaned_entries(t.pages.select("page_id", key), named, "cache_key")
+
+
+# misspelt part names: a letter lost, two swapped, one replaced, or another one at the end, by the part's number
+_MISSPELT = """SELECT DISTINCT CASE p_partkey % 5 WHEN 0 THEN left(p_name, k - 1) || substr(p_name, k + 1)
+         WHEN 1 THEN left(p_name, k - 1) || 'x' || substr(p_name, k + 1) WHEN 2 THEN p_name || 'er' WHEN 3 THEN reverse(p_name) ELSE p_name END AS asked
+       FROM (SELECT p_partkey, p_name, 1 + p_partkey % length(p_name) AS k FROM part) p"""
+
+
+@register("fuzzy_part_names", "J16", f"""
+WITH q AS ({_MISSPELT}), n AS (SELECT DISTINCT p_name AS name FROM part),
+s AS (SELECT asked, name, levenshtein(asked, name) AS edits, greatest(length(asked), length(name)) AS m FROM q, n),
+r AS (SELECT asked, name, CAST(m - edits AS DOUBLE) / m AS similarity, row_number() OVER (PARTITION BY asked ORDER BY CAST(edits AS DOUBLE) / m, name) AS place
+      FROM s WHERE (m - edits) * 5 > m * 3)
+SELECT q.asked, r.name AS best, r.similarity FROM q LEFT JOIN r ON r.asked = q.asked AND r.place = 1""")
+def q_fuzzy_part_names(spark, d):
+    part = Tables(spark, d).part
+    name, k = F.col("p_name"), (F.col("p_partkey") % F.length("p_name")).cast("int")
+    left, right = F.substring(name, F.lit(1), k), F.substring(name, k + 2, F.length(name))
+    kind = F.col("p_partkey") % 5
+    wrong = (F.when(kind == 0, F.concat(left, right)).when(kind == 1, F.concat(left, F.lit("x"), right)).when(kind == 2, F.concat(name, F.lit("er")))
+             .when(kind == 3, F.reverse(name)).otherwise(name))
+    return fuzzy_best_match(part.select(wrong.alias("asked")), "asked", part, "p_name")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ferret.operators import methodology as M
+from ferret.operators.neighbours import nearest_neighbours
 from ferret.plans.catalog import register
 from ferret.sources.tables import Tables
 
@@ -258,3 +259,12 @@ SELECT event_id, user_id, ts, ts + CASE WHEN summer THEN INTERVAL 4 HOUR ELSE IN
 def q_utc_normalization(spark, d):
     e = Tables(spark, d).events.select("event_id", "user_id", "ts")
     return M.normalize_to_utc(e, "ts", "America/New_York")
+
+
+@register("nearest_vectors", "D17", """
+WITH p AS (SELECT a.vec_id, b.vec_id AS neighbour_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity
+           FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(similarity, 12) DESC, neighbour_id) AS rank FROM p)
+SELECT vec_id, rank, neighbour_id, similarity FROM r WHERE rank <= 5""")
+def q_nearest_vectors(spark, d):
+    return nearest_neighbours(Tables(spark, d).embeddings, "vec_id", "embedding", 5).withColumnRenamed("id", "vec_id")

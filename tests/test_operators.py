@@ -3,12 +3,14 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
 from ferret.functions import text as X
-from ferret.functions.ordering import chunked_lag, chunked_row_number, chunked_running_max, chunked_running_sum, hash_chunks, seeded_hash, time_chunks, trailing_sums
+from ferret.functions.ordering import chunked_row_number, hash_chunks, seeded_hash
+from ferret.functions.prefix_scan import prefix_scan
 from ferret.operators import corpus as C
 from ferret.operators import evaluation as E
 from ferret.operators import maintenance as U
@@ -85,27 +87,49 @@ def test_balanced_sample_five_and_five(spark):
     assert sorted((r.domain, r["count"]) for r in out) == [("biology", 5), ("medical", 5)]
 
 
-def test_chunked_helpers_match_windows(spark):
-    # a key with 90 % of the rows, null keys, and many rows with one time
-    ev = spark.range(2000).select(
+def hot_events(spark):
+    # a key with 90 % of the rows, null keys, many rows with one time, null values
+    return spark.range(2000).select(
         F.when(F.col("id") % 10 < 9, 1).when(F.col("id") % 20 == 9, 2).alias("k"), F.col("id").alias("event_id"),
         (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), ((F.col("id") % 700) * 7).cast("decimal(18,6)"))).alias("ts"),
         F.when(F.col("id") % 5 > 0, F.col("id") * 37 % 101).alias("value"))
+
+
+@pytest.mark.parametrize("partitions,batch", [(1, 10_000), (7, 3), (40, 50), (400, 10_000)])
+def test_prefix_scan_matches_windows(spark, partitions, batch):
+    ev = hot_events(spark).withColumn("d", F.col("value").cast("double"))
     w = Window.partitionBy("k").orderBy("ts", "event_id")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    ref = ev.select("event_id", F.row_number().over(w).alias("rn"), F.lag("value").over(w).alias("pv"), F.coalesce(F.sum("value").over(run), F.lit(0)).alias("cs"),
-                    F.max("value").over(run).alias("mx"), F.coalesce(F.sum("value").over(w.rowsBetween(-2, 0)), F.lit(0)).alias("w3"))
-    order, chunks = [F.col("ts"), F.col("event_id")], time_chunks("ts")
-    a = chunked_row_number(ev, ["k"], order, chunks).select("event_id", F.col("rn").alias("rn2"))
-    b = chunked_lag(ev.repartition(7), ["k"], order, chunks, ["value"]).select("event_id", F.col("prev_value").alias("pv2"))
-    v = F.coalesce("value", F.lit(0))
-    c = chunked_running_sum(ev.repartition(5), ["k"], order, chunks, {"cs2": v, "rn3": F.lit(1)})
-    t = trailing_sums(c, ["k"], "rn3", ["cs2"], 3).select("event_id", "cs2", "cs2_w3")
-    m = chunked_running_max(ev, ["k"], order, chunks, F.col("value"), "mx2").select("event_id", "mx2")
-    j = ref.join(a, "event_id").join(b, "event_id").join(t, "event_id").join(m, "event_id")
-    rows = j.collect()
-    assert len(rows) == 2000
-    assert all((r.rn, r.pv, r.cs, r.mx, r.w3) == (r.rn2, r.pv2, r.cs2, r.mx2, r.cs2_w3) for r in rows)
+    ref = ev.select("event_id", F.row_number().over(w).alias("rn"), F.lag("value").over(w).alias("pv"), F.lag("ts", 4).over(w).alias("pt"), F.coalesce(F.sum("value").over(run), F.lit(0)).alias("cs"),
+                    F.max("d").over(run).alias("mx"), F.coalesce(F.sum("value").over(w.rowsBetween(-2, 0)), F.lit(0)).alias("w3"),
+                    F.coalesce(F.sum("value").over(w.rowsBetween(-6, 0)), F.lit(0)).alias("w7"), F.lead("value").over(w).alias("nx"))
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = prefix_scan(ev.repartition(5), ["k"], ["ts", "event_id"], rn="rn", sums={"cs": "value"}, maxes={"mx": "d"}, lags={"pv": ("value", 1), "pt": ("ts", 4)},
+                          trailing={"w3": ("value", 3), "w7": ("value", 7)}, leads={"nx": "value"}, partitions=partitions)
+        found = {r.event_id: r for r in got.select(*ref.columns).collect()}
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    want = ref.collect()
+    assert len(found) == len(want) == 2000 and all(found[r.event_id] == r for r in want)
+    # the rows were shuffled once, when the scan was staged; what is left is a broadcast of one row a partition
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan and "rangepartitioning" not in plan
+
+
+def test_prefix_scan_deals_out_a_hot_key(spark):
+    ev = hot_events(spark).where("k = 1")
+    parts = ev.repartitionByRange(16, "k", "ts", "event_id").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(parts) > 8 and max(r["count"] for r in parts) < 500
+    assert prefix_scan(ev.where("false"), ["k"], ["ts", "event_id"], rn="rn").collect() == []
+    nan = spark.createDataFrame([(1, 1, float("nan")), (1, 2, 5.0), (2, 1, float("-inf")), (2, 2, None), (3, 1, None)], "k int, t int, v double")
+    got = {(r.k, r.t): r.m for r in prefix_scan(nan, ["k"], ["t"], maxes={"m": "v"}, partitions=5).collect()}
+    assert got[1, 1] != got[1, 1] and got[1, 2] != got[1, 2] and got[2, 1] == got[2, 2] == float("-inf") and got[3, 1] is None
+
+
+def test_chunked_row_numbers(spark):
+    ev = hot_events(spark)
     h = ev.withColumn("h", F.md5(F.col("event_id").cast("string")))
     got = chunked_row_number(h, [], [F.col("h")], hash_chunks(F.col("h"))).orderBy("h").collect()
     assert [r.rn for r in got] == list(range(1, 2001))
@@ -266,7 +290,38 @@ def test_whole_texts_are_used(spark):
     assert {r.doc_id: r.skip_reason for r in C.file_gate(docs, ["needle"], max_tokens=12000).collect()}[1] == f"too_large_{len(long) // 4}_tokens"
     a = {r.doc_id: (r.status, r.n_chars, r.text) for r in X.abstract_gate(docs).collect()}
     assert a[1] == ("kept", len(long), long) and a[2][0] == a[3][0] == "no_abstract"
-    assert "Python" not in R.rule_scan(docs, rules)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in R.rule_scan(docs, rules)._jdf.queryExecution().executedPlan().toString()  # one pass, no text moves
+
+
+def test_pattern_counter_against_replace():
+    import pyarrow as pa
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    from ferret.operators.scan import PatternCounter
+    words = st.text(alphabet="aabé", max_size=4)
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.lists(words, min_size=1, max_size=8), st.lists(st.one_of(st.none(), st.text(alphabet="aabé ", max_size=30)), max_size=6))
+    def check(patterns, texts):
+        got = PatternCounter(patterns).counts(pa.array(texts, pa.string()))
+        assert got.tolist() == [[(t or "").count(p) if p else 0 for p in patterns] for t in texts]
+    check()
+
+
+def test_rescan_works_each_pair_once(spark):
+    from ferret.operators import scan as R
+    docs = spark.createDataFrame([(1, "needle needle needle needle"), (2, None), (3, "x")], "doc_id long, text string")
+    rules = spark.createDataFrame([(0, "r00", "needle"), (1, "r01", "x")], "rule_no long, pattern_id string, pattern string")
+    failed = spark.createDataFrame([(10, 1, 0), (11, 1, 0), (12, 3, 1), (13, 9, 0), (14, 2, 1), (15, 1, 7)], "pattern_run_id long, doc_id long, rule_no long")
+    got = {r.pattern_run_id: (r.status, r.detected) for r in R.rescan(failed, docs, rules).collect()}
+    assert got == {10: ("success", "yes"), 11: ("success", "yes"), 12: ("success", "no"), 14: ("success", "no")}
+
+    def scorer(pdf, catalogue):
+        import pandas as pd
+        rows = [(d, c["rule_no"], c["pattern_id"], "success", "no", 0.5, 0) for d in pdf["doc_id"] for c in catalogue]
+        return pd.DataFrame(rows, columns=["doc_id", "rule_no", "pattern_id", "status", "detected", "confidence", "n_matches"])
+    work = docs.join(failed.groupBy("doc_id").agg(F.collect_set("rule_no").alias("wanted")), "doc_id")
+    assert sorted((r.doc_id, r.rule_no) for r in R.rule_scan(work, rules, scorer, wanted="wanted").collect()) == [(1, 0), (2, 1), (3, 1)]
 
 
 def test_confusion_excludes_only_timeouts(spark):
