@@ -42,5 +42,6 @@ def load_all() -> dict[str, Query]:
         q_methodology,
         q_ranking,
         q_report,
+        q_sources,
     )
     return REGISTRY

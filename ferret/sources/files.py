@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,13 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType | str)
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def write_json_arrays(rows: DataFrame, path: str, file_of: Column) -> None:
+    """S1 sink: a folder of JSON array files, one for each value of ``file_of``, which must bound what one file holds."""
+    d = rows.select(file_of.cast("long").alias("file"), F.struct(*rows.columns).alias("row"))
+    arrays = d.groupBy("file").agg(F.to_json(F.sort_array(F.collect_list("row"))).alias("value"))
+    arrays.write.partitionBy("file").text(path)
+
+
 MANIFEST_SCHEMA = ("repo_name string, file_path string, original_path string, paper_title string, "
                    "domain string, ml_imports string")
 

@@ -79,9 +79,11 @@ def peaks_and_totals(events: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ M7 ----
 
 def health_alerts(windows: DataFrame, min_events: int = 10, max_error_share: float = 0.10, max_latency: float | None = None,
-                  max_waiting: int | None = None, min_hit_rate: float | None = None) -> DataFrame:
-    """M7: one row per window and alert: error_share over its limit once enough events were seen, mean latency or waiting
-    requests over theirs, and a hit rate under its. A limit of None, or a column that is not there, raises no alert."""
+                  max_waiting: int | None = None, min_hit_rate: float | None = None, max_utilisation: float | None = 0.9,
+                  max_preemption_rate: float | None = 0.5, max_truncated_share: float | None = 0.1, min_truncated: int = 5) -> DataFrame:
+    """M7: one row per window and alert: error_share over its limit once enough events were seen; mean latency, waiting
+    requests, utilisation or preemptions a second over theirs; a hit rate under its; and, once ``min_truncated`` answers were cut short, their share of
+    the events over its. A limit of None, or a column that is not there, raises no alert."""
     enough = F.col("events") >= min_events
     share = F.try_divide(F.col("errors"), F.col("events"))
     checks = [("error_share", share, enough & (share > max_error_share))]
@@ -91,6 +93,13 @@ def health_alerts(windows: DataFrame, min_events: int = 10, max_error_share: flo
         checks.append(("waiting", F.col("waiting").cast("double"), F.col("waiting") > max_waiting))
     if min_hit_rate is not None and "hit_rate" in windows.columns:
         checks.append(("hit_rate", F.col("hit_rate"), enough & (F.col("hit_rate") < min_hit_rate)))
+    if max_utilisation is not None and "utilisation" in windows.columns:
+        checks.append(("utilisation", F.col("utilisation"), F.col("utilisation") > max_utilisation))
+    if max_preemption_rate is not None and "preemption_rate" in windows.columns:
+        checks.append(("preemption_rate", F.col("preemption_rate").cast("double"), F.col("preemption_rate") > max_preemption_rate))
+    if max_truncated_share is not None and "truncated" in windows.columns:
+        cut = F.try_divide(F.col("truncated"), F.col("events"))
+        checks.append(("truncated", cut, enough & (F.col("truncated") >= min_truncated) & (cut > max_truncated_share)))
     found = F.filter(F.array(*[F.when(cond, F.struct(F.lit(name).alias("alert"), value.alias("value"))) for name, value, cond in checks]), lambda x: x.isNotNull())
     return windows.select("window_start", "events", "errors", F.inline(found))
 
