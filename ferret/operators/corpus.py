@@ -6,11 +6,15 @@ HTML boilerplate stripper (T7), a small pandas UDF helper inside the page job.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ferret.functions.patterns import PatternCounter, text_slices
 from ferret.functions.text import contains_any, estimate_tokens, line_count
 
 # ---------------------------------------------------------------- P12/13 ----
@@ -79,17 +83,86 @@ def _grams(text: Column, n: int = 3) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n)))
 
 
-def snippet_containment(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """(item, document) pairs where the whitespace-normalised item occurs in the document; blank items match nothing.
+MAX_ITEMS, MAX_ITEM_BYTES, SHORT_ITEMS = 100_000, 32 << 20, 256
+
+
+def snippet_containment(items: DataFrame, docs: DataFrame, max_items: int = MAX_ITEMS, max_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
+    """Distinct (item, document) pairs where the whitespace-normalised item occurs in the document; blank items match nothing,
+    rows without a doc_id are left out.
 
     One plan for all lengths, without comparing all pairs. Each item is found by one anchor: its rarest word that
-    stands between two spaces inside the item (so it is a whole word of any document that holds the item) or, for
-    an item without one, its rarest character trigram (or itself, if shorter). The items' anchor table goes to the
-    documents by an equi-join on the distinct words and trigrams of each document that are anchors of some item; the
-    candidates are verified with ``contains``. Rarity is counted over the documents.
+    stands between two spaces inside the item (so it is a whole word of any document that holds the item). Rarity is
+    counted over the documents, map-side, in a first scan. In a second scan the anchors are looked up among the words of each document and what they hit is
+    compared there, so that only matches leave a task. Items of at most two words are found by their bytes, all in one pass. The items' words and texts are
+    broadcast while they are at most ``max_items`` and ``max_bytes`` (checked); beyond, they are joined (``joined_containment``).
     """
-    it = items.select("item_id", _norm_ws(F.col("text")).alias("item_text")).where("item_text <> ''")
-    d = docs.select("doc_id", _norm_ws(F.col("text")).alias("doc_text")).where("doc_text is not null")
+    it = items.select("item_id", _norm_ws(F.col("text")).alias("item_text")).where("item_text <> ''").distinct()
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _norm_ws(F.col("text")).alias("doc_text")).where("doc_text is not null and doc_id is not null")
+    size = it.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0)).alias("bytes")).first()
+    if size.n > max_items or size.bytes > max_bytes:
+        return joined_containment(it, d)
+    rows = it.collect()
+    inner = [sorted(set(r.item_text.split(" ")[1:-1])) for r in rows]
+    words = sorted({w for ws in inner for w in ws})
+    shipped = d.sparkSession.sparkContext.broadcast(words)
+    counted = d.mapInArrow(_count_words(shipped), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # at most a row a word
+    seen = {words[r.word]: r.n for r in counted}
+    by_anchor: dict[str, list[tuple[int, str]]] = {}
+    for i, (r, ws) in enumerate(zip(rows, inner)):
+        held = [(seen[w], w) for w in ws if w in seen]
+        if len(held) == len(ws) and held:  # a word that no document holds: neither does any hold the item
+            by_anchor.setdefault(min(held)[1], []).append((i, r.item_text))
+    short = [(i, r.item_text) for i, (r, ws) in enumerate(zip(rows, inner)) if not ws]
+    plan = d.sparkSession.sparkContext.broadcast((sorted(by_anchor), by_anchor, short))
+    names = d.sparkSession.createDataFrame([(i, r.item_id) for i, r in enumerate(rows)], f"item long, item_id {items.schema['item_id'].dataType.simpleString()}")
+    found = d.mapInArrow(_find_items(plan), "item long, doc_id long")
+    return found.join(names, "item").select("item_id", "doc_id").distinct()
+
+
+def _hits(text: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, number of the word) of the words that the texts hold between spaces or at an end."""
+    parts = pc.split_pattern(text, " ")
+    at = pc.index_in(parts.flatten(), value_set=words)
+    held = at.is_valid().to_numpy(zero_copy_only=False)
+    row = pc.list_parent_indices(parts).to_numpy()[held].astype(np.int64)
+    pair = np.unique(row * max(len(words), 1) + at.fill_null(0).to_numpy()[held])
+    return pair // max(len(words), 1), pair % max(len(words), 1)
+
+
+def _count_words(shipped):
+    def run(batches):
+        words, n = pa.array(shipped.value, pa.string()), np.zeros(len(shipped.value), np.int64)
+        for b in batches:
+            for s in text_slices(b):
+                n += np.bincount(_hits(s.column(1), words)[1], minlength=len(n))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], names=["word", "n"])
+    return run
+
+
+def _find_items(plan):
+    def run(batches):
+        names, by_anchor, short = plan.value
+        words = pa.array(names, pa.string())
+        counters = [(short[i:i + SHORT_ITEMS], PatternCounter([t for _, t in short[i:i + SHORT_ITEMS]])) for i in range(0, len(short), SHORT_ITEMS)]
+        for b in batches:
+            for s in text_slices(b):
+                found, texts, ids = [], {}, s.column(0).to_pylist()
+                for row, word in zip(*(x.tolist() for x in _hits(s.column(1), words))):
+                    if row not in texts:
+                        texts[row] = s.column(1)[row].as_py()
+                    found += [(item, ids[row]) for item, text in by_anchor[names[word]] if text in texts[row]]
+                for part, counter in counters:
+                    rows, cols = np.nonzero(counter.counts(s.column(1)))
+                    found += [(part[c][0], ids[r]) for r, c in zip(rows.tolist(), cols.tolist())]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["item", "doc_id"])
+    return run
+
+
+def joined_containment(it: DataFrame, d: DataFrame) -> DataFrame:
+    """``snippet_containment`` for item tables of any size: the anchors go to the distinct words and trigrams of the documents by an
+    equi-join. ``it``: item_id, item_text; ``d``: doc_id, doc_text; both normalised."""
     words = F.split("item_text", " ")
     inner = F.when(F.size(words) > 2, F.array_distinct(F.slice(words, 2, F.size(words) - 2)))
     keys = it.select("item_id", "item_text", F.explode(F.coalesce(F.transform(inner, lambda w: F.concat(F.lit("w"), w)), F.transform(_grams(F.col("item_text")), lambda g: F.concat(F.lit("g"), g)))).alias("key"))
@@ -103,7 +176,7 @@ def snippet_containment(items: DataFrame, docs: DataFrame) -> DataFrame:
     anchor = keys.join(count, "key", "left").groupBy("item_id", "item_text").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("a"))
     anchor = anchor.where("a.n > 0").select("item_id", "item_text", F.col("a.key").alias("key"))
     candidates = held.join(anchor, "key").select("doc_id", "item_id", "item_text")
-    return candidates.join(d, "doc_id").where(F.col("doc_text").contains(F.col("item_text"))).select("item_id", "doc_id")
+    return candidates.join(d, "doc_id").where(F.col("doc_text").contains(F.col("item_text"))).select("item_id", "doc_id").distinct()
 
 
 def named_lines(expected: DataFrame, files: DataFrame) -> DataFrame:

@@ -205,3 +205,20 @@ def test_gauges_round_half_to_even(spark):
     assert ends == [" 16.2%", "  0.0%", "100.0%", "  1.2%", "  3.8%", " 33.3%", None]
     assert got[0].error_bar[:33] == "[" + "█" * 4 + "░" * 26 + "] "
     assert got[0].history == "67 ok  13 errors  (80 total)" and got[1].history == "7 ok  (7 total)" and got[6].history is None and got[0].mean_latency == 2.5
+
+
+# ---------------------------------------------------------------- T6
+
+@pytest.mark.parametrize("max_items", [1000, 0])
+def test_containment_by_both_ways(spark, max_items):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randrange(1, 4)))
+    docs = [(i, rng.choice([" ", "\n", "  "]).join(word() for _ in range(rng.randrange(30)))) for i in range(80)] + [(80, None), (81, ""), (None, "a b a"), (82, "zz q zz"), (82, "zz q zz")]
+    flat = lambda t: " ".join(t.split())
+    items = [(100 + i, flat(t)[k:k + rng.randrange(1, 25)]) for i, (_, t) in enumerate(docs[:40]) if t for k in [rng.randrange(len(flat(t)) or 1)]]
+    items += [(1, " "), (2, None), (3, "zz\tq  zz"), (3, "zz q zz"), (4, "a nowhere b"), (5, "b")]
+    i = spark.createDataFrame([(f"i{n}", t) for n, t in items], "item_id string, text string")
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = C.snippet_containment(i, d, max_items=max_items).collect()
+    want = {(f"i{n}", k) for n, t in items if t and flat(t) for k, x in docs if k is not None and x is not None and flat(t) in flat(x)}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want

@@ -297,7 +297,7 @@ def test_pattern_counter_against_replace():
     import pyarrow as pa
     from hypothesis import given, settings
     from hypothesis import strategies as st
-    from ferret.operators.scan import PatternCounter
+    from ferret.functions.patterns import PatternCounter
     words = st.text(alphabet="aabé", max_size=4)
 
     @settings(max_examples=200, deadline=None)
