@@ -70,14 +70,12 @@ def q_upsert_verifications(spark, d):
 
 
 def _second_answers(spark, d):
-    s = Star(spark, d)
-    fv = s.finding_verifications
     line = F.col("focus_line").cast("string")
     kind = F.col("rule_no") % 3
     answer = F.when(kind == 0, F.concat(F.lit("VALID: line "), line)).when(kind == 1, F.concat(F.lit("INVALID: line "), line)).otherwise("Cannot say\nmore")
-    asked = fv.where(F.col("status") == "uncertain").select("finding_id", "verified_at").join(s.findings.select("finding_id", "rule_no", "focus_line"), "finding_id")
-    return asked.withColumn("answer", answer).select(
-        "finding_id", X.verdict("answer").alias("status"), X.reasoning_text("answer").alias("reasoning"), F.lit("m9").alias("model"), "verified_at")
+    asked = Star(spark, d).judged_findings.where(F.col("v_status") == "uncertain").withColumn("answer", answer)
+    return asked.select("finding_id", X.verdict("answer").alias("status"), X.reasoning_text("answer").alias("reasoning"), F.lit("m9").alias("model"),
+                        F.col("v_verified_at").alias("verified_at"))
 
 
 # The timed-out runs are scanned again; the second scan reads the documents (a file's document is its number modulo

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ferret.functions import text as X
+from ferret.functions.prefix_scan import prefix_scan
 from ferret.functions.staging import stage, staging_dir
 from ferret.operators import corpus as C
 from ferret.operators import maintenance as U
@@ -15,6 +16,7 @@ from ferret.plans.catalog import register
 from ferret.sources import files as S
 from ferret.sources.tables import Tables
 from ferret.streaming import metrics as M
+from ferret.streaming.rates import RateStream
 
 
 def _folder(spark, tag: str) -> str:
@@ -225,6 +227,27 @@ def q_saved_increments(spark, d):
     return M.read_saved(spark, path, ["event_id"]).select("event_id", "user_id", "event_type", "value")
 
 
+# the sources' counters as a stream in two parts, by time; state goes from one run of the stream to the next
+@register("streamed_rates", "M2 M8", """
+WITH c AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, CAST(round(value * 100) AS BIGINT) AS cents FROM events),
+m AS (SELECT user_id, ts, CASE WHEN n % 50 = 0 THEN 1 ELSE n END AS counter, n, cents FROM c),
+l AS (SELECT user_id, ts, counter, counter - lag(counter) OVER w AS d, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS el,
+             CAST(sum(cents) OVER (PARTITION BY user_id ORDER BY n ROWS 119 PRECEDING) AS DOUBLE) / count(*) OVER (PARTITION BY user_id ORDER BY n ROWS 119 PRECEDING) / 100.0 AS mean_value
+      FROM m WINDOW w AS (PARTITION BY user_id ORDER BY n))
+SELECT user_id, ts, counter, coalesce(d, 0) AS delta, CASE WHEN d IS NULL OR el <= 0 THEN 0.0 ELSE d / el END AS rate, coalesce(d, 0) < 0 AS reset, mean_value FROM l""")
+def q_streamed_rates(spark, d):
+    counted = prefix_scan(Tables(spark, d).events.select("user_id", "ts", "event_id", F.round(F.col("value") * 100).cast("long").alias("cents")), ["user_id"], ["ts", "event_id"], rn="n")
+    samples = stage(counted.select("user_id", "ts", F.when(F.col("n") % 50 == 0, 1).otherwise(F.col("n")).alias("counter"), "cents"), "samples")
+    half = samples.select(F.timestamp_micros(F.avg(F.unix_micros(F.col("ts").cast("timestamp"))).cast("long")).cast("timestamp_ntz")).scalar()
+    source, path = _folder(spark, "samples"), _folder(spark, "rates")
+    job = RateStream(spark, path, f"rates-{uuid.uuid4().hex}")
+    for part in (F.col("ts") <= half, F.col("ts") > half):
+        samples.where(part).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1000).parquet(source)
+        job.run(stream).awaitTermination()
+    return job.rates()
+
+
 _HOURS = """SELECT date_trunc('hour', ts) AS window_start, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors,
        CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100.0 AS mean_latency, count(*) FILTER (event_type = 'signup') AS waiting,
        CAST(count(*) FILTER (event_type = 'purchase') AS DOUBLE) / count(*) AS hit_rate, CAST(count(*) FILTER (event_type = 'view') AS DOUBLE) / count(*) AS utilisation,

@@ -222,3 +222,35 @@ def test_containment_by_both_ways(spark, max_items):
     got = C.snippet_containment(i, d, max_items=max_items).collect()
     want = {(f"i{n}", k) for n, t in items if t and flat(t) for k, x in docs if k is not None and x is not None and flat(t) in flat(x)}
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+# ---------------------------------------------------------------- M2
+
+def test_rate_stream_carries_state_and_replays(spark, tmp_path):
+    from ferret.streaming.rates import RateStream
+    rng = random.Random(5)
+    rows = [(None if i % 11 == 0 else 1 if i % 3 else 2, i // 2, c, rng.randrange(100) if i % 7 else None) for i, c in enumerate(rng.randrange(50) for _ in range(120))]
+    rows = [(u, t, c + i, v) for i, (u, t, c, v) in enumerate(rows)]  # no two samples of one time and counter
+    frame = lambda part: spark.createDataFrame(part, "user_id long, s long, counter long, cents long").select(
+        "user_id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "counter", "cents")
+    job = RateStream(spark, str(tmp_path / "r"), "t", history=4, buckets=4)
+    job.state.create(spark.createDataFrame([], job.state.schema))
+    cuts = [0, 50, 52, 120]
+    for n, (a, z) in enumerate(zip(cuts, cuts[1:])):
+        job.apply(frame(rows[a:z]), n)
+        if n == 1:
+            job.apply(frame(rows[a:z]), n)  # a replay after the state was already merged
+    want = []
+    for u in (None, 1, 2):
+        mine = sorted((t, c, v) for x, t, c, v in rows if x == u) if all(v is not None for x, *_, v in rows if x == u) else sorted(((t, c, v) for x, t, c, v in rows if x == u), key=lambda r: r[:2])
+        for i, (t, c, v) in enumerate(mine):
+            last = mine[i - 1] if i else None
+            d = c - last[1] if last else 0
+            rate = d / (t - last[0]) if last and t > last[0] else 0.0
+            seen = mine[max(0, i - 3):i + 1]
+            want.append((u, t, c, d, round(rate, 9), d < 0, round(sum(x or 0 for *_, x in seen) / len(seen) / 100, 9)))
+    got = [(r.user_id, r.s, r.counter, r.delta, round(r.rate, 9), r.reset, round(r.mean_value, 9))
+           for r in job.rates().withColumn("s", F.unix_seconds(F.col("ts").cast("timestamp"))).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    sizes = job.state.read().select(F.size("now.ring")).collect()
+    assert len(sizes) == 3 and all(r[0] == 3 for r in sizes)  # of a fixed size
