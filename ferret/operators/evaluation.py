@@ -208,19 +208,32 @@ def histogram_percentiles(buckets: DataFrame, group: list[str], ps: list[float])
 
 # ------------------------------------------------------------------ A36 ----
 
+def _deltas(g: DataFrame, key: str, elapsed: Column, requests: Column, hits: Column, queries: Column) -> DataFrame:
+    return g.select(key, requests.alias("requests"), elapsed.alias("elapsed_s"),
+                    safe_div(requests, elapsed).alias("throughput"), safe_div(elapsed, requests).alias("latency_s"), safe_div(hits, queries).alias("hit_rate"),
+                    safe_div(hits, requests).alias("hits_per_request"), safe_div(queries, requests).alias("queries_per_request"))
+
+
+def _seconds(a: str, b: str) -> Column:
+    return (F.unix_micros(F.col(b).cast("timestamp")) - F.unix_micros(F.col(a).cast("timestamp"))) / 1e6
+
+
 def snapshot_deltas(samples: DataFrame, key: str = "user_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """first→last snapshot per source: requests, elapsed, throughput, mean latency (elapsed per request), hit
-    rate, and hits and queries per request (zero-guarded). ``samples``: key, order, hit and query (0 or 1) of each request.
+    rate, and hits and queries per request (zero-guarded). Ties of time are ordered by the rest of ``order``. ``samples`` hold the counters."""
+    snap = F.struct(*order, "counter", "hits", "queries")
+    g = samples.groupBy(key).agg(F.min(snap).alias("a"), F.max(snap).alias("b"))
+    diff = lambda c: F.col(f"b.{c}") - F.col(f"a.{c}")
+    return _deltas(g, key, _seconds(f"a.{order[0]}", f"b.{order[0]}"), diff("counter"), diff("hits"), diff("queries"))
+
 
-    A counter at the last snapshot less the counter at the first is what came after the first sample, so one
-    aggregation of sums and of the first and last time does, without running sums."""
+def request_deltas(requests: DataFrame, key: str = "user_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """A36 from the requests themselves (key, order, hit and query: 0 or 1): a counter at the last snapshot less the counter
+    at the first is what came after the first request, so one aggregation of sums, of the first request and of the last
+    time does, without running sums."""
     first = F.min(F.struct(*order, "hit", "query"))
-    g = samples.groupBy(key).agg(first.alias("a"), F.max(order[0]).alias("end"), F.count(F.lit(1)).alias("n"), F.sum("hit").alias("h"), F.sum("query").alias("q"))
-    el = (F.unix_micros(F.col("end").cast("timestamp")) - F.unix_micros(F.col(f"a.{order[0]}").cast("timestamp"))) / 1e6
-    req, hits, q = F.col("n") - 1, F.col("h") - F.col("a.hit"), F.col("q") - F.col("a.query")
-    return g.select(key, req.alias("requests"), el.alias("elapsed_s"),
-                    safe_div(req, el).alias("throughput"), safe_div(el, req).alias("latency_s"), safe_div(hits, q).alias("hit_rate"),
-                    safe_div(hits, req).alias("hits_per_request"), safe_div(q, req).alias("queries_per_request"))
+    g = requests.groupBy(key).agg(first.alias("a"), F.max(order[0]).alias("end"), F.count(F.lit(1)).alias("n"), F.sum("hit").alias("h"), F.sum("query").alias("q"))
+    return _deltas(g, key, _seconds(f"a.{order[0]}", "end"), F.col("n") - 1, F.col("h") - F.col("a.hit"), F.col("q") - F.col("a.query"))
 
 
 # ------------------------------------------------------------------ A33 ----

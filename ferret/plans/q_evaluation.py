@@ -252,7 +252,7 @@ SELECT user_id, c1 - c0 AS requests, el AS elapsed_s, CASE WHEN el > 0 THEN (c1
        CASE WHEN c1 - c0 > 0 THEN CAST(q1 - q0 AS DOUBLE) / (c1 - c0) ELSE 0.0 END AS queries_per_request FROM g""")
 def q_snapshot_deltas(spark, d):
     t = F.col("event_type")
-    return E.snapshot_deltas(Tables(spark, d).events.select("user_id", "ts", "event_id", (t == "purchase").cast("long").alias("hit"), (t == "click").cast("long").alias("query")))
+    return E.request_deltas(Tables(spark, d).events.select("user_id", "ts", "event_id", (t == "purchase").cast("long").alias("hit"), (t == "click").cast("long").alias("query")))
 
 
 @register("generalisation_gap", "A31", with_star("""
