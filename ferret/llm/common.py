@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U = np.uint64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES, SMALL_SLICE = 2 << 20, 1 << 19  # the smaller for what runs in one session with other operators
+BATCH_BYTES = 4 << 20
 _POLY = 0x9E3779B97F4A7C15 | 1
 _POLY_INV = pow(_POLY, -1, 1 << 64)
 _SEP = np.zeros(256, bool)
@@ -47,9 +49,25 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """Drops the tables that operators have staged within, once the block has stored its result. Yields the list: what is
+    taken out of it stays."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        drop_staged(*_scopes.pop())
+
+
 def drop_staged(*frames: DataFrame) -> None:
     """Delete staged tables that no later plan reads."""
     for df in frames:
@@ -59,6 +77,15 @@ def drop_staged(*frames: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def lean_session(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Settings for many operators in one session: from now on Arrow batches hold at most ``size`` bytes (Spark's default is
+    64 MB, which JVM and Python worker each hold several times; a smaller setting stays), and the shuffle files of a
+    query go when it ends, not when the driver happens to collect its garbage. Operators stage what they read again."""
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > size:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 # ---------------------------------------------------------------- hashing
 
 def mix64(x: np.ndarray) -> np.ndarray:

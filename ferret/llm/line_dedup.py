@@ -14,7 +14,8 @@ of a line as it is, so contents that share no half (for any length a neighbour m
 All is judged on the input: a line is removed if an earlier one is equal or one edit apart, removed itself or not.
 
 Edge cases: null and empty texts have no lines; "earlier" is by doc_id, then line; a null doc_id comes last; rows that
-share a doc_id count in the order of a hash of their text, exactly equal rows as one document; extra columns are kept.
+share a doc_id count in the order of a hash of their text, exactly equal rows as one document; extra columns are kept, but for those
+that bear the name of an output in any case (``prefix`` renames the outputs).
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from ferret.llm.common import Text, U, keyed, long_array, mix64, powers, ranges_hash, slices, stage
+from ferret.llm.common import SMALL_SLICE, Text, U, keyed, long_array, mix64, powers, ranges_hash, slices, stage
 
 MIN_WORDS, CHUNK = 10, 1 << 20
 
@@ -51,7 +52,7 @@ class Lines:
 
 def _all_lines(batches):
     for b in batches:
-        for part in slices(b, "text"):
+        for part in slices(b, "text", SMALL_SLICE):
             x = Lines(Text(part.column("text")))
             ids, th = part.column("doc").to_numpy(), part.column("th").to_numpy()
             yield pa.RecordBatch.from_arrays(
@@ -65,7 +66,7 @@ def _halves(min_words: int):
     def run(batches):
         seen: set[int] = set()
         for b in batches:
-            for part in slices(b, "text"):
+            for part in slices(b, "text", SMALL_SLICE):
                 x = Lines(Text(part.column("text")))
                 ok = np.flatnonzero(x.size >= min_words)
                 ok = ok[np.unique(x.c1[ok], return_index=True)[1]]
@@ -89,7 +90,7 @@ def _variants(batches):
     whole line, which may be a variant of a longer one), c1 and the line's first occurrence."""
     roles = pa.array(["S", "D", "F"])
     for b in batches:
-        for part in slices(b, "text", 1 << 20):
+        for part in slices(b, "text", SMALL_SLICE):
             x = Lines(Text(part.column("text")))
             want = part.column("lines")
             at = {}
@@ -125,7 +126,7 @@ def _variants(batches):
 def _words_of(batches):
     """c1 and words of the wanted lines."""
     for b in batches:
-        for part in slices(b, "text"):
+        for part in slices(b, "text", SMALL_SLICE):
             t = Text(part.column("text"))
             x = Lines(t)
             want = {(d, k) for d, ks in enumerate(part.column("lines").to_pylist()) for k in ks}
@@ -151,7 +152,7 @@ def _verified(batches):
         yield b.filter(pa.array(ok, pa.bool_())).select(["c1"])
 
 
-def _rebuild(names: list[str], at: int):
+def _rebuild(names: list[str], at: int, outputs: list[str]):
     def run(batches):
         for b in batches:
             out, total, gone, near = [], [], [], []
@@ -164,7 +165,7 @@ def _rebuild(names: list[str], at: int):
                 gone.append(len(drop))
                 near.append(close or 0)
             cols = [pa.array(out, pa.string()) if i == at else b.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*cols, *[pa.array(x, pa.int64()) for x in (total, gone, near)]], names=[*names, "n_lines", "n_removed", "n_near"])
+            yield pa.RecordBatch.from_arrays([*cols, *[pa.array(x, pa.int64()) for x in (total, gone, near)]], names=[*names, *outputs])
 
     return run
 
@@ -191,10 +192,11 @@ def near_lines(texts: DataFrame, rows: DataFrame, contents: DataFrame, min_words
     return pairs.mapInArrow(_verified, "c1 long")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, prefix: str = "") -> DataFrame:
     """The rows of ``docs`` with the kept lines as text, and n_lines (with words), n_removed and n_near (of those, the ones
     removed for a line that is not equal)."""
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_near")]
+    outputs = [prefix + c for c in ("n_lines", "n_removed", "n_near")]
+    names = [c for c in docs.columns if c.lower() not in outputs]
     fields = {c: docs.schema[c] for c in names}
     others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != "text"]
     rows = keyed(docs, *others, F.col("text").isNull().alias("no_text"))
@@ -207,9 +209,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     out = texts.join(gone, ["doc", "th"], "left").withColumn("text", F.when(~F.col("no_text"), F.col("text")))
     out = out.select(*[F.col("text" if c == "text" else f"c{i}") for i, c in enumerate(names)], "gone", F.size(F.coalesce("near", F.array().cast("array<int>"))).alias("near"))
     schema = StructType([fields[c] for c in names])
-    for c in ("n_lines", "n_removed", "n_near"):
+    for c in outputs:
         schema = schema.add(c, LongType())
-    return out.mapInArrow(_rebuild(names, names.index("text")), schema)
+    return out.mapInArrow(_rebuild(names, names.index("text"), outputs), schema)
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferret.llm.common import Text, slices, stage
+from ferret.llm.common import SMALL_SLICE, Text, slices, stage
 
 BUCKETS, END_DOCS = 4096, 256
 
@@ -30,7 +30,7 @@ def sizes(docs: DataFrame, sources: str = "source") -> DataFrame:
     """doc_id, sources (sorted array, null last), size (words), order: a seeded hash that does not depend on partitions."""
     def count(batches):
         for b in batches:
-            for part in slices(b, "text"):
+            for part in slices(b, "text", SMALL_SLICE):
                 t = Text(part.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("sources"), pa.array(np.diff(t.wptr))], names=["doc_id", "sources", "size"])

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from ferret.llm.common import SLICE_BYTES, Text, _LOWER, list_array, mix64, slices, spans_hash
+from ferret.llm.common import SMALL_SLICE, Text, _LOWER, list_array, mix64, slices, spans_hash
 
 VOCAB, DIM, NONZERO = 8192, 64, 4
 CAPS = 4  # buckets 0..3: runs of capitals by length
@@ -61,7 +61,7 @@ def _contexts(batches):
     at, sign = index_vectors()
     total = np.zeros(VOCAB * DIM)
     for b in batches:
-        for part in slices(b, "text", SLICE_BYTES // 2):
+        for part in slices(b, "text", SMALL_SLICE // 2):
             bucket, ptr = tokens(part.column("text"))
             if len(bucket) < 2:
                 continue
@@ -163,13 +163,14 @@ def fit(docs: DataFrame, labels: DataFrame, table: np.ndarray, max_labelled: int
 
     def pool(batches):
         for b in batches:
-            for part in slices(b, "text"):
+            for part in slices(b, "text", SMALL_SLICE):
                 x = pooled(part.column("text"), table)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("quality"), list_array(x.ravel(), np.arange(len(x) + 1) * WIDTH)], names=["doc_id", "quality", "x"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").mapInArrow(pool, "doc_id long, quality int, x array<float>")
-    rows = rows.limit(2 * max_labelled).toArrow()  # repeated ids could double the sample
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    one = marked.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # of rows that repeat an id, the least text
+    rows = one.mapInArrow(pool, "doc_id long, quality int, x array<float>").toArrow()  # at most max_labelled rows
     if not rows.num_rows:
         return Constant(0.5)
     ids = rows.column("doc_id").to_numpy()
@@ -199,7 +200,7 @@ def score_quality(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, max
 
     def run(batches):
         for b in batches:
-            for part in slices(b, "text"):
+            for part in slices(b, "text", SMALL_SLICE):
                 s = net.score(pooled(part.column("text"), table).astype(np.float64))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], names=[*kept, score])
 

@@ -32,7 +32,7 @@ from ferret.llm.common import slices
 
 MARK = "▁"
 DEFAULT_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE_WORDS, SLICE = 300_000, 1 << 20
+CACHE_WORDS, SLICE = 100_000, 1 << 19
 _WORDS = re.compile(f"{MARK}+[^{MARK}\n\t]*|[^{MARK}\n\t]+|[\n\t]")
 
 
@@ -71,6 +71,17 @@ class Vocabulary:
         return np.frombuffer(b"".join(self._bytes), np.uint8), np.concatenate([[0], np.cumsum(size)[:-1]]), size
 
 
+_vocabularies: dict[str, Vocabulary] = {}
+
+
+def vocabulary_of(path: str) -> Vocabulary:
+    """The vocabulary file, read once a worker."""
+    if path not in _vocabularies:
+        _vocabularies.clear()
+        _vocabularies[path] = Vocabulary(path)
+    return _vocabularies[path]
+
+
 def encode_sorted(words: list[str], voc: Vocabulary) -> list[list[int]]:
     """Best pieces of each of the sorted ``words``."""
     root, unknown, byte_id = voc.trie, voc.unknown, voc.byte_id
@@ -160,7 +171,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, colu
     at = kept.index(column)
 
     def run(batches):
-        encoder = Encoder(Vocabulary(vocabulary))
+        encoder = Encoder(vocabulary_of(vocabulary))
         for b in batches:
             b = b.rename_columns([f"c{i}" for i in range(b.num_columns)])
             for s in slices(b, f"c{at}", SLICE):
@@ -187,7 +198,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, i
     at = kept.index(ids)
 
     def run(batches):
-        tables = Vocabulary(vocabulary).tables()
+        tables = vocabulary_of(vocabulary).tables()
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 s = b.slice(i, 256)
@@ -208,7 +219,7 @@ def token_digests(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> Data
     sha = lambda x: hashlib.sha256(x).hexdigest()
 
     def run(batches):
-        voc = Vocabulary(vocabulary)
+        voc = vocabulary_of(vocabulary)
         encoder, tables = Encoder(voc), voc.tables()
         for b in batches:
             for s in slices(b, "text", SLICE):
