@@ -7,7 +7,8 @@
    range (``Signatures``). The point with the least name among those that agree is the pivot, and each point is
    attached to the pivots of its ranges. Points of different attached clusters are farther apart than ``r``,
    so clusters are regions that need no replication.
-3. *Voronoi regions.* A region of more than ``max_members`` points (or ``max_shingles`` shingles) elects pivots; every
+3. *Voronoi regions.* A region of more than ``max_members`` points (or ``max_shingles`` shingles) is cut where its points share none
+   of their rare shingles; if it is still larger it elects pivots; every
    point goes to its nearest pivot's region and, by the triangle inequality, also to those of pivots at most ``2 r``
    farther: two points within ``r`` meet in the region of either. Regions split again until they are small. Where the
    windows keep a region from shrinking, it is dealt out in pairs of blocks, which is exact too.
@@ -31,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferret.llm.common import Text, U, long_array, mix64, slices, stage, windows_hash
+from ferret.llm.common import SMALL_SLICE, Text, U, drop_staged, long_array, mix64, slices, stage, windows_hash
 from ferret.llm.components import components
 
 NO_ID = -(1 << 63)
-PIVOTS, SPLIT_PIVOTS, LEAF = 16, 4, 512
+POINT = ["region", "digest", "n", "copies", "set", "core", "side"]
+PIVOTS, SPLIT_PIVOTS, LEAF, COUNTS = 16, 4, 512, 1 << 20
 
 
 # ---------------------------------------------------------------- sets and signatures
@@ -107,7 +109,7 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, th (hash of the text), n and digest (null for an empty set) of every row, and node: 64 bits of the digest."""
     def run(batches):
         for b in batches:
-            for part in slices(b, "text"):
+            for part in slices(b, "text", SMALL_SLICE):
                 sets = list(shingle_sets(Text(part.column("text"), lower=True), k))
                 names = [digest(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -123,7 +125,7 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def run(batches):
         sig, seen = Signatures(num, den), set()
         for b in batches:
-            for part in slices(b, "text"):
+            for part in slices(b, "text", SMALL_SLICE):
                 rows, nodes = [np.empty(0, U)], []
                 for s in shingle_sets(Text(part.column("text"), lower=True), k):
                     d = digest(s) if len(s) else None
@@ -185,14 +187,26 @@ def separate(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     the region hold them; linked sets share one of their first (rarest) elements, as many as a partner may lack and one. So
     texts that were attached by a common passage fall apart, since its shingles are the frequent ones."""
     size = np.array([len(x) for x in sets])
-    owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)
-    _, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    token, df = token.astype(np.int32), df.astype(np.int32)[token]
-    order = np.lexsort((token, df, owner))  # owners stay in their places
-    del df
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-    order = order[place < np.repeat(size + size * -num // den + 1, size)]
-    token, owner = token[order], owner[order]
+    ends = np.cumsum(size)
+    flat = np.concatenate(sets)
+    order = np.argsort(flat)  # one large array at a time: a region may hold some million shingles
+    flat = flat[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    del flat
+    rank = np.cumsum(new, dtype=np.int32) - 1
+    token = np.empty(len(rank), np.int32)
+    token[order] = rank
+    del order, new
+    df = np.bincount(rank).astype(np.int32)
+    del rank
+    lead = size + size * -num // den + 1
+    kept = []
+    for a, z, k in zip((ends - size).tolist(), ends.tolist(), lead.tolist()):
+        mine = token[a:z]
+        key = df[mine].astype(np.int64) << 32 | mine
+        kept.append(mine if k >= len(mine) else mine[np.argpartition(key, k - 1)[:k]])
+    owner, token = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in kept]), np.concatenate(kept)
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
     same = token[1:] == token[:-1]
@@ -294,7 +308,7 @@ def _region_sets(docs: DataFrame, members: DataFrame, k: int, repeated: bool) ->
     of ``docs`` repeat both doc_id and text."""
     def run(batches):
         for b in batches:
-            for part in slices(b, "text"):
+            for part in slices(b, "text", SMALL_SLICE):
                 want = part.column("digest").to_pylist()
                 keep, blobs = [], []
                 for i, s in enumerate(shingle_sets(Text(part.column("text"), lower=True), k)):
@@ -326,12 +340,20 @@ def _grouped(batches, key: str):
         yield name, held
 
 
+def _views(col: pa.Array) -> list[np.ndarray]:
+    """The sets of a binary column, as views of its buffer."""
+    col = col.cast(pa.large_binary())
+    _, offsets, data = col.buffers()
+    off = (np.frombuffer(offsets, np.int64)[col.offset:col.offset + len(col) + 1]).tolist()
+    return [np.frombuffer(data, U, (z - a) // 8, a) for a, z in zip(off[:-1], off[1:])]
+
+
 def _leaves(regions: DataFrame, num: int, den: int) -> DataFrame:
     """(digest, root, links): each point's least linked point within its region, and its links with the copies of others."""
     def run(batches):
         for _, group in _grouped(batches, "region"):
             column = lambda c: [x for g in group for x in g.column(c).to_pylist()]  # noqa: E731,B023
-            names, sets = column("digest"), [np.frombuffer(x, U) for x in column("set")]
+            names, sets = column("digest"), [x for g in group for x in _views(g.column("set"))]
             root, links = join_region(sets, num, den, np.array(column("copies")), np.array(column("core"), bool), np.array(column("side")))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([names[r] for r in root.tolist()], pa.binary()), pa.array(links)], names=["digest", "root", "links"])
 
@@ -388,6 +410,41 @@ def _blocks(stuck: DataFrame, sizes: DataFrame, max_members: int) -> DataFrame:
                        F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own")).alias("side"))
 
 
+def _by_rare_shingles(big: DataFrame, num: int, den: int) -> DataFrame:
+    """Large regions cut where no link can be: ``separate`` for regions beyond a task. Linked sets share one of their first shingles
+    in any order of shingles; here the order is by how many sets hold a shingle, as a table of ``COUNTS`` hashed counts says, which
+    has a fixed size, is added up map-side and broadcast. Points that share no first shingle with another have no links and go."""
+    def count(batches):
+        total = np.zeros(COUNTS, np.int64)
+        for b in batches:
+            for s in _views(b.column("set")):
+                np.add.at(total, (s % U(COUNTS)).astype(np.int64), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["cell", "n"])
+
+    counted = big.select("set").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTS rows
+    held = np.zeros(COUNTS, np.int32)
+    held[counted.column("cell").to_numpy()] = np.minimum(counted.column("n").to_numpy(), (1 << 31) - 1)
+    shipped = big.sparkSession.sparkContext.broadcast(held)  # 4 MB
+
+    def first(batches):
+        often = shipped.value
+        for b in batches:
+            regions, names, sigs = b.column("region").to_numpy(), b.column("digest"), []
+            for s, r in zip(_views(b.column("set")), regions.astype(np.uint64)):
+                k = len(s) - -(-len(s) * num // den) + 1
+                order = np.lexsort((s, often[(s % U(COUNTS)).astype(np.int64)]))[:k]
+                sigs.append(mix64(s[order] ^ mix64(r[None] + U(5))))
+            of = np.repeat(np.arange(len(sigs)), [len(x) for x in sigs])
+            yield pa.RecordBatch.from_arrays([long_array(np.concatenate(sigs) if sigs else np.empty(0, U)), names.take(pa.array(of))], names=["sig", "digest"])
+
+    lead = big.select("region", "digest", "set").mapInArrow(first, "sig long, digest binary")
+    least = F.min("digest").over(Window.partitionBy("sig"))
+    near = lead.withColumn("least", least).where("digest <> least").select(F.col("digest").alias("a"), F.col("least").alias("b"))
+    parts = components(near).select(F.col("node").alias("digest"), F.xxhash64("root").alias("part"))
+    return big.join(parts, "digest").select(F.xxhash64("region", "part").alias("region"), *big.columns[1:])
+
+
 def region_sizes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("region").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
 
@@ -395,22 +452,37 @@ def region_sizes(rows: DataFrame) -> DataFrame:
 def join_points(points: DataFrame, sizes: DataFrame, num: int, den: int, max_members: int, max_shingles: int) -> DataFrame:
     """(digest, root, links): roots connect exactly the points which chains of pairs within the radius connect, and the
     links of a digest add up to its number of linked documents with other sets. ``points``: region, digest, n, copies,
-    set, core, side; pairs in different regions are known to be farther apart. ``sizes``: their region_sizes."""
-    found, level = None, points
+    set, core, side; pairs in different regions are known to be farther apart. ``sizes``: their region_sizes.
+
+    What a level finds is stored before the next one begins, so that only the sets of one level and of the next are on disk."""
+    found, level, held, whole = None, points.select(*POINT), None, True
+
+    def leaves(rows):
+        return _union(found, stage(_leaves(rows, num, den), "leaves"))
     while True:
         large = stage(sizes.where((F.col("members") > max_members) | (F.col("shingles") > max_shingles)).where("members > 1"), "large")
         if large.isEmpty():
-            return _union(found, _leaves(level, num, den))
-        level = stage(level, "level")
+            found = leaves(level)
+            drop_staged(large, *([held] if held is not None else []))
+            return found
+        if held is None:
+            level = held = stage(level, "level")
         # a large region is dealt out by its members or its shingles, whichever are more; whether it shrinks is judged by its members
         large = large.withColumn("budget", F.greatest("members", F.ceil(F.col("shingles") * max_members / max_shingles)))
-        found = _union(found, _leaves(level.join(large, "region", "left_anti"), num, den))
-        split = stage(_split(level.join(large.select("region"), "region", "left_semi"), large, num, den, max_members), "split")
+        found = leaves(level.join(large, "region", "left_anti"))
+        big = level.join(large.select("region"), "region", "left_semi").select(*POINT)
+        if whole:  # the first large regions are cut by their rare shingles before they are split
+            whole, level = False, stage(_by_rare_shingles(big, num, den), "separated")
+            drop_staged(held)
+            held, sizes = level, region_sizes(level)
+            continue
+        split = stage(_split(big, large, num, den, max_members), "split")
         child = split.groupBy("region", "parent").agg(F.count(F.lit(1)).alias("members"))
         shrunk = child.join(large.select(F.col("region").alias("parent"), F.col("members").alias("before")), "parent")
         stuck = stage(shrunk.where("members > 0.8 * before").select("parent").distinct().withColumnRenamed("parent", "region"), "stuck")
-        found = _union(found, _leaves(_blocks(level.join(stuck, "region", "left_semi"), large, max_members), num, den))
-        level = split.join(stuck.withColumnRenamed("region", "parent"), "parent", "left_anti").drop("parent")
+        found = leaves(_blocks(level.join(stuck, "region", "left_semi"), large, max_members))
+        drop_staged(held)
+        held, level = split, split.join(stuck.withColumnRenamed("region", "parent"), "parent", "left_anti").select(*POINT)
         sizes = region_sizes(level)
 
 
@@ -429,7 +501,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     sets = stage(prof.where("n > 0").groupBy("digest").agg(F.min("node").alias("node"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("row")), "sets")
     members = sets.join(regions, "node").select("region", "digest", "n", "copies", F.coalesce("row.doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("row.th").alias("th"))
     repeated = not prof.groupBy("doc_id", "th").count().where("count > 1").limit(1).isEmpty()
-    found = stage(join_points(_region_sets(docs, members, shingle, repeated), region_sizes(members), num, den, max_members, max_shingles), "links")
+    found = join_points(_region_sets(docs, members, shingle, repeated), region_sizes(members), num, den, max_members, max_shingles)
     comp = components(found.select(F.col("digest").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("digest"), "root")
     links = found.groupBy("digest").agg(F.sum("links").alias("links"))
     each = sets.join(comp, "digest", "left").join(links, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
