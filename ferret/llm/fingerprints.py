@@ -127,15 +127,27 @@ def _in_order(batches):
 
 
 def _parted(src: DataFrame) -> DataFrame:
-    """``src`` with a number ``part`` that rises with ``doc``: ranges of about equal size, four to a shuffle partition."""
+    """``src`` with a number ``part`` that rises with (doc, th): ranges of about equal size, four to a shuffle partition. An id that
+    fills several ranges (rows without an id, above all) is cut by the hash of the text as often as it fills one."""
     n = 4 * int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = np.unique(np.array(src.approxQuantile("doc", [i / n for i in range(1, n)], 0.25 / n) or [], np.float64))
+    cuts, often = np.unique(np.array(src.approxQuantile("doc", [i / n for i in range(1, n)], 0.25 / n) or [], np.float64), return_counts=True)
+    exact = (often > 1) & ((np.abs(cuts) < 2.0**53) | (cuts == -(2.0**63)))  # larger ids may differ and be equal as doubles
+    crowded, pieces = cuts[exact], often[exact] + 1
+    most = int(pieces.max(initial=0)) + 1  # the last piece of a range is what follows its crowded id
 
     @F.pandas_udf("int")
-    def part(doc: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, doc.to_numpy().astype(np.float64), side="right").astype(np.int32))
-
-    return src.withColumn("part", part("doc"))
+    def part(doc: pd.Series, th: pd.Series) -> pd.Series:
+        d = doc.to_numpy().astype(np.float64)
+        index = np.searchsorted(cuts, d, side="right")
+        out = index * most + most - 1
+        if len(crowded):
+            at = np.minimum(np.searchsorted(crowded, d), len(crowded) - 1)
+            place = (th.to_numpy().astype(np.float64) + 2.0**63) / 2.0**64  # of the hash, from 0 to 1
+            piece = np.minimum((place * pieces[at]).astype(np.int64), pieces[at] - 1)
+            out = np.where(crowded[at] == d, index * most + piece, out)
+        return pd.Series(out.astype(np.int32))
+
+    return src.withColumn("part", part("doc", "th"))
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
