@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ferret.llm.common import slices
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROP = frozenset("script style noscript template svg math nav footer aside form button select textarea iframe object canvas audio video map dialog menu head title".split())
+DROP = frozenset("script style noscript template svg nav footer aside form button select textarea iframe object canvas audio video map dialog menu head title".split())
 BLOCK = frozenset(
     "address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html li main ol p pre "
     "section summary table tbody td tfoot th thead tr ul caption legend".split())
@@ -42,6 +42,9 @@ NEVER = frozenset(
 #: the same, unless a word of CONTENT stands with them
 PERHAPS = frozenset("header masthead related recommended recommendations pagination pager toc tags meta byline tools topbar".split())
 CONTENT = frozenset("article content main post entry body story text".split())
+#: words of NEVER and PERHAPS that may also be what a part of an article is about: inside one such a part stays if it holds prose
+TOPICS = frozenset("search tools meta tags social navigation menu byline".split())
+PROSE = 200  # characters outside links in paragraphs
 COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
 #: words that make a name a state of the page (comments-open), not a part of it
 STATE = frozenset("has no not with without is show shows showing hide hides hiding open closed enabled disabled free on off".split())
@@ -55,13 +58,21 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "drop", "score", "scored", "chars", "linked", "commas", "content", "doubt")
+    __slots__ = ("tag", "parent", "kids", "drop", "score", "scored", "chars", "linked", "commas", "content", "doubt", "inside", "topic")
 
     def __init__(self, tag, parent, drop):
         self.tag, self.parent, self.drop = tag, parent, drop
         self.kids: list = []  # nodes and strings, in page order
         self.score, self.scored, self.chars, self.linked, self.commas, self.content = 0.0, False, 0, 0, 0, False
         self.doubt = 0
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+        self.topic = False
+
+
+def _topical(attrs) -> bool:
+    """Whether all the words that speak against an element are of TOPICS."""
+    bad = {w for k, v in attrs if k in ("class", "id", "role") and v for name in v.split() for w in _WORD.findall(_CAMEL.sub(" ", name).lower())} & (NEVER | PERHAPS)
+    return bool(bad) and bad <= TOPICS
 
 
 def _marks(tag: str, attrs, inside_article: bool) -> tuple[bool, bool, int]:
@@ -106,10 +117,13 @@ def settle(root: Node) -> None:
         a = a or n.tag == "a"
         order.append((n, 0 if a else sum(len(k.strip()) for k in n.kids if not isinstance(k, Node))))
         stack.extend((k, a) for k in n.kids if isinstance(k, Node) and not k.drop)
-    total, size, holds = sum(c for _, c in order), {}, {}
+    total, size, holds, prose = sum(c for _, c in order), {}, {}, {}
     for n, own in reversed(order):
         kids = [k for k in n.kids if isinstance(k, Node) and not k.drop]
         size[n] = own + sum(size[k] for k in kids)
+        prose[n] = size[n] if n.tag == "p" else sum(prose[k] for k in kids)
+        if n.topic and prose[n] < PROSE:
+            n.drop = True
         holds[n] = max([2 if k.tag in ("h1", "main") else 1 if k.tag == "article" else 0 for k in kids] + [holds[k] for k in kids], default=0)
         if n.doubt and holds[n] < n.doubt and not (n.doubt == 1 and 2 * size[n] > total):
             n.drop = True
@@ -146,12 +160,13 @@ class Tree(HTMLParser):
         elif tag == "tr":
             self._close({"tr"}, frozenset(("table",)))
         at = self.at
-        inside, up = False, at
-        if tag == "header":
-            while up is not None and not inside:
-                inside, up = up.tag in ("article", "main"), up.parent
+        inside = at.inside or at.tag in ("article", "main")
         out, content, doubt = _marks(tag, attrs, inside)
+        topic = out and inside and not at.drop and tag not in DROP and tag != "header" and not any(k in ("hidden", "style") for k, _ in attrs) and _topical(attrs)
+        if topic:
+            out, self.doubt = False, True
         self.at = Node(tag, at, at.drop or out)
+        self.at.topic = topic and tag not in PARAGRAPH and tag not in HEADING  # a paragraph is prose itself
         self.at.content, self.at.doubt = content, doubt
         self.doubt |= doubt > 0
         at.kids.append(self.at)
@@ -291,9 +306,9 @@ def main_text(html: str | None) -> str:
         settle(root)
     _measure(root)
     nodes = [root, *_descend(root)]
-    for n in nodes:  # a list of nothing but links is a menu, unless it stands in an article
-        if n.tag in ("ul", "ol") and n.chars and n.linked >= 0.9 * n.chars and not _inside(n, ("article", "main")):
-            n.drop = True
+    lists = [n for n in nodes if n.tag in ("ul", "ol") and n.chars and n.linked >= 0.9 * n.chars and not _inside(n, ("article", "main"))]
+    for n in lists:  # a list of nothing but links is a menu, unless it stands in an article
+        n.drop = True
     worth = lambda n: n.score * (1 - n.linked / n.chars) if n.chars else 0.0
     scored = [n for n in nodes if n.scored]
     best = max(scored, key=worth, default=None)
@@ -309,6 +324,12 @@ def main_text(html: str | None) -> str:
             named = up
         up = up.parent
     best = named
+    if best.content and best.tag not in ("html", "body"):  # what is named content is an article, too
+        for n in lists:
+            up = n.parent
+            while up is not None and up is not best:
+                up = up.parent
+            n.drop = up is not best
     if best.parent is None:
         return "\n\n".join(blocks([best]))
     least = max(10.0, 0.2 * worth(best))
