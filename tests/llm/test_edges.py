@@ -154,4 +154,4 @@ def test_pipeline_without_a_model(spark, docs, labels, tmp_path):
 
 
 def test_registered():
-    assert [int(k[2:].split("_")[0]) for k in Q.QUERIES] == list(range(1, 11)) and set(Q.ORACLES) <= set(Q.QUERIES)
+    assert [int(k[2:].split("_")[0]) for k in Q.QUERIES] == list(range(1, 14)) and set(Q.ORACLES) <= set(Q.QUERIES)
