@@ -92,8 +92,8 @@ def blocks(batches, text: str):
 # ---------------------------------------------------------------- counts
 
 def count_terms(docs: DataFrame, terms) -> DataFrame:
-    """(term, n): documents that hold each of the broadcast sorted ``terms``; term null: documents with terms; term 0
-    of kind 1: all terms. Added up by task, then by term."""
+    """(kind, term, n), added up by task, then by term: kind 0 documents that hold the term (one of the broadcast sorted
+    ``terms``), kind 1 documents with any term, kind 2 all terms with repeats."""
     def run(batches):
         wanted = terms.value
         df = np.zeros(len(wanted), np.int64)
