@@ -8,11 +8,13 @@ On the unit sphere the chord ``sqrt(2 - 2 cos)`` is a metric, so the triangle in
    with a third of all points, is dealt out over many tasks; a ring is stored as one row.
 3. Inside its own ring and among the pivots every point finds k neighbours; the k-th bounds what another ring must beat. A ring's points ask a
    pivot's region only for the distances ``[d(q, pivot) - bound, d(q, pivot) + bound]``; rings outside of all of them are skipped.
-4. A ring and the rings it asks for are streamed, the nearest first; bounds shrink on the way and rings that
-   fall behind them are passed over. A task holds two rings at a time and hands out k rows a point.
+4. Rings come in at most ``GROUPS`` groups of neighbouring rings (more only where a group would exceed ``HELD`` points). A task is a pair
+   of groups: it holds the points of one and streams those rings of the other that any of them asks for, the nearest first;
+   bounds shrink on the way and points that a ring cannot serve pass it over. A task hands out at most k rows a point.
 
-Where points have no structure (random directions), no bound excludes a ring and every exact method compares all pairs of rings;
-what is shuffled is then N / block copies of the vectors, never pairs.
+So a vector is shuffled at most twice the number of groups, however many points there are. Where points have no structure (random
+directions), no bound excludes a ring and every exact method compares all pairs of points; the time is quadratic then, what is
+shuffled is not.
 
 Rows without id or vector, and vectors that are zero, hold a null, NaN or infinity, have no direction: they are no neighbours and
 have no rows. Ids are taken as unique; vectors of different length are an error. Ties go to the lesser id.
@@ -30,7 +32,9 @@ from ferret.functions.ordering import seeded_hash
 from ferret.functions.staging import stage
 
 MAX_PIVOTS, BLOCK, PIVOT_POINTS = 1024, 1024, 4096
+GROUPS, HELD = 8, 1 << 17
 DIGITS = 12  # similarities that agree to so many places tie
+TIE, APART = 2e-12, 1e-11  # more than rounding to DIGITS moves a similarity, and than products of other shapes differ by
 SLACK = 1e-6  # rounding of chords near zero
 RING = "ring long, pivot int, lo double, hi double, ids binary, points binary"
 
@@ -103,41 +107,51 @@ def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Nearest:
-    """The k nearest that each point of a ring has met so far."""
+    """The k nearest that each of some points has met so far; ``floor`` is a similarity that the k-th is known to reach."""
 
-    def __init__(self, ids: np.ndarray, points: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, points: np.ndarray, k: int, floor: np.ndarray | None = None):
         self.ids, self.points, self.k = ids, points, k
         self.sim = np.full((len(ids), k), -np.inf)
         self.near = np.full((len(ids), k), np.iinfo(np.int64).max)
-
-    def meet(self, ids: np.ndarray, points: np.ndarray):
-        sim = np.round(self.points @ points.T, DIGITS)
-        sim[self.ids[:, None] == ids[None, :]] = -np.inf
-        if sim.shape[1] > self.k:  # all that reach the k-th similarity of the ring, so that ties go by id
-            least = np.partition(sim, -self.k, axis=1)[:, -self.k]
-            width = int((sim >= least[:, None]).sum(axis=1).max())
-            at = np.argpartition(-sim, min(width, sim.shape[1]) - 1, axis=1)[:, :width]
-            sim, ids = np.take_along_axis(sim, at, axis=1), ids[at]
-        else:
-            ids = np.broadcast_to(ids, sim.shape)
-        sim, ids = np.concatenate([self.sim, sim], axis=1), np.concatenate([self.near, ids], axis=1)
-        order = np.lexsort((ids, -sim))[:, :self.k]
-        self.sim, self.near = np.take_along_axis(sim, order, axis=1), np.take_along_axis(ids, order, axis=1)
+        self.floor = np.full(len(ids), -np.inf) if floor is None else floor - APART
+
+    def meet(self, ids: np.ndarray, points: np.ndarray, rows: np.ndarray | None = None):
+        """Points of other ids than those met before; ``rows``: of the own points those that may gain (default: all)."""
+        rows = np.arange(len(self.ids)) if rows is None else rows
+        for i in range(0, len(rows), BLOCK):
+            self._meet(ids, points, rows[i:i + BLOCK])
+
+    def _meet(self, ids, points, rows):
+        sim = self.points[rows] @ points.T
+        least = np.maximum(self.sim[rows, -1], self.floor[rows])
+        at, to = np.nonzero(sim >= least[:, None] - TIE)
+        if len(at) > 16 * self.k * len(rows) and len(ids) > self.k + 1:  # a point itself may be among the k + 1 that reach this
+            least = np.maximum(least, np.partition(sim, -self.k - 1, axis=1)[:, -self.k - 1])
+            at, to = np.nonzero(sim >= least[:, None] - TIE)
+        row, near, sim = rows[at], ids[to], np.round(sim[at, to], DIGITS)
+        worst = self.sim[row, -1]
+        gains = (near != self.ids[row]) & (sim >= self.floor[row]) & ((sim > worst) | ((sim == worst) & (near < self.near[row, -1])))
+        mine = np.unique(row[gains])
+        row = np.concatenate([np.repeat(mine, self.k), row[gains]])
+        near, sim = np.concatenate([self.near[mine].ravel(), near[gains]]), np.concatenate([self.sim[mine].ravel(), sim[gains]])
+        order = np.lexsort((near, -sim, row))
+        first = order[np.searchsorted(row[order], mine)[:, None] + np.arange(self.k)]
+        self.sim[mine], self.near[mine] = sim[first], near[first]
 
     def bound(self) -> np.ndarray:
         """Chord to the k-th nearest; 2, the diameter, while there are fewer."""
-        worst = self.sim[:, -1]
+        worst = np.maximum(self.sim[:, -1], self.floor)
         return np.where(np.isinf(worst), 2.0, np.sqrt(np.maximum(0.0, 2.0 - 2.0 * worst))) + SLACK
 
 
-def _bound(ids: np.ndarray, points: np.ndarray, k: int, p: np.ndarray, pivot_ids: np.ndarray) -> np.ndarray:
-    """What the k-th neighbours of a ring's points cannot exceed, as the ring and the pivots, which are points too, tell."""
+def _own(ids: np.ndarray, points: np.ndarray, k: int, p: np.ndarray, pivot_ids: np.ndarray) -> Nearest:
+    """The nearest in a ring and among the pivots, which are points too: what the k-th neighbours of its points cannot fall behind."""
     own = Nearest(ids, points, k)
     own.meet(ids, points)
     other = ~np.isin(pivot_ids, ids)
     if other.any():
         own.meet(pivot_ids[other], p[other])
-    return own.bound()
+    return own
 
 
 def _ask(pivots, k: int):
@@ -148,7 +162,7 @@ def _ask(pivots, k: int):
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
                 ids, points = _unpack(row)
-                d, r = chord(points, p), _bound(ids, points, k, p, pivot_ids)[:, None]
+                d, r = chord(points, p), _own(ids, points, k, p, pivot_ids).bound()[:, None]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(len(p), row["ring"])), pa.array(np.arange(len(p), dtype=np.int32)),
                     pa.array((d - r).min(axis=0)), pa.array((d + r).max(axis=0))], names=["asker", "region", "least", "most"])
@@ -156,36 +170,42 @@ def _ask(pivots, k: int):
 
 
 def _search(pivots, k: int):
-    """Streams (asker, near) rows: first the asking ring itself, then the rings it asks for."""
+    """Streams the rings of each task: first those that ask (kind 0), then those that are asked for."""
     def run(batches):
         p, pivot_ids = np.frombuffer(pivots.value[0]).reshape(pivots.value[1]), np.frombuffer(pivots.value[2], np.int64)
-        asker, best, d, most = None, None, None, None
+        task, held, best = None, [], None
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
-                if row["asker"] != asker:
+                ids, points = _unpack(row)
+                if row["task"] != task:
                     if best is not None:
-                        yield _found(best)
-                    asker, best = row["asker"], Nearest(*_unpack(row), k)
-                    best.meet(best.ids, best.points)
-                    d, most = chord(best.points, p), _bound(best.ids, best.points, k, p, pivot_ids)
-                else:
-                    to = d[:, row["pivot"]]
-                    gap = np.maximum(to - row["hi"], row["lo"] - to)
-                    if (gap <= np.minimum(best.bound(), most)).any():
-                        best.meet(*_unpack(row))
+                        yield from _found(best)
+                    task, held, best = row["task"], [], None
+                if row["kind"] == 0:
+                    held.append((ids, points, _own(ids, points, k, p, pivot_ids).sim[:, -1]))
+                    continue
+                if best is None:
+                    ask, at, floor = (np.concatenate(x) for x in zip(*held))
+                    best, held = Nearest(ask, at, k, floor), []
+                to = chord(best.points, p[row["pivot"]][None])[:, 0]
+                gap = np.maximum(to - row["hi"], row["lo"] - to)
+                best.meet(ids, points, np.flatnonzero(gap <= best.bound()))
         if best is not None:
-            yield _found(best)
+            yield from _found(best)
     return run
 
 
-def _found(best: Nearest) -> pa.RecordBatch:
-    ok = ~np.isinf(best.sim)
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(best.ids, ok.sum(axis=1))), pa.array(best.near[ok]), pa.array(best.sim[ok])], names=["point", "other", "similarity"])
+def _found(best: Nearest):
+    for i in range(0, len(best.ids), BLOCK):
+        sim, ids, near = best.sim[i:i + BLOCK], best.ids[i:i + BLOCK], best.near[i:i + BLOCK]
+        ok = ~np.isinf(sim)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, ok.sum(axis=1))), pa.array(near[ok]), pa.array(sim[ok])], names=["point", "other", "similarity"])
 
 
 def rings_and_pairs(points: DataFrame, k: int, block: int, per_pivot: int):
-    """The staged rings of ``points``, the (asker, near ring) rows with the near ring's content, and the broadcast pivots."""
+    """The staged rings of ``points`` with their group, the (asking group, near ring) rows with the near ring's content, and the broadcast
+    pivots."""
     spark = points.sparkSession
     total = points.count()
     chosen = points.orderBy(seeded_hash(7, "id")).limit(min(MAX_PIVOTS, max(1, -(-total // per_pivot)))).select("id", "v").collect()  # at most MAX_PIVOTS
@@ -195,11 +215,16 @@ def rings_and_pairs(points: DataFrame, k: int, block: int, per_pivot: int):
     pivots = spark.sparkContext.broadcast((p.tobytes(), p.shape, np.array([r.id for r in chosen], np.int64).tobytes()))
     dealt = points.mapInArrow(_assign(pivots), "id long, v array<double>, pivot int, dist double")
     rings = stage(dealt.repartitionByRange("pivot", "dist", "id").sortWithinPartitions("pivot", "dist", "id").mapInArrow(_pack(block), RING), "rings")
+    groups = max(min(GROUPS, -(-total // block)), -(-total // HELD))
+    cuts = rings.select(F.percentile_approx("ring", [i / groups for i in range(1, groups)] or [1.0], 10_000)).first()[0]  # one a group
+    group = lambda ring: F.size(F.filter(F.lit(cuts), lambda c: c < F.col(ring)))
+    rings = rings.withColumn("group", group("ring"))
     asked = rings.mapInArrow(_ask(pivots, k), "asker long, region int, least double, most double")
     near = rings.select("ring", F.col("pivot").alias("region"), "lo", "hi")
-    pairs = asked.join(near, "region").where("hi >= least and lo <= most and ring <> asker")
+    pairs = asked.join(near, "region").where("hi >= least and lo <= most")
     away = F.greatest(F.col("lo") - F.col("most"), F.col("least") - F.col("hi"))  # how little the ranges overlap
-    return rings, pairs.select("asker", "ring", away.alias("away")).join(rings, "ring"), pivots
+    pairs = stage(pairs.groupBy(group("asker").alias("asker"), "ring").agg(F.min(away).alias("away")), "pairs")  # at most the rings for each group
+    return rings, pairs.join(rings, "ring"), pivots
 
 
 def nearest_points(points: DataFrame, k: int, block: int = BLOCK, per_pivot: int = PIVOT_POINTS) -> DataFrame:
@@ -208,9 +233,16 @@ def nearest_points(points: DataFrame, k: int, block: int = BLOCK, per_pivot: int
     if found is None:
         return points.sparkSession.createDataFrame([], "point long, other long, similarity double")
     rings, payload, pivots = found
-    first = rings.select(F.col("ring").alias("asker"), "ring", F.lit(float("-inf")).alias("away"), *rings.columns[1:])
-    streamed = first.unionByName(payload).repartition("asker").sortWithinPartitions("asker", "away", "ring")
-    return streamed.mapInArrow(_search(pivots, k), "point long, other long, similarity double")
+    groups = rings.agg(F.max("group")).first()[0] + 1
+    tasks = payload.select("asker", F.col("group").alias("near")).distinct()
+    content = ["ring", "pivot", "lo", "hi", "ids", "points"]
+    task = lambda asker, near: (F.col(asker) * groups + F.col(near)).cast("int").alias("task")
+    first = rings.join(tasks.withColumnRenamed("asker", "group"), "group").select(task("group", "near"), F.lit(0).alias("kind"), F.lit(0.0).alias("away"), *content)
+    then = payload.select(task("asker", "group"), F.lit(1).alias("kind"), "away", *content)
+    streamed = first.unionByName(then).repartitionById(groups * groups, "task").sortWithinPartitions("task", "kind", "away", "ring")
+    each = streamed.mapInArrow(_search(pivots, k), "point long, other long, similarity double")
+    rank = F.row_number().over(Window.partitionBy("point").orderBy(F.col("similarity").desc(), "other"))  # at most k of each group
+    return each.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
 def nearest_neighbours(vectors: DataFrame, id_col: str, vector: str, k: int, block: int = BLOCK, per_pivot: int = PIVOT_POINTS) -> DataFrame:

@@ -62,6 +62,31 @@ def test_neighbours_skip_regions_and_split_crowded_ones(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_neighbours_ship_each_vector_a_fixed_number_of_times(spark):
+    """Random directions: every ring is asked for, by at most ``GROUPS`` groups, not by each of the other rings."""
+    rng = np.random.default_rng(5)
+    vectors = {i: v / np.linalg.norm(v) for i, v in enumerate(rng.normal(size=(500, 8)))}
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "id long, v array<double>").repartition(3)
+    rings, payload, _ = N.rings_and_pairs(points, 3, 8, 100)
+    n = rings.count()
+    assert n >= 60 and payload.count() <= N.GROUPS * n
+    assert {r[0] for r in rings.select("group").distinct().collect()} == set(range(N.GROUPS))
+    got = {}
+    for r in N.nearest_points(points, 3, 8, 100).collect():
+        got.setdefault(r.point, []).append((-r.similarity, r.other))
+    assert {i: [o for _, o in sorted(x)] for i, x in got.items()} == brute_neighbours([(i, v.tolist()) for i, v in vectors.items()], 3)
+
+
+def test_nearest_keeps_ties_by_the_lesser_id():
+    """Many equal similarities, met in any order, with a floor that the k-th just reaches."""
+    points = np.eye(40)
+    for floor in (None, np.zeros(40)):
+        best = N.Nearest(np.arange(40), points, 2, floor)
+        for part in (slice(20, 40), slice(0, 3), slice(3, 20)):
+            best.meet(np.arange(40)[part], points[part])
+        assert best.near.tolist() == [[j for j in range(3) if j != i][:2] for i in range(40)]
+
+
 def test_neighbours_of_few_or_none(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.id, r.rank, r.neighbour_id, r.similarity) for r in N.nearest_neighbours(df, "vec_id", "embedding", 4).orderBy("id").collect()] == [(1, 1, 2, 0.0), (2, 1, 1, 0.0)]
