@@ -1,8 +1,8 @@
 """Keyed tables in buckets and merges that rewrite only the buckets they touch.
 
 Rows are dealt into ``bucket=<n>`` folders by a hash of their key, so a key has one place. A merge reads the touched
-buckets only (partition pruning), merges there, writes the result to a staged table and then replaces just those buckets
-(dynamic partition overwrite); files of other buckets are not read, moved or written. A merge is idempotent: run again,
+buckets only (partition pruning), merges there in one join, writes the result to a staged table and then replaces just those
+buckets (dynamic partition overwrite); files of other buckets are not read, moved or written, and none is where no row differs. A merge is idempotent: run again,
 after a lost driver or in doubt, it gives the same table. Where a merge is broken off between two buckets, running it again completes it.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ferret.functions.ordering import chunked_row_number, hash_chunks, join_null_safe
+from ferret.functions.ordering import chunked_row_number, hash_chunks
 from ferret.functions.staging import stage
 
 BUCKET = "bucket"
@@ -57,24 +57,25 @@ class KeyedTable:
         if not touched:
             return dict.fromkeys(STEPS, 0)
         stored = self._stored().where(F.col(BUCKET).isin(touched)).withColumn("_known", F.lit(True))
-        j = join_null_safe(stored.withColumnRenamed(key, "_key").withColumnRenamed(BUCKET, "_bucket"),
-                           up.withColumnsRenamed({key: "_key", BUCKET: "_bucket"}), ["_key", "_bucket"], "left")
-        applies = F.col("_u").isNotNull()
+        up = up.withColumnsRenamed({key: "_key", BUCKET: "_bucket"})
+        j = stored.join(up, F.col(key).eqNullSafe(F.col("_key")) & (F.col(BUCKET) == F.col("_bucket")), "full" if insert else "left")
+        new, applies = F.col("_known").isNull(), F.col("_known") & F.col("_u").isNotNull()
         if recency:
             older = F.col("_u")[recency] < F.col(recency)
             applies = applies & ~F.coalesce(older, F.col("_u")[recency].isNull() & F.col(recency).isNotNull())
-        have = [c for c in cols if c in given]
-        old = j.select(F.col("_key").alias(key), *[F.when(applies, F.col("_u")[c]).otherwise(F.col(c)).alias(c) if c in have else F.col(c) for c in names if c != key],
-                       F.col("_bucket").alias(BUCKET), F.when(applies, "updated").otherwise("unchanged").alias("_step"))
-        known = stored.select(key, BUCKET)
-        out = old
-        if insert:
-            both = up.join(known.withColumnsRenamed({key: "_k", BUCKET: "_b"}), F.col(key).eqNullSafe(F.col("_k")) & (F.col(BUCKET) == F.col("_b")), "left_anti")
-            kinds = {f.name: f.dataType for f in self.schema.fields}
-            out = old.unionByName(both.select(key, *[(F.col("_u")[c] if c in given else F.lit(None)).cast(kinds[c]).alias(c) for c in names if c != key], BUCKET, F.lit("inserted").alias("_step")))
+        have, kinds = [c for c in cols if c in given], {f.name: f.dataType for f in self.schema.fields}
+        fresh = {c: F.when(new, (F.col("_u")[c] if c in given else F.lit(None)).cast(kinds[c])) for c in names if c != key}
+        values = [(fresh[c].when(applies, F.col("_u")[c]) if c in have else fresh[c]).otherwise(F.col(c)).alias(c) for c in names if c != key]
+        differs = new
+        for c in have:
+            differs = differs | (applies & ~F.col("_u")[c].eqNullSafe(F.col(c)))
+        out = j.select(F.when(new, F.col("_key")).otherwise(F.col(key)).alias(key), *values, F.when(new, F.col("_bucket")).otherwise(F.col(BUCKET)).alias(BUCKET),
+                       F.when(new, "inserted").when(applies, "updated").otherwise("unchanged").alias("_step"), differs.alias("_differs"))
         merged = stage(out, "merged")
-        self._write(merged.drop("_step"))
-        return dict.fromkeys(STEPS, 0) | {r["_step"]: r["n"] for r in merged.groupBy("_step").agg(F.count(F.lit(1)).alias("n")).collect()}
+        steps = merged.groupBy("_step").agg(F.count(F.lit(1)).alias("n"), F.max("_differs").alias("differs")).collect()
+        if any(r["differs"] for r in steps):  # not where the table holds the updates already
+            self._write(merged.drop("_step", "_differs"))
+        return dict.fromkeys(STEPS, 0) | {r["_step"]: r["n"] for r in steps}
 
     def insert_new(self, incoming: DataFrame, id_col: str) -> int:
         """Rows of new, non-null keys with surrogate ids max(id) + rank by md5(key); known keys are not changed. Run again it inserts

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ferret.functions.staging import stage
 from ferret.operators import corpus as C
 from ferret.operators import evaluation as E
 from ferret.operators import maintenance as U
@@ -16,6 +17,8 @@ from ferret.operators import matching as M
 from ferret.operators import neighbours as N
 from ferret.operators.merge import KeyedTable
 
+SF_SMALL = "/root/testdata/sf0.001"
+
 
 # ---------------------------------------------------------------- D17
 
@@ -166,6 +169,38 @@ def test_merge_rewrites_only_touched_buckets(spark, table):
     assert table.merge(up.where("false"), recency="at") == {"updated": 0, "inserted": 0, "unchanged": 0}
 
 
+def test_merge_replayed_writes_nothing(spark, table):
+    """A replay leaves every file alone and says what it met; one new value is written."""
+    up = spark.createDataFrame([(3, "new", 9), (4, None, 9), (5, "late", -1), (999, None, None), (None, "somebody", 5)], "id long, v string, at int")
+    first, after = table.merge(up, recency="at"), files(table)
+    again = table.merge(up, recency="at")
+    assert files(table) == after and first["updated"] == 3 and first["inserted"] == 1
+    assert (again["updated"], again["inserted"], sum(again.values())) == (4, 0, sum(first.values()))
+    table.merge(up.where("id = 3").withColumn("v", F.lit("other")), recency="at")
+    now = files(table)
+    assert len({os.path.dirname(f) for f in after if now.get(f) != after[f]}) == 1
+    assert [r.v for r in table.read().where("id = 3").collect()] == ["other"]
+
+
+def test_merge_joins_repeated_rows_once(spark, tmp_path):
+    """Rows of one key in the table each meet the update; a lone update is inserted once."""
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "id long, v string")
+    t = KeyedTable(spark, str(tmp_path / "r"), "id", df.schema, 4).create(df)
+    assert t.merge(spark.createDataFrame([(1, "x"), (3, "y"), (3, "z")], "id long, v string"))["inserted"] == 1
+    assert sorted(map(tuple, t.read().collect())) == [(1, "x"), (1, "x"), (2, "c"), (3, "z")]
+
+
+def test_verifications_read_the_lineitems_once(spark, monkeypatch):
+    from ferret.plans import q_maintenance as Q
+    staged = []
+    monkeypatch.setattr(Q, "stage", lambda df, tag: staged.append((tag, df.inputFiles())) or keep(df, tag))
+    keep = stage
+    got = Q.q_merged_verifications(spark, SF_SMALL)
+    assert [any("lineitem" in f for f in files) for _, files in staged] == [True, False]
+    want = Q.q_upsert_verifications(spark, SF_SMALL).select(*got.columns)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and not got.isEmpty()
+
+
 def test_merge_of_some_columns_and_without_inserts(spark, table):
     up = spark.createDataFrame([(7, "x"), (7, "z"), (7, None), (500, "no")], "id long, v string")
     assert table.merge(up, insert=False)["inserted"] == 0
