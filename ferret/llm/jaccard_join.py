@@ -413,7 +413,9 @@ def _blocks(stuck: DataFrame, sizes: DataFrame, max_members: int) -> DataFrame:
 def _by_rare_shingles(big: DataFrame, num: int, den: int) -> DataFrame:
     """Large regions cut where no link can be: ``separate`` for regions beyond a task. Linked sets share one of their first shingles
     in any order of shingles; here the order is by how many sets hold a shingle, as a table of ``COUNTS`` hashed counts says, which
-    has a fixed size, is added up map-side and broadcast. Points that share no first shingle with another have no links and go."""
+    has a fixed size, is added up map-side and broadcast. Of a linked pair the smaller set is not below the threshold times the larger one, and
+    has the common shingle among fewer first ones (``index``); a set joins the next smaller one with the shingle among these, through which
+    it reaches all it may link with. Points that meet no other have no links and go."""
     def count(batches):
         total = np.zeros(COUNTS, np.int64)
         for b in batches:
@@ -430,17 +432,21 @@ def _by_rare_shingles(big: DataFrame, num: int, den: int) -> DataFrame:
     def first(batches):
         often = shipped.value
         for b in batches:
-            regions, names, sigs = b.column("region").to_numpy(), b.column("digest"), []
+            regions, names, sigs, index = b.column("region").to_numpy(), b.column("digest"), [], []
             for s, r in zip(_views(b.column("set")), regions.astype(np.uint64)):
                 k = len(s) - -(-len(s) * num // den) + 1
                 order = np.lexsort((s, often[(s % U(COUNTS)).astype(np.int64)]))[:k]
                 sigs.append(mix64(s[order] ^ mix64(r[None] + U(5))))
+                index.append(np.arange(k) <= len(s) - -(-2 * len(s) * num // (num + den)))
             of = np.repeat(np.arange(len(sigs)), [len(x) for x in sigs])
-            yield pa.RecordBatch.from_arrays([long_array(np.concatenate(sigs) if sigs else np.empty(0, U)), names.take(pa.array(of))], names=["sig", "digest"])
-
-    lead = big.select("region", "digest", "set").mapInArrow(first, "sig long, digest binary")
-    least = F.min("digest").over(Window.partitionBy("sig"))
-    near = lead.withColumn("least", least).where("digest <> least").select(F.col("digest").alias("a"), F.col("least").alias("b"))
+            yield pa.RecordBatch.from_arrays([long_array(np.concatenate(sigs) if sigs else np.empty(0, U)), names.take(pa.array(of)), b.column("n").take(pa.array(of)),
+                                              pa.array(np.concatenate(index) if index else np.empty(0, bool))], names=["sig", "digest", "n", "index"])
+
+    lead = big.select("region", "digest", "set", "n").mapInArrow(first, "sig long, digest binary, n long, index boolean")
+    before = Window.partitionBy("sig").orderBy("n", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.last(F.when(F.col("index"), F.struct("n", "digest")), ignorenulls=True).over(before)
+    met = lead.withColumn("below", below).where(F.col("below.n") * den >= F.col("n") * num)
+    near = met.select(F.col("digest").alias("a"), F.col("below.digest").alias("b")).where("a <> b")
     parts = components(near).select(F.col("node").alias("digest"), F.xxhash64("root").alias("part"))
     return big.join(parts, "digest").select(F.xxhash64("region", "part").alias("region"), *big.columns[1:])
 

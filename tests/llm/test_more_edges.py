@@ -6,7 +6,7 @@ import corpus_pipeline as P
 import numpy as np
 from pyspark.sql import functions as F
 
-from ferret.llm import common, fingerprints
+from ferret.llm import common, fingerprints, jaccard_join
 from ferret.llm.html_text import main_text
 from ferret.llm.line_dedup import dedup_lines
 
@@ -34,6 +34,33 @@ def test_line_dedup_keeps_columns_of_other_names(spark):
     assert out.first().n_removed == 7
 
 
+def test_regions_cut_by_rare_shingles_keep_every_link(spark):
+    """Sets that share rare shingles but are of too different sizes, or share them only far back, fall apart; linked sets never do."""
+    rng = np.random.default_rng(4)
+    common_part = rng.integers(1 << 62, size=6).astype(np.uint64)
+    sets = [np.unique(np.concatenate([common_part, rng.integers(1 << 62, size=int(40 * 1.6 ** (i % 6))).astype(np.uint64)])) for i in range(30)]
+    for i in range(60):  # chains of near copies
+        s = rng.permutation(sets[rng.integers(len(sets))])
+        sets.append(np.unique(np.concatenate([s[:len(s) - int(rng.integers(0, len(s) // 5))], rng.integers(1 << 62, size=int(rng.integers(0, len(s) // 8))).astype(np.uint64)])))
+    names = [jaccard_join.digest(s) for s in sets]
+    rows = [(7, d, len(s), 1, s.tobytes(), True, -1) for d, s in dict(zip(names, sets)).items()]
+    big = spark.createDataFrame(rows, "region long, digest binary, n long, copies long, set binary, core boolean, side int")
+    part = {bytes(r.digest): r.region for r in jaccard_join._by_rare_shingles(big, 80, 100).collect()}
+    linked = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(a, sets[j]))
+            if 100 * both >= 80 * (len(a) + len(sets[j]) - both) and names[i] != names[j]:
+                linked += 1
+                assert part[names[i]] == part[names[j]]
+    assert linked > 40
+    short, long_, near = range(1, 7), [*range(1, 7), *range(1000, 1040)], [*range(1000, 1040), *range(5000, 5003)]
+    short, long_, near = (np.array(s, np.uint64) for s in (short, long_, near))  # the short one's shingles are the long one's rarest
+    rows = [(7, jaccard_join.digest(s), len(s), 1, s.tobytes(), True, -1) for s in (short, long_, near)]
+    got = jaccard_join._by_rare_shingles(spark.createDataFrame(rows, big.schema), 80, 100).collect()
+    assert {bytes(r.digest) for r in got} == {jaccard_join.digest(long_), jaccard_join.digest(near)} and len({r.region for r in got}) == 1
+
+
 def test_near_duplicates_without_ids_go_too(spark):
     rng = random.Random(1)
     text = " ".join(f"w{rng.randrange(500)}" for _ in range(120))
