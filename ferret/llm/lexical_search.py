@@ -156,8 +156,9 @@ class Best:
 def search_block(b: Block, ids: np.ndarray, items: Items, best: list[Best], step: int = 64) -> int:
     """Fold the block into ``best``; returns the number of exact scores that were computed."""
     impact = items.impacts(b.tf, b.n[b.doc])
-    sketch = np.zeros((len(b.n), WIDTH))
-    cell = b.doc * WIDTH + (b.term % U(WIDTH)).astype(np.int64)
+    width = len(items.lookup)  # the items', wherever the task runs
+    sketch = np.zeros((len(b.n), width))
+    cell = b.doc * width + (b.term % U(width)).astype(np.int64)
     order = np.lexsort((impact, cell))  # the largest of a cell comes last and stays
     sketch.reshape(-1)[cell[order]] = impact[order]
     bounds = sketch @ items.lookup

@@ -247,12 +247,11 @@ class Counter:
 # ---------------------------------------------------------------- frequent pre-tokens
 
 def trim(h: np.ndarray, n: np.ndarray, size: np.ndarray, keep: int = SUMMARY):
-    """Misra-Gries: the ``keep`` most frequent, their counts less the largest count that goes."""
+    """Misra-Gries: the ``keep`` most frequent (ties: the least hashes), their counts less the largest count that goes."""
     if len(h) <= keep:
         return h, n, size
     order = np.lexsort((h, -n))
     less, order = n[order[keep]], order[:keep]
-    order = order[n[order] > less]
     return h[order], n[order] - less, size[order]
 
 
