@@ -43,10 +43,13 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to a new table in the shared folder and read it back: cuts the lineage and outlives executors."""
+def stage(df: DataFrame, tag: str, *more: DataFrame) -> DataFrame:
+    """Write ``df`` to a new table in the shared folder and read it back: cuts the lineage and outlives executors. ``more``:
+    rows of the same table that are computed one after the other, so only one part's shuffle is on disk."""
     path = f"{shared_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}/{tag}"
     df.write.parquet(path)
+    for part in more:
+        part.write.mode("append").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
     if _scopes:

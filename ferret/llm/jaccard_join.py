@@ -7,11 +7,13 @@
    range (``Signatures``). The point with the least name among those that agree is the pivot, and each point is
    attached to the pivots of its ranges. Points of different attached clusters are farther apart than ``r``,
    so clusters are regions that need no replication.
-3. *Voronoi regions.* A region of more than ``max_members`` points (or ``max_shingles`` shingles) is cut where its points share none
+3. *Voronoi regions.* From a region of more than ``max_members`` points (or ``max_shingles`` shingles) the points go that share too few
+   shingles with all others of the region together, again and again; what is left is cut where points share none
    of their rare shingles; if it is still larger it elects pivots; every
    point goes to its nearest pivot's region and, by the triangle inequality, also to those of pivots at most ``2 r``
    farther: two points within ``r`` meet in the region of either. Regions split again until they are small. Where the
-   windows keep a region from shrinking, it is dealt out in pairs of blocks, which is exact too.
+   windows keep a region from shrinking, it is dealt out in pairs of blocks, which is exact too. What is dealt out is decided on names
+   before sets are copied, and sets and shingles are shuffled a part at a time, so the disk does not grow faster than the input.
 4. *Leaves.* A small region is joined in one task: it falls apart by its rarest shingles where these are not shared, then
    splits recursively by pivots of its own, and is joined at the end by exact intersection counts of all its points at
    once. A leaf gives each point's least linked name (a spanning forest) and its number of links, not the pairs: a group
@@ -26,6 +28,7 @@ component, or null; extra columns are ignored.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,7 @@ from ferret.llm.components import components
 NO_ID = -(1 << 63)
 POINT = ["region", "digest", "n", "copies", "set", "core", "side"]
 PIVOTS, SPLIT_PIVOTS, LEAF, COUNTS = 16, 4, 512, 1 << 20
+PASSES, NAMES, CHUNK = 4, 1 << 18, 1 << 20  # parts in which a large shuffle is worked; names that are broadcast; shingles a slice
 
 
 # ---------------------------------------------------------------- sets and signatures
@@ -362,7 +366,8 @@ def _leaves(regions: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _split(big: DataFrame, sizes: DataFrame, num: int, den: int, max_members: int) -> DataFrame:
-    """One level of Voronoi regions with windows. Members are dealt out in salted blocks, the pivots go to each."""
+    """One level of Voronoi regions with windows, as names: region, parent, digest, core. Members are dealt out in salted
+    blocks, the pivots go to each."""
     salts = sizes.select("region", F.ceil(F.col("budget") / max_members).cast("int").alias("salts"))
     rows = big.join(salts, "region")
     rank = F.row_number().over(Window.partitionBy("region").orderBy("digest"))  # a few rows leave each region: planned as a group limit
@@ -371,15 +376,14 @@ def _split(big: DataFrame, sizes: DataFrame, num: int, den: int, max_members: in
     rest = rows.withColumn("salt", F.pmod(F.xxhash64("digest"), F.col("salts")).cast("int")).withColumn("kind", F.lit(1))
     dealt = rest.unionByName(pivots).repartition("region", "salt").sortWithinPartitions("region", "salt", "kind", "digest")
     radius = 1 - num / den
-    columns = ["region", "parent", "digest", "n", "copies", "set", "core"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+    columns, kinds = ["region", "parent", "digest", "core"], [pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
     frame = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(columns), kinds)], names=columns)
 
     def run(batches):
         at, pivot = None, []
         for b in batches:
-            rows, held = [], 0
-            for region, salt, kind, name, n, copies, blob, core in zip(*[b.column(c).to_pylist() for c in ("region", "salt", "kind", "digest", "n", "copies", "set", "core")]):
+            rows = []
+            for region, salt, kind, name, blob, core in zip(*[b.column(c).to_pylist() for c in ("region", "salt", "kind", "digest", "set", "core")]):
                 if (region, salt) != at:
                     at, pivot = (region, salt), []
                 if kind == 0:
@@ -389,23 +393,22 @@ def _split(big: DataFrame, sizes: DataFrame, num: int, den: int, max_members: in
                 home = int(dist.argmin())
                 to = np.flatnonzero(dist <= dist[home] + 2 * radius + 1e-9)
                 child = mix64(U(region & (1 << 64) - 1) + to.astype(U) + U(1)).view(np.int64)
-                rows += [(c, region, name, n, copies, blob, core and q == home) for c, q in zip(child.tolist(), to.tolist())]
-                held += len(blob) * len(to)
-                if held > 8 << 20:
-                    yield frame(rows)
-                    rows, held = [], 0
+                rows += [(c, region, name, core and q == home) for c, q in zip(child.tolist(), to.tolist())]
             yield frame(rows)
 
-    out = dealt.select("region", "salt", "kind", "digest", "n", "copies", "set", "core").mapInArrow(run, "region long, parent long, digest binary, n long, copies long, set binary, core boolean")
-    # a region without a point of its own adds nothing: every pair meets in the region of either point
-    return out.join(out.where("core").select("region").distinct(), "region", "left_semi").withColumn("side", F.lit(-1))
+    return dealt.select("region", "salt", "kind", "digest", "set", "core").mapInArrow(run, "region long, parent long, digest binary, core boolean")
 
 
-def _blocks(stuck: DataFrame, sizes: DataFrame, max_members: int) -> DataFrame:
-    """Regions that windows keep from shrinking, as blocks and pairs of blocks of half the size: every pair of points meets."""
-    n = sizes.select("region", F.least(F.ceil(2 * F.col("budget") / max_members), F.greatest("members", F.lit(2))).cast("int").alias("blocks"))
-    rows = stuck.drop("side").join(n, "region").withColumn("own", F.pmod(F.xxhash64(F.lit(1), "digest"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def _block_numbers(sizes: DataFrame, max_members: int) -> DataFrame:
+    return sizes.select("region", F.least(F.ceil(2 * F.col("budget") / max_members), F.greatest("members", F.lit(2))).cast("int").alias("blocks"))
+
+
+def _blocks(stuck: DataFrame, numbers: DataFrame, begin: int, end: int) -> DataFrame:
+    """Regions that windows keep from shrinking, as blocks and pairs of blocks of half the size: every pair of points meets. Of
+    these the ones whose block numbers add up to ``begin`` to ``end - 1``, modulo their number: a point is in one pair of each sum."""
+    rows = stuck.drop("side").join(numbers, "region").withColumn("own", F.pmod(F.xxhash64(F.lit(1), "digest"), F.col("blocks")).cast("int"))
+    total = F.explode(F.sequence(F.lit(begin), F.least(F.lit(end), "blocks") - 1))
+    rows = rows.where(F.col("blocks") > begin).withColumn("total", total).withColumn("other", F.pmod(F.col("total") - F.col("own"), F.col("blocks")))
     return rows.select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("region"), "digest", "n", "copies", "set", "core",
                        F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own")).alias("side"))
 
@@ -448,7 +451,59 @@ def _by_rare_shingles(big: DataFrame, num: int, den: int) -> DataFrame:
     met = lead.withColumn("below", below).where(F.col("below.n") * den >= F.col("n") * num)
     near = met.select(F.col("digest").alias("a"), F.col("below.digest").alias("b")).where("a <> b")
     parts = components(near).select(F.col("node").alias("digest"), F.xxhash64("root").alias("part"))
-    return big.join(parts, "digest").select(F.xxhash64("region", "part").alias("region"), *big.columns[1:])
+    return _restaged(big, parts, ["digest"], [F.xxhash64("region", "part").alias("region"), *big.columns[1:]], "separated")
+
+
+def _restaged(rows: DataFrame, names: DataFrame, on: list[str], columns: list, tag: str) -> DataFrame:
+    """``columns`` of ``rows`` joined with ``names``, stored. The sets of ``rows`` are not shuffled where the names are few, else
+    a part at a time."""
+    if names.count() <= NAMES:
+        return stage(rows.join(F.broadcast(names), on).select(*columns), tag)
+    part = lambda d, p: d.where(F.pmod(F.xxhash64(F.lit(2), "digest"), F.lit(PASSES)) == p)
+    first, *more = [part(rows, p).join(part(names, p), on).select(*columns) for p in range(PASSES)]
+    return stage(first, tag, *more)
+
+
+def _sharing(big: DataFrame, num: int, den: int) -> DataFrame:
+    """digest of the points that may link: a linked point shares at least the threshold's part of its shingles with one other, so with
+    all others of its region together. A shingle that a task sees twice in one slice is counted there and sent once, so a frequent
+    one crowds no key. Counted for a part of the hash space at a time. Equal hashes of different points only keep a point."""
+    def keys(p):
+        def run(batches):
+            for b in batches:
+                regions, nodes, sets = b.column("region").to_numpy().astype(np.uint64), b.column("node").to_numpy(), _views(b.column("set"))
+                size = np.array([len(s) for s in sets], np.int64)
+                ends = np.cumsum(size)
+                i = 0
+                while i < len(sets):
+                    j = max(i + 1, int(np.searchsorted(ends, ends[i] - size[i] + CHUNK, side="right")))
+                    owner = np.repeat(np.arange(i, j), size[i:j])
+                    key = mix64(np.concatenate(sets[i:j]) ^ mix64(regions + U(5))[owner])
+                    mine = key % U(PASSES) == p
+                    key, owner = key[mine], owner[mine]
+                    order = np.argsort(key, kind="stable")
+                    key, owner = key[order], owner[order]
+                    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[:len(key)])
+                    times = np.diff(np.append(first, len(key)))
+                    known = np.bincount(owner[np.repeat(times > 1, times)] - i, minlength=j - i)
+                    at = np.flatnonzero(known)
+                    once = pa.array(nodes[owner[first]], mask=times > 1)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.concat_arrays([long_array(key[first]), pa.array(nodes[i + at])]), pa.concat_arrays([once, pa.array(nodes[i + at])]),
+                        pa.array(np.concatenate([np.zeros(len(first), np.int64), known[at]]))], names=["key", "node", "known"])
+                    i = j
+        return run
+
+    named = big.withColumn("node", F.xxhash64("digest"))
+    counted = []
+    for p in range(PASSES):
+        rows = named.select("region", "node", "set").mapInArrow(keys(p), "key long, node long, known long")
+        rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("node is not null and (known > 0 or n > 1)")
+        counted.append(stage(rows.groupBy("node").agg(F.sum(F.greatest("known", F.lit(1))).alias("shared")), "shared"))
+    shared = reduce(DataFrame.unionByName, counted).groupBy("node").agg(F.sum("shared").alias("shared"))
+    out = stage(named.select("digest", "n", "node").join(shared, "node").where(F.col("shared") * den >= F.col("n") * num).select("digest"), "sharing")
+    drop_staged(*counted)
+    return out
 
 
 def region_sizes(rows: DataFrame) -> DataFrame:
@@ -461,7 +516,7 @@ def join_points(points: DataFrame, sizes: DataFrame, num: int, den: int, max_mem
     set, core, side; pairs in different regions are known to be farther apart. ``sizes``: their region_sizes.
 
     What a level finds is stored before the next one begins, so that only the sets of one level and of the next are on disk."""
-    found, level, held, whole = None, points.select(*POINT), None, True
+    found, level, held, cut = None, points.select(*POINT), None, False
 
     def leaves(rows):
         return _union(found, stage(_leaves(rows, num, den), "leaves"))
@@ -477,19 +532,29 @@ def join_points(points: DataFrame, sizes: DataFrame, num: int, den: int, max_mem
         large = large.withColumn("budget", F.greatest("members", F.ceil(F.col("shingles") * max_members / max_shingles)))
         found = leaves(level.join(large, "region", "left_anti"))
         big = level.join(large.select("region"), "region", "left_semi").select(*POINT)
-        if whole:  # the first large regions are cut by their rare shingles before they are split
-            whole, level = False, stage(_by_rare_shingles(big, num, den), "separated")
-            drop_staged(held)
-            held, sizes = level, region_sizes(level)
+        if not cut:  # the first large regions lose what cannot link while that makes them smaller, then are cut by their rare shingles
+            names = _sharing(big, num, den)
+            shrinks = names.count() <= 0.8 * large.agg(F.sum("members")).first()[0]
+            level = _restaged(big, names, ["digest"], POINT, "kept") if shrinks else _by_rare_shingles(big, num, den)
+            drop_staged(held, names)
+            held, sizes, cut = level, region_sizes(level), not shrinks
             continue
-        split = stage(_split(big, large, num, den, max_members), "split")
+        dealt = stage(_split(big, large, num, den, max_members), "split")
+        # a region without a point of its own adds nothing: every pair meets in the region of either point
+        split = dealt.join(dealt.where("core").select("region").distinct(), "region", "left_semi")
         child = split.groupBy("region", "parent").agg(F.count(F.lit(1)).alias("members"))
         shrunk = child.join(large.select(F.col("region").alias("parent"), F.col("members").alias("before")), "parent")
-        stuck = stage(shrunk.where("members > 0.8 * before").select("parent").distinct().withColumnRenamed("parent", "region"), "stuck")
-        found = leaves(_blocks(level.join(stuck, "region", "left_semi"), large, max_members))
-        drop_staged(held)
-        held, level = split, split.join(stuck.withColumnRenamed("region", "parent"), "parent", "left_anti").select(*POINT)
-        sizes = region_sizes(level)
+        # windows that hold nearly all, or copy every set twice and more, do not help
+        stuck = shrunk.groupBy("parent").agg(F.max("members").alias("most"), F.sum("members").alias("all"), F.max("before").alias("before"))
+        stuck = stage(stuck.where("most > 0.8 * before or all > 2 * before").select(F.col("parent").alias("region")), "stuck")
+        numbers = stage(_block_numbers(large.join(stuck, "region", "left_semi"), max_members), "blocks")
+        for begin in range(0, numbers.agg(F.max("blocks")).first()[0] or 0, PASSES):
+            found = leaves(_blocks(level, numbers, begin, begin + PASSES))
+        names = split.join(stuck.withColumnRenamed("region", "parent"), "parent", "left_anti")
+        rows = level.withColumnRenamed("region", "parent").drop("core")
+        level = _restaged(rows, names, ["parent", "digest"], POINT, "level")
+        drop_staged(held, dealt, stuck, numbers)
+        held, sizes = level, region_sizes(level)
 
 
 def _union(a: DataFrame | None, b: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 """Edges that were found wrong or untested before: prose in articles, rows without ids, names that clash, reruns."""
 
 import random
+from collections import Counter
 
 import corpus_pipeline as P
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ferret.llm import common, fingerprints, jaccard_join
@@ -61,6 +63,68 @@ def test_regions_cut_by_rare_shingles_keep_every_link(spark):
     assert {bytes(r.digest) for r in got} == {jaccard_join.digest(long_), jaccard_join.digest(near)} and len({r.region for r in got}) == 1
 
 
+POINTS = "region long, digest binary, n long, copies long, set binary, core boolean, side int"
+
+
+def _points(sets, regions):
+    return [(r, jaccard_join.digest(s), len(s), 1, s.tobytes(), True, -1) for s, r in zip(sets, regions)]
+
+
+@pytest.mark.parametrize("chunk", [7, 1 << 20])
+def test_points_that_share_too_little_go(spark, monkeypatch, chunk):
+    """The points that stay are those with enough shingles that others of their own region hold, however rows are sliced."""
+    monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
+    rng, bound = np.random.default_rng(6), 1 << 62
+    passages = [rng.integers(bound, size=20).astype(np.uint64) for _ in range(6)]
+    sets = [np.array([5], np.uint64)]
+    for i in range(80):
+        own = rng.integers(bound, size=int(rng.integers(1, 30))).astype(np.uint64)
+        sets.append(np.unique(np.concatenate([passages[i % 6], passages[i % 5][: i % 12], [np.uint64(5)], own])))
+    regions = [7 if i % 3 else -8 for i in range(len(sets))]
+    want = set()
+    for s, r in zip(sets, regions):
+        others = {x for t, q in zip(sets, regions) if q == r and t is not s for x in t.tolist()}
+        if 100 * sum(x in others for x in s.tolist()) >= 80 * len(s):
+            want.add(jaccard_join.digest(s))
+    big = spark.createDataFrame(_points(sets, regions), POINTS).repartition(5)
+    got = [bytes(r.digest) for r in jaccard_join._sharing(big, 80, 100).collect()]
+    assert sorted(got) == sorted(want) and 10 < len(want) < 70
+
+
+def test_large_regions_lose_unlinked_points_before_they_are_split(spark, monkeypatch):
+    """Texts that share passages, more than the table of counts can tell apart: none is split or copied, and links stay."""
+    monkeypatch.setattr(jaccard_join, "COUNTS", 2)
+    monkeypatch.setattr(jaccard_join, "NAMES", 0)  # as if names were many: sets are dealt out a part at a time
+    monkeypatch.setattr(jaccard_join, "_split", lambda *_: pytest.fail("a region was split"))
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, texts = words(120), {}
+    for i in range(40):
+        texts[i] = " ".join(passage + words(60))
+    for i in range(4):
+        copy = texts[i].split()
+        copy[rng.randrange(len(copy))] = "other"
+        texts[100 + i] = " ".join(copy)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.near_duplicates(frame, 5, 80, 100, max_members=8).collect()}
+    assert got == {i: (i % 100, int(i % 100 < 4)) for i in texts}
+
+
+@pytest.mark.parametrize("blocks", [2, 5, 9])
+def test_blocks_meet_a_part_at_a_time(spark, blocks):
+    """Every pair of points meets once in all parts together, and no part copies a point more than PASSES times."""
+    sets = [np.arange(i * 10, i * 10 + 3).astype(np.uint64) for i in range(30)]
+    stuck, numbers = spark.createDataFrame(_points(sets, [3] * 30), POINTS), spark.createDataFrame([(3, blocks)], "region long, blocks int")
+    met, P = Counter(), jaccard_join.PASSES
+    for begin in range(0, blocks, P):
+        rows = jaccard_join._blocks(stuck, numbers, begin, begin + P).collect()
+        assert max(Counter(bytes(r.digest) for r in rows).values()) <= P
+        for region in {r.region for r in rows}:
+            here = [r for r in rows if r.region == region]
+            met.update(frozenset((bytes(a.digest), bytes(b.digest))) for i, a in enumerate(here) for b in here[:i] if a.side != b.side or a.side == -1)
+    assert len(met) == 30 * 29 // 2 and set(met.values()) == {1}
+
+
 def test_near_duplicates_without_ids_go_too(spark):
     rng = random.Random(1)
     text = " ".join(f"w{rng.randrange(500)}" for _ in range(120))
